@@ -7,7 +7,9 @@ full match list of a request is its groups (``match_groups``) joined to ``group_
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterproof.functions import fixed
@@ -21,7 +23,8 @@ from rosterproof.operators.registry import (
     group_rows,
     with_keys,
 )
-from rosterproof.operators.skew import one_row_count, spread_join
+from rosterproof.operators.skew import spread_join
+from rosterproof.sources.sinks import write_reports
 
 TOP_DUPLICATES = 8
 TOP_OWNER_UNITS = 6
@@ -49,20 +52,51 @@ def group_matches(requests: DataFrame, counts: DataFrame) -> DataFrame:
     return spread_join(probes, counts, GROUP_KEYS, "inner", ["request_id"])
 
 
+@dataclass(frozen=True)
+class RegistryIndex:
+    """What a lookup needs of a registry: four tables, each one row or a few per key."""
+
+    counts: DataFrame  # group, n
+    firsts: DataFrame  # group, first members
+    own: DataFrame  # hu_id and its match keys
+    total: DataFrame  # n
+
+
+def registry_index(registry: DataFrame) -> RegistryIndex:
+    keyed = with_keys(registry)
+    # One more than is shown, since the request's own record is left out afterwards.
+    firsts = first_members(keyed, _LISTED, TOP_DUPLICATES + 1)
+    own = keyed.select(
+        F.col("id").alias("hu_id"),
+        *[F.col(k).alias(f"__own_{k}") for k in ("code_key", "name_key", "owner_key")],
+    ).where(F.col("hu_id") != "")
+    return RegistryIndex(
+        counts=group_counts(keyed, list(KINDS)),
+        firsts=firsts.withColumnRenamed("code_key", "__code_key"),
+        own=own,
+        total=registry.agg(F.count(F.lit(1)).alias("n")),
+    )
+
+
+def save_index(index: RegistryIndex, folder: str) -> None:
+    """Write the index tables, for lookups that run many times over one snapshot."""
+    write_reports(vars(index), folder)
+
+
+def load_index(spark: SparkSession, folder: str) -> RegistryIndex:
+    names = RegistryIndex.__dataclass_fields__
+    return RegistryIndex(**{n: spark.read.parquet(f"{folder}/{n}") for n in names})
+
+
 def match_counts(
-    requests: DataFrame, registry: DataFrame, generic_at: int = GENERIC_AT
+    requests: DataFrame, index: RegistryIndex, generic_at: int = GENERIC_AT
 ) -> DataFrame:
     """Per request: strong_code_n, strong_owner_n, weak_n, owner_n, generic, checked."""
-    keyed = with_keys(registry)
-    hits = group_matches(requests, group_counts(keyed, list(KINDS)))
+    hits = group_matches(requests, index.counts)
     per_request = hits.groupBy("request_id").agg(
         *[F.max(F.when(F.col("kind") == k, F.col("n"))).alias(_column(k)) for k in KINDS]
     )
-    own = keyed.select(
-        F.col("id").alias("hu_id"),
-        *[F.col(k).alias(f"__own_{k}") for k in ("code_key", "name_key", "owner_key")],
-    ).where(F.col("hu_id") != "")
-    joined = spread_join(requests, own, ["hu_id"], "left", ["request_id"]).join(
+    joined = spread_join(requests, index.own, ["hu_id"], "left", ["request_id"]).join(
         per_request, "request_id", "left"
     )
 
@@ -87,16 +121,18 @@ def match_counts(
         F.when(generic, F.lit(0)).otherwise(weak).cast("bigint").alias("weak_n"),
         others("owner").alias("owner_n"),
         generic.alias("generic"),
-    ).withColumn("checked", one_row_count(registry))
+    ).withColumn("checked", index.total.scalar())
 
 
-def match_groups(requests: DataFrame, registry: DataFrame, generic_at: int = GENERIC_AT) -> DataFrame:
+def match_groups(
+    requests: DataFrame, index: RegistryIndex, generic_at: int = GENERIC_AT
+) -> DataFrame:
     """One row per request and match reason: severity, why, group key and match count.
 
     Counts leave out the request's own record and apply the priority code > name and
     owner > name, so they add up to the number of matching records.
     """
-    counts = match_counts(requests, registry, generic_at)
+    counts = match_counts(requests, index, generic_at)
     joined = requests.join(counts, "request_id")
 
     def reason(kind: str, severity: str, why: str, n: str) -> Column:
@@ -122,24 +158,22 @@ def group_members(registry: DataFrame) -> DataFrame:
     return group_rows(with_keys(registry), _LISTED, keep)
 
 
-def lookup(requests: DataFrame, registry: DataFrame, generic_at: int = GENERIC_AT) -> DataFrame:
+def lookup(
+    requests: DataFrame, index: RegistryIndex, generic_at: int = GENERIC_AT
+) -> DataFrame:
     """Duplicate verdict and owner footprint of each request.
 
     ``duplicates``: struct(strong_n, weak_n, generic, checked, top), ``top`` being the
     first eight strong matches, or weak ones where no match is strong.
     ``owner_units``: struct(n, top), the first six other records of the owner.
     """
-    counts = match_counts(requests, registry, generic_at)
-    # One more than is shown, since the request's own record is left out afterwards.
-    firsts = first_members(with_keys(registry), _LISTED, TOP_DUPLICATES + 1).withColumnRenamed(
-        "code_key", "__code_key"
-    )
+    counts = match_counts(requests, index, generic_at)
     probes = group_rows(
         requests.withColumn("__my_code", F.col("code_key")),
         _LISTED,
         ["request_id", "hu_id", "__my_code"],
     )
-    near = spread_join(probes, firsts, GROUP_KEYS, "inner", ["request_id"]).where(
+    near = spread_join(probes, index.firsts, GROUP_KEYS, "inner", ["request_id"]).where(
         F.col("id") != F.col("hu_id")
     )
     why = (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,15 @@ def elements(pages: DataFrame, pattern: str, id_col: str) -> DataFrame:
     )
 
 
+def kept_rows(df: DataFrame, columns: list[str], keep: Callable[[Column], Column]) -> DataFrame:
+    """Rows whose computed values pass ``keep``, each value computed once.
+
+    A plain filter would be pushed below the projections it depends on, with every regex
+    of theirs copied into it.
+    """
+    return df.select(F.inline(F.filter(F.array(F.struct(*columns)), keep)))
+
+
 def _clickable(pages: DataFrame, id_col: str) -> DataFrame:
     """Links and buttons with their text, attributes and the address they lead to."""
     e = elements(pages, _ANCHOR, id_col)
@@ -96,16 +107,13 @@ def page_links(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
         F.when(urls.is_file(src), src).alias("href"),
         F.lit("").alias("text"),
     )
-    links = (
-        clicked.unionByName(viewed)
-        .where(given(F.col("href")))
-        # Addresses from attributes are resolved against the site, not the page.
-        .withColumn("url", urls.resolve(F.col("href"), F.concat(urls.origin_of(F.col("__dir")), F.lit("/"))))
-        .where(
-            given(F.col("url"))
-            & ~F.col("url").startswith("javascript:")
-            & ~F.col("url").endswith("#")
-        )
+    # Addresses from attributes are resolved against the site, not the page.
+    site = F.concat(urls.origin_of(F.col("__dir")), F.lit("/"))
+    links = clicked.unionByName(viewed).withColumn("url", urls.resolve(F.col("href"), site))
+    links = kept_rows(
+        links,
+        [id_col, "part", "pos", "url", "text"],
+        lambda x: given(x["url"]) & ~x["url"].startswith("javascript:") & ~x["url"].endswith("#"),
     )
     first = F.min(F.struct("part", "pos", "text")).alias("f")
     name = F.regexp_extract(F.col("url"), r"[^/]*\z", 0)
@@ -125,27 +133,27 @@ def page_links(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
 
 def modal_links(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """Links of a modal dialog that lead to documents, then links to the review page."""
-    e = _clickable(pages, id_col).where("is_link")
+    e = _clickable(pages, id_col)
     # A scripted link without a readable target keeps its own href.
-    href = F.coalesce("href", "attr_href")
-    documents = e.where(given(href) & urls.is_modal_link(href)).select(
-        id_col,
-        F.lit(0).alias("part"),
-        "pos",
-        href.alias("url"),
-        "text",
-        F.lit(None).cast("string").alias("type"),
-    )
     own = F.when(F.col("attr_href") != "#", urls.resolve(F.col("attr_href"), F.col("__dir")))
-    review = e.where(F.col("text").contains(fixed.REVIEW_LINK_TEXT) & given(own)).select(
-        id_col,
-        F.lit(1).alias("part"),
-        "pos",
-        own.alias("url"),
-        F.lit(fixed.REVIEW_LINK_TEXT).alias("text"),
-        F.lit("review_page").alias("type"),
+    e = e.withColumns({"url": F.coalesce("href", "attr_href"), "own": own})
+
+    def entry(part: int, when: Column, url: str, text: Column, link_type: str | None) -> Column:
+        fields = {
+            "part": F.lit(part),
+            "url": F.col(url),
+            "text": text,
+            "type": F.lit(link_type).cast("string"),
+        }
+        return F.when(when, F.struct(*[v.alias(k) for k, v in fields.items()]))
+
+    leads = given(F.col("url")) & urls.is_modal_link(F.col("url"))
+    review = F.col("text").contains(fixed.REVIEW_LINK_TEXT) & given(F.col("own"))
+    entries = F.array(
+        entry(0, F.col("is_link") & leads, "url", F.col("text"), None),
+        entry(1, F.col("is_link") & review, "own", F.lit(fixed.REVIEW_LINK_TEXT), "review_page"),
     )
-    return documents.unionByName(review)
+    return e.select(id_col, "pos", F.inline(F.filter(entries, lambda x: x.isNotNull())))
 
 
 def _exploded(df: DataFrame, array: str, rank: int, **fields: Column) -> DataFrame:

@@ -3,9 +3,10 @@
 A registry row has: id, code, name, type, status, owner, sla, create_date, input_order.
 ``id`` is unique; ``input_order`` is the row's position in the source.
 
-No step collects a group. Groups are counted (partial aggregation), and membership is
-kept as edges (cluster, id), so a key that holds a third of the table is one counted row
-and evenly spread edges.
+Everything is decided from group sizes. Groups are counted (partial aggregation), the
+sizes are brought back to the records, and each record then knows by itself whether it is
+flagged and which clusters it belongs to. No group is ever collected or windowed over, so
+a key that holds a third of the table costs one counted row and evenly spread edges.
 """
 
 from __future__ import annotations
@@ -31,7 +32,6 @@ KINDS = {
     "code+name": (True, True, False),
     "code+name+owner": (True, True, True),
 }
-CLUSTER_KINDS = ["code", "name+owner", "name"]
 
 
 def with_keys(registry: DataFrame) -> DataFrame:
@@ -82,125 +82,138 @@ def generic_names(registry: DataFrame, generic_at: int = GENERIC_AT) -> DataFram
     )
 
 
-def _groups(keyed: DataFrame, kinds: list[str]) -> DataFrame:
-    """Groups of two or more, with their first member and shared name and owner."""
+def _size_column(kind: str) -> str:
+    return "n_" + kind.replace("+", "_")
 
-    def shared(c: str) -> Column:
-        low = F.min(c)
-        return F.when((low == F.max(c)) & (low != ""), low)
 
-    rows = group_rows(keyed, kinds, ["input_order", "name", "name_key", "owner_key"])
-    first = F.min(F.struct("input_order", "name"))
-    return (
-        rows.groupBy(*GROUP_KEYS)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            first["input_order"].alias("first_order"),
-            first["name"].alias("first_name"),
-            shared("name_key").alias("only_name"),
-            shared("owner_key").alias("only_owner"),
-        )
-        .where(F.col("n") >= 2)
-    )
+def with_group_sizes(registry: DataFrame, kinds: list[str]) -> DataFrame:
+    """Registry rows with their keys and one size column per kind, e.g. ``n_name_owner``.
 
+    A record alone in its group, or in no group of a kind, has size 1.
+    """
+    keyed = with_keys(registry)
+    counts = group_counts(keyed, kinds).where(F.col("n") >= 2)
+    rows = group_rows(keyed, kinds, ["id"])
+    hits = spread_join(rows, counts, GROUP_KEYS, "inner", ["id"], hot_groups(counts, GROUP_KEYS))
+    sizes = hits.groupBy("id").agg(
+        *[F.max(F.when(F.col("kind") == k, F.col("n"))).alias(_size_column(k)) for k in kinds]
+    )
+    one = {_size_column(k): F.coalesce(_size_column(k), F.lit(1)) for k in kinds}
+    return keyed.join(sizes, "id", "left").withColumns(one)
 
-def _of(groups: DataFrame, kind: str) -> DataFrame:
-    return groups.where(F.col("kind") == kind)
 
+SWEEP_KINDS = ["code", "name", "name+owner", "code+name", "code+name+owner"]
 
-def _generic(groups: DataFrame, generic_at: int) -> DataFrame:
-    return _of(groups, "name").where(F.col("n") >= generic_at)
 
+def _sweep_flags(generic_at: int) -> dict[str, Column]:
+    """Per record: generic name, and the clusters it is in, from its group sizes.
 
-def _own_names(groups: DataFrame, generic_at: int) -> DataFrame:
-    """name+owner groups whose name is not generic."""
-    generic = _generic(groups, generic_at)
-    return spread_join(
-        _of(groups, "name+owner"),
-        generic.select("g_name"),
-        ["g_name"],
-        "left_anti",
-        spread_by=["g_name", "g_owner"],
-        hot=hot_groups(generic, ["g_name"]),
-    )
+    A cluster with the very members of an earlier one is dropped. All members of a group
+    share another key exactly when the group does not shrink by adding that key, so the
+    sets are compared by sizes alone.
+    """
+    code, name, own = F.col("n_code"), F.col("n_name"), F.col("n_name_owner")
+    name_code, all_three = F.col("n_code_name"), F.col("n_code_name_owner")
+    generic = name >= generic_at
+    own_pair = (own >= 2) & ~generic
+    return {
+        "is_generic": generic,
+        "in_code": code >= 2,
+        "in_own": own_pair & ~((all_three == own) & (code == own)),
+        "in_name": (name >= 2) & ~generic & (own != name) & ~((name_code == name) & (code == name)),
+        # A dropped name+owner cluster equals a code cluster, so its members are strong.
+        "is_strong": (code >= 2) | own_pair,
+    }
+
+
+def sweep(registry: DataFrame, generic_at: int = GENERIC_AT, extra: list[str] | None = None) -> DataFrame:
+    """Registry rows with sizes, is_generic, is_strong and cluster membership."""
+    sized = with_group_sizes(registry, [*SWEEP_KINDS, *(extra or [])])
+    return sized.withColumns(_sweep_flags(generic_at))
 
 
-def _clusters(groups: DataFrame, generic_at: int) -> DataFrame:
-    """Clusters that survive: a group with the very members of an earlier one is dropped.
+def cluster_members(registry: DataFrame, generic_at: int = GENERIC_AT) -> DataFrame:
+    """Edges (cluster, record) of every duplicate cluster, with the cluster's size ``n``.
 
-    Two groups are the same set exactly when one's members all share the other's key and
-    both have the same size, so sets are compared by keys and counts alone.
+    ``cluster_id`` is the kind and the shared keys; keys hold no blanks.
     """
-    code = _of(groups, "code")
-    by_code = code.select(
-        F.col("only_name").alias("g_name"), F.col("only_owner").alias("__owner"), "n"
-    ).where(F.col("g_name").isNotNull() & (F.col("n") < generic_at))
-    same_name_owner = (
-        by_code.where(F.col("__owner").isNotNull())
-        .withColumnRenamed("__owner", "g_owner")
-        .distinct()
-    )
-    same_name = by_code.select("g_name", "n").distinct()
-
-    own = _own_names(groups, generic_at).join(
-        same_name_owner, ["g_name", "g_owner", "n"], "left_anti"
-    )
-    name = (
-        _of(groups, "name")
-        .where((F.col("n") < generic_at) & F.col("only_owner").isNull())
-        .join(same_name, ["g_name", "n"], "left_anti")
-    )
 
-    def out(df: DataFrame, severity: str, label: Column) -> DataFrame:
-        return df.select(
-            *GROUP_KEYS,
-            F.concat_ws(":", "kind", F.col("first_order").cast("string")).alias("cluster_id"),
-            F.lit(severity).alias("severity"),
-            label.alias("label"),
-            "n",
-            "first_order",
-        )
+    def entry(member: str, kind: str, severity: str, *key_columns: str) -> Column:
+        cluster = F.concat(F.lit(f"{kind}:"), F.concat_ws(" ", *key_columns))
+        fields = {
+            "kind": F.lit(kind),
+            "severity": F.lit(severity),
+            "cluster_id": cluster,
+            "n": F.col(_size_column(kind)),
+        }
+        return F.when(F.col(member), F.struct(*[v.alias(k) for k, v in fields.items()]))
 
-    return (
-        out(code, "strong", F.concat(F.lit(fixed.LABEL_CODE), "g_code"))
-        .unionByName(out(own, "strong", F.concat(F.lit(fixed.LABEL_NAME_OWNER), "first_name")))
-        .unionByName(out(name, "weak", F.concat(F.lit(fixed.LABEL_NAME), "first_name")))
+    entries = F.array(
+        entry("in_code", "code", "strong", "code_key"),
+        entry("in_own", "name+owner", "strong", "name_key", "owner_key"),
+        entry("in_name", "name", "weak", "name_key"),
+    )
+    return sweep(registry, generic_at).select(
+        F.inline(F.filter(entries, lambda e: e.isNotNull())),
+        "id",
+        "code",
+        "name",
+        "status",
+        "input_order",
+        "code_key",
     )
 
 
 def duplicate_clusters(registry: DataFrame, generic_at: int = GENERIC_AT) -> DataFrame:
-    """Duplicate clusters of the whole registry, one row each."""
-    groups = _groups(with_keys(registry), CLUSTER_KINDS)
-    return _clusters(groups, generic_at)
+    """Duplicate clusters of the whole registry: id, kind, severity, label, size."""
+    return clusters_of(cluster_members(registry, generic_at))
 
 
-def cluster_members(registry: DataFrame, generic_at: int = GENERIC_AT) -> DataFrame:
-    """Edges (cluster, record) of every duplicate cluster."""
-    keyed = with_keys(registry)
-    clusters = _clusters(_groups(keyed, CLUSTER_KINDS), generic_at)
-    rows = group_rows(keyed, CLUSTER_KINDS, ["id", "code", "name", "status", "input_order"])
-    hot = hot_groups(clusters, GROUP_KEYS)
-    return spread_join(rows, clusters.drop("n", "first_order"), GROUP_KEYS, "inner", ["id"], hot)
+def clusters_of(members: DataFrame) -> DataFrame:
+    first = F.min(F.struct("input_order", "name", "code_key"))
+    label = (
+        F.when(F.col("kind") == "code", F.concat(F.lit(fixed.LABEL_CODE), "f.code_key"))
+        .when(F.col("kind") == "name", F.concat(F.lit(fixed.LABEL_NAME), "f.name"))
+        .otherwise(F.concat(F.lit(fixed.LABEL_NAME_OWNER), "f.name"))
+    )
+    return (
+        members.groupBy("cluster_id", "kind", "severity", "n")
+        .agg(first.alias("f"))
+        .select(
+            "cluster_id",
+            "kind",
+            "severity",
+            label.alias("label"),
+            "n",
+            F.col("f.input_order").alias("first_order"),
+        )
+    )
 
 
 def flagged_ids(registry: DataFrame, generic_at: int = GENERIC_AT) -> DataFrame:
-    """(id, severity): distinct members of strong clusters, and of weak ones."""
-    return cluster_members(registry, generic_at).select("id", "severity").distinct()
+    """(id, severity): members of strong clusters, and members of weak ones."""
+    severities = F.array(
+        F.when(F.col("is_strong"), F.lit("strong")), F.when(F.col("in_name"), F.lit("weak"))
+    )
+    return sweep(registry, generic_at).select(
+        "id", F.explode(F.filter(severities, lambda s: s.isNotNull())).alias("severity")
+    )
 
 
 def sweep_totals(registry: DataFrame, generic_at: int = GENERIC_AT) -> DataFrame:
     """Clusters by severity, generic names, and records scanned, as (measure, n)."""
+    n = F.count(F.lit(1)).alias("n")
     clusters = duplicate_clusters(registry, generic_at)
-    counted = F.count(F.lit(1)).alias("n")
+    names = generic_names(registry, generic_at)
+
+    def total(df: DataFrame, measure: str) -> DataFrame:
+        return df.agg(n).select(F.lit(measure).alias("measure"), "n")
+
     return (
         clusters.groupBy(F.concat(F.col("severity"), F.lit("_clusters")).alias("measure"))
-        .agg(counted)
-        .unionByName(
-            generic_names(registry, generic_at)
-            .agg(counted)
-            .select(F.lit("generic_names").alias("measure"), "n")
-        )
-        .unionByName(registry.agg(counted).select(F.lit("scanned").alias("measure"), "n"))
+        .agg(n)
+        .unionByName(total(names, "generic_names"))
+        .unionByName(total(registry, "scanned"))
     )
 
 
@@ -214,40 +227,6 @@ def owner_counts(registry: DataFrame) -> DataFrame:
     )
 
 
-def _marks(keyed: DataFrame, generic_at: int, owner_limit: int) -> DataFrame:
-    """One row per record that any group-level finding concerns."""
-    groups = _groups(keyed, [*CLUSTER_KINDS, "owner"])
-
-    def mark(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*GROUP_KEYS, F.lit(name).alias("mark"), "n")
-
-    weak = _clusters(groups, generic_at).where(F.col("severity") == "weak")
-    marks = (
-        mark(_of(groups, "code"), "strong")
-        .unionByName(mark(_own_names(groups, generic_at), "strong"))
-        .unionByName(mark(weak, "weak"))
-        .unionByName(mark(_generic(groups, generic_at), "generic"))
-    )
-    # Owner groups start at two here; a limit of one concerns every owned record.
-    if owner_limit >= 2:
-        owners = _of(groups, "owner").where(F.col("n") >= owner_limit)
-    else:
-        owners = group_counts(keyed, ["owner"]).where(F.col("n") >= owner_limit)
-    marks = marks.unionByName(mark(owners, "owner"))
-    rows = group_rows(keyed, [*CLUSTER_KINDS, "owner"], ["id"])
-    hits = spread_join(rows, marks, GROUP_KEYS, "inner", ["id"], hot_groups(marks, GROUP_KEYS))
-
-    def any_of(name: str) -> Column:
-        return F.max(F.col("mark") == name).alias(f"__{name}")
-
-    return hits.groupBy("id").agg(
-        any_of("strong"),
-        any_of("weak"),
-        any_of("generic"),
-        F.max(F.when(F.col("mark") == "owner", F.col("n"))).alias("__owner_n"),
-    )
-
-
 def audit(
     registry: DataFrame,
     sla_limit: int | None = SLA_LIMIT,
@@ -259,36 +238,27 @@ def audit(
     A limit of 0 or None means the default.
     """
     sla_limit, owner_limit = sla_limit or SLA_LIMIT, owner_limit or OWNER_LIMIT
-    marks = _marks(with_keys(registry), generic_at, owner_limit)
-    rows = registry.join(marks, "id", "left")
+    rows = sweep(registry, generic_at, ["owner"])
+    owner_n = F.when(F.col("owner_key") != "", F.col("n_owner"))
 
     def flag(when: Column, level: str, text) -> Column:
         text = F.lit(text) if isinstance(text, str) else text
         return F.when(when, F.struct(F.lit(level).alias("level"), text.alias("text")))
 
-    strong = F.coalesce("__strong", F.lit(False))
     flags = F.array(
-        flag(strong, "fail", fixed.FLAG_STRONG),
-        flag(~strong & F.col("__weak"), "warn", fixed.FLAG_WEAK),
+        flag(F.col("is_strong"), "fail", fixed.FLAG_STRONG),
+        flag(~F.col("is_strong") & F.col("in_name"), "warn", fixed.FLAG_WEAK),
         flag(~given(F.col("code")), "fail", fixed.FLAG_NO_CODE),
-        flag(F.col("__generic"), "warn", fixed.FLAG_GENERIC),
-        flag(
-            F.col("__owner_n") >= owner_limit,
-            "warn",
-            F.format_string(fixed.FLAG_OWNER, F.col("__owner_n")),
-        ),
+        flag(F.col("is_generic"), "warn", fixed.FLAG_GENERIC),
+        flag(owner_n >= owner_limit, "warn", F.format_string(fixed.FLAG_OWNER, owner_n)),
         flag(F.col("sla") >= sla_limit, "warn", F.format_string(fixed.FLAG_SLA, F.col("sla"))),
     )
     kept = F.filter(flags, lambda f: f.isNotNull())
-    return (
-        rows.withColumn("flags", kept)
-        .withColumns(
-            {
-                "flagged": F.size("flags") > 0,
-                "failed": F.exists("flags", lambda f: f["level"] == "fail"),
-            }
-        )
-        .drop("__strong", "__weak", "__generic", "__owner_n")
+    return rows.select(*registry.columns, kept.alias("flags")).withColumns(
+        {
+            "flagged": F.size("flags") > 0,
+            "failed": F.exists("flags", lambda f: f["level"] == "fail"),
+        }
     )
 
 
@@ -324,23 +294,18 @@ def top_weak_clusters(registry: DataFrame, limit: int = 60, generic_at: int = GE
 
     A weak cluster has a non-generic name, so it holds under ``generic_at`` members.
     """
-    keyed = with_keys(registry)
-    top = (
-        _clusters(_groups(keyed, CLUSTER_KINDS), generic_at)
-        .where(F.col("severity") == "weak")
-        .orderBy("first_order")
-        .limit(limit)
-        .drop("g_code", "g_owner", "kind")
-    )
-    rows = keyed.select(
-        F.col("name_key").alias("g_name"),
+    members = cluster_members(registry, generic_at).where(F.col("kind") == "name")
+    top = clusters_of(members).orderBy("first_order").limit(limit).select("cluster_id", "label")
+    # ``limit`` rows at most on this side.
+    return members.join(F.broadcast(top), "cluster_id").select(
+        "cluster_id",
+        "label",
+        "n",
         "id",
         F.substring("name", 1, 28).alias("short_name"),
         "status",
         "input_order",
     )
-    # ``limit`` rows at most on this side.
-    return rows.join(F.broadcast(top), "g_name")
 
 
 def pending(registry: DataFrame) -> DataFrame:

@@ -77,8 +77,3 @@ def spread_join(
         .drop("__hash", "__cut")
     )
     return left.join(right, [*keys, "__slice"], how).drop("__slice")
-
-
-def one_row_count(df: DataFrame) -> Column:
-    """Row count of a table as a scalar subquery."""
-    return df.agg(F.count(F.lit(1))).scalar()

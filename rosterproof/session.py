@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
+    # Recording a call site for every column expression dominates plan building.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import json
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rosterproof.functions.urls import is_api_url, is_json
 
-FILE_LINK = re.compile(r"\.(pdf|jpg|jpeg|png)\Z", re.IGNORECASE)
 # Superset test on the raw text: a body failing it cannot hold a file link. A backslash
 # may hide one behind an escape.
 _MAYBE = r"(?i)\.(pdf|jpg|jpeg|png)\"|/storage/|/files/|upload|\\"
-_INDEX = re.compile(r"0|[1-9][0-9]{0,9}")
+_LINKS = T.ArrayType(
+    T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])
+)
 
 
 def api_responses(events: DataFrame) -> DataFrame:
@@ -23,42 +21,48 @@ def api_responses(events: DataFrame) -> DataFrame:
     return events.where(is_api_url(F.col("url")) & is_json(F.col("content_type")))
 
 
-def _is_file_value(v: str) -> bool:
-    if len(v) <= 5:
-        return False
-    return bool(FILE_LINK.search(v)) or "/storage/" in v or "/files/" in v or "upload" in v
-
-
-def _entries(node):
-    """Entries of an object or list in the order a JSON consumer visits them."""
-    if isinstance(node, list):
-        return [(str(i), v) for i, v in enumerate(node)]
-    # Integer-like keys come first, in numeric order.
-    return sorted(node.items(), key=lambda e: (0, int(e[0])) if _INDEX.fullmatch(e[0]) else (1, 0))
-
-
-def _file_values(body: str | None) -> list[dict] | None:
-    try:
-        root = json.loads(body) if body else None
-    except ValueError:
-        return None
-    found, stack = [], [iter(_entries(root))] if isinstance(root, (dict, list)) else []
-    while stack:
-        for key, value in stack[-1]:
-            if isinstance(value, str):
-                if _is_file_value(value):
-                    found.append({"key": key, "value": value})
-            elif isinstance(value, (dict, list)):
-                stack.append(iter(_entries(value)))
-                break
-        else:
-            stack.pop()
-    return found
-
-
-@F.pandas_udf("array<struct<key:string,value:string>>")
-def _walk(bodies: pd.Series) -> pd.Series:
-    return bodies.map(_file_values)
+def _walker():
+    """The body walk as a closure, so that tasks need no copy of this package."""
+    import json
+    import re
+
+    extension = re.compile(r"\.(pdf|jpg|jpeg|png)\Z", re.IGNORECASE)
+    index = re.compile(r"0|[1-9][0-9]{0,9}")
+
+    def is_file(v):
+        if len(v) <= 5:
+            return False
+        return bool(extension.search(v)) or "/storage/" in v or "/files/" in v or "upload" in v
+
+    def entries(node):
+        if isinstance(node, list):
+            return iter([(str(i), v) for i, v in enumerate(node)])
+        # Integer-like keys come first, in numeric order.
+        return iter(
+            sorted(
+                node.items(), key=lambda e: (0, int(e[0])) if index.fullmatch(e[0]) else (1, 0)
+            )
+        )
+
+    def links(body):
+        try:
+            root = json.loads(body) if body else None
+        except ValueError:
+            return None
+        found, stack = [], [entries(root)] if isinstance(root, (dict, list)) else []
+        while stack:
+            for key, value in stack[-1]:
+                if isinstance(value, str):
+                    if is_file(value):
+                        found.append({"key": key, "value": value})
+                elif isinstance(value, (dict, list)):
+                    stack.append(entries(value))
+                    break
+            else:
+                stack.pop()
+        return found
+
+    return lambda bodies: bodies.map(links)
 
 
 def file_links(body: Column) -> Column:
@@ -67,7 +71,8 @@ def file_links(body: Column) -> Column:
     Bodies of any depth are walked, which no column expression can; bodies that cannot
     hold a link are nulled in the JVM first, so they are not shipped to Python.
     """
-    return _walk(F.when(body.rlike(_MAYBE), body))
+    walk = F.pandas_udf(_walker(), _LINKS, F.PandasUDFType.SCALAR)
+    return walk(F.when(body.rlike(_MAYBE), body))
 
 
 def event_links(events: DataFrame, keep: list[str]) -> DataFrame:

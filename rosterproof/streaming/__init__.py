@@ -1 +1 @@
-
+"""Structured Streaming: incoming submissions and API events."""
