@@ -274,13 +274,17 @@ def _title_key(document: Column) -> Column:
     return F.substring(drop_blanks(F.coalesce(document, F.lit(""))), 1, TITLE_KEY_LENGTH)
 
 
-def item_verdicts(submissions: DataFrame, comparisons: DataFrame) -> DataFrame:
+def item_verdicts(
+    submissions: DataFrame, comparisons: DataFrame, hot: DataFrame | None = None
+) -> DataFrame:
     """Per checklist item: verified or pending, with the reason.
 
     An item is verified when a document whose label contains the start of the group's
     title brought a matching name, or a valid expiry date. Labels are reduced to their
     distinct forms first and tested against the handful of titles of the request's own
-    form, so what is exploded are hits, never item-comparison pairs.
+    form, so what is exploded are hits, never item-comparison pairs. ``hot`` gives the
+    requests with very many documents (``hot_keys`` of the document table); without it
+    the comparisons are computed a second time to count them.
     """
     evidence = (
         comparisons.where(F.col("match"))
@@ -305,7 +309,7 @@ def item_verdicts(submissions: DataFrame, comparisons: DataFrame) -> DataFrame:
         ).alias("__titles"),
     )
     hits = (
-        spread_join(evidence, titles, ["request_id"], "inner", ["__source"])
+        spread_join(evidence, titles, ["request_id"], "inner", ["__source"], hot)
         .select(
             "request_id",
             "__name",

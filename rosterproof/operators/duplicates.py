@@ -23,7 +23,7 @@ from rosterproof.operators.registry import (
     group_rows,
     with_keys,
 )
-from rosterproof.operators.skew import spread_join
+from rosterproof.operators.skew import hot_keys, spread_join
 from rosterproof.sources.sinks import write_reports
 
 TOP_DUPLICATES = 8
@@ -46,10 +46,20 @@ def _column(kind: str) -> str:
     return "n_" + kind.replace("+", "_")
 
 
+def _probes(requests: DataFrame, kinds: list[str], keep: list[str]) -> DataFrame:
+    return group_rows(requests, kinds, keep)
+
+
+def _hot_probes(requests: DataFrame) -> DataFrame:
+    """Groups that very many requests fall into; shared by both joins of a lookup."""
+    return hot_keys(_probes(requests, list(KINDS), []), GROUP_KEYS)
+
+
 def group_matches(requests: DataFrame, counts: DataFrame) -> DataFrame:
     """(request_id, group, n): the registry groups each request falls into."""
-    probes = group_rows(requests, list(KINDS), ["request_id"])
-    return spread_join(probes, counts, GROUP_KEYS, "inner", ["request_id"])
+    probes = _probes(requests, list(KINDS), ["request_id"])
+    hot = _hot_probes(requests)
+    return spread_join(probes, counts, GROUP_KEYS, "inner", ["request_id"], hot)
 
 
 @dataclass(frozen=True)
@@ -168,12 +178,13 @@ def lookup(
     ``owner_units``: struct(n, top), the first six other records of the owner.
     """
     counts = match_counts(requests, index, generic_at)
-    probes = group_rows(
+    probes = _probes(
         requests.withColumn("__my_code", F.col("code_key")),
         _LISTED,
         ["request_id", "hu_id", "__my_code"],
     )
-    near = spread_join(probes, index.firsts, GROUP_KEYS, "inner", ["request_id"]).where(
+    hot = _hot_probes(requests)
+    near = spread_join(probes, index.firsts, GROUP_KEYS, "inner", ["request_id"], hot).where(
         F.col("id") != F.col("hu_id")
     )
     why = (

@@ -9,52 +9,52 @@ from rosterproof.functions import fixed
 from rosterproof.functions.keys import first_given
 from rosterproof.operators.skew import spread_join
 
-STATUSES = ("pass", "fail", "warn")
-
 
 def _rule_count(status: str) -> Column:
-    return F.size(F.filter("rules", lambda r: r["status"] == status))
+    return F.size(F.filter("rules", lambda r: r["status"] == status)).cast("bigint")
 
 
-def request_summary(with_rules: DataFrame, comparisons: DataFrame | None = None) -> DataFrame:
-    """Counts, verdict and message per request over its rules and comparisons.
+def _comparison_counts(comparisons: DataFrame) -> DataFrame:
+    return comparisons.groupBy("request_id").agg(
+        F.count_if("match").alias("__ok"), F.count_if(~F.col("match")).alias("__bad")
+    )
 
-    Both inputs are reduced to counts before they meet. ``comparisons=None`` is the bulk
-    run, where documents were not read.
+
+def with_verdict(with_rules: DataFrame, comparisons: DataFrame | None = None) -> DataFrame:
+    """Add pass, fail, warn, total, verdict, doc_evidence and message to each request.
+
+    Rules are counted within the row; comparisons arrive as one counted row per request.
+    ``comparisons=None`` is the bulk run, where documents were not read.
     """
-    zero = F.lit(0)
-    rows = with_rules.select(
-        "request_id", *[_rule_count(s).alias(s) for s in STATUSES], zero.alias("evidence")
-    )
-    if comparisons is not None:
-        ok = F.col("match").cast("int")
-        rows = rows.unionByName(
-            comparisons.select(
-                "request_id",
-                ok.alias("pass"),
-                (1 - ok).alias("fail"),
-                zero.alias("warn"),
-                F.lit(1).alias("evidence"),
-            )
-        )
-    n = rows.groupBy("request_id").agg(*[F.sum(s).alias(s) for s in (*STATUSES, "evidence")])
-    fail, warn, evidence = F.col("fail"), F.col("warn"), F.col("evidence")
-    verdict = (
-        F.when(fail > 0, "fail").when((evidence == 0) | (warn > 0), "warn").otherwise("pass")
+    if comparisons is None:
+        rows, ok, bad = with_rules, F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
+    else:
+        rows = with_rules.join(_comparison_counts(comparisons), "request_id", "left")
+        ok, bad = F.coalesce("__ok", F.lit(0)), F.coalesce("__bad", F.lit(0))
+    rows = rows.withColumns(
+        {
+            "pass": _rule_count("pass") + ok,
+            "fail": _rule_count("fail") + bad,
+            "warn": _rule_count("warn"),
+            "doc_evidence": ok + bad,
+        }
     )
+    fail, warn, evidence = F.col("fail"), F.col("warn"), F.col("doc_evidence")
+    verdict = F.when(fail > 0, "fail").when((evidence == 0) | (warn > 0), "warn").otherwise("pass")
     message = (
         F.when(fail > 0, F.format_string(fixed.MESSAGE_FAIL, fail))
         .when(evidence == 0, fixed.MESSAGE_NO_EVIDENCE)
         .when(warn > 0, F.format_string(fixed.MESSAGE_WARN, warn))
         .otherwise(fixed.MESSAGE_PASS)
     )
-    return n.select(
-        "request_id",
-        *STATUSES,
-        (F.col("pass") + fail + warn).alias("total"),
-        verdict.alias("verdict"),
-        evidence.alias("doc_evidence"),
-        message.alias("message"),
+    total = F.col("pass") + fail + warn
+    return rows.withColumns({"total": total, "verdict": verdict, "message": message})
+
+
+def request_summary(with_rules: DataFrame, comparisons: DataFrame | None = None) -> DataFrame:
+    """Counts, verdict and message per request over its rules and comparisons."""
+    return with_verdict(with_rules, comparisons).select(
+        "request_id", "pass", "fail", "warn", "total", "verdict", "doc_evidence", "message"
     )
 
 
@@ -64,19 +64,21 @@ def unreadable_documents(docs: DataFrame) -> DataFrame:
 
 def deep_results(
     with_rules: DataFrame,
-    summary: DataFrame,
     strong_ids: DataFrame,
     docs: DataFrame | None = None,
+    comparisons: DataFrame | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """One row per checked request: verdict and the ordered list of flags.
 
     Failing rules come first, then warnings, then membership of a strong cluster of the
-    whole-registry sweep, then unreadable documents.
+    whole-registry sweep, then unreadable documents. ``hot`` names registry ids that very
+    many requests share, if known (see ``hot_keys``).
     """
     ids = strong_ids.select(F.col("id").alias("hu_id")).distinct()
     ids = ids.withColumn("__in_sweep", F.lit(True))
-    rows = spread_join(with_rules, ids, ["hu_id"], "left", ["request_id"])
-    rows = rows.join(summary.select("request_id", "verdict", "doc_evidence"), "request_id", "left")
+    judged = with_verdict(with_rules, comparisons)
+    rows = spread_join(judged, ids, ["hu_id"], "left", ["request_id"], hot)
     if docs is None:
         rows = rows.withColumn("unreadable", F.lit(0).cast("bigint"))
     else:
@@ -102,8 +104,8 @@ def deep_results(
         "input_order",
         F.coalesce(first_given(F.col("hcode")), F.lit("Unknown")).alias("hcode"),
         F.coalesce(first_given(F.col("health_unit_name")), F.lit("-")).alias("name"),
-        F.coalesce("verdict", F.lit("unknown")).alias("status"),
-        F.coalesce("doc_evidence", F.lit(0)).alias("doc_evidence"),
+        F.col("verdict").alias("status"),
+        "doc_evidence",
         flags.alias("flags"),
     )
 
@@ -156,13 +158,20 @@ def outcome_export(with_rules: DataFrame, comparisons: DataFrame, docs: DataFram
     def payload(**fields: Column) -> Column:
         return F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()])).alias("payload")
 
-    rules = with_rules.select("request_id", F.posexplode("rules").alias("ordinal", "r")).select(
-        "request_id",
-        F.lit("rule").alias("part"),
-        zero.alias("doc_ordinal"),
-        "ordinal",
-        payload(check=F.col("r.title"), result=F.col("r.status")),
+    def entry(part: str, ordinal: Column, body: Column) -> Column:
+        return F.struct(
+            F.lit(part).alias("part"),
+            zero.alias("doc_ordinal"),
+            ordinal.cast("int").alias("ordinal"),
+            body,
+        )
+
+    ruled = F.transform(
+        "rules",
+        lambda r, i: entry("rule", i, payload(check=r["title"], result=r["status"])),
     )
+    signal = F.array(entry("duplicates", zero, payload(signal=duplicate_signal())))
+    per_request = with_rules.select("request_id", F.inline(F.concat(ruled, signal)))
     compared = comparisons.select(
         "request_id",
         F.lit("comparison").alias("part"),
@@ -170,13 +179,6 @@ def outcome_export(with_rules: DataFrame, comparisons: DataFrame, docs: DataFram
         F.col("row").alias("ordinal"),
         payload(field=F.col("field"), result=F.when(F.col("match"), "MATCH").otherwise("MISMATCH")),
     )
-    signal = with_rules.select(
-        "request_id",
-        F.lit("duplicates").alias("part"),
-        zero.alias("doc_ordinal"),
-        zero.alias("ordinal"),
-        payload(signal=duplicate_signal()),
-    )
     read = docs.groupBy("request_id").agg(
         F.count_if(F.col("status") == "success").alias("read"), F.count(F.lit(1)).alias("total")
     )
@@ -187,4 +189,4 @@ def outcome_export(with_rules: DataFrame, comparisons: DataFrame, docs: DataFram
         zero.alias("ordinal"),
         payload(read=F.col("read"), total=F.col("total")),
     )
-    return rules.unionByName(compared).unionByName(signal).unionByName(documents)
+    return per_request.unionByName(compared).unionByName(documents)

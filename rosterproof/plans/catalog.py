@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rosterproof.functions import dates, extract, keys, text, urls
 from rosterproof.functions.names import add_name_similarity
 from rosterproof.operators import crossref, documents, duplicates, links, pages, registry, rules, summary
+from rosterproof.operators.skew import hot_keys
 from rosterproof.plans import standins
 from rosterproof.sources import tables
 from rosterproof.sources.api_events import event_links
@@ -72,6 +73,11 @@ def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crossref.compare(read(spark, sf_dir), standins.submissions(spark, sf_dir), as_of())
 
 
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hot = hot_keys(standins.documents(spark, sf_dir), ["request_id"])
+    return crossref.item_verdicts(standins.submissions(spark, sf_dir), compared(spark, sf_dir), hot)
+
+
 # --- registry ---------------------------------------------------------------------
 
 
@@ -384,12 +390,6 @@ def clean_names(spark, sf_dir):
     )
 
 
-_DATE_FORMS = [
-    lambda d: F.date_format(d, "yyyy-MM-dd"),
-    lambda d: F.date_format(d, "d/M/") + (F.year(d) + 543),
-]
-
-
 @query
 def thai_dates(spark, sf_dir):
     o = standins.table(spark, sf_dir, "orders")
@@ -528,15 +528,12 @@ def uncovered_items(spark, sf_dir):
 
 @query
 def item_verdicts(spark, sf_dir):
-    v = crossref.item_verdicts(standins.submissions(spark, sf_dir), compared(spark, sf_dir))
-    return v.drop("group_ordinal", "item_ordinal")
+    return verdicts(spark, sf_dir).drop("group_ordinal", "item_ordinal")
 
 
 @query
 def item_verdict_counts(spark, sf_dir):
-    return crossref.item_verdict_counts(
-        crossref.item_verdicts(standins.submissions(spark, sf_dir), compared(spark, sf_dir))
-    )
+    return crossref.item_verdict_counts(verdicts(spark, sf_dir))
 
 
 # --- deep check and reports ------------------------------------------------------------------
@@ -544,9 +541,11 @@ def item_verdict_counts(spark, sf_dir):
 
 def deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = checked(spark, sf_dir)
+    # Bulk run: documents are counted, not read.
     ids = registry.flagged_ids(standins.registry(spark, sf_dir)).where("severity = 'strong'")
     docs = standins.documents(spark, sf_dir)
-    return summary.deep_results(c, summary.request_summary(c), ids, docs)
+    hot = hot_keys(standins.submissions(spark, sf_dir), ["hu_id"])
+    return summary.deep_results(c, ids, docs, hot=hot)
 
 
 @query

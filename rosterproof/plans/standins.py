@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rosterproof.sources import schemas
+from rosterproof.sources.tables import spread_scan
 
 AS_OF = "1999-01-01 00:00:00"
 HOST = "https://registry.example"
@@ -346,4 +347,4 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(spark, sf_dir, DOCS_SQL)
+    return derive(spark, sf_dir, DOCS_SQL, orders=spread_scan(table(spark, sf_dir, "orders")))

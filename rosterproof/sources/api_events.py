@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,7 +63,10 @@ def _walker():
                 stack.pop()
         return found
 
-    return lambda bodies: bodies.map(links)
+    def walk(bodies: pd.Series) -> pd.Series:
+        return bodies.map(links)
+
+    return walk
 
 
 def file_links(body: Column) -> Column:
@@ -71,7 +75,7 @@ def file_links(body: Column) -> Column:
     Bodies of any depth are walked, which no column expression can; bodies that cannot
     hold a link are nulled in the JVM first, so they are not shipped to Python.
     """
-    walk = F.pandas_udf(_walker(), _LINKS, F.PandasUDFType.SCALAR)
+    walk = F.pandas_udf(_walker(), _LINKS)
     return walk(F.when(body.rlike(_MAYBE), body))
 
 
