@@ -39,7 +39,7 @@ def _text(v: Column | str) -> Column:
 
 def _join(*parts: Column | str) -> Column:
     """Concatenate, a missing part counting as ''."""
-    return F.concat(*[F.coalesce(_text(p), F.lit("")) for p in parts])
+    return F.concat_ws("", *[_text(p) for p in parts])
 
 
 def _lines(c: Column) -> Column:
