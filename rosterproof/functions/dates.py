@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterproof.functions import fixed
-from rosterproof.functions.text import alternation, ascii_digits, join_thai, trim_blanks
+from rosterproof.functions.text import alternation, ascii_digits, bind, join_thai, trim_blanks
 
 _W = f"{fixed.WS}*"
 _MONTHS = alternation(list(fixed.THAI_MONTHS))
@@ -51,8 +51,10 @@ def month_number(c: Column) -> Column:
 
 def parse_date(c: Column) -> Column:
     """Date in a short string. The first pattern found decides, valid or not."""
-    t = ascii_digits(join_thai(F.coalesce(c, F.lit(""))))
+    return bind(ascii_digits(join_thai(F.coalesce(c, F.lit("")))), _first_date)
 
+
+def _first_date(t: Column) -> Column:
     def group(pattern: str, i: int) -> Column:
         return F.regexp_extract(t, pattern, i)
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from rosterproof.functions.keys import check_digit_ok, digits_only
 from rosterproof.functions.text import (
     alternation,
     any_word,
+    bind,
     clean_facility_name,
     first_match,
     is_boilerplate,
@@ -20,6 +19,7 @@ from rosterproof.functions.text import (
     keep_unless_junk,
     squeeze_blanks,
     trim_blanks,
+    word_pattern,
 )
 
 _TITLED = f"(?:{'|'.join(fixed.THAI_TITLES)})"
@@ -27,7 +27,7 @@ _GAP = rf"[{fixed.BLANK}-]*"
 _GROUPED_ID = rf"[0-9]{_GAP}[0-9]{{4}}{_GAP}[0-9]{{5}}{_GAP}[0-9]{{2}}{_GAP}[0-9](?![0-9])"
 _BARE_ID = "(?<![0-9])([0-9]{13})(?![0-9])"
 _FACILITY_RUN = (
-    rf"({fixed.NOT_WS}{{0,30}}(?:{'|'.join(fixed.FACILITY_KINDS)})[^\n]{{0,40}})"
+    rf"({fixed.NOT_WS}{{0,30}}{word_pattern(fixed.FACILITY_KINDS)}[^\n]{{0,40}})"
 )
 
 
@@ -58,7 +58,11 @@ def extract_thai_id(text: Column) -> Column:
     )
     labelled = F.transform(lines, digits_only)
     found = F.filter(F.concat(grouped, bare, labelled), lambda d: F.length(d) == 13)
-    return F.coalesce(F.get(F.filter(found, check_digit_ok), F.lit(0)), F.get(found, F.lit(0)))
+
+    def first(ids: Column) -> Column:
+        return F.coalesce(F.get(F.filter(ids, check_digit_ok), F.lit(0)), F.get(ids, F.lit(0)))
+
+    return bind(found, first)
 
 
 def titled_person(text: Column) -> Column:
@@ -89,11 +93,15 @@ def labelled_facility(text: Column) -> Column:
 def scanned_facility(text: Column) -> Column:
     """First facility-like run that still names something once its kind is removed."""
     kinds = "|".join(fixed.FACILITY_KIND_WORDS)
-    runs = F.transform(
-        F.regexp_extract_all(text, F.lit(_FACILITY_RUN), F.lit(1)), clean_facility_name
+    # A run never leaves its line, so only lines with a kind word are searched.
+    lines = F.filter(F.split(text, "\n"), lambda line: any_word(line, fixed.FACILITY_KINDS))
+    runs = F.flatten(
+        F.transform(
+            lines, lambda line: F.regexp_extract_all(line, F.lit(_FACILITY_RUN), F.lit(1))
+        )
     )
     distinct = F.filter(
-        runs,
+        F.transform(runs, clean_facility_name),
         lambda v: ~is_junk(v) & (F.length(trim_blanks(F.regexp_replace(v, kinds, ""))) >= 3),
     )
     return F.get(distinct, F.lit(0))
@@ -120,15 +128,19 @@ def names_in_text(text: Column) -> Column:
     """First five distinct titled names; null when there is none."""
     pattern = rf"({_TITLED}{fixed.WS}*[{fixed.THAI}]+{fixed.WS}+[{fixed.THAI}]+)"
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    return F.slice(F.array_distinct(F.when(F.size(found) > 0, found)), 1, 5)
+    return bind(found, lambda a: F.slice(F.array_distinct(F.when(F.size(a) > 0, a)), 1, 5))
 
 
 def organisations_in_text(text: Column) -> Column:
     """First five distinct organisations, boilerplate out; null when none was seen."""
     pattern = rf"((?:{'|'.join(fixed.ORGANISATION_KINDS)}){fixed.WS}*{fixed.NOT_WS}+)"
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    kept = F.filter(F.array_distinct(F.when(F.size(found) > 0, found)), lambda o: ~is_boilerplate(o))
-    return F.slice(kept, 1, 5)
+
+    def kept(a: Column) -> Column:
+        seen = F.array_distinct(F.when(F.size(a) > 0, a))
+        return F.slice(F.filter(seen, lambda o: ~is_boilerplate(o)), 1, 5)
+
+    return bind(found, kept)
 
 
 def excerpt(text: Column) -> Column:
@@ -139,16 +151,15 @@ def excerpt(text: Column) -> Column:
 
 def guess_doc_type(text: Column) -> Column:
     """Document type by keywords; the first group that occurs decides."""
-    t = F.lower(F.coalesce(text, F.lit("")))
 
-    def has_any(words: list[str]) -> Column:
-        return reduce(lambda a, b: a | b, [t.contains(w) for w in words])
+    def by_words(t: Column) -> Column:
+        first, *rest = fixed.DOC_TYPE_WORDS
+        case = F.when(any_word(t, first[1]), first[0])
+        for doc_type, words in rest:
+            case = case.when(any_word(t, words), doc_type)
+        return case.otherwise("general")
 
-    first, *rest = fixed.DOC_TYPE_WORDS
-    case = F.when(has_any(first[1]), first[0])
-    for doc_type, words in rest:
-        case = case.when(has_any(words), doc_type)
-    return case.otherwise("general")
+    return bind(F.lower(F.coalesce(text, F.lit(""))), by_words)
 
 
 def extraction_route(mime: Column, url: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rosterproof.functions import fixed
-from rosterproof.functions.text import blank_to_null, trim_blanks
+from rosterproof.functions.text import bind, blank_to_null, trim_blanks
 
 CHECK_DIGIT_WEIGHTS = range(13, 1, -1)
 
@@ -95,17 +95,18 @@ def check_digit_ok(digits: Column) -> Column:
 
 
 def thai_id_valid(c: Column) -> Column:
-    return check_digit_ok(digits_only(F.coalesce(c, F.lit(""))))
+    return bind(digits_only(F.coalesce(c, F.lit(""))), check_digit_ok)
 
 
 def thai_id_reason(c: Column) -> Column:
-    d = digits_only(F.coalesce(c, F.lit("")))
-    return (
-        F.when(~given(c), "ไม่มีเลขบัตร")
-        .when(F.length(d) != 13, F.format_string("ต้อง 13 หลัก (พบ %d)", F.length(d)))
-        .when(check_digit_ok(d), "Checksum ถูกต้อง ")
-        .otherwise("Checksum ไม่ถูกต้อง ")
-    )
+    def reason(d: Column) -> Column:
+        return (
+            F.when(F.length(d) != 13, F.format_string("ต้อง 13 หลัก (พบ %d)", F.length(d)))
+            .when(check_digit_ok(d), "Checksum ถูกต้อง ")
+            .otherwise("Checksum ไม่ถูกต้อง ")
+        )
+
+    return F.when(~given(c), "ไม่มีเลขบัตร").otherwise(bind(digits_only(c), reason))
 
 
 def same_id(a: Column, b: Column) -> Column:

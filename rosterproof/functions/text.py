@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,14 +12,28 @@ from rosterproof.functions import fixed
 _EDGE_BLANKS = rf"^{fixed.WS}+|{fixed.WS}+\z"
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it.
+
+    Inside a CASE or OR a repeated expression is computed anew at each place.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def alternation(words: list[str]) -> str:
     """``a|b|c`` with the dots taken literally."""
     return "|".join(w.replace(".", r"\.") for w in words)
 
 
+def word_pattern(words: list[str]) -> str:
+    """Any of the words. Their first letters are tested first: most places fail there."""
+    initials = "".join(sorted({w[0] for w in words}))
+    return f"(?=[{initials}])(?:{alternation(words)})"
+
+
 def any_word(c: Column, words: list[str]) -> Column:
     """True when ``c`` contains one of the words."""
-    return c.rlike(alternation(words))
+    return c.rlike(word_pattern(words))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -75,23 +91,26 @@ def is_junk(
     c: Column, min_thai_ratio: float = 0.5, min_len: int = 4, max_len: int = 90
 ) -> Column:
     """True when a candidate value must be dropped rather than trusted."""
-    v = trim_blanks(F.coalesce(c, F.lit("")))
-    n = F.length(v)
-    junk = (
-        (n < min_len)
-        | (n > max_len)
-        | v.rlike(r'[=|><"\\]')
-        | is_boilerplate(v)
-        | v.isin(fixed.GENERIC_TERMS)
-    )
-    if min_thai_ratio > 0:
-        thai = n - F.length(F.regexp_replace(v, f"[{fixed.THAI}]", ""))
-        junk = junk | (thai < F.lit(float(min_thai_ratio)) * n)
-    return junk
+
+    def test(v: Column) -> Column:
+        n = F.length(v)
+        junk = (
+            (n < min_len)
+            | (n > max_len)
+            | v.rlike(r'[=|><"\\]')
+            | is_boilerplate(v)
+            | v.isin(fixed.GENERIC_TERMS)
+        )
+        if min_thai_ratio > 0:
+            thai = n - F.length(F.regexp_replace(v, f"[{fixed.THAI}]", ""))
+            junk = junk | (thai < F.lit(float(min_thai_ratio)) * n)
+        return junk
+
+    return bind(trim_blanks(F.coalesce(c, F.lit(""))), test)
 
 
 def keep_unless_junk(c: Column, **opts) -> Column:
-    return F.when(~is_junk(c, **opts), c)
+    return bind(c, lambda v: F.when(~is_junk(v, **opts), v))
 
 
 def clean_facility_name(c: Column) -> Column:

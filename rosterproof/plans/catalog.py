@@ -689,14 +689,14 @@ def json_file_links(spark, sf_dir):
 
 @query
 def model_response_parse(spark, sf_dir):
-    r = parse_replies(standins.derive(spark, sf_dir, standins.REPLIES_SQL))
+    r = parse_replies(standins.replies(spark, sf_dir))
     return r.drop("text", "url")
 
 
 @query
 def field_merge(spark, sf_dir):
     """Model values over parser values, document by document."""
-    replies = parse_replies(standins.derive(spark, sf_dir, standins.REPLIES_SQL))
+    replies = parse_replies(standins.replies(spark, sf_dir))
     docs = standins.documents(spark, sf_dir).withColumns(
         {"request_id": F.col("k").cast("string"), "url": F.concat(F.lit("/files/"), F.col("k").cast("string"))}
     )

@@ -227,8 +227,8 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def big_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per order: the larger registry used for timing."""
-    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    return derive_big(o, c)
+    orders = spread_scan(table(spark, sf_dir, "orders"))
+    return derive_big(orders, table(spark, sf_dir, "customer"))
 
 
 def derive_big(orders: DataFrame, customer: DataFrame) -> DataFrame:
@@ -348,3 +348,7 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(spark, sf_dir, DOCS_SQL, orders=spread_scan(table(spark, sf_dir, "orders")))
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive(spark, sf_dir, REPLIES_SQL, orders=spread_scan(table(spark, sf_dir, "orders")))

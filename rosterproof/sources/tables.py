@@ -61,8 +61,8 @@ def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet"
 def spread_scan(scan: DataFrame) -> DataFrame:
     """A scan over all cores even where it has fewer file splits than the cluster cores.
 
-    For the document table only, whose rows are expensive. A table of many files is left
-    as it is, so nothing is shuffled at scale.
+    For tables whose rows are expensive. A table of many files is left as it is, so
+    nothing is shuffled at scale.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
@@ -77,7 +77,7 @@ def read_doc_texts(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
 
 
 def read_model_responses(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return read_table(spark, path, schemas.MODEL_RESPONSES, fmt)
+    return spread_scan(read_table(spark, path, schemas.MODEL_RESPONSES, fmt))
 
 
 def encode_payload(data: Column) -> Column:
