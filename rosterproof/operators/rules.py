@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterproof.functions import fixed
+from rosterproof.functions import rule_texts as T
 from rosterproof.functions.keys import (
     code_format_status,
     email_status,
@@ -26,24 +27,24 @@ from rosterproof.functions.text import trim_blanks
 from rosterproof.operators.duplicates import TOP_DUPLICATES, TOP_OWNER_UNITS
 from rosterproof.operators.registry import OWNER_LIMIT
 
-# The rules that decide which checklist items can be checked automatically.
-AUTO_ITEM = rf"(?i)ตรงกับ{fixed.WS}*LOI|ไม่หมดอายุ"
-NO_CODE = "ไม่มีรหัส"
-
-_NL = "\n"
+_AUTO_ITEM = "|".join(T.AUTO_ITEM_PATTERNS).replace(r"\s", fixed.WS)
 
 
 def _text(v: Column | str) -> Column:
     return F.lit(v) if isinstance(v, str) else v
 
 
-def _join(*parts: Column | str) -> Column:
-    """Concatenate, a missing part counting as ''."""
-    return F.concat_ws("", *[_text(p) for p in parts])
+def _fill(template: str, *values: Column) -> Column:
+    """Template with its ``%s`` replaced in turn; a missing value counts as ''."""
+    texts = template.split("%s")
+    parts: list[Column] = [F.lit(texts[0])]
+    for value, text in zip(values, texts[1:]):
+        parts += [value.cast("string"), F.lit(text)]
+    return F.concat_ws("", *parts)
 
 
 def _lines(c: Column) -> Column:
-    return F.array_join(c, _NL)
+    return F.array_join(c, "\n")
 
 
 def _rule(rule_id: str, status, title, detail, category: str, when: Column | None = None) -> Column:
@@ -61,12 +62,14 @@ def presence_status(c: Column, missing: str = "fail") -> Column:
     return F.when(has_text(c), "pass").otherwise(missing)
 
 
-def _present(rule_id, value: Column, title, found, absent, missing: str = "fail") -> Column:
+def _present(texts: dict, rule_id: str, value: Column, note: Column | None = None) -> Column:
+    title, found, absent, missing = texts[rule_id]
+    detail = _fill(found, value) if note is None else F.concat(_fill(found, value), note)
     return _rule(
         rule_id,
         presence_status(value, missing),
         title,
-        F.when(has_text(value), found).otherwise(absent),
+        F.when(has_text(value), detail).otherwise(absent),
         "basic",
     )
 
@@ -78,21 +81,21 @@ def _size(c: Column) -> Column:
 def _hcode_format(code: Column) -> Column:
     c = trim_blanks(code)
     detail = (
-        F.when(c.rlike(r"\A[A-Za-z]+\z"), _join(c, " ไม่มีตัวเลข น่าจะเป็นข้อมูลทดสอบ"))
-        .when(c.rlike(r"\A(?i:TEST)"), _join(c, " ขึ้นต้นด้วย TEST น่าจะเป็นข้อมูลทดสอบ"))
-        .when(c.rlike(r"\A[A-Za-z0-9]{9}\z"), _join(c, " รูปแบบมาตรฐาน 9 หลัก"))
-        .otherwise(_join(c, " ยาว ", F.length(c).cast("string"), " หลัก ไม่ใช่ 9 หลักมาตรฐาน"))
+        F.when(c.rlike(r"\A[A-Za-z]+\z"), _fill(T.HCODE_NO_DIGIT, c))
+        .when(c.rlike(r"\A(?i:TEST)"), _fill(T.HCODE_TEST, c))
+        .when(c.rlike(r"\A[A-Za-z0-9]{9}\z"), _fill(T.HCODE_STANDARD, c))
+        .otherwise(_fill(T.HCODE_OTHER, c, F.length(c)))
     )
     status = code_format_status(code)
-    return _rule("hcode-format", status, "รูปแบบ HCode", detail, "format", given(code))
+    return _rule("hcode-format", status, T.HCODE_TITLE, detail, "format", given(code))
 
 
 def _email(rule_id: str, c: Column, title: str) -> Column:
     status = email_status(c)
     detail = (
-        F.when(~given(c), "ไม่พบอีเมล")
-        .when(status == "pass", _join(c, " "))
-        .otherwise(_join(c, ": รูปแบบไม่ถูกต้อง"))
+        F.when(~given(c), T.EMAIL_MISSING)
+        .when(status == "pass", _fill(T.EMAIL_OK, c))
+        .otherwise(_fill(T.EMAIL_BAD, c))
     )
     # A missing address is a completeness finding, a present one a format finding.
     r = _rule(rule_id, status, title, detail, "format")
@@ -101,29 +104,28 @@ def _email(rule_id: str, c: Column, title: str) -> Column:
 
 def _thai_id(rule_id: str, c: Column, title: str) -> Column:
     status = F.when(~given(c), "warn").when(thai_id_valid(c), "pass").otherwise("fail")
-    detail = F.when(~given(c), "ไม่พบเลขบัตร").otherwise(_join(c, ": ", thai_id_reason(c)))
+    detail = F.when(~given(c), T.ID_MISSING).otherwise(_fill(T.ID_DETAIL, c, thai_id_reason(c)))
     return _rule(rule_id, status, title, detail, "identity")
 
 
 def _cross_names(authority: Column, admin: Column, similarity: Column) -> Column:
-    percent = F.round(similarity["score"] * 100).cast("int").cast("string")
+    percent = F.round(similarity["score"] * 100).cast("int")
     both = given(authority) & given(admin)
-    title = F.when(both, "ผู้มีอำนาจ vs HA").otherwise("เปรียบเทียบชื่อ")
+    title = F.when(both, T.NAMES_TITLE).otherwise(T.NAMES_TITLE_INCOMPLETE)
     detail = (
-        F.when(~both, "มีข้อมูลชื่อไม่ครบ ไม่สามารถเปรียบเทียบ")
-        .when(similarity["match"], _join("เป็นคนเดียวกัน (", percent, "%): ", authority))
-        .otherwise(_join("คนละคน:\nผู้มีอำนาจ: ", authority, "\nHA: ", admin))
+        F.when(~both, T.NAMES_INCOMPLETE)
+        .when(similarity["match"], _fill(T.NAMES_SAME, percent, authority))
+        .otherwise(_fill(T.NAMES_DIFFERENT, authority, admin))
     )
     return _rule("cross-names", "info", title, detail, "cross", given(authority) | given(admin))
 
 
 def _more(n: Column, shown: int) -> Column:
-    left = _join("\n… อีก ", (n - shown).cast("string"), " รายการ")
-    return F.when(n > shown, left).otherwise("")
+    return F.when(n > shown, _fill(T.MORE, n - shown))
 
 
 def _code_or(c: Column) -> Column:
-    return F.coalesce(first_given(c), F.lit(NO_CODE))
+    return F.coalesce(first_given(c), F.lit(T.NO_CODE))
 
 
 def _duplicate_unit() -> Column:
@@ -132,12 +134,11 @@ def _duplicate_unit() -> Column:
     listed = _lines(
         F.transform(
             d["top"],
-            lambda r: _join(
-                " [", r["why"], "] ", r["name"], " (", _code_or(r["code"]), "): id ", r["id"],
-                ", ", r["status"],
+            lambda r: _fill(
+                T.DUP_RECORD, r["why"], r["name"], _code_or(r["code"]), r["id"], r["status"]
             ),
         )
-    )
+    )
     status = (
         F.when(d.isNull(), "info")
         .when(strong > 0, "fail")
@@ -145,59 +146,47 @@ def _duplicate_unit() -> Column:
         .otherwise("pass")
     )
     title = (
-        F.when(strong > 0, _join("สถานพยาบาลซ้ำ (", strong.cast("string"), ")"))
-        .when(weak > 0, _join("ชื่อคล้ายกัน (", weak.cast("string"), ")"))
-        .otherwise("ตรวจสอบสถานพยาบาลซ้ำ")
+        F.when(strong > 0, _fill(T.DUP_TITLE_STRONG, strong))
+        .when(weak > 0, _fill(T.DUP_TITLE_WEAK, weak))
+        .otherwise(T.DUP_TITLE)
     )
     detail = (
-        F.when(d.isNull(), "ดึงรายชื่อหน่วยบริการไม่สำเร็จ: ยังไม่ได้ตรวจ")
-        .when(
-            strong > 0,
-            _join(" พบรายการซ้ำชัดเจน\n", listed, _more(strong, TOP_DUPLICATES)),
-        )
-        .when(
-            weak > 0,
-            _join(
-                " ชื่อตรงกันแต่คนละเจ้าของ/รหัส: ควรตรวจด้วยตนเอง\n",
-                listed,
-                _more(weak, TOP_DUPLICATES),
-            ),
-        )
-        .when(d["generic"], 'ชื่อหน่วยบริการเป็นชื่อทั่วไป (เช่น "เอกชน"): ตรวจซ้ำด้วยชื่อไม่ได้')
-        .otherwise(_join(" ไม่พบซ้ำ (เทียบกับ ", F.format_number(d["checked"], 0), " รายการ)"))
+        F.when(d.isNull(), T.DUP_NOT_CHECKED)
+        .when(strong > 0, _fill(T.DUP_STRONG, listed, _more(strong, TOP_DUPLICATES)))
+        .when(weak > 0, _fill(T.DUP_WEAK, listed, _more(weak, TOP_DUPLICATES)))
+        .when(d["generic"], T.DUP_GENERIC)
+        .otherwise(_fill(T.DUP_NONE, F.format_number(d["checked"], 0)))
     )
     return _rule("duplicate-unit", status, title, detail, "basic")
 
 
 def _doc_links(docs: Column) -> Column:
     n = _size(docs)
-    names = F.transform(docs, lambda x: _join(" ", first_given(x["text"], x["url"])))
+    names = F.transform(docs, lambda x: _fill(" %s", first_given(x["text"], x["url"])))
     return _rule(
         "doc-links",
         F.when(n > 0, "pass").otherwise("warn"),
-        _join("เอกสารที่พบ (", n.cast("string"), " ไฟล์)"),
-        F.when(n > 0, _lines(names)).otherwise('ไม่พบลิงก์เอกสาร: อาจต้องคลิก "ตรวจเอกสาร"'),
+        _fill(T.DOCS_TITLE, n),
+        F.when(n > 0, _lines(names)).otherwise(T.DOCS_NONE),
         "document",
     )
 
 
 def _agreements(a: Column) -> Column:
-    def entry(title: str, field: str) -> Column:
-        return F.struct(F.lit(title).alias("title"), a[field].alias("accepted"))
-
     required = F.array(
-        entry("Service Agreement", "service_agreement"),
-        entry("Data Processing Addendum", "data_processing"),
-        entry("Data Sharing Addendum", "data_sharing"),
-        entry("ยอมรับเงื่อนไขการให้บริการ", "terms_accepted"),
+        *[
+            F.struct(F.lit(title).alias("title"), a[field].alias("accepted"))
+            for field, title in T.AGREEMENTS.items()
+        ]
     )
     known = F.filter(required, lambda x: x["accepted"].isNotNull())
     n, accepted = F.size(known), F.size(F.filter(known, lambda x: x["accepted"]))
     status = F.when(n == 0, "info").when(accepted < n, "fail").otherwise("pass")
-    count = _join(" (", accepted.cast("string"), "/", n.cast("string"), ")")
-    title = _join("การยอมรับข้อตกลง", F.when(n > 0, count))
-    detail = F.when(n == 0, "ไม่พบช่องยอมรับข้อตกลงในหน้านี้").otherwise(
-        _lines(F.transform(known, lambda x: _join(" ", x["title"])))
+    title = F.when(n == 0, T.AGREEMENTS_TITLE).otherwise(
+        _fill(T.AGREEMENTS_TITLE_COUNT, accepted, n)
+    )
+    detail = F.when(n == 0, T.AGREEMENTS_NONE).otherwise(
+        _lines(F.transform(known, lambda x: _fill(" %s", x["title"])))
     )
     return _rule("agreements", status, title, detail, "agreement", a.isNotNull())
 
@@ -205,14 +194,11 @@ def _agreements(a: Column) -> Column:
 def _doc_coverage(groups: Column, docs: Column) -> Column:
     need, have = _size(groups), _size(docs)
     short = need > have
-    need_s, have_s = need.cast("string"), have.cast("string")
     return _rule(
         "doc-coverage",
         F.when(short, "fail").otherwise("pass"),
-        _join("เอกสารครบตามรายการ (", F.least(need, have).cast("string"), "/", need_s, ")"),
-        F.when(short, _join(" ต้องมีเอกสาร ", need_s, " ฉบับ แต่พบ ", have_s, " ฉบับ")).otherwise(
-            _join(" พบเอกสารครบ ", have_s, " ฉบับตามรายการตรวจ")
-        ),
+        _fill(T.COVERAGE_TITLE, F.least(need, have), need),
+        F.when(short, _fill(T.COVERAGE_SHORT, need, have)).otherwise(_fill(T.COVERAGE_OK, have)),
         "document",
         need > 0,
     )
@@ -224,18 +210,14 @@ def _owner_footprint() -> Column:
     listed = _lines(
         F.transform(
             o["top"],
-            lambda r: _join(" ", r["name"], " (", _code_or(r["code"]), "): ", r["status"]),
+            lambda r: _fill(T.OWNER_RECORD, r["name"], _code_or(r["code"]), r["status"]),
         )
     )
     return _rule(
         "owner-footprint",
         F.when(n == 0, "pass").when(n >= OWNER_LIMIT, "warn").otherwise("info"),
-        F.when(n == 0, "เจ้าของยื่นคำร้องอื่น").otherwise(
-            _join("เจ้าของมีคำร้องอื่น (", n.cast("string"), ")")
-        ),
-        F.when(n == 0, " ไม่พบคำร้องอื่นของเจ้าของรายนี้").otherwise(
-            _join(listed, _more(n, TOP_OWNER_UNITS))
-        ),
+        F.when(n == 0, T.OWNER_TITLE_NONE).otherwise(_fill(T.OWNER_TITLE, n)),
+        F.when(n == 0, T.OWNER_NONE).otherwise(F.concat_ws("", listed, _more(n, TOP_OWNER_UNITS))),
         "cross",
         o.isNotNull(),
     )
@@ -250,30 +232,28 @@ def automatable_items(groups: Column) -> Column:
     """Number of items an automatic rule can decide."""
 
     def auto(g: Column) -> Column:
-        return _size(F.filter(g["items"], lambda i: i["label"].rlike(AUTO_ITEM)))
+        return _size(F.filter(g["items"], lambda i: i["label"].rlike(_AUTO_ITEM)))
 
     return F.aggregate(groups, F.lit(0), lambda n, g: n + auto(g))
 
 
 def _adaptive_checklist(groups: Column) -> Column:
-    total = checklist_size(groups).cast("string")
+    total = checklist_size(groups)
 
     def item(i: Column) -> Column:
-        auto = F.when(i["label"].rlike(AUTO_ITEM), "(ตรวจอัตโนมัติได้ถ้า OCR อ่านออก)")
-        return _join("   ", i["label"], " ", auto.otherwise("(ต้องตรวจเอง)"))
+        auto = F.when(i["label"].rlike(_AUTO_ITEM), T.ADAPTIVE_AUTO).otherwise(T.ADAPTIVE_MANUAL)
+        return _fill(T.ADAPTIVE_ITEM, i["label"], auto)
 
     def group(g: Column) -> Column:
-        head = F.coalesce(first_given(g["document"]), _join("เอกสาร ", g["group_id"]))
-        return _join(head, _NL, _lines(F.transform(g["items"], item)))
+        head = F.coalesce(first_given(g["document"]), _fill(T.ADAPTIVE_GROUP, g["group_id"]))
+        return _fill("%s\n%s", head, _lines(F.transform(g["items"], item)))
 
-    count = _join(automatable_items(groups).cast("string"), "/", total)
+    lines = _lines(F.transform(groups, group))
     return _rule(
         "adaptive-checklist",
         "info",
-        _join(
-            "รายการตรวจของคำร้องนี้ (", _size(groups).cast("string"), " เอกสาร / ", total, " ข้อ)"
-        ),
-        _join(_lines(F.transform(groups, group)), "\n\nตรวจอัตโนมัติได้สูงสุด ", count, " ข้อ"),
+        _fill(T.ADAPTIVE_TITLE, _size(groups), total),
+        _fill(T.ADAPTIVE_TOTAL, lines, automatable_items(groups), total),
         "checklist",
         _size(groups) > 0,
     )
@@ -282,17 +262,11 @@ def _adaptive_checklist(groups: Column) -> Column:
 def _checklist_panel(items: Column) -> Column:
     panel = F.filter(items, lambda i: F.coalesce(i["from_panel"], F.lit(False)))
     n, ticked = _size(panel), _size(F.filter(panel, lambda i: i["checked"]))
-    counts = _join("(", ticked.cast("string"), "/", n.cast("string"), ")")
-    left = _join(
-        "ยังไม่ได้ติ๊ก ",
-        (n - ticked).cast("string"),
-        ' ข้อ (ดูรายละเอียดในการ์ด "รายการตรวจของคำร้องนี้")',
-    )
     return _rule(
         "checklist-panel",
         F.when(ticked == n, "pass").otherwise("warn"),
-        _join("ความคืบหน้า Checklist ", counts),
-        F.when(ticked == n, "ติ๊กครบทุกข้อแล้ว").otherwise(left),
+        _fill(T.PANEL_TITLE, ticked, n),
+        F.when(ticked == n, T.PANEL_DONE).otherwise(_fill(T.PANEL_LEFT, n - ticked)),
         "checklist",
         n > 0,
     )
@@ -301,19 +275,15 @@ def _checklist_panel(items: Column) -> Column:
 def panel_items(items: Column) -> Column:
     """Checkbox items of a page that count as checklist items."""
     return F.filter(
-        items, lambda i: (F.length(i["name"]) > 5) & ~i["name"].contains("เลือก")
+        items, lambda i: (F.length(i["name"]) > 5) & ~i["name"].contains(T.PANEL_SELECT_WORD)
     )
 
 
-def _yes_no(rule_id: str, value: Column, title: str, yes: str, no: str, category: str) -> Column:
+def _yes_no(rule_id: str, value: Column, category: str) -> Column:
+    title, yes, no = T.MODAL_YES_NO[rule_id]
     ok = F.coalesce(value, F.lit(False))
-    return _rule(
-        rule_id,
-        F.when(ok, "pass").otherwise("fail"),
-        title,
-        F.when(ok, yes).otherwise(no),
-        category,
-    )
+    status = F.when(ok, "pass").otherwise("fail")
+    return _rule(rule_id, status, title, F.when(ok, yes).otherwise(no), category)
 
 
 def checklist_rules() -> list[Column]:
@@ -322,78 +292,27 @@ def checklist_rules() -> list[Column]:
     hcode = first_given(c("hcode"), c("health_unit_hcode"))
     postal, phone = c("postal_code"), c("phone")
     authority, admin = c("authority_info"), c("admin_info")
-    phone_note = F.when(phone_format_ok(phone), " ").otherwise(": รูปแบบไม่ปกติ")
-    postal_note = F.when(postal_format_ok(postal), "").otherwise(": รูปแบบไม่ถูกต้อง")
+    phone_note = F.when(phone_format_ok(phone), T.PHONE_OK).otherwise(T.PHONE_BAD)
+    postal_note = F.when(postal_format_ok(postal), "").otherwise(T.POSTAL_BAD)
+
+    def present(rule_id: str, value: Column, note: Column | None = None) -> Column:
+        return _present(T.CHECKLIST_PRESENCE, rule_id, value, note)
+
     return [
-        _present(
-            "hcode-present",
-            hcode,
-            "มีรหัสหน่วยบริการ (HCode)",
-            _join("รหัส: ", hcode),
-            "ไม่พบรหัสหน่วยบริการ",
-        ),
+        present("hcode-present", hcode),
         _hcode_format(hcode),
-        _present(
-            "unit-name",
-            c("health_unit_name"),
-            "ชื่อหน่วยบริการ",
-            _join("ชื่อ: ", c("health_unit_name")),
-            "ไม่พบชื่อหน่วยบริการ",
-        ),
-        _present(
-            "unit-type",
-            c("health_unit_type"),
-            "ประเภทหน่วยบริการ",
-            _join("ประเภท: ", c("health_unit_type")),
-            "ไม่พบประเภทหน่วยบริการ",
-        ),
-        _present(
-            "address", c("address"), "ที่อยู่", _join("ที่อยู่: ", c("address")), "ไม่พบที่อยู่", "warn"
-        ),
-        _present(
-            "province", c("province"), "จังหวัด", _join("จังหวัด: ", c("province")), "ไม่พบจังหวัด", "warn"
-        ),
-        _present(
-            "postal-code",
-            postal,
-            "รหัสไปรษณีย์",
-            _join("รหัสไปรษณีย์: ", postal, postal_note),
-            "ไม่พบรหัสไปรษณีย์",
-            "warn",
-        ),
-        _present(
-            "phone",
-            phone,
-            "เบอร์โทรศัพท์",
-            _join("เบอร์: ", phone, phone_note),
-            "ไม่พบเบอร์โทรศัพท์",
-            "warn",
-        ),
-        _email("email", c("email"), "อีเมลหน่วยงาน"),
-        _present(
-            "authority-name",
-            authority["name"],
-            "ชื่อผู้มีอำนาจ",
-            _join("ชื่อ: ", authority["name"]),
-            "ไม่พบชื่อผู้มีอำนาจ",
-        ),
-        _thai_id("authority-id", authority["id_number"], "เลขบัตร ปชช. ผู้มีอำนาจ"),
-        _present(
-            "authority-id-doc",
-            authority["id_doc_url"],
-            "เอกสารสำเนาบัตรผู้มีอำนาจ",
-            F.lit("พบลิงก์เอกสาร "),
-            "ไม่พบลิงก์เอกสารสำเนาบัตร",
-        ),
-        _present(
-            "admin-name",
-            admin["name"],
-            "ชื่อ Hospital Admin (HA)",
-            _join("ชื่อ: ", admin["name"]),
-            "ไม่พบชื่อ HA",
-            "warn",
-        ),
-        _thai_id("admin-id", admin["id_number"], "เลขบัตร ปชช. HA"),
+        present("unit-name", c("health_unit_name")),
+        present("unit-type", c("health_unit_type")),
+        present("address", c("address")),
+        present("province", c("province")),
+        present("postal-code", postal, postal_note),
+        present("phone", phone, phone_note),
+        _email("email", c("email"), T.EMAIL_TITLE),
+        present("authority-name", authority["name"]),
+        _thai_id("authority-id", authority["id_number"], T.ID_TITLE_AUTHORITY),
+        present("authority-id-doc", authority["id_doc_url"]),
+        present("admin-name", admin["name"]),
+        _thai_id("admin-id", admin["id_number"], T.ID_TITLE_ADMIN),
         _cross_names(authority["name"], admin["name"], c("__persons")),
         _duplicate_unit(),
         _doc_links(c("documents")),
@@ -409,35 +328,21 @@ def modal_rules() -> list[Column]:
     """The rules of a modal submission, in order."""
     c = F.col
     authority, admin, agreed = c("authority_info"), c("admin_info"), c("agreements")
-    no = "ยังไม่ยอมรับ"
+
+    def present(rule_id: str, value: Column) -> Column:
+        return _present(T.MODAL_PRESENCE, rule_id, value)
+
     return [
-        _present(
-            "hcode-present", c("hcode"), "มีรหัสหน่วยบริการ", _join("รหัส: ", c("hcode")), "ไม่พบ HCode"
-        ),
-        _present(
-            "unit-name", c("health_unit_name"), "ชื่อหน่วยบริการ", c("health_unit_name"), "ไม่พบชื่อ"
-        ),
+        present("hcode-present", c("hcode")),
+        present("unit-name", c("health_unit_name")),
         _duplicate_unit(),
-        _present("admin-name", admin["name"], "ชื่อ Admin", admin["name"], "ไม่พบ", "warn"),
-        _email("admin-email", admin["email"], "อีเมล Admin"),
-        _present(
-            "authority-name", authority["name"], "ชื่อผู้มีอำนาจ", authority["name"], "ไม่พบ", "warn"
-        ),
-        _yes_no(
-            "thai-id-verify",
-            authority["verified"],
-            "ยืนยัน ThaiID",
-            "ยืนยันแล้ว",
-            "ยังไม่ยืนยัน",
-            "identity",
-        ),
-        _yes_no(
-            "svc-agree", agreed["service_agreement"], "Service Agreement", "", no, "agreement"
-        ),
-        _yes_no(
-            "dp-agree", agreed["data_processing"], "Data Processing Addendum", "", no, "agreement"
-        ),
-        _yes_no("ds-agree", agreed["data_sharing"], "Data Sharing Addendum", "", no, "agreement"),
+        present("admin-name", admin["name"]),
+        _email("admin-email", admin["email"], T.EMAIL_TITLE_ADMIN),
+        present("authority-name", authority["name"]),
+        _yes_no("thai-id-verify", authority["verified"], "identity"),
+        _yes_no("svc-agree", agreed["service_agreement"], "agreement"),
+        _yes_no("dp-agree", agreed["data_processing"], "agreement"),
+        _yes_no("ds-agree", agreed["data_sharing"], "agreement"),
         _doc_links(c("documents")),
     ]
 

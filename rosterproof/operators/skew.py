@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 # At most this many keys are ever treated as hot: the broadcast side is a fixed-width
 # (bigint, int) table, so this is also its size bound (about 1 MB).
 MAX_HOT_KEYS = 65_536
-# A key is hot from this many rows on, and is cut into slices of about as many rows.
+# A key is hot from this many rows on, and is cut into slices of about as many rows, so
+# all slices together are at most rows / HOT_ROWS + MAX_HOT_KEYS.
 HOT_ROWS = 250_000
-MAX_SLICES = 4_096
+MAX_SLICES = 1 << 20
 
 
 def hot_keys(rows: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame:

@@ -6,8 +6,8 @@ one SELECT per rule), which need not be how the Spark job gets there.
 
 from __future__ import annotations
 
-from rosterproof.functions import fixed
-from rosterproof.operators import crossref, pages, rules
+from rosterproof.functions import fixed, rule_texts
+from rosterproof.operators import crossref, pages
 from rosterproof.plans import standins
 from rosterproof.sources import model_replies
 
@@ -872,7 +872,7 @@ def _fill(rule: str, source: str) -> str:
 
 
 def _or_no_code(c: str) -> str:
-    return f"coalesce(nullif({c}, ''), '{rules.NO_CODE}')"
+    return f"coalesce(nullif({c}, ''), '{rule_texts.NO_CODE}')"
 
 
 _SIM_SRC = "nsrc as (select request_id, authority_name a, admin_name b from s)"

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rosterproof.operators import crossref, documents
+from rosterproof.operators import crossref, documents, skew
 from rosterproof.sources import schemas
 
 SP7 = (
@@ -173,3 +173,17 @@ def test_items_and_counts(spark, docs):
     assert n.first().asDict() == {
         "request_id": "r", "matched": 4, "mismatched": 0, "manual": 0, "documents_read": 1, "documents_total": 2,
     }
+
+
+def test_hot_requests_change_nothing(spark, docs, monkeypatch):
+    """With the request treated as hot, its documents are sliced; results stay the same."""
+    rows = [("r", f"/{i}", "สพ.7 ใบ" if i % 2 else "บัตร", SP7 if i % 2 else CARD, "success") for i in range(12)]
+
+    def results():
+        form, c = compare(spark, docs, rows)
+        hot = skew.hot_keys(docs(rows), ["request_id"])
+        return [sorted(map(str, df.collect())) for df in (c, crossref.item_verdicts(form, c, hot), crossref.item_verdicts(form, c))]
+
+    plain = results()
+    monkeypatch.setattr(skew, "HOT_ROWS", 2)
+    assert results() == plain
