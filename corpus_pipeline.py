@@ -13,8 +13,8 @@ from rosterproof.llm import decontaminate, exact_dedup, packing, simhash, toxici
 from rosterproof.llm.common import staged
 from rosterproof.llm.sample import is_held_out
 
-#: Near copies share most of their five-word shingles.
-SHINGLE_WORDS = 5
+#: Near copies are this similar by their shingles of so many words.
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_copies(docs, SHINGLE_WORDS)
+    return simhash.drop_near_copies(docs, SHINGLE_WORDS, SIMILARITY)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -127,8 +127,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         low = edges.groupBy("a").agg(F.min("b").alias("m"))
         out = (
             edges.join(low, "a")
-            .select(F.explode(F.array(F.struct("b", "m"), F.struct("a", "m"))).alias("e"))
-            .select(F.col("e.b").alias("a"), F.col("e.m").alias("b"))
+            .select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
         )
     return out.where("a <> b").distinct()
 

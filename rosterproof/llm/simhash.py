@@ -10,6 +10,9 @@ stored as planes of 64 lanes a word, the differing bits of many lanes are added
 in carry-save counters (ones, twos, over), and words whose lanes all exceed the radius are
 abandoned. Links become components by star rounds.
 
+``similar_groups`` uses the same comparison with longer fingerprints to link texts by the
+similarity of their shingles, for a corpus whose near copies differ in more bits.
+
 Cases: a null or blank text has fingerprint 0 and links like any other; a text of fewer
 words than a shingle is one shingle; copies share a fingerprint, which is compared once; a
 null doc_id is ignored as component_id as long as another id is reachable.
@@ -18,6 +21,7 @@ null doc_id is ignored as component_id as long as another id is reachable.
 from __future__ import annotations
 
 from itertools import combinations
+from math import acos, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,10 @@ from rosterproof.llm.common import (
 
 RADIUS = 2
 BLOCKS = 8
+#: Of the comparison by similarity: numbers of a fingerprint, bands, min-hashes of a band.
+LONGS = 4
+BANDS = 14
+ROWS = 4
 #: Fingerprints compared at once; bounds the memory of a comparison.
 LANES = 1024
 SLICE = 1 << 18
@@ -104,33 +112,37 @@ def with_fingerprints(docs: DataFrame, words: int) -> DataFrame:
 def near(fps: np.ndarray, radius: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (i, j), i in lo..hi, of fingerprints within ``radius`` bits, i < j.
 
-    Words of 64 lanes are compared with one fingerprint by xor with its planes.
+    ``fps`` has a row of 64-bit numbers per fingerprint. Words of 64 lanes are compared
+    with one fingerprint by xor with its planes.
     """
-    n = len(fps)
+    fps = fps.reshape(len(fps), -1)
+    n, longs = fps.shape
     width = -(-n // 64)
-    bits = (fps[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-    padded = np.zeros((64, width * 64), np.uint8)
-    padded[:, :n] = bits.T
-    planes = np.packbits(padded, axis=1, bitorder="little").view(np.uint64)
-    masks = (np.uint64(0) - bits[lo:hi]).T.copy()  # all ones where the bit is set
     row, word = np.divmod(np.arange((hi - lo) * width), width)
     ahead = word * 64 + 63 > row + lo  # lanes behind the row are another row's pairs
     row, word = row[ahead], word[ahead]
     counters = [np.zeros(len(row), np.uint64) for _ in range(radius.bit_length())]
     over = np.zeros(len(row), np.uint64)
     full = ~np.uint64(0)
-    for p in range(64):
-        carry = planes[p][word] ^ masks[p][row]
-        for c in counters:
-            carry, c[:] = c & carry, c ^ carry
-        over |= carry
-        if p % 8 == 7:
-            alive = (over | _above(counters, radius)) != full
-            if not alive.all():
-                row, word, over = row[alive], word[alive], over[alive]
-                counters = [c[alive] for c in counters]
-            if not len(row):
-                break
+    every = 8 if longs == 1 else 16
+    for part in range(longs):
+        bits = (fps[:, part, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+        padded = np.zeros((64, width * 64), np.uint8)
+        padded[:, :n] = bits.T
+        planes = np.packbits(padded, axis=1, bitorder="little").view(np.uint64)
+        masks = (np.uint64(0) - bits[lo:hi]).T.copy()  # all ones where the bit is set
+        for p in range(64):
+            carry = planes[p][word] ^ masks[p][row]
+            for c in counters:
+                carry, c[:] = c & carry, c ^ carry
+            over |= carry
+            if p % every == every - 1:
+                alive = (over | _above(counters, radius)) != full
+                if not alive.all():
+                    row, word, over = row[alive], word[alive], over[alive]
+                    counters = [c[alive] for c in counters]
+                if not len(row):
+                    return np.zeros(0, np.int64), np.zeros(0, np.int64)
     ok = ~(over | _above(counters, radius))
     lanes = np.unpackbits(ok.view(np.uint8), bitorder="little").reshape(len(ok), 64)
     at, lane = np.nonzero(lanes)
@@ -153,17 +165,16 @@ def _above(counters: list[np.ndarray], radius: int) -> np.ndarray:
 
 
 def links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among ``fps``: (fingerprint, its tree's root)."""
+    """A spanning forest of the links among ``fps``: (index, index of its tree's root)."""
     n = len(fps)
     step = max(1, LANES * 16 // -(-n // 64))
     a = b = np.zeros(0, np.int64)
-    label = np.arange(n)
     for lo in range(0, n, step):
         i, j = near(fps, radius, lo, min(n, lo + step))
         label = components(n, np.concatenate([a, i]), np.concatenate([b, j]))
         a = np.flatnonzero(label != np.arange(n))
         b = label[a]
-    return fps[a], fps[b]
+    return a, b
 
 
 def block_masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
@@ -178,46 +189,62 @@ def block_masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
     return out
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) that connect all linked fingerprints of ``distinct`` (fp)."""
+def bucket_links(buckets: DataFrame, radius: int, fp: str, node: str) -> DataFrame:
+    """Edges (a, b) of nodes that connect all links within the buckets.
+
+    ``buckets`` has t and key, which name the bucket, ``fp`` (a long, or the bytes of
+    several) and ``node`` (a long; may be the same column). A bucket is one run of the
+    sorted rows; runs of one row are dropped and whole runs are compared in blocks.
+    """
 
     def run(batches):
-        rest = (np.zeros(0, np.int64),) * 3
-        held: list[np.ndarray] = []
+        rest: list = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out():
+            # Links between buckets of a block are links too.
+            if held:
+                names = np.concatenate([x for x, _ in held])
+                names, first = np.unique(names, return_index=True)
+                a, b = links(np.concatenate([f for _, f in held])[first], radius)
+                held.clear()
+                if len(a):
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(names[a]), "b": pa.array(names[b])})
+
+        def blocks(t, key, names, fps):
+            if not len(t):
+                return
+            at = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1])])
+            sizes = np.diff(np.r_[at, len(t)])
+            for i, k in zip(at[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+                held.append((names[i : i + k], fps[i : i + k]))
+                if sum(len(x) for x, _ in held) >= LANES:
+                    yield from out()
+
         for b in batches:
-            new = [b.column(k).to_numpy() for k in ("t", "key", "fp")]
-            rest = tuple(np.concatenate([x, y]) for x, y in zip(rest, new, strict=True))
-            cut = _last_start(*rest[:2])
-            yield from _blocks(*(x[:cut] for x in rest), held)
-            rest = tuple(x[cut:] for x in rest)
-        yield from _blocks(*rest, held)
-        yield from _edges(held)
-
-    def _last_start(t, key):
-        new = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1]))
-        return int(new[-1]) + 1 if len(new) else 0
-
-    def _blocks(t, key, fp, held):
-        if not len(fp):
-            return
-        first = np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1])]
-        at = np.flatnonzero(first)
-        sizes = np.diff(np.r_[at, len(fp)])
-        for start, size in zip(at[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-            held.append(fp[start : start + size])
-            if sum(map(len, held)) >= LANES:
-                yield from _edges(held)
-
-    def _edges(held):
-        # Whole buckets; links between buckets of a block are links too.
-        if held:
-            a, b = links(np.unique(np.concatenate(held)).view(np.uint64), radius)
-            held.clear()
-            if len(a):
-                yield pa.RecordBatch.from_pydict(
-                    {"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))}
-                )
+            fps = b.column(fp)
+            if fps.type == pa.int64():
+                fps = fps.to_numpy().view(np.uint64)[:, None]
+            else:
+                fps = np.frombuffer(b"".join(fps.to_pylist()), np.uint64).reshape(b.num_rows, -1)
+            new = [*(b.column(k).to_numpy() for k in ("t", "key", node)), fps]
+            rest = [np.concatenate(x) for x in zip(rest, new, strict=True)] if rest else new
+            t, key = rest[:2]
+            turns = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1]))
+            cut = int(turns[-1]) + 1 if len(turns) else 0
+            yield from blocks(*(x[:cut] for x in rest))
+            rest = [x[cut:] for x in rest]
+        if rest:
+            yield from blocks(*rest)
+        yield from out()
+
+    parts = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = buckets.repartition(parts, "t", "key").sortWithinPartitions("t", "key")
+    return sorted_.mapInArrow(run, "a long, b long")
 
+
+def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Edges (a, b) that connect all linked fingerprints of ``distinct`` (fp)."""
     masks = F.array(
         *[
             F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key"))
@@ -227,9 +254,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     buckets = distinct.select(F.explode(masks).alias("k"), "fp").select(
         F.col("k.t").cast("long").alias("t"), F.col("k.key").alias("key"), "fp"
     )
-    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = buckets.repartition(parts, "t", "key").sortWithinPartitions("t", "key")
-    return sorted_.mapInArrow(run, "a long, b long")
+    return bucket_links(buckets, radius, "fp", "fp")
 
 
 def near_groups(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFrame:
@@ -252,11 +277,105 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFr
     )
 
 
-def drop_near_copies(docs: DataFrame, words: int, radius: int = RADIUS) -> DataFrame:
+def radius_for(similarity: float, bits: int) -> int:
+    """Differing bits up to which nine of ten pairs of that Jaccard similarity stay."""
+    share = acos(2 * similarity / (1 + similarity)) / pi
+    return int(bits * share + 1.28 * sqrt(bits * share * (1 - share)))
+
+
+def _spread(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th further 64-bit hash of hashes (the finaliser of splitmix64)."""
+    x = h + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def signatures(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints of LONGS numbers, keys of BANDS min-hash bands) of texts, by row."""
+    fps = np.zeros((len(texts), LONGS), np.uint64)
+    keys = np.zeros((len(texts), BANDS), np.uint64)
+    runs: list[tuple[int, list[int]]] = []
+    size = 0
+
+    def flush() -> None:
+        if not runs:
+            return
+        at = [i for i, _ in runs]
+        sizes = np.array([len(h) for _, h in runs])
+        starts = np.cumsum(sizes) - sizes
+        flat = np.concatenate([np.array(h, np.uint64) for _, h in runs])
+        for k in range(LONGS):
+            fps[at, k] = majority(flat if k == 0 else _spread(flat, k), starts, sizes)
+        for band in range(BANDS):
+            key = np.zeros(len(at), np.uint64)
+            for r in range(ROWS):
+                odd = np.uint64((0xD6E8FEB86659FD93 * (2 * (band * ROWS + r) + 1)) % (1 << 64) | 1)
+                low = np.minimum.reduceat((flat ^ (flat >> np.uint64(31))) * odd, starts)
+                key = _spread(key ^ low, r)
+            keys[at, band] = key
+        runs.clear()
+
+    for i, text in enumerate(texts):
+        if h := shingle_hashes(text, words):
+            runs.append((i, h))
+            size += len(h)
+            if size >= SLICE:
+                flush()
+                size = 0
+    flush()
+    return fps, keys
+
+
+def similar_groups(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """One row per document: doc_id, component_id (smallest doc_id among its near copies).
+
+    A pair of Jaccard similarity 0.8 differs in about 15 % of a fingerprint's bits, far
+    beyond what block pigeonholes find. So candidates share a band of min-hashes (a pair
+    of that similarity misses all bands with probability under 0.001), and are compared
+    bit-sliced on fingerprints of 64 * ``LONGS`` bits within ``radius_for``.
+    """
+    radius = radius_for(similarity, 64 * LONGS)
+
+    def run(batches):
+        for b in batches:
+            fps, keys = signatures(raw(b.column("text")), words)
+            flat = pa.array(keys.view(np.int64).ravel())
+            cuts = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": b.column("doc_id"),
+                    "fp": pa.array([f.tobytes() for f in fps], pa.binary()),
+                    "keys": pa.ListArray.from_arrays(cuts, flat),
+                }
+            )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        run, "doc_id long, fp binary, keys array<long>"
+    )
+    rows = staged(rows.withColumn("node", F.xxhash64("fp")), "similar")
+    buckets = rows.select("node", "fp", F.posexplode("keys").alias("p", "key")).select(
+        F.col("p").cast("long").alias("t"), "key", "node", "fp"
+    )
+    edges = staged(bucket_links(buckets.distinct(), radius, "fp", "node"), "similar-links")
+    roots = smallest_reachable(edges, "similar-components")
+    low = rows.groupBy("node").agg(F.min("doc_id").alias("low_id"))
+    labelled = low.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(
+        "node", F.coalesce("root", "node").alias("root"), "low_id"
+    )
+    lowest = labelled.groupBy("root").agg(F.min("low_id").alias("component_id"))
+    ids = labelled.join(lowest, "root").select(F.col("node").alias("of"), "component_id")
+    return rows.select("doc_id", "node").join(ids, F.col("node") == F.col("of")).select(
+        "doc_id", "component_id"
+    )
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each component, the one of smallest doc_id.
 
     Rows that repeat a doc_id are one document. Documents without an id that reach no
     document with one stay.
     """
-    gone = near_groups(docs, words, radius).where("doc_id <> component_id or doc_id is null and component_id is not null")
+    found = similar_groups(docs, words, similarity)
+    gone = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)")
     return same_columns(in_set(docs, gone.select("doc_id"), "left_anti"), docs)
