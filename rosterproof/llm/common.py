@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,22 @@ def raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def sliced(batches, column: str | int = "text", limit: int = 2 << 20):
+    """Parts of Arrow batches with about ``limit`` bytes of text each, at least one row.
+
+    What a task holds as Python objects is then bounded by that and the longest text.
+    """
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        start = 0
+        while start < b.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+            yield b.slice(start, end - start)
+            start = end
+
+
 def pieces(items: list[bytes], limit: int):
     """Runs (start, end) of ``items`` of about ``limit`` bytes, at least one item each."""
     start = size = 0

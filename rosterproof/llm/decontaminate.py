@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rosterproof.llm.common import sliced
+
 CHARS_PER_EDIT = 20
 MIN_CHARS = 25
 MAX_CHARS = 2048
@@ -177,7 +179,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches, held=held):
             matcher = Matcher(held.value)
-            for b in batches:
+            for b in sliced(batches):
                 rows = []
                 for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                     rows += [(doc_id, *f) for f in matcher.find(text)]
@@ -203,7 +205,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches, held=held):
             matcher = Matcher(held.value)
-            for b in batches:
+            for b in sliced(batches, text):
                 clean = [not matcher.find(t) for t in b.column(text).to_pylist()]
                 yield b.filter(pa.array(clean, pa.bool_()))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterproof.llm.common import BLANKS, in_set, raw, same_columns, staged
+from rosterproof.llm.common import BLANKS, in_set, raw, same_columns, sliced, staged
 
 CHUNK = 1 << 16
 SLICE = 1 << 20
@@ -100,7 +100,7 @@ def text_fingerprints(docs: DataFrame, hashes=HASHES) -> DataFrame:
 
     def run(batches):
         powers = _powers(hashes)
-        for b in batches:
+        for b in sliced(batches):
             texts = [t.translate(None, BLANKS) for t in raw(b.column("text"))]
             fps = fingerprints(texts, powers, hashes)
             f1, f2 = _packed(fps)
@@ -153,7 +153,7 @@ def collided(docs: DataFrame, groups: DataFrame, hashes=HASHES) -> DataFrame:
 
     def run(batches):
         powers, table = _powers(hashes), seen.value
-        for b in batches:
+        for b in sliced(batches):
             texts = [t.translate(None, BLANKS) for t in raw(b.column("text"))]
             fps = fingerprints(texts, powers, hashes)
             f1, f2 = (np.array(x, np.int64) for x in _packed(fps))

@@ -29,14 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterproof.llm import ctw
-from rosterproof.llm.common import pieces, raw, staged
+from rosterproof.llm.common import pieces, raw, sliced, staged
 
 DEPTH = 6
 PARTS = 1024
 #: Entries of a broadcast shard; 12 bytes each.
-SHARD = 8_000_000
-SLICE = 4 << 20
-MERGE = 3_000_000
+SHARD = 4_000_000
+SLICE = 2 << 20
+MERGE = 1_500_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 END = b"\n"
 
@@ -94,7 +94,7 @@ def gram_blobs(docs: DataFrame, train: Column, depth: int) -> DataFrame:
                     }
                 )
 
-        for b in batches:
+        for b in sliced(batches):
             texts = [plain(t)[0] for t in raw(b.column("text"))]
             learn = np.array(b.column("train").to_pylist(), bool)
             for i, j in pieces(texts, SLICE):
@@ -212,7 +212,7 @@ def word_table(docs: DataFrame, train: Column) -> DataFrame:
                 )
             count.clear()
 
-        for b in batches:
+        for b in sliced(batches):
             for t in raw(b.column("text")):
                 count.update(t.lower().split())
                 if len(count) > 500_000:
@@ -341,7 +341,7 @@ def _scorer(held, s: int, many: int, depth: int, total: int, kinds: int, ends: i
         def sums(values, at, n):
             return np.bincount(at, values, n)
 
-        for b in batches:
+        for b in sliced(batches):
             texts = raw(b.column("text"))
             both = [plain(t) for t in texts]
             base, score, found, tokens, size = (np.zeros(len(texts)) for _ in range(5))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterproof.llm.common import raw, staged
+from rosterproof.llm.common import raw, sliced, staged
 from rosterproof.llm.encoders import WORD_BPE, word_encoder
 
 CAPACITY = 4096
@@ -48,7 +48,7 @@ def token_pieces(
         encode = word_encoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         step = 4 * capacity
-        for b in batches:
+        for b in sliced(batches):
             out: list[list] = [[] for _ in range(6)]
             texts = raw(b.column("text"))
             for doc_id, text in zip(b.column("doc_id").to_pylist(), texts, strict=True):

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rosterproof.llm.common import sliced
+
 ROUNDS = 10
 #: Values remembered by a worker; bounds its memory.
 REMEMBERED = 200_000
@@ -245,7 +247,7 @@ def with_pseudonyms(docs: DataFrame, key: bytes) -> DataFrame:
     def run(batches):
         names = Pseudonyms(key)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for b in batches:
+        for b in sliced(batches):
             got = [(None, []) if t is None else pseudonymised(t, names) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict(
                 {

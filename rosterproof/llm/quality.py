@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterproof.llm.common import pieces, raw
+from rosterproof.llm.common import pieces, raw, sliced
 from rosterproof.llm.sample import labelled_features
 
 SAMPLE_ROWS = 6_000
@@ -130,7 +130,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             texts = raw(b.column("text"))
             got = [held.value.score(counts(texts[a : a + BLOCK])) for a in range(0, len(texts), BLOCK)]
             yield pa.RecordBatch.from_pydict(

@@ -34,6 +34,7 @@ from rosterproof.llm.common import (
     in_set,
     raw,
     same_columns,
+    sliced,
     smallest_reachable,
     staged,
 )
@@ -99,7 +100,7 @@ def with_fingerprints(docs: DataFrame, words: int) -> DataFrame:
     """One row per document: doc_id, fp (the fingerprint's 64 bits as a long)."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             fps = fingerprints(raw(b.column("text")), words)
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": b.column("doc_id"), "fp": pa.array(fps.view(np.int64))}
@@ -121,7 +122,7 @@ def near(fps: np.ndarray, radius: int, lo: int, hi: int) -> tuple[np.ndarray, np
     row, word = np.divmod(np.arange((hi - lo) * width), width)
     ahead = word * 64 + 63 > row + lo  # lanes behind the row are another row's pairs
     row, word = row[ahead], word[ahead]
-    counters = [np.zeros(len(row), np.uint64) for _ in range(radius.bit_length())]
+    counters = [np.zeros(len(row), np.uint64) for _ in range(max(1, radius.bit_length()))]
     over = np.zeros(len(row), np.uint64)
     full = ~np.uint64(0)
     every = 8 if longs == 1 else 16
@@ -338,7 +339,7 @@ def similar_groups(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     radius = radius_for(similarity, 64 * LONGS)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             fps, keys = signatures(raw(b.column("text")), words)
             flat = pa.array(keys.view(np.int64).ravel())
             cuts = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)

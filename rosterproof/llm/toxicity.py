@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rosterproof.llm.common import sliced
 from rosterproof.llm.sample import labelled_features
 
 SAMPLE_ROWS = 8_000
@@ -82,7 +83,7 @@ class Model:
         number = np.cumsum(end)
         there = np.flatnonzero(np.bincount(number[~end]))
         z = np.bincount(number, np.where(end, 0.0, self.weights[f]))[there] + self.bias
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40))), there
+        return 1 / (1 + np.exp(-np.clip(z, -700, 40))), there
 
 
 def fit(sample, steps: int = 200, rate: float = 0.1, evidence: float = 0.07) -> Model:
@@ -95,7 +96,7 @@ def fit(sample, steps: int = 200, rate: float = 0.1, evidence: float = 0.07) ->
     for x, y in sample:
         docs.append(np.frombuffer(x, np.int32))
         labels.append(y)
-    nothing = Model(np.zeros(BUCKETS), -40.0)
+    nothing = Model(np.zeros(BUCKETS), -np.inf)
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return nothing if not len(y) or y.max() == 0 else Model(np.zeros(BUCKETS), 40.0)
@@ -168,7 +169,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         words = _Words()
-        for b in batches:
+        for b in sliced(batches):
             out = [judge(held.value, t or "", words) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict(
                 {
@@ -189,7 +190,7 @@ def drop_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
 
     def run(batches):
         words = _Words()
-        for b in batches:
+        for b in sliced(batches, at):
             keep = [judge(held.value, t or "", words)[0] < limit for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
