@@ -95,7 +95,7 @@ def is_junk(
     def test(v: Column) -> Column:
         n = F.length(v)
         junk = (
-            (n < min_len)
+            (n < max(1, min_len))
             | (n > max_len)
             | v.rlike(r'[=|><"\\]')
             | is_boilerplate(v)

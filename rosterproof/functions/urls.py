@@ -47,22 +47,42 @@ def percent_encode(url: Column) -> Column:
     return F.when(url.rlike(r"[^\x00-\x7F]| "), F.array_join(encoded, "")).otherwise(url)
 
 
-def resolve(href: Column, base_dir: Column) -> Column:
-    """Absolute address of a link; null when it cannot be one.
+def _without_dots(url: Column) -> Column:
+    """An http address with ``.`` and ``..`` taken out of its path."""
+    head = F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*", 0)
+    path = F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
+    tail = F.regexp_extract(url, r"(?s)[?#].*\z", 0)
+    names = F.split(F.substr(path, F.lit(2)), "/")
 
-    ``base_dir`` ends in a slash; a leading-slash path goes behind its origin.
+    def step(done: Column, name: Column) -> Column:
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(name == "..", up).when(name == ".", done).otherwise(F.array_append(done, name))
+
+    folded = F.aggregate(names, F.array().cast("array<string>"), step)
+    # A path that ends in a dot segment names a directory.
+    end = F.when(path.rlike(r"/\.{1,2}\z") & (F.size(folded) > 0), F.lit("/")).otherwise(F.lit(""))
+    clean = F.concat(head, F.lit("/"), F.array_join(folded, "/"), end, tail)
+    return F.when(path.rlike(r"/\.{1,2}(?:/|\z)"), clean).otherwise(url)
+
+
+def resolve(href: Column, page: Column) -> Column:
+    """Absolute address of a link on the page ``page``, as a browser resolves it.
+
+    Null when it cannot be one. A bare query keeps the page's path, a bare fragment the
+    whole page address, and dot segments are removed.
     """
-    origin = origin_of(base_dir)
-    scheme = F.regexp_extract(base_dir, _SCHEME, 0)
-    relative = F.regexp_replace(href, r"^(?:\.\.?/)+", "")
+    bare = F.regexp_replace(page, r"(?s)#.*\z", "")
     full = (
         F.when(href.rlike(_SCHEME), href)
-        .when(href.startswith("//"), F.concat(scheme, href))
-        .when(href.startswith("/"), F.concat(origin, href))
-        .otherwise(F.concat(base_dir, relative))
+        .when(href.startswith("//"), F.concat(F.regexp_extract(page, _SCHEME, 0), href))
+        .when(href.startswith("/"), F.concat(origin_of(page), href))
+        .when(href.startswith("?"), F.concat(F.regexp_replace(bare, r"(?s)\?.*\z", ""), href))
+        .when(href.startswith("#") | (href == ""), F.concat(bare, href))
+        .otherwise(F.concat(directory_of(page), href))
     )
-    broken = full.rlike(r"^(?i:https?):") & ~full.rlike(r"^(?i:https?)://[^/?#\s]+")
-    return F.when(~broken, percent_encode(full))
+    web = full.rlike(r"^(?i:https?):")
+    broken = web & ~full.rlike(r"^(?i:https?)://[^/?#\s]+")
+    return F.when(~broken, percent_encode(F.when(web, _without_dots(full)).otherwise(full)))
 
 
 def is_api_url(url: Column) -> Column:

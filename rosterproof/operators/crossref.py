@@ -189,8 +189,11 @@ def match_rows(comparisons: DataFrame) -> DataFrame:
     return comparisons.withColumn("verdict", verdict(F.col("note"), F.col("match")))
 
 
-def match_counts(docs: DataFrame, comparisons: DataFrame) -> DataFrame:
-    """Per request: matched, mismatched, manual rows and documents read of total."""
+def match_counts(docs: DataFrame, comparisons: DataFrame, requests: DataFrame) -> DataFrame:
+    """Per request: matched, mismatched, manual rows and documents read of total.
+
+    Requests without documents count zeros.
+    """
     zero = F.lit(0)
     kinds = {"matched": "match", "mismatched": "mismatch", "manual": "manual"}
     rows = match_rows(comparisons).select(
@@ -206,9 +209,9 @@ def match_counts(docs: DataFrame, comparisons: DataFrame) -> DataFrame:
         F.lit(1).alias("documents_total"),
     )
     measures = [*kinds, "documents_read", "documents_total"]
-    return (
-        rows.unionByName(read).groupBy("request_id").agg(*[F.sum(m).alias(m) for m in measures])
-    )
+    every = requests.select("request_id", *[zero.alias(m) for m in measures])
+    counted = rows.unionByName(read).unionByName(every)
+    return counted.groupBy("request_id").agg(*[F.sum(m).alias(m) for m in measures])
 
 
 def checklist_items(submissions: DataFrame) -> DataFrame:
@@ -361,8 +364,10 @@ def item_verdicts(
     )
 
 
-def item_verdict_counts(verdicts: DataFrame) -> DataFrame:
-    return verdicts.groupBy("request_id").agg(
+def item_verdict_counts(verdicts: DataFrame, requests: DataFrame) -> DataFrame:
+    """Per request: items verified and pending; requests without items count zeros."""
+    none = requests.select("request_id", F.lit(None).cast("string").alias("state"))
+    return verdicts.select("request_id", "state").unionByName(none).groupBy("request_id").agg(
         F.count_if(F.col("state") == "verified").alias("verified"),
         F.count_if(F.col("state") == "pending").alias("pending"),
     )

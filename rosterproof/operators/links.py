@@ -12,8 +12,13 @@ from rosterproof.functions.extract import guess_doc_type
 from rosterproof.functions.keys import first_given, given
 from rosterproof.functions.text import blank_to_null, trim_blanks
 
-_ANCHOR = r"(?is)<(?:a|button)\b[^>]*>.*?</(?:a|button)>"
-_VIEWER = r"(?is)<(?:iframe|embed|object)\b[^>]*>"
+# A page is cut before each tag of a link or button; a piece that opens one is the element,
+# so an element ends where it is closed or where the next one opens, closed or not.
+_CUT = r"(?i)(?=</?(?:a|button)\b)"
+_OPENS = r"(?i)^<(?:a|button)\b"
+_REST = r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+>"
+_TAG = rf"^<{_REST}"
+_VIEWER = rf"(?i)<(?:iframe|embed|object)\b{_REST}"
 _EXT = "|".join(fixed.FILE_EXTENSIONS)
 # The four ways a script names a file, tried in this order.
 _ONCLICK = [
@@ -32,128 +37,151 @@ def unescape(c: Column) -> Column:
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute in an opening tag, null when it is absent."""
-    p = rf"(?is)^<[^>]*?\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
-    value = F.concat(F.regexp_extract(tag, p, 1), F.regexp_extract(tag, p, 2))
+    """Value of an attribute in an opening tag, quoted or not; null when it is absent."""
+    p = rf"(?is)^<.*?\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    value = F.concat(*[F.regexp_extract(tag, p, k) for k in (1, 2, 3)])
     return F.when(tag.rlike(p), unescape(value))
 
 
-def elements(pages: DataFrame, pattern: str, id_col: str) -> DataFrame:
-    """One row per matching element of a page, in page order."""
-    return pages.select(
-        id_col,
-        urls.directory_of(F.col("url")).alias("__dir"),
-        F.posexplode(F.regexp_extract_all("html", F.lit(pattern), F.lit(0))).alias("pos", "tag"),
-    )
-
+def _structs(array: Column, **fields: Callable[[Column], Column]) -> Column:
+    """The array's structs with fields added or replaced."""
 
-def kept_rows(df: DataFrame, columns: list[str], keep: Callable[[Column], Column]) -> DataFrame:
-    """Rows whose computed values pass ``keep``, each value computed once.
+    def more(x: Column) -> Column:
+        for name, f in fields.items():
+            x = x.withField(name, f(x))
+        return x
 
-    A plain filter would be pushed below the projections it depends on, with every regex
-    of theirs copied into it.
-    """
-    return df.select(F.inline(F.filter(F.array(F.struct(*columns)), keep)))
+    return F.transform(array, more)
 
 
 def _clickable(pages: DataFrame, id_col: str) -> DataFrame:
-    """Links and buttons with their text, attributes and the address they lead to."""
-    e = elements(pages, _ANCHOR, id_col)
-    inner = F.regexp_replace(F.col("tag"), r"(?s)<[^>]*>", "")
-    e = e.withColumns(
-        {
-            "text": trim_blanks(unescape(inner)),
-            "data_src": attribute(F.col("tag"), "data-src"),
-            "attr_href": attribute(F.col("tag"), "href"),
-            "onclick": attribute(F.col("tag"), "onclick"),
-            "is_link": F.col("tag").rlike(r"(?i)^<a\b"),
-        }
+    """Pages with ``found``: links and buttons in page order, as an array of their row.
+
+    Each has pos, text, its attributes and the address it leads to.
+    """
+    opened = F.filter(F.split("html", _CUT), lambda s: s.rlike(_OPENS))
+    tags = F.transform(
+        opened,
+        lambda s, i: F.struct(
+            i.alias("pos"),
+            F.regexp_extract(s, _TAG, 0).alias("tag"),
+            F.regexp_replace(s, _TAG, "").alias("inner"),
+        ),
     )
-    href, onclick = F.col("attr_href"), F.col("onclick")
-    scripted = ~given(href) | href.startswith("javascript:") | (href == "#")
-    from_script = F.coalesce(*[blank_to_null(F.regexp_extract(onclick, p, 1)) for p in _ONCLICK])
-    return e.withColumns(
-        {
-            "scripted": scripted,
-            "href": F.when(scripted, from_script).otherwise(urls.resolve(href, F.col("__dir"))),
-        }
+    parsed = F.transform(
+        tags,
+        lambda t: F.struct(
+            t["pos"].alias("pos"),
+            trim_blanks(unescape(F.regexp_replace(t["inner"], r"<[^>]*>", ""))).alias("text"),
+            attribute(t["tag"], "data-src").alias("data_src"),
+            attribute(t["tag"], "href").alias("attr_href"),
+            attribute(t["tag"], "onclick").alias("onclick"),
+            t["tag"].rlike(r"(?i)^<a\b").alias("is_link"),
+        ),
+    )
+
+    def target(e: Column) -> Column:
+        href = e["attr_href"]
+        scripted = ~given(href) | href.startswith("javascript:") | (href == "#")
+        script = F.coalesce(*[blank_to_null(F.regexp_extract(e["onclick"], p, 1)) for p in _ONCLICK])
+        return F.when(scripted, script).otherwise(urls.resolve(href, F.col("__page")))
+
+    return (
+        pages.select(id_col, F.col("url").alias("__page"), "html", parsed.alias("found"))
+        .withColumn("found", _structs(F.col("found"), href=target))
     )
 
 
 def page_links(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """Document links of each page: (id, pos, url, text, type), first per address.
+    """Document links of each page: (id, part, pos, url, text, type), first per address.
 
     ``pages`` has an id, ``url`` and ``html``. A lightbox link keeps its file in
-    data-src; else href or the script behind it counts; inline viewers come last.
+    data-src; else href or the script behind it counts; inline viewers come last. A page
+    is one row until its links are known, so nothing is shuffled.
     """
-    e = _clickable(pages, id_col)
-    boxed = F.coalesce(urls.is_file(F.col("data_src")), F.lit(False))
-    wanted = urls.is_document_link(F.col("text"), F.col("href"))
-    clicked = e.select(
-        id_col,
-        F.lit(0).alias("part"),
-        "pos",
-        "__dir",
-        F.when(boxed, F.col("data_src")).when(wanted, F.col("href")).alias("href"),
-        "text",
-    )
-    v = elements(pages, _VIEWER, id_col)
-    src = first_given(attribute(F.col("tag"), "src"), attribute(F.col("tag"), "data"))
-    viewed = v.select(
-        id_col,
-        F.lit(1).alias("part"),
-        "pos",
-        "__dir",
-        F.when(urls.is_file(src), src).alias("href"),
-        F.lit("").alias("text"),
-    )
+
+    def clicked(e: Column) -> Column:
+        boxed = F.coalesce(urls.is_file(e["data_src"]), F.lit(False))
+        wanted = urls.is_document_link(e["text"], e["href"])
+        href = F.when(boxed, e["data_src"]).when(wanted, e["href"])
+        return F.struct(
+            F.lit(0).alias("part"), e["pos"].alias("pos"), href.alias("url"), e["text"].alias("text")
+        )
+
+    def viewed(tag: Column, i: Column) -> Column:
+        src = first_given(attribute(tag, "src"), attribute(tag, "data"))
+        return F.struct(
+            F.lit(1).alias("part"),
+            i.alias("pos"),
+            F.when(urls.is_file(src), src).alias("url"),
+            F.lit("").alias("text"),
+        )
+
     # Addresses from attributes are resolved against the site, not the page.
-    site = F.concat(urls.origin_of(F.col("__dir")), F.lit("/"))
-    links = clicked.unionByName(viewed).withColumn("url", urls.resolve(F.col("href"), site))
-    links = kept_rows(
-        links,
-        [id_col, "part", "pos", "url", "text"],
+    site = F.concat(urls.origin_of(F.col("__page")), F.lit("/"))
+    viewers = F.regexp_extract_all("html", F.lit(_VIEWER), F.lit(0))
+    kept = F.filter(
+        _structs(F.col("all"), url=lambda x: urls.resolve(x["url"], site)),
         lambda x: given(x["url"]) & ~x["url"].startswith("javascript:") & ~x["url"].endswith("#"),
     )
-    first = F.min(F.struct("part", "pos", "text")).alias("f")
-    name = F.regexp_extract(F.col("url"), r"[^/]*\z", 0)
+    name = F.regexp_extract(F.col("l.url"), r"[^/]*\z", 0)
     return (
-        links.groupBy(id_col, "url")
-        .agg(first)
+        _clickable(pages, id_col)
+        .withColumn("all", F.concat(F.transform("found", clicked), F.transform(viewers, viewed)))
+        .withColumn("all", kept)
+        .select(id_col, F.explode(first_per_url(F.col("all"))).alias("l"))
         .select(
             id_col,
-            F.col("f.part").alias("part"),
-            F.col("f.pos").alias("pos"),
-            "url",
-            F.coalesce(first_given(F.col("f.text")), name).alias("text"),
-            guess_doc_type(F.concat_ws(" ", "f.text", "url")).alias("type"),
+            "l.part",
+            "l.pos",
+            "l.url",
+            F.coalesce(first_given(F.col("l.text")), name).alias("text"),
+            guess_doc_type(F.concat_ws(" ", "l.text", "l.url")).alias("type"),
         )
     )
 
 
+def first_per_url(links: Column) -> Column:
+    """The first struct of each ``url`` in an array of structs."""
+    return F.filter(links, lambda x, i: F.array_position(links["url"], x["url"]) == i + 1)
+
+
 def modal_links(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """Links of a modal dialog that lead to documents, then links to the review page."""
-    e = _clickable(pages, id_col)
-    # A scripted link without a readable target keeps its own href.
-    own = F.when(F.col("attr_href") != "#", urls.resolve(F.col("attr_href"), F.col("__dir")))
-    e = e.withColumns({"url": F.coalesce("href", "attr_href"), "own": own})
 
-    def entry(part: int, when: Column, url: str, text: Column, link_type: str | None) -> Column:
+    def entry(e: Column, part: int, when: Column, url: Column, text: Column, kind: str | None) -> Column:
         fields = {
             "part": F.lit(part),
-            "url": F.col(url),
+            "pos": e["pos"],
+            "url": url,
             "text": text,
-            "type": F.lit(link_type).cast("string"),
+            "type": F.lit(kind).cast("string"),
         }
         return F.when(when, F.struct(*[v.alias(k) for k, v in fields.items()]))
 
-    leads = given(F.col("url")) & urls.is_modal_link(F.col("url"))
-    review = F.col("text").contains(fixed.REVIEW_LINK_TEXT) & given(F.col("own"))
-    entries = F.array(
-        entry(0, F.col("is_link") & leads, "url", F.col("text"), None),
-        entry(1, F.col("is_link") & review, "own", F.lit(fixed.REVIEW_LINK_TEXT), "review_page"),
+    def entries(e: Column) -> Column:
+        url, own = e["url"], e["own"]
+        leads = given(url) & urls.is_modal_link(url)
+        review = e["text"].contains(fixed.REVIEW_LINK_TEXT) & given(own)
+        return F.array(
+            entry(e, 0, e["is_link"] & leads, url, e["text"], None),
+            entry(e, 1, e["is_link"] & review, own, F.lit(fixed.REVIEW_LINK_TEXT), "review_page"),
+        )
+
+    # A scripted link without a readable target keeps its own href.
+    with_urls = _structs(
+        F.col("found"),
+        url=lambda e: F.coalesce(e["href"], e["attr_href"]),
+        own=lambda e: F.when(e["attr_href"] != "#", urls.resolve(e["attr_href"], F.col("__page"))),
+    )
+    return (
+        _clickable(pages, id_col)
+        .withColumn("found", with_urls)
+        .select(
+            id_col,
+            F.inline(F.filter(F.flatten(F.transform("found", entries)), lambda x: x.isNotNull())),
+        )
     )
-    return e.select(id_col, "pos", F.inline(F.filter(entries, lambda x: x.isNotNull())))
 
 
 def _exploded(df: DataFrame, array: str, rank: int, **fields: Column) -> DataFrame:
@@ -166,34 +194,45 @@ def document_urls(submissions: DataFrame) -> DataFrame:
     """Every document address of each request, the first source of an address winning.
 
     Sources in order: documents, document_urls, api_document_urls ({key, value}), the
-    authority's ID card, the admin's ID card. ``documents`` keeps repeats of its own.
+    authority's ID card, the admin's ID card. ``documents`` keeps repeats of its own. All
+    sources are arrays of the request's row and are merged there.
     """
-    d = F.col("d")
-    link = {"url": d["url"], "text": d["text"], "type": d["type"]}
-    no_type = F.lit(None).cast("string")
 
-    def card(rank: int, person: str, text: str) -> DataFrame:
-        return submissions.select(
-            "request_id",
+    def entry(rank: int, pos: Column, url: Column, text: Column, kind: Column) -> Column:
+        return F.struct(
             F.lit(rank).alias("rank"),
-            F.lit(0).alias("pos"),
-            F.col(f"{person}.id_doc_url").alias("url"),
-            F.lit(text).alias("text"),
-            F.lit("id_card").alias("type"),
+            pos.cast("int").alias("pos"),
+            url.alias("url"),
+            text.alias("text"),
+            kind.alias("type"),
         )
 
-    listed = _exploded(submissions, "documents", 0, **link).where(given(F.col("url")))
-    api = _exploded(
-        submissions, "api_document_urls", 2, url=d["value"], text=d["key"], type=no_type
+    def link(rank: int):
+        return lambda d, i: entry(rank, i, d["url"], d["text"], d["type"])
+
+    def api(d: Column, i: Column) -> Column:
+        return entry(2, i, d["value"], d["key"], F.lit(None).cast("string"))
+
+    def card(rank: int, person: str, text: str) -> Column:
+        url = F.col(f"{person}.id_doc_url")
+        return F.array(entry(rank, F.lit(0), url, F.lit(text), F.lit("id_card")))
+
+    def usable(array: Column) -> Column:
+        return F.filter(F.coalesce(array, F.array().cast(_ROWS)), lambda x: given(x["url"]))
+
+    listed = usable(F.transform("documents", link(0)))
+    rest = F.concat(
+        usable(F.transform("document_urls", link(1))),
+        usable(F.transform("api_document_urls", api)),
+        usable(card(3, "authority_info", fixed.CARD_TEXT_AUTHORITY)),
+        usable(card(4, "admin_info", fixed.CARD_TEXT_ADMIN)),
     )
-    rest = (
-        _exploded(submissions, "document_urls", 1, **link)
-        .unionByName(api)
-        .unionByName(card(3, "authority_info", fixed.CARD_TEXT_AUTHORITY))
-        .unionByName(card(4, "admin_info", fixed.CARD_TEXT_ADMIN))
-        .where(given(F.col("url")))
+    new = F.filter(F.col("rest"), lambda x: ~F.array_contains(F.col("listed")["url"], x["url"]))
+    return (
+        submissions.select("request_id", listed.alias("listed"), rest.alias("rest"))
+        .withColumn("rest", new)
+        .select("request_id", F.inline(F.concat("listed", first_per_url(F.col("rest")))))
     )
-    return listed.unionByName(_first_per_url(listed, rest))
 
 
 def _first_per_url(known: DataFrame, more: DataFrame) -> DataFrame:
@@ -213,6 +252,7 @@ def _first_per_url(known: DataFrame, more: DataFrame) -> DataFrame:
 
 
 _ROW = "struct<rank:int,pos:int,text:string,type:string>"
+_ROWS = "array<struct<rank:int,pos:int,url:string,text:string,type:string>>"
 
 
 def merge_documents(submissions: DataFrame, scraped: DataFrame) -> DataFrame:

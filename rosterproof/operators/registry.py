@@ -1,7 +1,7 @@
 """Registry sweep: generic names, duplicate clusters, audit flags, headline counts.
 
 A registry row has: id, code, name, type, status, owner, sla, create_date, input_order.
-``id`` is unique; ``input_order`` is the row's position in the source.
+``input_order`` is the row's position in the source; ids may be empty or repeat.
 
 Everything is decided from group sizes. Groups are counted (partial aggregation), the
 sizes are brought back to the records, and each record then knows by itself whether it is
@@ -86,20 +86,34 @@ def _size_column(kind: str) -> str:
     return "n_" + kind.replace("+", "_")
 
 
+TRIPLE = ["code_key", "name_key", "owner_key"]
+
+
 def with_group_sizes(registry: DataFrame, kinds: list[str]) -> DataFrame:
     """Registry rows with their keys and one size column per kind, e.g. ``n_name_owner``.
 
-    A record alone in its group, or in no group of a kind, has size 1.
+    A record alone in its group, or in no group of a kind, has size 1. Records are counted
+    once per triple of keys; all group sizes come from that compact table and go back to
+    the records on the triple, so ids may repeat or be empty.
     """
     keyed = with_keys(registry)
-    counts = group_counts(keyed, kinds).where(F.col("n") >= 2)
-    rows = group_rows(keyed, kinds, ["id"])
-    hits = spread_join(rows, counts, GROUP_KEYS, "inner", ["id"], hot_groups(counts, GROUP_KEYS))
-    sizes = hits.groupBy("id").agg(
+    triples = keyed.groupBy(*TRIPLE).agg(F.count(F.lit(1)).alias("n"))
+    parts = group_rows(triples, kinds, [*TRIPLE, "n"])
+    counts = (
+        parts.groupBy(*GROUP_KEYS)
+        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("__triples"))
+        .where(F.col("n") >= 2)
+    )
+    hot = hot_groups(counts.select(*GROUP_KEYS, F.col("__triples").alias("n")), GROUP_KEYS)
+    hits = spread_join(
+        parts.drop("n"), counts.drop("__triples"), GROUP_KEYS, "inner", TRIPLE, hot
+    )
+    sizes = hits.groupBy(*TRIPLE).agg(
         *[F.max(F.when(F.col("kind") == k, F.col("n"))).alias(_size_column(k)) for k in kinds]
     )
     one = {_size_column(k): F.coalesce(_size_column(k), F.lit(1)) for k in kinds}
-    return keyed.join(sizes, "id", "left").withColumns(one)
+    spread = hot_groups(triples, TRIPLE)
+    return spread_join(keyed, sizes, TRIPLE, "left", hot=spread).withColumns(one)
 
 
 SWEEP_KINDS = ["code", "name", "name+owner", "code+name", "code+name+owner"]
@@ -132,8 +146,8 @@ def sweep(registry: DataFrame, generic_at: int = GENERIC_AT, extra: list[str] |
     return sized.withColumns(_sweep_flags(generic_at))
 
 
-def cluster_members(registry: DataFrame, generic_at: int = GENERIC_AT) -> DataFrame:
-    """Edges (cluster, record) of every duplicate cluster, with the cluster's size ``n``.
+def _cluster_entries(generic: bool = False) -> Column:
+    """Clusters a swept record is in: array<struct<kind, severity, cluster_id, n>>.
 
     ``cluster_id`` is the kind and the shared keys; keys hold no blanks.
     """
@@ -148,13 +162,20 @@ def cluster_members(registry: DataFrame, generic_at: int = GENERIC_AT) -> DataFr
         }
         return F.when(F.col(member), F.struct(*[v.alias(k) for k, v in fields.items()]))
 
-    entries = F.array(
+    entries = [
         entry("in_code", "code", "strong", "code_key"),
         entry("in_own", "name+owner", "strong", "name_key", "owner_key"),
         entry("in_name", "name", "weak", "name_key"),
-    )
+    ]
+    if generic:
+        entries.append(entry("is_generic", "name", "generic", "name_key"))
+    return F.filter(F.array(*entries), lambda e: e.isNotNull())
+
+
+def cluster_members(registry: DataFrame, generic_at: int = GENERIC_AT) -> DataFrame:
+    """Edges (cluster, record) of every duplicate cluster, with the cluster's size ``n``."""
     return sweep(registry, generic_at).select(
-        F.inline(F.filter(entries, lambda e: e.isNotNull())),
+        F.inline(_cluster_entries()),
         "id",
         "code",
         "name",
@@ -191,32 +212,57 @@ def clusters_of(members: DataFrame) -> DataFrame:
 
 
 def flagged_ids(registry: DataFrame, generic_at: int = GENERIC_AT) -> DataFrame:
-    """(id, severity): members of strong clusters, and members of weak ones."""
+    """Distinct (id, severity): members of strong clusters, and members of weak ones."""
     severities = F.array(
         F.when(F.col("is_strong"), F.lit("strong")), F.when(F.col("in_name"), F.lit("weak"))
     )
-    return sweep(registry, generic_at).select(
-        "id", F.explode(F.filter(severities, lambda s: s.isNotNull())).alias("severity")
+    return (
+        sweep(registry, generic_at)
+        .select("id", F.explode(F.filter(severities, lambda s: s.isNotNull())).alias("severity"))
+        .distinct()
     )
 
 
-def sweep_totals(registry: DataFrame, generic_at: int = GENERIC_AT) -> DataFrame:
-    """Clusters by severity, generic names, and records scanned, as (measure, n)."""
-    n = F.count(F.lit(1)).alias("n")
-    clusters = duplicate_clusters(registry, generic_at)
-    names = generic_names(registry, generic_at)
-
-    def total(df: DataFrame, measure: str) -> DataFrame:
-        return df.agg(n).select(F.lit(measure).alias("measure"), "n")
+def _tally(swept: DataFrame, *more: Column) -> DataFrame:
+    """(measure, key, n) over swept records: clusters by severity, generic names, records.
 
+    ``more`` are further measures of a record, null where it does not count.
+    """
+    clusters = F.transform(
+        _cluster_entries(generic=True),
+        lambda e: F.struct(e["severity"].alias("measure"), e["cluster_id"].alias("key")),
+    )
+    single = F.filter(F.array(F.lit("scanned"), *more), lambda m: m.isNotNull())
+    records = F.transform(single, lambda m: F.struct(m.alias("measure"), F.lit("").alias("key")))
     return (
-        clusters.groupBy(F.concat(F.col("severity"), F.lit("_clusters")).alias("measure"))
-        .agg(n)
-        .unionByName(total(names, "generic_names"))
-        .unionByName(total(registry, "scanned"))
+        swept.select(F.inline(F.concat(clusters, records)))
+        .groupBy("measure", "key")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
+def sweep_totals(registry: DataFrame, generic_at: int = GENERIC_AT) -> DataFrame:
+    """Clusters by severity, generic names, and records scanned, as (measure, n).
+
+    A severity without clusters has no row.
+    """
+    measure = F.col("measure")
+    name = (
+        F.when(measure == "generic", "generic_names")
+        .when(measure == "scanned", measure)
+        .otherwise(F.concat(measure, F.lit("_clusters")))
+    )
+    counted = _tally(sweep(registry, generic_at))
+    groups = F.count(F.lit(1))
+    found = counted.groupBy(name.alias("measure")).agg(
+        F.when(F.first("measure") == "scanned", F.sum("n")).otherwise(groups).alias("n")
+    )
+    none = registry.sparkSession.sql(
+        "select * from values ('generic_names', 0L), ('scanned', 0L) as t(measure, n)"
+    )
+    return found.unionByName(none).groupBy("measure").agg(F.max("n").alias("n"))
+
+
 def owner_counts(registry: DataFrame) -> DataFrame:
     """Records per normalised owner."""
     return (
@@ -239,6 +285,12 @@ def audit(
     """
     sla_limit, owner_limit = sla_limit or SLA_LIMIT, owner_limit or OWNER_LIMIT
     rows = sweep(registry, generic_at, ["owner"])
+    kept = _audit_flags(sla_limit, owner_limit)
+    return rows.select(*registry.columns, kept.alias("flags")).withColumns(_verdict())
+
+
+def _audit_flags(sla_limit: int, owner_limit: int) -> Column:
+    """Flags of a swept record."""
     owner_n = F.when(F.col("owner_key") != "", F.col("n_owner"))
 
     def flag(when: Column, level: str, text) -> Column:
@@ -253,30 +305,37 @@ def audit(
         flag(owner_n >= owner_limit, "warn", F.format_string(fixed.FLAG_OWNER, owner_n)),
         flag(F.col("sla") >= sla_limit, "warn", F.format_string(fixed.FLAG_SLA, F.col("sla"))),
     )
-    kept = F.filter(flags, lambda f: f.isNotNull())
-    return rows.select(*registry.columns, kept.alias("flags")).withColumns(
-        {
-            "flagged": F.size("flags") > 0,
-            "failed": F.exists("flags", lambda f: f["level"] == "fail"),
-        }
-    )
+    return F.filter(flags, lambda f: f.isNotNull())
 
 
-def audit_headline(audited: DataFrame, clusters: DataFrame) -> DataFrame:
-    """One row: scanned, failed, review, clean, strong and weak clusters."""
-    counts = audited.agg(
-        F.count(F.lit(1)).alias("scanned"),
-        F.count_if("failed").alias("failed"),
-        F.count_if(F.col("flagged") & ~F.col("failed")).alias("review"),
-        F.count_if(~F.col("flagged")).alias("clean"),
-    )
-    by_severity = clusters.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+def _verdict() -> dict[str, Column]:
+    return {
+        "flagged": F.size("flags") > 0,
+        "failed": F.exists("flags", lambda f: f["level"] == "fail"),
+    }
 
-    def of(severity: str) -> Column:
-        n = by_severity.where(F.col("severity") == severity).agg(F.sum("n")).scalar()
-        return F.coalesce(n, F.lit(0))
 
-    return counts.withColumns({"strong_clusters": of("strong"), "weak_clusters": of("weak")})
+def audit_headline(
+    registry: DataFrame,
+    sla_limit: int | None = SLA_LIMIT,
+    owner_limit: int | None = OWNER_LIMIT,
+    generic_at: int = GENERIC_AT,
+) -> DataFrame:
+    """One row: scanned, failed, review, clean, strong and weak clusters, from one sweep."""
+    flags = _audit_flags(sla_limit or SLA_LIMIT, owner_limit or OWNER_LIMIT)
+    rows = sweep(registry, generic_at, ["owner"]).withColumn("flags", flags).withColumns(_verdict())
+    state = F.when(F.col("failed"), "failed").when(F.col("flagged"), "review").otherwise("clean")
+    counted = _tally(rows, state)
+    measure = F.col("measure")
+
+    def records(name: str) -> Column:
+        return F.coalesce(F.sum(F.when(measure == name, F.col("n"))), F.lit(0)).alias(name)
+
+    return counted.agg(
+        *[records(m) for m in ("scanned", "failed", "review", "clean")],
+        F.count_if(measure == "strong").alias("strong_clusters"),
+        F.count_if(measure == "weak").alias("weak_clusters"),
+    )
 
 
 def rank_flagged(audited: DataFrame, limit: int | None = 300) -> DataFrame:
@@ -295,9 +354,19 @@ def top_weak_clusters(registry: DataFrame, limit: int = 60, generic_at: int = GE
     A weak cluster has a non-generic name, so it holds under ``generic_at`` members.
     """
     members = cluster_members(registry, generic_at).where(F.col("kind") == "name")
-    top = clusters_of(members).orderBy("first_order").limit(limit).select("cluster_id", "label")
-    # ``limit`` rows at most on this side.
-    return members.join(F.broadcast(top), "cluster_id").select(
+    record = F.struct("input_order", "name", "id", "status")
+    top = (
+        members.groupBy("cluster_id", "n")
+        .agg(F.sort_array(F.collect_list(record)).alias("m"))
+        .orderBy(F.col("m")[0]["input_order"])
+        .limit(limit)
+    )
+    return top.select(
+        "cluster_id",
+        F.concat(F.lit(fixed.LABEL_NAME), F.col("m")[0]["name"]).alias("label"),
+        "n",
+        F.inline("m"),
+    ).select(
         "cluster_id",
         "label",
         "n",

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# At most this many keys are ever treated as hot: the broadcast side is a fixed-width
-# (bigint, int) table, so this is also its size bound (about 1 MB).
+# No more than this many keys can be hot: a hot key holds at least that share of all rows,
+# so the broadcast table of (bigint, int) rows is bounded by arithmetic (about 1 MB).
 MAX_HOT_KEYS = 65_536
-# A key is hot from this many rows on, and is cut into slices of about as many rows, so
-# all slices together are at most rows / HOT_ROWS + MAX_HOT_KEYS.
+# Below this many rows a key is not worth splitting.
 HOT_ROWS = 250_000
-MAX_SLICES = 1 << 20
 
 
 def hot_keys(rows: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame:
@@ -20,33 +18,31 @@ def hot_keys(rows: DataFrame, keys: list[str], hot_rows: int | None = None) -> D
     The count is a partial aggregation, so a hot key reaches the shuffle as one row per
     map task. Two keys sharing a hash are cut alike, which costs copies, not rows.
     """
-    limit = hot_rows or HOT_ROWS
-    return (
-        rows.groupBy(F.xxhash64(*keys).alias("__hash"))
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .where(F.col("__rows") >= limit)
-        .orderBy(F.desc("__rows"))
-        .limit(MAX_HOT_KEYS)
-        .select("__hash", _slices(limit))
+    counted = rows.groupBy(F.xxhash64(*keys).alias("__hash")).agg(
+        F.count(F.lit(1)).alias("__rows")
     )
+    return _hot(counted, hot_rows)
 
 
 def hot_groups(counted: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame:
     """Like ``hot_keys`` where ``counted`` already holds the rows per key as ``n``."""
-    limit = hot_rows or HOT_ROWS
-    return (
-        counted.where(F.col("n") >= limit)
-        .groupBy(F.xxhash64(*keys).alias("__hash"))
-        .agg(F.max("n").alias("__rows"))
-        .orderBy(F.desc("__rows"))
-        .limit(MAX_HOT_KEYS)
-        .select("__hash", _slices(limit))
-    )
+    hashed = counted.groupBy(F.xxhash64(*keys).alias("__hash")).agg(F.max("n").alias("__rows"))
+    return _hot(hashed, hot_rows)
+
 
+def _hot(counted: DataFrame, hot_rows: int | None) -> DataFrame:
+    """Keys of at least the hot size, cut into slices of about that size.
 
-def _slices(limit: int) -> Column:
-    cut = F.least(F.lit(MAX_SLICES), F.ceil(F.col("__rows") / limit))
-    return cut.cast("int").alias("__cut")
+    The size follows from the counted total alone, so every evaluation finds the same
+    keys and slices.
+    """
+    share = F.ceil(counted.agg(F.sum("__rows")).scalar() / MAX_HOT_KEYS)
+    limit = F.greatest(F.lit(hot_rows or HOT_ROWS), F.coalesce(share, F.lit(0)))
+    return (
+        counted.withColumn("__limit", limit)
+        .where(F.col("__rows") >= F.col("__limit"))
+        .select("__hash", F.ceil(F.col("__rows") / F.col("__limit")).cast("int").alias("__cut"))
+    )
 
 
 def spread_join(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -151,7 +152,7 @@ def registry_audit_big(spark, sf_dir):
 @query
 def audit_headline(spark, sf_dir):
     r = standins.registry(spark, sf_dir)
-    return registry.audit_headline(registry.audit(r), registry.duplicate_clusters(r))
+    return registry.audit_headline(r)
 
 
 @query
@@ -517,7 +518,9 @@ def match_rows(spark, sf_dir):
 
 @query
 def match_counts(spark, sf_dir):
-    return crossref.match_counts(read(spark, sf_dir), compared(spark, sf_dir))
+    return crossref.match_counts(
+        read(spark, sf_dir), compared(spark, sf_dir), standins.submissions(spark, sf_dir)
+    )
 
 
 @query
@@ -533,7 +536,9 @@ def item_verdicts(spark, sf_dir):
 
 @query
 def item_verdict_counts(spark, sf_dir):
-    return crossref.item_verdict_counts(verdicts(spark, sf_dir))
+    return crossref.item_verdict_counts(
+        verdicts(spark, sf_dir), standins.submissions(spark, sf_dir)
+    )
 
 
 # --- deep check and reports ------------------------------------------------------------------
@@ -571,20 +576,34 @@ def outcome_export(spark, sf_dir):
 
 @query
 def report_sink(spark, sf_dir):
-    """Report tables written to shared storage, then read back and counted."""
+    """Report tables written in full to shared storage; their rows are read back."""
     r = standins.registry(spark, sf_dir)
     reports = {
-        "flagged": registry.rank_flagged(registry.audit(r), None).drop("flags"),
+        "flagged": registry.rank_flagged(registry.audit(r), None),
         "clusters": registry.duplicate_clusters(r),
         "members": registry.cluster_members(r),
+        "headline": registry.audit_headline(r),
+        "deep": summary.rank_deep_results(deep(spark, sf_dir)),
     }
     folder = shared_folder(spark)
     write_reports(reports, folder)
+    lines = {
+        "flagged": [F.col("id"), flag_text()],
+        "clusters": [F.col("cluster_id"), F.concat_ws("|", "kind", "severity", "label", "n")],
+        "members": [F.concat_ws("|", "cluster_id", "id"), F.concat_ws("|", "code", "name", "status")],
+        "headline": [
+            F.lit("all"),
+            F.concat_ws("|", "scanned", "failed", "review", "clean", "strong_clusters", "weak_clusters"),
+        ],
+        "deep": [F.col("request_id"), F.concat_ws("|", "hcode", "name", "status", joined(F.col("flags")))],
+    }
     back = [
-        spark.read.parquet(f"{folder}/{n}").select(F.lit(n).alias("report")) for n in reports
+        spark.read.parquet(f"{folder}/{n}").select(
+            F.lit(n).alias("report"), key.alias("key"), line.alias("line")
+        )
+        for n, (key, line) in lines.items()
     ]
-    rows = back[0].unionByName(back[1]).unionByName(back[2])
-    return rows.groupBy("report").agg(F.count(F.lit(1)).alias("n"))
+    return reduce(DataFrame.unionByName, back)
 
 
 # --- links, pages, JSON ------------------------------------------------------------------------

@@ -666,10 +666,10 @@ ORACLES["comparisons"] = ctes(*COMPARE, select="select * replace (round(score, 4
 ORACLES["match_rows"] = ctes(*COMPARE, select="select * exclude (match, score) from mr")
 ORACLES["match_counts"] = ctes(
     *COMPARE,
-    select="""select d.request_id, coalesce(any_value(m.matched), 0) matched, coalesce(any_value(m.mismatched), 0) mismatched,
-  coalesce(any_value(m.manual), 0) manual, count(*) filter (status = 'success') documents_read, count(*) documents_total
-  from d left join (select request_id, count(*) filter (verdict = 'match') matched, count(*) filter (verdict = 'mismatch') mismatched,
-    count(*) filter (verdict = 'manual') manual from mr group by 1) m on m.request_id = d.request_id group by 1""",
+    select="""select s.request_id, coalesce(any_value(m.matched), 0) matched, coalesce(any_value(m.mismatched), 0) mismatched,
+  coalesce(any_value(m.manual), 0) manual, count(*) filter (d.status = 'success') documents_read, count(d.request_id) documents_total
+  from s left join d on d.request_id = s.request_id left join (select request_id, count(*) filter (verdict = 'match') matched, count(*) filter (verdict = 'mismatch') mismatched,
+    count(*) filter (verdict = 'manual') manual from mr group by 1) m on m.request_id = s.request_id group by 1""",
 )
 _item_rows = " union all ".join(
     f"select {i + 1} gid, {q(t)} document, {j + 1} iid, {q(label)} as label"
@@ -703,7 +703,7 @@ VERDICTS = [
 ORACLES["item_verdicts"] = ctes(*VERDICTS, select="select * from iv")
 ORACLES["item_verdict_counts"] = ctes(
     *VERDICTS,
-    select="select request_id, count(*) filter (state = 'verified') verified, count(*) filter (state = 'pending') pending from iv group by 1",
+    select="select request_id, count(*) filter (state = 'verified') verified, count(*) filter (state = 'pending') pending from (select request_id, state from iv union all select request_id, null from s) group by 1",
 )
 
 # --- rules --------------------------------------------------------------------------------------------
@@ -950,9 +950,13 @@ union all select request_id, 'duplicates', 0, 0, json_object('signal', {_signal}
 union all select request_id, 'documents', 0, 0, json_object('read', count(*) filter (status = 'success'), 'total', count(*))::varchar from d group by request_id""",
 )
 ORACLES["report_sink"] = ctes(
-    *audit_ctes(CLUSTERS, 15),
-    select="""select 'flagged' report, count(*) n from au where flagged union all select 'clusters', count(*) from cl
-union all select 'members', count(*) from ed""",
+    *_merge(DEEP, audit_ctes(CLUSTERS, 15)),
+    select="""select 'flagged' report, id as key, flags line from au where flagged
+union all select 'clusters', cluster_id, concat_ws('|', kind, severity, label, n::varchar) from cl
+union all select 'members', cluster_id || '|' || id, concat_ws('|', code, name, status) from ed
+union all select 'headline', 'all', concat_ws('|', count(*)::varchar, (count(*) filter (failed))::varchar, (count(*) filter (flagged and not failed))::varchar,
+  (count(*) filter (not flagged))::varchar, (select count(*) from cl where severity = 'strong')::varchar, (select count(*) from cl where severity = 'weak')::varchar) from au
+union all select 'deep', request_id, concat_ws('|', hcode, name, status, flags) from dr""",
 )
 
 # --- links, pages, JSON ---------------------------------------------------------------------------------------
@@ -983,31 +987,42 @@ def is_file(c: str) -> str:
     return rm(c, rf"(?i)[.]({_EXT})([?]|$)")
 
 
-def resolve(href: str, base: str) -> str:
+def dir_of(url: str) -> str:
+    path = f"regexp_replace({url}, '[?#].*$', '')"
+    return (
+        f"case when {rm(path, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]+/')} then regexp_replace({path}, '[^/]*$', '') else {path} || '/' end"
+    )
+
+
+def resolve(href: str, page: str) -> str:
     scheme = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
-    origin = rx(base, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+", 0)
+    origin = rx(page, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+", 0)
     full = (
-        f"case when {rm(href, scheme)} then {href} when starts_with({href}, '//') then {rx(base, scheme, 0)} || {href}"
-        f" when starts_with({href}, '/') then {origin} || {href} else {base} || {rr(href, '^(?:[.][.]?/)+')} end"
+        f"case when {rm(href, scheme)} then {href} when starts_with({href}, '//') then {rx(page, scheme, 0)} || {href}"
+        f" when starts_with({href}, '/') then {origin} || {href}"
+        f" when starts_with({href}, '?') then regexp_replace({page}, '[?#].*$', '') || {href}"
+        f" when starts_with({href}, '#') then regexp_replace({page}, '#.*$', '') || {href}"
+        f" else {dir_of(page)} || {href} end"
     )
+    # Dot segments by repeated replacement, enough for the depth of the stand-in's links.
+    flat = "regexp_replace(u, '/([.]/)+', '/', 'g')"
+    for _ in range(4):
+        flat = f"regexp_replace({flat}, '/[^/.][^/]*/[.][.](/|$)', '/')"
+    flat = f"regexp_replace({flat}, '^([a-z]+://[^/]+)(/[.][.])+/', '\\1/')"
     enc = (
         "array_to_string(list_transform(string_split(u, ''), lambda c: case when c = ' ' then '%20'"
         f" when {rm('c', r'[^' + chr(92) + 'x00-' + chr(92) + 'x7F]')} then url_encode(c) else c end), '')"
     )
-    return f"(select {enc} from (select {full} u))"
+    return f"(select {enc} from (select {flat} u from (select {full} u)))"
 
 
-_path = r"regexp_replace(url, '[?#].*$', '')"
-DIR = (
-    f"case when {rm(_path, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]+/')} then regexp_replace({_path}, '[^/]*$', '') else {_path} || '/' end"
-)
-_SITE = rx("dir", r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+", 0) + " || '/'"
+_SITE = rx("page", r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+", 0) + " || '/'"
 
 
 def _elements(pattern: str) -> str:
     return (
-        f"select page_id, dir, generate_subscripts(l, 1) - 1 pos, unnest(l) tag from"
-        f" (select page_id, {DIR} dir, {rall('html', pattern, 0)} l from pg)"
+        f"select page_id, page, generate_subscripts(l, 1) - 1 pos, unnest(l) tag from"
+        f" (select page_id, url page, {rall('html', pattern, 0)} l from pg)"
     )
 
 
@@ -1018,15 +1033,15 @@ CLICK = [
     f"""e1 as (select *, {trim(unescape(rr('tag', '(?s)<[^>]*>')))} as text, {attr('tag', 'data-src')} ds, {attr('tag', 'href')} ah,
       {attr('tag', 'onclick')} oc, {rm('tag', r'(?i)^<a' + chr(92) + 'b')} is_link from e0)""",
     f"""e2 as (select *, case when coalesce(ah, '') = '' or starts_with(ah, 'javascript:') or ah = '#' then {_script}
-      else {resolve('ah', 'dir')} end href from e1)""",
+      else {resolve('ah', 'page')} end href from e1)""",
 ]
 ORACLES["page_links"] = ctes(
     *CLICK,
     f"v0 as ({_elements(_VIEWER)})",
     f"v1 as (select *, coalesce(nullif({attr('tag', 'src')}, ''), {attr('tag', 'data')}) src from v0)",
-    f"""l0 as (select page_id, 0 part, pos, dir, case when coalesce({is_file('ds')}, false) then ds
+    f"""l0 as (select page_id, 0 part, pos, page, case when coalesce({is_file('ds')}, false) then ds
         when {is_file('href')} or (text <> '' and ({has_any('text', fixed.LINK_TEXT_WORDS)} or {has_any('href', fixed.LINK_HREF_WORDS)})) then href end h, text from e2
-      union all select page_id, 1, pos, dir, case when {is_file('src')} then src end, '' from v1)""",
+      union all select page_id, 1, pos, page, case when {is_file('src')} then src end, '' from v1)""",
     f"l1 as (select *, {resolve('h', _SITE)} u from l0 where coalesce(h, '') <> '')",
     """l2 as (select * from l1 where coalesce(u, '') <> '' and not starts_with(u, 'javascript:') and not ends_with(u, '#')
       qualify row_number() over (partition by page_id, u order by part, pos) = 1)""",
@@ -1035,7 +1050,7 @@ ORACLES["page_links"] = ctes(
 )
 ORACLES["modal_links"] = ctes(
     *CLICK,
-    f"""m0 as (select page_id, pos, text, coalesce(href, ah) u, case when ah <> '#' then {resolve('ah', 'dir')} end own from e2 where is_link)""",
+    f"""m0 as (select page_id, pos, text, coalesce(href, ah) u, case when ah <> '#' then {resolve('ah', 'page')} end own from e2 where is_link)""",
     select=f"""select page_id, 0::bigint part, pos, u url, text, null::varchar as type from m0 where coalesce(u, '') <> '' and {has_any('u', fixed.MODAL_HREF_WORDS)}
 union all select page_id, 1, pos, own, '{fixed.REVIEW_LINK_TEXT}', 'review_page' from m0 where contains(text, '{fixed.REVIEW_LINK_TEXT}') and coalesce(own, '') <> ''""",
 )

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rosterproof.sources import schemas
-from rosterproof.sources.tables import spread_scan
 
 AS_OF = "1999-01-01 00:00:00"
 HOST = "https://registry.example"
@@ -154,6 +153,7 @@ select page_id, url, concat(html,
   '<button onclick="window.open(''/upload/', cast(page_id as varchar(20)), '?a=1&amp;b=2'')">เอกสาร</button>',
   '<a href="#" onclick="downloadFile(''doc ', cast(page_id % 7 as varchar(20)), '.docx'')"></a>',
   '<a href="../storage/', cast(page_id % 3 as varchar(20)), '">บัตร</a><a href="/document/ü"></a>',
+  '<a href="files/old/../new/./x.pdf">x</a><a href="?file=', cast(page_id % 5 as varchar(20)), '.pdf">q</a><a href="#part.pdf">s</a>',
   '<a href="javascript:void(0)">ตรวจเอกสาร</a><a href="/admin/checklist/', cast(page_id as varchar(20)), '">ตรวจเอกสาร</a>',
   case when page_id % 2 = 0 then '<iframe src="/files/viewer.pdf?x=1"></iframe>' else '' end) as html
 from {pages}
@@ -227,7 +227,7 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def big_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per order: the larger registry used for timing."""
-    orders = spread_scan(table(spark, sf_dir, "orders"))
+    orders = table(spark, sf_dir, "orders").repartition("o_orderkey")
     return derive_big(orders, table(spark, sf_dir, "customer"))
 
 
@@ -347,8 +347,8 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(spark, sf_dir, DOCS_SQL, orders=spread_scan(table(spark, sf_dir, "orders")))
+    return derive(spark, sf_dir, DOCS_SQL, orders=table(spark, sf_dir, "orders").repartition("o_orderkey"))
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(spark, sf_dir, REPLIES_SQL, orders=spread_scan(table(spark, sf_dir, "orders")))
+    return derive(spark, sf_dir, REPLIES_SQL, orders=table(spark, sf_dir, "orders").repartition("o_orderkey"))

@@ -10,6 +10,10 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Of a key given twice the last counts, as in a browser.
+    "spark.sql.variant.allowDuplicateKeys": "true",
+    # Heavy rows: scans are split by size, small tables over the cores.
+    "spark.sql.files.maxPartitionBytes": "64m",
     "spark.ui.showConsoleProgress": "false",
     # Recording a call site for every column expression dominates plan building.
     "spark.python.sql.dataFrameDebugging.enabled": "false",

@@ -45,9 +45,73 @@ def _walker():
             )
         )
 
+    def none(_):
+        return None
+
+    def refuse(constant):
+        raise ValueError(constant)  # NaN and Infinity are not JSON
+
+    token = re.compile(
+        r'[ \t\r\n]*([{}\[\]:,]|"(?:[^"\\\x00-\x1f]|\\.)*"|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)'
+    )
+
+    def deep(body):
+        """The value of a body nested too deeply for the parser, without recursion."""
+        done, stack, at = [], [], 0
+        want = "value"
+        body = body.rstrip(" \t\r\n")
+        while at < len(body):
+            m = token.match(body, at)
+            if not m:
+                raise ValueError(at)
+            at, t = m.end(), m.group(1)
+            top = stack[-1] if stack else None
+            if want in ("value", "first") and t in "[{":
+                new = [] if t == "[" else {}
+                stack.append([new, None])
+                want = "first" if t == "[" else "key or end"
+                continue
+            if t in "]}":
+                fits = top is not None and isinstance(top[0], list) == (t == "]")
+                if not fits or want not in ("first", "key or end", "more"):
+                    raise ValueError(at)
+                value = stack.pop()[0]
+            elif want in ("key", "key or end") and t[0] == '"':
+                top[1], want = json.loads(t), "colon"
+                continue
+            elif (want, t) == ("colon", ":"):
+                want = "value"
+                continue
+            elif (want, t) == ("more", ",") and top is not None:
+                want = "value" if isinstance(top[0], list) else "key"
+                continue
+            elif want in ("value", "first") and t not in ":,":
+                value = json.loads(t) if t[0] == '"' else None  # only texts can be links
+            else:
+                raise ValueError(at)
+            if not stack:
+                done.append(value)
+                want = "end"
+            elif isinstance(stack[-1][0], list):
+                stack[-1][0].append(value)
+                want = "more"
+            else:
+                stack[-1][0][stack[-1][1]] = value
+                want = "more"
+        if stack or len(done) != 1:
+            raise ValueError(at)
+        return done[0]
+
+    def parse(body):
+        try:
+            # Numbers cannot be links, so their value, of any length, is not needed.
+            return json.loads(body, parse_int=none, parse_float=none, parse_constant=refuse)
+        except RecursionError:
+            return deep(body)
+
     def links(body):
         try:
-            root = json.loads(body) if body else None
+            root = parse(body) if body else None
         except ValueError:
             return None
         found, stack = [], [entries(root)] if isinstance(root, (dict, list)) else []

@@ -11,9 +11,16 @@ from rosterproof.functions.text import blank_to_null
 ERROR_NO_JSON = "โมเดลไม่ได้ตอบเป็น JSON"
 ERROR_BAD_JSON = "JSON parse error"
 
+_NUMBER = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL)"
+
 
 def _string(v: Column, key: str) -> Column:
-    return blank_to_null(F.try_variant_get(v, f"$.{key}", "string"))
+    """Text of a field; null where the value is empty, false or zero."""
+    value = blank_to_null(F.try_variant_get(v, f"$.{key}", "string"))
+    kind = _type(v, key)
+    no = (kind == "BOOLEAN") & (value == "false")
+    zero = kind.rlike(_NUMBER) & (value.try_cast("double") == 0)
+    return F.when(~F.coalesce(no | zero, F.lit(False)), value)
 
 
 def _type(v: Column, key: str) -> Column:
@@ -24,7 +31,8 @@ def parse_replies(replies: DataFrame) -> DataFrame:
     """Fields of each reply; ``error`` is set, and the fields null, when it has none.
 
     The object is the span from the first ``{`` to the last ``}``. A flag counts only as
-    a JSON true, a confidence only as a JSON number.
+    a JSON true, a confidence only as a JSON number. A reply that repeats a key needs the
+    session setting ``spark.sql.variant.allowDuplicateKeys``, else it is a JSON error.
     """
     span = F.regexp_extract("text", r"(?s)\{.*\}", 0)
     r = replies.withColumn("__span", span).withColumn("__v", F.try_parse_json("__span"))
@@ -32,7 +40,7 @@ def parse_replies(replies: DataFrame) -> DataFrame:
     error = F.when(F.col("__span") == "", ERROR_NO_JSON).when(v.isNull(), ERROR_BAD_JSON)
     ident = blank_to_null(digits_only(_string(v, "idNumber")))
     person, expiry = _string(v, "personName"), _string(v, "expiryDate")
-    numeric = _type(v, "confidence").rlike(r"^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    numeric = _type(v, "confidence").rlike(_NUMBER)
     return r.select(
         *replies.columns,
         error.alias("error"),

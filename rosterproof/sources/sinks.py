@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+# Where written tables go in a session that names no shared folder. Nothing sets it but a
+# caller that runs on one machine and says so.
+LOCAL_FOLDER: str | None = None
+
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder under the cluster's ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession, base: str | None = None) -> str:
+    """A fresh folder under ``base`` or the cluster's ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in local tests, is a local temporary folder used.
+    Raises where neither is given: a machine's own folder is not seen by the others.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = base or spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER
     if not base:
-        return tempfile.mkdtemp(prefix="rosterproof-")
+        raise ValueError("give a folder that all machines share, or set spark.checkpoint.dir")
     run = spark.sql("select uuid()").first()[0]
     return f"{base.rstrip('/')}/rosterproof-{run}"
 

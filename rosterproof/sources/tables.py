@@ -9,11 +9,12 @@ from rosterproof.functions.keys import digits_only
 from rosterproof.functions.text import drop_blanks, strip_tags, trim_blanks
 from rosterproof.sources import schemas
 
-PAGE_SIZE = 500
+# Wider than any page, so that pages of any size keep their order.
+PAGE_SPAN = 1 << 32
 
 
 def read_registry_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Raw registry rows of landed JSON pages, one file per page of 500 rows.
+    """Raw registry rows of landed JSON pages, one file per page.
 
     The page's number is the last number in its file name; it fixes the input order.
     """
@@ -22,7 +23,7 @@ def read_registry_pages(spark: SparkSession, path: str) -> DataFrame:
     number = F.regexp_extract(name, r"([0-9]+)[^0-9]*\z", 1).try_cast("bigint")
     return pages.select(
         F.coalesce(number, F.lit(0)).alias("page"), F.posexplode("data").alias("pos", "r")
-    ).select((F.col("page") * PAGE_SIZE + F.col("pos")).alias("input_order"), "r.*")
+    ).select((F.col("page") * PAGE_SPAN + F.col("pos")).alias("input_order"), "r.*")
 
 
 def sla_days(c: Column) -> Column:
@@ -58,26 +59,16 @@ def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet"
     return spark.read.format(fmt).schema(schema).load(path)
 
 
-def spread_scan(scan: DataFrame) -> DataFrame:
-    """A scan over all cores even where it has fewer file splits than the cluster cores.
-
-    For tables whose rows are expensive. A table of many files is left as it is, so
-    nothing is shuffled at scale.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
-
-
 def read_submissions(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     return read_table(spark, path, schemas.SUBMISSIONS, fmt)
 
 
 def read_doc_texts(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spread_scan(read_table(spark, path, schemas.DOC_TEXTS, fmt))
+    return read_table(spark, path, schemas.DOC_TEXTS, fmt)
 
 
 def read_model_responses(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spread_scan(read_table(spark, path, schemas.MODEL_RESPONSES, fmt))
+    return read_table(spark, path, schemas.MODEL_RESPONSES, fmt)
 
 
 def encode_payload(data: Column) -> Column:

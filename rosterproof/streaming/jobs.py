@@ -34,8 +34,13 @@ def verify_stream(
 
     def each(batch: DataFrame, batch_id: int) -> None:
         index = load_index(batch.sparkSession, f"{folder}/index")
-        results = verify(prepare(batch) if prepare else batch, index)
-        results.write.mode("overwrite").parquet(f"{folder}/results/batch={batch_id}")
+        # Read several times below; a lost part of it is read anew from the source.
+        batch.persist()
+        try:
+            results = verify(prepare(batch) if prepare else batch, index)
+            results.write.mode("overwrite").parquet(f"{folder}/results/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return (
         incoming.writeStream.foreachBatch(each)
@@ -73,8 +78,8 @@ def append_parquet(df: DataFrame, folder: str, **trigger) -> StreamingQuery:
     )
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A parquet file of the folder as a stream with its own schema."""
+def table_stream(spark: SparkSession, sf_dir: str, name: str, files: int = 64) -> DataFrame:
+    """A parquet table of the folder as a stream, ``files`` files at most in a batch."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    return files.parquet(sf_dir)
+    found = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    return found.option("maxFilesPerTrigger", files).parquet(sf_dir)

@@ -162,14 +162,14 @@ def test_items_and_counts(spark, docs):
         ("3", "1"): ("pending", "ไม่มีหลักฐานจากเอกสาร"),
         ("3", "2"): ("pending", "ไม่มีหลักฐานจากเอกสาร"),
     }
-    assert crossref.item_verdict_counts(crossref.item_verdicts(form, c)).first().asDict() == {
+    assert crossref.item_verdict_counts(crossref.item_verdicts(form, c), form).first().asDict() == {
         "request_id": "r", "verified": 2, "pending": 3,
     }
     # Uncovered items are judged per request, verdicts per document.
     assert [(r.document, r.label) for r in crossref.uncovered_items(form, c).collect()] == [(GROUPS[2][1], "ลายเซ็น")]
     late = crossref.item_verdicts(form, compare(spark, docs, [("r", "/1", "สพ.7", SP7, "success")], "2026-06-01")[1])
     assert {r.reason for r in late.where("group_id = '1' and item_id = '2'").collect()} == {"อ่านวันหมดอายุจากเอกสารไม่ได้"}
-    n = crossref.match_counts(documents.read_documents(docs([("r", "/1", "สพ.7", SP7, "success"), ("r", "/2", "x", "", "error")])), c)
+    n = crossref.match_counts(documents.read_documents(docs([("r", "/1", "สพ.7", SP7, "success"), ("r", "/2", "x", "", "error")])), c, form)
     assert n.first().asDict() == {
         "request_id": "r", "matched": 4, "mismatched": 0, "manual": 0, "documents_read": 1, "documents_total": 2,
     }

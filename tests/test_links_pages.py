@@ -72,13 +72,47 @@ def test_canonical(values):
 
 
 def test_resolve(values):
-    base = F.lit("https://h.example/a/b/")
-    got = values(lambda c: urls.resolve(c, base), ["x", "/x", "//o/x", "mailto:a", "../x", "http://", "javascript:;"])
-    assert got == [
-        "https://h.example/a/b/x", "https://h.example/x", "https://o/x", "mailto:a", "https://h.example/a/b/x", None, "javascript:;",
+    page = F.lit("https://h.example/a/b/page?q=1#f")
+    cases = {
+        "x": "https://h.example/a/b/x",
+        "/x": "https://h.example/x",
+        "//o/x": "https://o/x",
+        "mailto:a": "mailto:a",
+        "../x": "https://h.example/a/x",
+        "../../../x": "https://h.example/x",
+        "./x": "https://h.example/a/b/x",
+        "c/../x.pdf": "https://h.example/a/b/x.pdf",
+        "c/./d/..": "https://h.example/a/b/c/",
+        "..": "https://h.example/a/",
+        "/a/../b?x=../y": "https://h.example/b?x=../y",
+        "?v=2": "https://h.example/a/b/page?v=2",
+        "#sec": "https://h.example/a/b/page?q=1#sec",
+        "http://o/a/../b": "http://o/b",
+        "http://": None,
+        "javascript:;": "javascript:;",
+    }
+    assert dict(zip(cases, values(lambda c: urls.resolve(c, page), list(cases)), strict=True)) == cases
+    bare = F.lit("https://h.example")
+    assert values(lambda c: urls.resolve(c, bare), ["x", "../x"]) == ["https://h.example/x"] * 2
+
+
+def test_messy_markup(found):
+    html = (
+        '<a href="/files/a.pdf">A<p><a href="/files/b.pdf">B</a><a href="/x"><button onclick="go(\'/files/c.pdf\')">C</button></a>'
+        "<a class=k href=/files/d.pdf>D</a><a title='a > b' href='/files/e.pdf'>E</a><A HREF=\"/files/last.pdf\">F"
+    )
+    assert [(u.rsplit("/", 1)[1], t) for u, t, _ in found(html)] == [
+        ("a.pdf", "A"), ("b.pdf", "B"), ("c.pdf", "C"), ("d.pdf", "D"), ("e.pdf", "E"), ("last.pdf", "F"),
     ]
 
 
+def test_links_need_no_shuffle(spark):
+    df = spark.createDataFrame([(1, PAGE, "")], "page_id int, url string, html string")
+    for op in (links.page_links, links.modal_links):
+        assert "Exchange" not in op(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in links.document_urls(submission(spark))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_api_urls(values):
     got = values(urls.is_api_url, ["/api/v1/health_unit/3", "/API/Register", "/admin/health_unit_x", "/api/x", "/document", "/api/a/file"])
     assert got == [True, True, True, False, False, True]

@@ -77,7 +77,7 @@ def test_headline_and_ranking(registry):
         [("1", "", "a", "x", 20), ("2", "2", "b", "y", 99), ("3", "", "c", "z", 0), ("4", "4", "d", "w", 0)]
     )
     audited = R.audit(reg)
-    head = R.audit_headline(audited, R.duplicate_clusters(reg)).collect()[0]
+    head = R.audit_headline(reg).collect()[0]
     assert head.asDict() == {
         "scanned": 4, "failed": 2, "review": 1, "clean": 1, "strong_clusters": 0, "weak_clusters": 0,
     }
@@ -185,3 +185,32 @@ def test_hot_key_reaches_many_tasks(spark):
     hot = skew.hot_keys(many, ["k"], 100)
     assert hot.collect()[0]["__cut"] == 10
     assert skew.spread_join(many, few, ["k"], "inner", ["id"], hot).count() == 1000
+
+
+def test_empty_and_repeated_ids(registry):
+    """Groups are of rows: an id shared by several rows joins nothing that its keys don't."""
+    reg = registry([("", "1", "a", "x"), ("", "1", "b", "y"), ("", "7", "c", "z"), ("x", "9", "d", "w"), ("x", "8", "e", "w")])
+    assert [(c.cluster_id, c.n) for c in R.duplicate_clusters(reg).collect()] == [("code:1", 2)]
+    members = R.cluster_members(reg).collect()
+    assert sorted((m.id, m.code) for m in members) == [("", "1"), ("", "1")]
+    assert [(r.id, r.severity) for r in R.flagged_ids(reg).collect()] == [("", "strong")]
+    flags = {r.input_order: [f.text for f in r.flags] for r in R.audit(reg).collect()}
+    assert len(flags) == 5 and flags[0] and flags[1] and not flags[2] and not flags[3]
+
+
+def test_many_equal_hot_keys_keep_every_row(spark):
+    """Hot keys follow from the totals, so both sides agree even without exchange reuse."""
+    from pyspark.sql import functions as F
+
+    from rosterproof.operators import skew
+
+    many = spark.range(40_000).select((F.col("id") % 200).alias("k"), "id")
+    few = spark.range(200).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        hot = skew.hot_keys(many, ["k"], 50)
+        assert hot.count() == 200
+        got = skew.spread_join(many, few, ["k"], "inner", ["id"], hot)
+        assert got.count() == 40_000 and got.where("v <> 2 * k").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")

@@ -95,19 +95,35 @@ def test_shared_folder_follows_the_session(spark):
 
     a, b = sinks.shared_folder(Cluster), sinks.shared_folder(Cluster)
     assert a != b and a.startswith("hdfs://shared/tmp/rosterproof-")
-    assert "://" not in sinks.shared_folder(spark)
+    assert sinks.shared_folder(spark, "/given").startswith("/given/rosterproof-")
+
+
+def test_no_shared_folder_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(sinks, "LOCAL_FOLDER", None)
+    with pytest.raises(ValueError, match="shared|share"):
+        sinks.shared_folder(spark)
+
+
+def test_json_walk_of_odd_bodies(spark):
+    deep = "[" * 200_000 + '"/files/deep"' + "]" * 200_000
+    objects = '{"k":' * 5_000 + '{"a":"/files/x","a":"/files/y"}' + "}" * 5_000
+    bodies = {
+        deep: ["/files/deep"],
+        objects: ["/files/y"],
+        '{"n":' + "9" * 5000 + ',"f":"/files/long"}': ["/files/long"],
+        '["/files/nan", NaN]': None,
+        "[" * 5_000 + '"/files/open"': None,
+        "[" * 5_000 + '"/files/mixed"' + "}" * 5_000: None,
+        "[" * 5_000 + '"/files/a",,1' + "]" * 5_000: None,
+        '["/files/ok", -Infinity]': None,
+    }
+    df = spark.createDataFrame([(b,) for b in bodies], "body string")
+    got = df.select(api_events.file_links(df.body).alias("l")).collect()
+    for r, want in zip(got, bodies.values(), strict=True):
+        assert (r.l and [x.value for x in r.l]) == want
 
 
 @pytest.mark.parametrize("fmt", ["parquet", "json", "orc"])
 def test_reports(spark, tmp_path, fmt):
     paths = sinks.write_reports({"x": spark.range(3), "y": spark.range(2)}, str(tmp_path), fmt)
     assert [spark.read.format(fmt).load(p).count() for p in paths] == [3, 2]
-
-
-def test_small_scan_is_spread(spark, tmp_path):
-    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "t"))
-    scan = spark.read.parquet(str(tmp_path / "t"))
-    cores = spark.sparkContext.defaultParallelism
-    assert tables.spread_scan(scan).rdd.getNumPartitions() == cores
-    wide = spark.range(0, 100, 1, cores + 1)
-    assert tables.spread_scan(wide) is wide
