@@ -48,7 +48,7 @@ def messages(conversations: DataFrame) -> DataFrame:
 
 
 def quoted_lines(rows: DataFrame) -> DataFrame:
-    """Lines of the messages that quote: level, body, and the passage they belong to."""
+    """Lines of the messages that quote: level, body, passage, and whether they are blank."""
     line = F.col("line")
     lines = (
         rows.where(F.col("text").rlike("(?m)^[ \t]*>"))
@@ -69,8 +69,8 @@ def quoted_lines(rows: DataFrame) -> DataFrame:
     blank = normalised(F.col("body")) == ""
     before = F.lag(F.when(~blank, F.col("level"))).over(own)
     starts = blank | before.isNull() | (before != F.col("level"))
-    return lines.withColumn("passage", F.sum(starts.cast("int")).over(own)).where(
-        ~blank | (F.col("level") == 0)
+    return lines.withColumns(
+        {"passage": F.sum(starts.cast("int")).over(own), "blank": blank}
     )
 
 
@@ -87,7 +87,7 @@ def own_texts(rows: DataFrame, lines: DataFrame) -> DataFrame:
 def passages(lines: DataFrame) -> DataFrame:
     """Quoted passages: conv_id, turn, key, passage, level, hash."""
     return (
-        lines.where("level > 0")
+        lines.where("level > 0 and not blank")
         .groupBy("conv_id", "turn", "key", "passage", "level")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "body"))).alias("l"))
         .withColumn("hash", F.md5(normalised(F.array_join("l.body", "\n"))))

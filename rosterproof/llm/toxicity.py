@@ -83,7 +83,7 @@ class Model:
         number = np.cumsum(end)
         there = np.flatnonzero(np.bincount(number[~end]))
         z = np.bincount(number, np.where(end, 0.0, self.weights[f]))[there] + self.bias
-        return 1 / (1 + np.exp(-np.clip(z, -700, 40))), there
+        return np.where(z < -700, 0.0, 1 / (1 + np.exp(-np.clip(z, -700, 40)))), there
 
 
 def fit(sample, steps: int = 200, rate: float = 0.1, evidence: float = 0.07) -> Model:
@@ -157,7 +157,7 @@ def judge(model: Model, text: str, words: _Words) -> tuple[float, int, list[int]
         bad += (number[p >= OFFENDING] + count).tolist()
         log_clean += float(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())
         count += int((f < 0).sum())
-    return float(-np.expm1(log_clean)), count, bad
+    return max(0.0, float(-np.expm1(log_clean))), count, bad
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
