@@ -46,44 +46,29 @@ def _column(kind: str) -> str:
     return "n_" + kind.replace("+", "_")
 
 
-def _probes(requests: DataFrame, kinds: list[str], keep: list[str]) -> DataFrame:
-    return group_rows(requests, kinds, keep)
-
-
-def _hot_probes(requests: DataFrame) -> DataFrame:
-    """Groups that very many requests fall into; shared by both joins of a lookup."""
-    return hot_keys(_probes(requests, list(KINDS), []), GROUP_KEYS)
-
-
-def group_matches(requests: DataFrame, counts: DataFrame) -> DataFrame:
-    """(request_id, group, n): the registry groups each request falls into."""
-    probes = _probes(requests, list(KINDS), ["request_id"])
-    hot = _hot_probes(requests)
-    return spread_join(probes, counts, GROUP_KEYS, "inner", ["request_id"], hot)
+_KEYS = ("code_key", "name_key", "owner_key")
 
 
 @dataclass(frozen=True)
 class RegistryIndex:
-    """What a lookup needs of a registry: four tables, each one row or a few per key."""
+    """What a lookup needs of a registry: one row per group and id, and the record count."""
 
-    counts: DataFrame  # group, n
-    firsts: DataFrame  # group, first members
-    own: DataFrame  # hu_id and its match keys
+    groups: DataFrame  # group, n, top (its first members)
     total: DataFrame  # n
 
 
 def registry_index(registry: DataFrame) -> RegistryIndex:
     keyed = with_keys(registry)
+    record = F.struct("input_order", "id", "name", "code", "status", *_KEYS)
     # One more than is shown, since the request's own record is left out afterwards.
-    firsts = first_members(keyed, _LISTED, TOP_DUPLICATES + 1)
-    own = keyed.select(
-        F.col("id").alias("hu_id"),
-        *[F.col(k).alias(f"__own_{k}") for k in ("code_key", "name_key", "owner_key")],
-    ).where(F.col("hu_id") != "")
+    firsts = (
+        first_members(keyed, _LISTED, TOP_DUPLICATES + 1)
+        .groupBy(*GROUP_KEYS)
+        .agg(F.sort_array(F.collect_list(record)).alias("top"))
+    )
+    counts = group_counts(keyed, list(KINDS))
     return RegistryIndex(
-        counts=group_counts(keyed, list(KINDS)),
-        firsts=firsts.withColumnRenamed("code_key", "__code_key"),
-        own=own,
+        groups=counts.join(firsts, GROUP_KEYS, "full"),
         total=registry.agg(F.count(F.lit(1)).alias("n")),
     )
 
@@ -98,40 +83,62 @@ def load_index(spark: SparkSession, folder: str) -> RegistryIndex:
     return RegistryIndex(**{n: spark.read.parquet(f"{folder}/{n}") for n in names})
 
 
-def match_counts(
-    requests: DataFrame, index: RegistryIndex, generic_at: int = GENERIC_AT
-) -> DataFrame:
-    """Per request: strong_code_n, strong_owner_n, weak_n, owner_n, generic, checked."""
-    hits = group_matches(requests, index.counts)
-    per_request = hits.groupBy("request_id").agg(
-        *[F.max(F.when(F.col("kind") == k, F.col("n"))).alias(_column(k)) for k in KINDS]
-    )
-    joined = spread_join(requests, index.own, ["hu_id"], "left", ["request_id"]).join(
-        per_request, "request_id", "left"
-    )
+def _found(requests: DataFrame, index: RegistryIndex, generic_at: int) -> DataFrame:
+    """One row per request: its keys, its match counts, and the first members it met.
 
-    def same(key: str) -> Column:
-        return F.coalesce((F.col(key) != "") & (F.col(f"__own_{key}") == F.col(key)), F.lit(False))
+    All groups of a request, and its own id, are probed together, so requests are read
+    once and met once. ``__code`` .. ``__owner`` are the members by kind.
+    """
+    keep = ["request_id", "hu_id", *_KEYS]
+    probes = group_rows(requests, list(KINDS), keep, "hu_id")
+    hot = hot_keys(probes, GROUP_KEYS)
+    hits = spread_join(probes, index.groups, GROUP_KEYS, "left", ["request_id"], hot)
+
+    def of(kind: str, column: str) -> Column:
+        return F.first(F.when(F.col("kind") == kind, F.col(column)), ignorenulls=True)
+
+    row = hits.groupBy("request_id").agg(
+        *[F.first(c).alias(c) for c in keep[1:]],
+        *[of(k, "n").alias(_column(k)) for k in KINDS],
+        *[of(k, "top").alias(f"__{k.replace('name+owner', 'own')}") for k in _LISTED],
+        of("id", "top").alias("__self"),
+    )
+    mine = F.when(F.col("hu_id") != "", F.col("__self"))
 
     def others(kind: str) -> Column:
-        """Group size without the request's own registry record."""
-        used = [k for k, u in zip(("code_key", "name_key", "owner_key"), KINDS[kind]) if u]
-        mine = same(used[0])
-        for k in used[1:]:
-            mine = mine & same(k)
-        return F.coalesce(_column(kind), F.lit(0)) - mine.cast("bigint")
+        """Group size without the registry records of the request's own id."""
+        used = [k for k, u in zip(_KEYS, KINDS[kind]) if u]
+
+        def same(r: Column) -> Column:
+            equal = F.lit(True)
+            for k in used:
+                equal = equal & (F.col(k) != "") & (r[k] == F.col(k))
+            return equal
+
+        own = F.coalesce(F.size(F.filter(mine, same)), F.lit(0))
+        return (F.coalesce(_column(kind), F.lit(0)) - F.greatest(own, F.lit(0))).cast("bigint")
 
     generic = F.coalesce(F.col("n_name") >= generic_at, F.lit(False))
     named = others("name+owner") - others("code+name+owner")
     weak = others("name") - others("code+name") - named
-    return joined.select(
-        "request_id",
-        others("code").alias("strong_code_n"),
-        F.when(generic, F.lit(0)).otherwise(named).cast("bigint").alias("strong_owner_n"),
-        F.when(generic, F.lit(0)).otherwise(weak).cast("bigint").alias("weak_n"),
-        others("owner").alias("owner_n"),
-        generic.alias("generic"),
-    ).withColumn("checked", index.total.scalar())
+    return row.withColumns(
+        {
+            "strong_code_n": others("code"),
+            "strong_owner_n": F.when(generic, F.lit(0)).otherwise(named).cast("bigint"),
+            "weak_n": F.when(generic, F.lit(0)).otherwise(weak).cast("bigint"),
+            "owner_n": others("owner"),
+            "generic": generic,
+            "checked": index.total.scalar(),
+        }
+    )
+
+
+def match_counts(
+    requests: DataFrame, index: RegistryIndex, generic_at: int = GENERIC_AT
+) -> DataFrame:
+    """Per request: strong_code_n, strong_owner_n, weak_n, owner_n, generic, checked."""
+    counts = ["strong_code_n", "strong_owner_n", "weak_n", "owner_n", "generic", "checked"]
+    return _found(requests, index, generic_at).select("request_id", *counts)
 
 
 def match_groups(
@@ -142,14 +149,9 @@ def match_groups(
     Counts leave out the request's own record and apply the priority code > name and
     owner > name, so they add up to the number of matching records.
     """
-    counts = match_counts(requests, index, generic_at)
-    joined = requests.join(counts, "request_id")
 
     def reason(kind: str, severity: str, why: str, n: str) -> Column:
-        parts = [
-            F.col(k) if u else F.lit("")
-            for k, u in zip(("code_key", "name_key", "owner_key"), KINDS[kind])
-        ]
+        parts = [F.col(k) if u else F.lit("") for k, u in zip(_KEYS, KINDS[kind])]
         fields = [F.lit(kind), *parts, F.lit(severity), F.lit(why), F.col(n)]
         names = [*GROUP_KEYS, "severity", "why", "n"]
         return F.when(F.col(n) > 0, F.struct(*[f.alias(a) for f, a in zip(fields, names)]))
@@ -159,7 +161,8 @@ def match_groups(
         reason("name+owner", "strong", fixed.WHY_NAME_OWNER, "strong_owner_n"),
         reason("name", "weak", fixed.WHY_NAME, "weak_n"),
     )
-    return joined.select("request_id", F.inline(F.filter(reasons, lambda r: r.isNotNull())))
+    found = _found(requests, index, generic_at)
+    return found.select("request_id", F.inline(F.filter(reasons, lambda r: r.isNotNull())))
 
 
 def group_members(registry: DataFrame) -> DataFrame:
@@ -177,39 +180,27 @@ def lookup(
     first eight strong matches, or weak ones where no match is strong.
     ``owner_units``: struct(n, top), the first six other records of the owner.
     """
-    counts = match_counts(requests, index, generic_at)
-    probes = _probes(
-        requests.withColumn("__my_code", F.col("code_key")),
-        _LISTED,
-        ["request_id", "hu_id", "__my_code"],
-    )
-    hot = _hot_probes(requests)
-    near = spread_join(probes, index.firsts, GROUP_KEYS, "inner", ["request_id"], hot).where(
-        F.col("id") != F.col("hu_id")
-    )
-    why = (
-        F.when(
-            (F.col("__my_code") != "") & (F.col("__code_key") == F.col("__my_code")),
-            fixed.WHY_CODE,
-        )
-        .when(F.col("kind") == "name+owner", fixed.WHY_NAME_OWNER)
-        .otherwise(fixed.WHY_NAME)
-    )
-    record = F.struct(
-        "input_order", F.when(F.col("kind") != "owner", why).alias("why"), "id", "name", "code", "status"
-    )
-
-    def listed(*kinds: str) -> Column:
-        # Nine records of each kind at most reach a request.
-        return F.array_sort(F.collect_set(F.when(F.col("kind").isin(*kinds), record)))
-
-    tops = near.groupBy("request_id").agg(
-        listed("code").alias("__code"),
-        listed("name+owner").alias("__own"),
-        listed("name").alias("__name"),
-        listed("owner").alias("__owner"),
-    )
-    joined = requests.select("request_id").join(counts, "request_id").join(tops, "request_id", "left")
+    found = _found(requests, index, generic_at)
+    my_code = F.col("code_key")
+
+    def listed(column: str, why: str | None) -> Column:
+        def shown(r: Column) -> Column:
+            reason = F.lit(why).cast("string")
+            if why:
+                by_code = (my_code != "") & (r["code_key"] == my_code)
+                reason = F.when(by_code, fixed.WHY_CODE).otherwise(reason)
+            rest = [r[f].alias(f) for f in ("id", "name", "code", "status")]
+            return F.struct(r["input_order"].alias("input_order"), reason.alias("why"), *rest)
+
+        others = F.filter(column, lambda r: r["id"] != F.col("hu_id"))
+        return F.coalesce(F.transform(others, shown), F.array().cast(_SHOWN))
+
+    lists = {
+        "__code": listed("__code", fixed.WHY_CODE),
+        "__own": listed("__own", fixed.WHY_NAME_OWNER),
+        "__name": listed("__name", fixed.WHY_NAME),
+        "__owner": listed("__owner", None),
+    }
     strong_n = F.col("strong_code_n") + F.col("strong_owner_n")
     strong = F.when(F.col("generic"), F.col("__code")).otherwise(
         F.array_sort(F.array_union("__code", "__own"))
@@ -217,7 +208,7 @@ def lookup(
     top = F.when(strong_n > 0, F.slice(strong, 1, TOP_DUPLICATES)).when(
         F.col("weak_n") > 0, F.slice("__name", 1, TOP_DUPLICATES)
     )
-    return joined.select(
+    return found.withColumns(lists).select(
         "request_id",
         F.struct(
             strong_n.alias("strong_n"),
@@ -232,6 +223,11 @@ def lookup(
     )
 
 
+_SHOWN = (
+    "array<struct<input_order:bigint,why:string,id:string,name:string,code:string,status:string>>"
+)
+
+
 def top_duplicates(looked_up: DataFrame) -> DataFrame:
     """The listed matches as rows, with their rank and how many more there are."""
     d = F.col("duplicates")

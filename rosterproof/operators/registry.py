@@ -45,10 +45,13 @@ def with_keys(registry: DataFrame) -> DataFrame:
     )
 
 
-def group_rows(keyed: DataFrame, kinds: list[str], keep: list[str]) -> DataFrame:
+def group_rows(
+    keyed: DataFrame, kinds: list[str], keep: list[str], id_column: str | None = None
+) -> DataFrame:
     """One row per record and kind of group it belongs to.
 
-    A record belongs to a kind when all of the kind's keys are non-empty.
+    A record belongs to a kind when all of the kind's keys are non-empty. With
+    ``id_column`` every record also has a row of kind ``id``.
     """
     names = ("code_key", "name_key", "owner_key")
 
@@ -62,7 +65,11 @@ def group_rows(keyed: DataFrame, kinds: list[str], keep: list[str]) -> DataFrame
         fields = [F.lit(kind), *parts]
         return F.when(ok, F.struct(*[f.alias(n) for f, n in zip(fields, GROUP_KEYS)]))
 
-    entries = F.filter(F.array(*[entry(k) for k in kinds]), lambda e: e.isNotNull())
+    every = [entry(k) for k in kinds]
+    if id_column:
+        parts = [F.lit("id"), F.col(id_column), F.lit(""), F.lit("")]
+        every.append(F.struct(*[f.alias(n) for f, n in zip(parts, GROUP_KEYS)]))
+    entries = F.filter(F.array(*every), lambda e: e.isNotNull())
     return keyed.select(*keep, F.inline(entries))
 
 
@@ -400,11 +407,11 @@ def review_queue(registry: DataFrame, base_url: str, n: int | None = None) -> Da
 
 
 def first_members(keyed: DataFrame, kinds: list[str], k: int) -> DataFrame:
-    """The first ``k`` members of each group, in input order.
+    """The first ``k`` members of each group, and of each id, in input order.
 
     Spark limits each group to k rows in every map task before the shuffle.
     """
-    keep = ["id", "code", "name", "status", "input_order", "code_key"]
+    keep = ["id", "code", "name", "status", "input_order", *TRIPLE]
     w = Window.partitionBy(*GROUP_KEYS).orderBy("input_order")
-    rows = group_rows(keyed, kinds, keep).withColumn("__rank", F.row_number().over(w))
+    rows = group_rows(keyed, kinds, keep, "id").withColumn("__rank", F.row_number().over(w))
     return rows.where(F.col("__rank") <= k).drop("__rank")
