@@ -133,17 +133,27 @@ def smallest_reachable(edges: DataFrame, name: str) -> DataFrame:
     return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def meet(rows: DataFrame, grouped: DataFrame, key: str) -> DataFrame:
+    """Rows joined to the one row that ``grouped`` has for their key.
+
+    A null-safe equality is keyed otherwise than the aggregation that made ``grouped``, so
+    both sides are shuffled for the join and AQE can split a hot key of ``rows``.
+    """
+    other = grouped.withColumnRenamed(key, "__key")
+    return rows.join(other, rows[key].eqNullSafe(other["__key"])).drop("__key")
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star round over edges a > b: neighbours are linked to the smallest one."""
     if large:
         around = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = around.groupBy("a").agg(F.min("b").alias("m"))
         low = low.select("a", F.least("a", "m").alias("m"))
-        out = around.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        out = meet(around.where("b > a"), low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         low = edges.groupBy("a").agg(F.min("b").alias("m"))
         out = (
-            edges.join(low, "a")
+            meet(edges, low, "a")
             .select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
         )
     return out.where("a <> b").distinct()

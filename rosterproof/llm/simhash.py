@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from rosterproof.llm.common import (
     components,
     in_set,
+    meet,
     raw,
     same_columns,
     sliced,
@@ -270,7 +271,7 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFr
         "fp", F.coalesce("root", "fp").alias("root"), "low_id"
     )
     lowest = labelled.groupBy("root").agg(F.min("low_id").alias("component_id"))
-    ids = labelled.join(lowest, "root").select(F.col("fp").alias("of"), "component_id")
+    ids = meet(labelled, lowest, "root").select(F.col("fp").alias("of"), "component_id")
     return rows.join(ids, rows["fp"] == ids["of"]).select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -365,7 +366,7 @@ def similar_groups(docs: DataFrame, words: int, similarity: float) -> DataFrame:
         "node", F.coalesce("root", "node").alias("root"), "low_id"
     )
     lowest = labelled.groupBy("root").agg(F.min("low_id").alias("component_id"))
-    ids = labelled.join(lowest, "root").select(F.col("node").alias("of"), "component_id")
+    ids = meet(labelled, lowest, "root").select(F.col("node").alias("of"), "component_id")
     return rows.select("doc_id", "node").join(ids, F.col("node") == F.col("of")).select(
         "doc_id", "component_id"
     )

@@ -1,14 +1,14 @@
 """Toxicity by multiple-instance learning.
 
-Only whole documents carry labels. A sentence is a bag of hashed words with probability
-p = sigmoid(w . x + b), and a document is toxic if any sentence is (noisy-or):
-P = 1 - prod(1 - p). The weights are fitted by gradient ascent on the document labels of a
-bounded sample (``SAMPLE_ROWS`` documents, ``SAMPLE_BYTES`` of features); every document
-is then scored and its offending sentences are located.
-
-Cases: an empty or null text has no sentence and scores 0; null ids and repeated rows are
-scored like any row; without usable labels every score is 0; a text of any length is read
-in parts cut at sentence ends.
+Only whole documents carry labels. A sentence is a bag of words with probability
+p = sigmoid(w . x + b), and a document is toxic if any sentence is, or by a leak L common
+to all (noisy-or): P = 1 - (1 - L) * prod(1 - p). The weights are fitted by gradient ascent
+on the document labels of a bounded sample (``SAMPLE_ROWS`` documents, ``SAMPLE_BYTES`` of
+features); every document is then scored and its offending sentences are located.
+
+Cases: an empty or null text has no sentence and scores the leak; null ids and repeated
+rows are scored like any row; without usable labels every score is 0; a text of any length
+is read in parts cut at sentence ends.
 """
 
 from __future__ import annotations
@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 from rosterproof.llm.common import sliced
 from rosterproof.llm.sample import labelled_features
 
-SAMPLE_ROWS = 8_000
-SAMPLE_BYTES = 64 << 20
-BUCKETS = 1 << 18
+SAMPLE_ROWS = 6_000
+SAMPLE_BYTES = 32 << 20
+#: Words are known by their CRC-32; this value stands for a sentence end.
+END = 0xFFFFFFFF
 #: A word must occur in this many documents of the sample to get a weight.
 MIN_DOCS = 5
 PART = 1 << 20
@@ -38,12 +39,12 @@ _END = re.compile(r"[.!?\n]")
 
 
 class _Words(dict):
-    """Feature of a token; -1 for a sentence end. Bounded: emptied when it gets large."""
+    """Feature of a token. Bounded: emptied when it gets large."""
 
     def __missing__(self, token: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        f = -1 if token in ".!?\n" else zlib.crc32(token.encode()) % BUCKETS
+        f = END if token in ".!?\n" else min(zlib.crc32(token.encode()), END - 1)
         self[token] = f
         return f
 
@@ -62,8 +63,8 @@ def text_parts(text: str, size: int = PART):
 
 
 def features(text: str, words: _Words) -> np.ndarray:
-    """Features of a text's words, a sentence end as -1, in order."""
-    return np.array([words[t] for t in _TOKEN.findall(text.lower())], np.int32)
+    """Features of a text's words and sentence ends, in order."""
+    return np.array([words[t] for t in _TOKEN.findall(text.lower())], np.uint32)
 
 
 def encode(text: str) -> bytes:
@@ -72,74 +73,127 @@ def encode(text: str) -> bytes:
 
 
 class Model:
-    """Word weights and bias of a sentence's score."""
+    """Words with a weight, a sentence's bias, and the leak of a document."""
 
-    def __init__(self, weights: np.ndarray, bias: float):
-        self.weights, self.bias = weights, bias
+    def __init__(self, words: np.ndarray, weights: np.ndarray, bias: float, leak: float):
+        order = np.argsort(words)
+        self.words, self.weights = words[order].astype(np.uint32), weights[order].astype(float)
+        self.bias, self.leak = bias, leak
+
+    def weigh(self, f: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(len(f))
+        at = np.minimum(np.searchsorted(self.words, f), len(self.words) - 1)
+        return np.where(self.words[at] == f, self.weights[at], 0.0)
 
     def sentences(self, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Probability of each sentence that has a word, and its number among all."""
-        end = f < 0
+        end = f == END
         number = np.cumsum(end)
         there = np.flatnonzero(np.bincount(number[~end]))
-        z = np.bincount(number, np.where(end, 0.0, self.weights[f]))[there] + self.bias
+        z = np.bincount(number, np.where(end, 0.0, self.weigh(f)))[there] + self.bias
         return np.where(z < -700, 0.0, 1 / (1 + np.exp(-np.clip(z, -700, 40)))), there
 
 
-def fit(sample, steps: int = 200, rate: float = 0.1, evidence: float = 0.07) -> Model:
+def _sketch(words: np.ndarray, size: int = 8) -> list[tuple[int, int]]:
+    """Min-hashes of a document's three-word shingles; near copies share one."""
+    if len(words) < 3:
+        return [(-1, hash(words.tobytes()))]
+    shingles = words[:-2] * np.uint64(0x9E3779B97F4A7C15) + words[1:-1] * np.uint64(
+        0xC2B2AE3D27D4EB4F
+    )
+    shingles = (shingles ^ (shingles >> np.uint64(29))) + words[2:] * np.uint64(0x165667B19E3779F9)
+    shingles ^= shingles >> np.uint64(32)
+    odd = [np.uint64((0xD6E8FEB86659FD93 * (2 * k + 1)) % (1 << 64) | 1) for k in range(size)]
+    return [(k, int((shingles * m).min())) for k, m in enumerate(odd)]
+
+
+class _Sample:
+    """A sample's words as flat arrays, the words numbered by ``words``."""
+
+    def __init__(self, sample):
+        # Copies would count a label, right or wrong, as often as there are copies.
+        docs, labels, seen = [], [], set()
+        for x, y in sample:
+            f = np.frombuffer(x, np.uint32)
+            marks = _sketch(f[f != END].astype(np.uint64))
+            if seen.isdisjoint(marks):
+                docs.append(f)
+                labels.append(y)
+            seen.update(marks)
+        self.y = np.array(labels, float)
+        if not docs:
+            return
+        flat = np.concatenate(docs)
+        doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+        number = np.cumsum(flat == END) + doc  # differs between documents
+        word = flat != END
+        doc, number = doc[word], number[word]
+        self.words, self.flat = np.unique(flat[word], return_inverse=True)
+        pair = np.unique(doc.astype(np.int64) * len(self.words) + self.flat)
+        at, of = pair % max(1, len(self.words)), pair // max(1, len(self.words))
+        self.df = np.bincount(at, minlength=len(self.words))
+        self.with1 = np.bincount(at, self.y[of], len(self.words))
+        _, first, self.sentence = np.unique(number, return_index=True, return_inverse=True)
+        self.doc = doc[first]
+
+
+def fit(sample, steps: int = 200, rate: float = 0.1, evidence: float = 0.07, sure: float = 5.0) -> Model:
     """Noisy-or maximum likelihood on (features, label) pairs, by Adam over the sample.
 
-    A weight is penalised by its size times ``evidence`` * sqrt(sample) documents, so that a
-    word keeps one only if the documents that speak for it exceed chance.
+    A document has a leak besides its sentences: the share labelled 1 for no reason in
+    the text, which would else fall to long documents. First a weight is penalised by its
+    size times ``evidence`` * sqrt(sample) documents, so that only words for which more
+    documents speak than chance would have keep one. Then the words of weight 1 or more
+    are fitted again without penalty, and with them those that another word of the same
+    documents had stood in for: whose documents are labelled 1 more often than usual by
+    ``sure`` standard deviations.
     """
-    docs, labels = [], []
-    for x, y in sample:
-        docs.append(np.frombuffer(x, np.int32))
-        labels.append(y)
-    nothing = Model(np.zeros(BUCKETS), -np.inf)
-    y = np.array(labels, float)
+    s = _Sample(sample)
+    y = s.y
+    none = np.zeros(0)
     if not len(y) or y.min() == y.max():
-        return nothing if not len(y) or y.max() == 0 else Model(np.zeros(BUCKETS), 40.0)
-    sizes = np.array([len(d) for d in docs])
-    flat = np.concatenate(docs)
-    of_doc = np.repeat(np.arange(len(docs)), sizes)
-    number = np.cumsum(flat < 0) + of_doc  # differs between documents
-    word = flat >= 0
-    flat, of_doc, number = flat[word], of_doc[word], number[word]
-    # Words in order of documents: count each once for a document.
-    pair = np.unique(of_doc.astype(np.int64) * BUCKETS + flat)
-    df = np.bincount(pair % BUCKETS, minlength=BUCKETS)
-    with1 = np.bincount(pair % BUCKETS, y[pair // BUCKETS], BUCKETS)
-    known = np.flatnonzero(df >= MIN_DOCS)
-    column = np.full(BUCKETS, -1)
+        return Model(none, none, -np.inf, float(len(y) > 0 and y.max() == 1))
+    share = y.mean()
+    enough = np.flatnonzero(s.df >= MIN_DOCS)
+    odds = np.log((s.with1 + share) / (s.df - s.with1 + 1 - share)) - np.log(share / (1 - share))
+    start = np.clip(odds, -2, 4)
+    spread = (s.with1 - s.df * share) / np.sqrt(s.df * share * (1 - share))
+    params = _ascend(
+        s, enough, np.r_[start[enough], -7.0, -3.0], steps, rate, evidence * np.sqrt(len(y))
+    )
+    kept = (np.abs(params[:-2]) >= 1) | (spread[enough] >= sure)
+    known = enough[kept]
+    first = np.where(np.abs(params[:-2]) >= 1, params[:-2], start[enough])[kept]
+    params = _ascend(s, known, np.r_[first, params[-2:]], steps, rate, 0.0)
+    leak = float(1 / (1 + np.exp(-params[-1])))
+    return Model(s.words[known], params[:-2], float(params[-2]), leak)
+
+
+def _ascend(s: _Sample, known: np.ndarray, params: np.ndarray, steps: int, rate: float, penalty: float):
+    """Adam steps on (weights of the known words, bias, leak)."""
+    y, n = s.y, len(s.doc)
+    column = np.full(len(s.words), -1)
     column[known] = np.arange(len(known))
-    _, first, sentence = np.unique(number, return_index=True, return_inverse=True)
-    doc = of_doc[first]
-    use = column[flat] >= 0
-    col, row = column[flat[use]], sentence[use]
-    rate1 = y.mean()
-    odds = np.log((with1[known] + rate1) / (df[known] - with1[known] + 1 - rate1))
-    w = np.clip(odds - np.log(rate1 / (1 - rate1)), -2, 4)
-    b = -5.0
-    params = np.r_[w, b]
+    use = column[s.flat] >= 0
+    col, row = column[s.flat[use]], s.sentence[use]
     m = v = np.zeros(len(params))
-    n = len(first)
     for t in range(1, steps + 1):
-        z = np.bincount(row, params[col], n) + params[-1]
+        z = np.bincount(row, params[col], n) + params[-2]
         p = np.clip(1 / (1 + np.exp(-np.clip(z, -40, 40))), 1e-12, 1 - 1e-9)
-        clean = np.exp(np.bincount(doc, np.log1p(-p), len(y)))
-        any_ = np.maximum(1 - clean, 1e-9)
-        up = np.where(y == 1, clean / any_, -1.0)[doc] * p
-        g = np.r_[np.bincount(col, up[row], len(known)), up.sum()] / len(y)
-        g[:-1] -= evidence / np.sqrt(len(y)) * np.sign(params[:-1])
+        leak = 1 / (1 + np.exp(-params[-1]))
+        clean = (1 - leak) * np.exp(np.bincount(s.doc, np.log1p(-p), len(y)))
+        each = np.where(y == 1, clean / np.maximum(1 - clean, 1e-9), -1.0)
+        up = each[s.doc] * p
+        g = np.r_[np.bincount(col, up[row], len(known)), up.sum(), each.sum() * leak] / len(y)
+        g[:-2] -= penalty / len(y) * np.sign(params[:-2])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = rate * (1 - t / (steps + 1))
-        old = params[:-1]
+        old = params[:-2]
         params = params + step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        params[:-1][old * params[:-1] < 0] = 0  # a weight rests at zero before it changes sign
-    weights = np.zeros(BUCKETS)
-    weights[known] = params[:-1]
-    return Model(weights, float(params[-1]))
+        if penalty:
+            params[:-2][old * params[:-2] < 0] = 0  # a weight rests at zero before it changes sign
+    return params
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
@@ -150,13 +204,13 @@ def fit_documents(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
 
 def judge(model: Model, text: str, words: _Words) -> tuple[float, int, list[int]]:
     """(score, sentences, numbers of the offending sentences) of a text."""
-    log_clean, count, bad = 0.0, 0, []
+    log_clean, count, bad = float(np.log1p(-min(model.leak, 1 - 1e-12))), 0, []
     for _, part in text_parts(text):
         f = features(part, words)
         p, number = model.sentences(f)
         bad += (number[p >= OFFENDING] + count).tolist()
         log_clean += float(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())
-        count += int((f < 0).sum())
+        count += int((f == END).sum())
     return max(0.0, float(-np.expm1(log_clean))), count, bad
 
 
