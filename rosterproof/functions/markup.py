@@ -1,0 +1,23 @@
+"""Columns over pieces of HTML: tags, attributes, entities."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# What follows a tag's name up to its end; a quoted value may hold the closing sign.
+REST_OF_TAG = r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+>"
+_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+
+
+def unescape(c: Column) -> Column:
+    for entity, char in _ENTITIES:
+        c = F.replace(c, F.lit(entity), F.lit(char))
+    return c
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute in an opening tag, quoted or not; null when it is absent."""
+    p = rf"(?is)^<.*?\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    value = F.concat(*[F.regexp_extract(tag, p, k) for k in (1, 2, 3)])
+    return F.when(tag.rlike(p), unescape(value))

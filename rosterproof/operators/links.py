@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from rosterproof.functions import fixed, urls
 from rosterproof.functions.extract import guess_doc_type
 from rosterproof.functions.keys import first_given, given
+from rosterproof.functions.markup import REST_OF_TAG, attribute, unescape
 from rosterproof.functions.text import blank_to_null, trim_blanks
 
 # A page is cut before each tag of a link or button; a piece that opens one is the element,
 # so an element ends where it is closed or where the next one opens, closed or not.
 _CUT = r"(?i)(?=</?(?:a|button)\b)"
 _OPENS = r"(?i)^<(?:a|button)\b"
-_REST = r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+>"
-_TAG = rf"^<{_REST}"
-_VIEWER = rf"(?i)<(?:iframe|embed|object)\b{_REST}"
+_TAG = rf"^<{REST_OF_TAG}"
+_VIEWER = rf"(?i)<(?:iframe|embed|object)\b{REST_OF_TAG}"
 _EXT = "|".join(fixed.FILE_EXTENSIONS)
 # The four ways a script names a file, tried in this order.
 _ONCLICK = [
@@ -27,20 +27,6 @@ _ONCLICK = [
     r"(?i)downloadFile\(['\"]([^'\"]+)['\"]",
     r"(?i)['\"]([^'\"]+/[^'\"]+)['\"]",
 ]
-_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
-
-
-def unescape(c: Column) -> Column:
-    for entity, char in _ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
-
-
-def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute in an opening tag, quoted or not; null when it is absent."""
-    p = rf"(?is)^<.*?\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-    value = F.concat(*[F.regexp_extract(tag, p, k) for k in (1, 2, 3)])
-    return F.when(tag.rlike(p), unescape(value))
 
 
 def _structs(array: Column, **fields: Callable[[Column], Column]) -> Column:

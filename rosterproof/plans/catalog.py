@@ -13,10 +13,10 @@ from rosterproof.functions.names import add_name_similarity
 from rosterproof.operators import crossref, documents, duplicates, links, pages, registry, rules, summary
 from rosterproof.operators.skew import hot_keys
 from rosterproof.plans import standins
-from rosterproof.sources import tables
-from rosterproof.sources.api_events import event_links
+from rosterproof.sources import schemas, tables
+from rosterproof.sources.api_events import event_links, read_api_events
 from rosterproof.sources.model_replies import parse_replies
-from rosterproof.sources.sinks import shared_folder, write_reports
+from rosterproof.sources.sinks import land, shared_folder, write_reports
 from rosterproof.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -606,6 +606,28 @@ def report_sink(spark, sf_dir):
     return reduce(DataFrame.unionByName, back)
 
 
+@query
+def landed_sources(spark, sf_dir):
+    """Inputs landed as files in their declared layouts, read back through the readers."""
+    folder = shared_folder(spark)
+    land(standins.submissions(spark, sf_dir), f"{folder}/submissions", schemas.SUBMISSIONS, "json")
+    land(standins.documents(spark, sf_dir), f"{folder}/documents", schemas.DOC_TEXTS)
+    land(standins.replies(spark, sf_dir), f"{folder}/replies", schemas.MODEL_RESPONSES)
+    events = standins.derive(spark, sf_dir, standins.EVENTS_SQL)
+    land(events, f"{folder}/events", schemas.API_EVENTS)
+    rows = {
+        "submissions": (tables.read_submissions(spark, f"{folder}/submissions"), "request_id", "health_unit_name"),
+        "documents": (tables.read_doc_texts(spark, f"{folder}/documents"), "url", "status"),
+        "replies": (tables.read_model_responses(spark, f"{folder}/replies"), "request_id", "text"),
+        "events": (read_api_events(spark, f"{folder}/events"), "event_id", "body"),
+    }
+    back = [
+        df.select(F.lit(n).alias("source"), F.col(k).cast("string").alias("key"), F.col(v).alias("value"))
+        for n, (df, k, v) in rows.items()
+    ]
+    return reduce(DataFrame.unionByName, back)
+
+
 # --- links, pages, JSON ------------------------------------------------------------------------
 
 
@@ -664,10 +686,7 @@ def checklist_headings(spark, sf_dir):
 @query
 def checklist_groups(spark, sf_dir):
     p = standins.derive(spark, sf_dir, standins.PAGE_TEXT_SQL)
-    heads = F.transform(
-        F.regexp_extract_all("html", F.lit("<h3>(.*?)</h3>"), F.lit(1)), lambda h: h
-    )
-    p = p.select("k", "html", pages.step_titles(heads).alias("titles"))
+    p = p.select("k", "html", pages.step_titles(pages.page_headings(F.col("html"))).alias("titles"))
     g = p.select(
         "k", F.posexplode(pages.checklist_groups(F.col("html"), F.col("titles"))).alias("pos", "g")
     )

@@ -1187,6 +1187,16 @@ ORACLES["payload_decode"] = """
 select doc_id, case when trim(text) <> '' then strlen(text) end n_chars, case when trim(text) <> '' then md5(text) end digest,
   case when trim(text) <> '' then 'raw-text' end as method, case when trim(text) <> '' then 'success' else 'error' end status from documents"""
 
+ORACLES["landed_sources"] = ctes(
+    S,
+    D,
+    f"rp as ({std(standins.REPLIES_SQL)})",
+    f"ev as ({std(standins.EVENTS_SQL)})",
+    select="""select 'submissions' as source, request_id as key, health_unit_name as value from s
+union all select 'documents', url, status from d union all select 'replies', request_id, text from rp
+union all select 'events', event_id::varchar, body from ev""",
+)
+
 # --- streaming: the batch equivalents ---------------------------------------------------------------------------
 
 ORACLES["stream_verify"] = ctes(*CHECKED, select="select request_id, ordinal, rule_id, status from rl")

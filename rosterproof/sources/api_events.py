@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rosterproof.functions.urls import is_api_url, is_json
+from rosterproof.sources import schemas
+from rosterproof.sources.tables import read_table
 
 # Superset test on the raw text: a body failing it cannot hold a file link. A backslash
 # may hide one behind an escape.
@@ -17,6 +19,11 @@ _LINKS = T.ArrayType(
 )
 
 
+def read_api_events(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Landed API events with their declared schema."""
+    return read_table(spark, path, schemas.API_EVENTS, fmt)
+
+
 def api_responses(events: DataFrame) -> DataFrame:
     """Events from the addresses of interest that carry JSON."""
     return events.where(is_api_url(F.col("url")) & is_json(F.col("content_type")))

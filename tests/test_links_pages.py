@@ -184,6 +184,21 @@ def test_groups_take_titles_by_position(spark):
     assert [x.document for x in rows[1].g] == ["สพ.7", None]
 
 
+def test_boxes_in_any_markup(values):
+    html = (
+        "<h2>รายการตรวจสอบ 1 / 2 : <b>ก &amp; ข</b></h2><label>before <input type='checkbox' name='check_detail[1][1]' checked> after &lt;x&gt;</label>"
+        '<table><tr><td>cell <input name="check_detail[1][2]" type="CHECKBOX"> text</td><td>next</td></tr></table>'
+        '<li><input type=checkbox name=check_detail[2][1]>item</li><label><input type="radio" name="check_detail[9][9]">no</label>'
+        '<label><input type="checkbox" name="other[1][1]">no</label><label><input type="checkbox" name="check_detail[2][3]">open'
+    )
+    got = values(pages.checklist_boxes, [html, "", None])
+    assert [(b.group_id, b.item_id, b.label, b.checked) for b in got[0]] == [
+        ("1", "1", "before after <x>", True), ("1", "2", "cell text", False), ("2", "1", "item", False), ("2", "3", "open", False),
+    ]
+    assert got[1] == [] and got[2] is None
+    assert values(pages.page_headings, [html]) == [["รายการตรวจสอบ 1 / 2 : ก & ข"]]
+
+
 def test_panel_items(spark):
     df = spark.createDataFrame([([("short",), ("long enough",), ("เลือกทั้งหมด",)],)], "a array<struct<name:string>>")
     assert [x.name for x in df.select(panel_items(F.col("a")).alias("p")).first().p] == ["long enough"]
