@@ -114,7 +114,6 @@ LABELS = {
         "วันสิ้นอายุ",
         "วันบัตรหมดอายุ",
     ],
-    "issue": ["ให้ไว้ ณ วันที่", "ออกให้ ณ วันที่", "วันออกบัตร", "วันที่ออก"],
     "address": ["ตั้งอยู่", "ที่ตั้ง", "ที่อยู่", "สถานที่ตั้ง"],
     "person_name": ["ชื่อตัวและชื่อสกุล", "ชื่อตัวและชื่อสกล", "ชื่อสกุล", "ชื่อตัว", "ชื่อ-สกุล", "ชื่อ"],
     "id_number": [

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rosterproof.functions import fixed
 from rosterproof.functions.keys import first_given
+from rosterproof.operators.pages import HU_ID
 from rosterproof.operators.skew import spread_join
 
 
@@ -78,6 +79,10 @@ def deep_results(
     ids = strong_ids.select(F.col("id").alias("hu_id")).distinct()
     ids = ids.withColumn("__in_sweep", F.lit(True))
     judged = with_verdict(with_rules, comparisons)
+    if "url" in judged.columns:
+        # A form without an id is known by the address of its page.
+        of_page = F.nullif(F.regexp_extract("url", HU_ID, 1), F.lit(""))
+        judged = judged.withColumn("hu_id", F.coalesce(first_given(F.col("hu_id")), of_page))
     rows = spread_join(judged, ids, ["hu_id"], "left", ["request_id"], hot)
     if docs is None:
         rows = rows.withColumn("unreadable", F.lit(0).cast("bigint"))

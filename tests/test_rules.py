@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from rosterproof.operators import duplicates, rules, summary
 from rosterproof.sources import schemas
@@ -171,6 +172,14 @@ def test_deep_results(spark, run):
     assert summary.deep_report(deep).collect()[0].asDict() == {"checked": 2, "review": 2, "clean": 0}
 
 
+def test_id_from_the_page_address(spark, run):
+    page = F.lit("https://h/admin/checklist/3238?x=1")
+    with_rules = run(FULL).withColumns({"hu_id": F.lit(""), "url": page})
+    strong = spark.createDataFrame([("3238",)], "id string")
+    deep = summary.deep_results(with_rules, strong).collect()[0]
+    assert deep.hu_id == "3238" and " อยู่ในกลุ่มซ้ำ (ตรวจทั้งระบบ)" in deep.flags
+
+
 def test_export_has_no_values(spark, run):
     compared = spark.createDataFrame(
         [("0", 0, 1, "ชื่อ", False)], "request_id string, doc_ordinal int, row int, field string, match boolean"
