@@ -141,6 +141,15 @@ def table(grams: np.ndarray, counts: np.ndarray, depth: int) -> np.ndarray:
     return Top(*nodes).log10(grams, p)
 
 
+def _windows(data: np.ndarray, n: int) -> np.ndarray:
+    """Every run of n bytes as one number, from runs of half the length."""
+    if n == 1:
+        return data.astype(np.uint64)
+    left, right = _windows(data, n - n // 2), _windows(data, n // 2)
+    size = len(data) - n + 1
+    return (left[:size] << np.uint64(8 * (n // 2))) | right[n - n // 2 : n - n // 2 + size]
+
+
 def grams(texts: list[bytes], depth: int, end: bytes = b"\n") -> tuple[np.ndarray, np.ndarray]:
     """(gram at each byte of the texts, each with its end byte; bytes of each text).
 
@@ -149,10 +158,7 @@ def grams(texts: list[bytes], depth: int, end: bytes = b"\n") -> tuple[np.ndarra
     pad = end * depth
     sizes = np.array([len(t) + 1 for t in texts])
     data = np.frombuffer(b"".join([x for t in texts for x in (pad, t, end)]), np.uint8)
-    codes = np.zeros(len(data) - depth, np.uint64)
-    for k in range(depth + 1):
-        codes <<= np.uint64(8)
-        codes |= data[k : len(data) - depth + k]
+    codes = _windows(data, depth + 1)
     starts = np.cumsum(sizes + depth) - sizes - depth
     real = np.ones(len(codes), bool)
     for s in starts[1:]:

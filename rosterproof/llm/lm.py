@@ -21,6 +21,7 @@ rows. Memory: a task holds a batch's grams, the largest part, or a shard.
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,9 @@ from rosterproof.llm.common import pieces, raw, sliced, staged
 DEPTH = 6
 PARTS = 1024
 #: Entries of a broadcast shard; 12 bytes each.
-SHARD = 4_000_000
+SHARD = 2_500_000
 SLICE = 2 << 20
-MERGE = 1_500_000
+MERGE = 4_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 END = b"\n"
 
@@ -51,46 +52,63 @@ def _part(grams: np.ndarray) -> np.ndarray:
     return ((last_two * np.uint64(40503)) & np.uint64(0xFFFF)) >> np.uint64(6)
 
 
-def _merge(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+_BYTE = np.uint64(8)
+
+
+def _packed(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Grams (56 bits at most) and counts (8 bits) as one number; larger counts repeat."""
+    many = np.maximum(1, -(-counts // 255))
+    if (many > 1).any():
+        last = counts - 255 * (many - 1)
+        full = np.full(int(many.sum()), 255)
+        full[np.cumsum(many) - 1] = last
+        keys, counts = np.repeat(keys, many), full
+    return (keys << _BYTE) | counts.astype(np.uint64)
+
+
+def _summed(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams in order, with their counts added up."""
-    if not held:
+    if not len(packed):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys = np.concatenate([k for k, _ in held])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], np.concatenate([c for _, c in held])[order]
+    packed = np.sort(packed)
+    keys = packed >> _BYTE
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    counts = (packed & np.uint64(255)).astype(np.int64)
     return keys[first], np.add.reduceat(counts, first)
 
 
-def _distinct(grams: np.ndarray, count: bool) -> tuple[np.ndarray, np.ndarray]:
+def _merged(held: list[np.ndarray]) -> np.ndarray:
+    return _packed(*_summed(np.concatenate(held))) if held else np.zeros(0, np.uint64)
+
+
+def _counted(grams: np.ndarray, count: bool) -> np.ndarray:
     grams = np.sort(grams)
     first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]]) if len(grams) else np.zeros(0, int)
     sizes = np.diff(np.r_[first, len(grams)])
-    return grams[first], sizes if count else np.zeros_like(sizes)
+    return _packed(grams[first], sizes if count else np.zeros_like(sizes))
 
 
 def gram_blobs(docs: DataFrame, train: Column, depth: int) -> DataFrame:
-    """Rows (part, grams, counts): the grams of a task's documents, counted in training."""
+    """Rows (part, grams): the packed grams of a task's documents, counted in training."""
+    if depth > 6:
+        raise ValueError("a gram and its count share 64 bits: depth is 6 at most")
 
     def run(batches):
         held: list = []
 
         def out():
-            keys, counts = _merge(held)
+            packed = _merged(held)
             held.clear()
-            part = _part(keys)
+            part = _part(packed >> _BYTE)
             order = np.argsort(part, kind="stable")
-            part, keys, counts = part[order], keys[order], counts[order]
+            part, packed = part[order], packed[order]
             cut = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)] if len(part) else [0]
             for a in range(0, len(cut) - 1, 256):
                 spans = list(zip(cut[a : a + 256], cut[a + 1 : a + 257], strict=False))
                 yield pa.RecordBatch.from_pydict(
                     {
                         "part": pa.array([int(part[i]) for i, _ in spans], pa.int32()),
-                        "grams": pa.array([keys[i:j].tobytes() for i, j in spans], pa.binary()),
-                        "counts": pa.array(
-                            [counts[i:j].astype(np.int64).tobytes() for i, j in spans], pa.binary()
-                        ),
+                        "grams": pa.array([packed[i:j].tobytes() for i, j in spans], pa.binary()),
                     }
                 )
 
@@ -100,15 +118,15 @@ def gram_blobs(docs: DataFrame, train: Column, depth: int) -> DataFrame:
             for i, j in pieces(texts, SLICE):
                 codes, sizes = ctw.grams(texts[i:j], depth, END)
                 used = np.repeat(learn[i:j], sizes)
-                held += [_distinct(codes[used], True), _distinct(codes[~used], False)]
-                if sum(len(k) for k, _ in held) > MERGE:
-                    held = [_merge(held)]
-                    if len(held[0][0]) > MERGE // 2:
+                held += [_counted(codes[used], True), _counted(codes[~used], False)]
+                if sum(map(len, held)) > MERGE:
+                    held[:] = [_merged(held)]
+                    if len(held[0]) > MERGE // 2:
                         yield from out()
         yield from out()
 
     rows = docs.select("text", train.alias("train"))
-    return rows.mapInArrow(run, "part int, grams binary, counts binary")
+    return rows.mapInArrow(run, "part int, grams binary")
 
 
 def deep_levels(blobs: DataFrame, depth: int) -> DataFrame:
@@ -121,7 +139,7 @@ def deep_levels(blobs: DataFrame, depth: int) -> DataFrame:
         part, held = None, []
 
         def out():
-            keys, counts = _merge(held)
+            keys, counts = _summed(np.concatenate(held)) if held else _summed(np.zeros(0, np.uint64))
             held.clear()
             if not len(keys):
                 return
@@ -141,13 +159,14 @@ def deep_levels(blobs: DataFrame, depth: int) -> DataFrame:
             )
 
         for b in batches:
-            for k, g, c in zip(*(b.column(x).to_pylist() for x in ("part", "grams", "counts")), strict=True):
+            grams = b.column("grams")
+            for i, k in enumerate(b.column("part").to_pylist()):
                 if k != part:
                     yield from out()
                     part = k
-                held.append((np.frombuffer(g, np.uint64), np.frombuffer(c, np.int64)))
-                if sum(len(x) for x, _ in held) > MERGE:
-                    held = [_merge(held)]
+                held.append(np.frombuffer(grams[i].as_buffer(), np.uint64).copy())
+                if sum(map(len, held)) > MERGE:
+                    held[:] = [_merged(held)]
         yield from out()
 
     parts = int(blobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -229,22 +248,23 @@ class Lookup:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
-        self.bits = max(1, int(len(keys)).bit_length())
+        self.bits = max(1, int(len(keys)).bit_length() - 1)
         self.starts = np.searchsorted(
             self.keys >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)
         ).astype(np.int32)
 
     def __call__(self, keys: np.ndarray, other: float) -> np.ndarray:
         """Value of each key, ``other`` for a key that is not there."""
-        out = np.full(len(keys), other, self.values.dtype)
         if not len(self.keys):
-            return out
-        at = self.starts[keys >> np.uint64(64 - self.bits)]
-        todo = np.arange(len(keys))
+            return np.full(len(keys), other, self.values.dtype)
         last = len(self.keys) - 1
+        at = np.minimum(self.starts[keys >> np.uint64(64 - self.bits)], last)
+        there = self.keys[at]
+        out = np.where(there == keys, self.values[at], self.values.dtype.type(other))
+        todo = np.flatnonzero((there < keys) & (at < last))
+        at = at[todo] + 1
         while len(todo):
-            there = self.keys[np.minimum(at, last)]
-            want = keys[todo]
+            there, want = self.keys[at], keys[todo]
             hit = there == want
             out[todo[hit]] = self.values[at[hit]]
             more = (there < want) & (at < last)
@@ -252,13 +272,10 @@ class Lookup:
         return out
 
 
-def _shards(table: DataFrame, many: int):
-    """Lookups of the table's rows by a hash of the key, one shard at a time."""
-    for s in range(many):
-        got = table.where(F.pmod("key", F.lit(many)) == s).select("key", "value").toArrow()
-        yield Lookup(
-            got.column("key").to_numpy().view(np.uint64), got.column("value").to_numpy()
-        )
+def _shard(table: DataFrame, s: int, many: int) -> Lookup:
+    """Lookup of the table's rows whose key falls to shard ``s``."""
+    got = table.where(F.pmod("key", F.lit(many)) == s).select("key", "value").toArrow()
+    return Lookup(got.column("key").to_numpy().view(np.uint64), got.column("value").to_numpy())
 
 
 def scores(docs: DataFrame, train: Column, depth: int = DEPTH, shard: int = SHARD) -> DataFrame:
@@ -278,102 +295,125 @@ def scores(docs: DataFrame, train: Column, depth: int = DEPTH, shard: int = SHAR
     kinds, total = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     ends = docs.where(train).count()
     total, kinds = total + ends, kinds + (ends > 0)
-    many = max(1, -(-max(kinds, grams.count()) // shard))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = None
-    gram_shards, word_shards = _shards(grams, many), _shards(words, many)
-    for s, (g, w) in enumerate(zip(gram_shards, word_shards, strict=True)):
-        held = spark.sparkContext.broadcast((g, w))
-        part = rows.mapInArrow(
-            _scorer(held, s, many, depth, total, kinds, ends),
-            "doc_id long, text_key binary, n_tokens long, n_bytes long, n_known long, "
-            "base_score double, score double",
-        )
-        found = part if found is None else found.unionAll(part)
-    if many > 1:
-        # Rows of the same id and text have the same sums, so they are added as one and
-        # given out again as often as they came.
-        sums = found.groupBy("doc_id", "text_key").agg(
-            F.max("n_tokens").alias("n_tokens"),
-            F.max("n_bytes").alias("n_bytes"),
-            *(F.sum(c).alias(c) for c in ("n_known", "base_score", "score")),
-            (F.count(F.lit(1)) / many).cast("int").alias("copies"),
-        )
-        found = sums.select(
-            "doc_id",
-            "n_tokens",
-            "n_bytes",
-            (F.col("n_known") / F.col("copies")).cast("long").alias("n_known"),
-            (F.col("base_score") / F.col("copies")).alias("base_score"),
-            (F.col("score") / F.col("copies")).alias("score"),
-            F.explode(F.sequence(F.lit(1), "copies")).alias("copy"),
+    parts = []
+    for table, n, score in ((grams, grams.count(), _gram_scorer), (words, kinds, _word_scorer)):
+        many = max(1, -(-n // shard))
+        for s in range(many):
+            held = spark.sparkContext.broadcast(_shard(table, s, many))
+            # The driver keeps no copy; tasks read the file that was written of it.
+            vars(held).pop("_value", None)
+            run = score(held, s, many, depth, total, kinds, ends)
+            parts.append(rows.mapInArrow(run, _PART))
+    found = reduce(DataFrame.unionAll, parts)
+    # Rows of the same id and text have the same sums, so they are added as one and given
+    # out again as often as they came.
+    copies = (F.count(F.lit(1)) / len(parts)).cast("int")
+    sums = found.groupBy("doc_id", "text_key").agg(
+        *(F.sum(c).alias(c) for c in ("n_tokens", "n_bytes", "n_known", "base_score", "score")),
+        copies.alias("copies"),
+    )
+    each = {
+        c: (F.col(c) / F.col("copies")).cast(t)
+        for c, t in (
+            ("n_tokens", "long"),
+            ("n_known", "long"),
+            ("base_score", "double"),
+            ("score", "double"),
+            ("n_bytes", "long"),
         )
-    return found.select(
+    }
+    given_out = sums.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return given_out.select(
         "doc_id",
-        "n_tokens",
-        "n_known",
+        each["n_tokens"].alias("n_tokens"),
+        each["n_known"].alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        "base_score",
-        "score",
-        "n_bytes",
+        each["base_score"].alias("base_score"),
+        each["score"].alias("score"),
+        each["n_bytes"].alias("n_bytes"),
     )
 
 
-def _scorer(held, s: int, many: int, depth: int, total: int, kinds: int, ends: int):
+_PART = (
+    "doc_id long, text_key binary, n_tokens long, n_bytes long, n_known long, "
+    "base_score double, score double"
+)
+
+
+def _rows(b, texts, tokens=None, size=None, known=None, base=None, score=None) -> pa.RecordBatch:
+    none = np.zeros(len(texts))
+    columns = {
+        "doc_id": b.column("doc_id"),
+        "text_key": pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()),
+    }
+    for name, x in (("n_tokens", tokens), ("n_bytes", size), ("n_known", known)):
+        columns[name] = pa.array((none if x is None else x).astype(np.int64))
+    for name, x in (("base_score", base), ("score", score)):
+        columns[name] = pa.array(none if x is None else x)
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def _own(keys: np.ndarray, s: int, many: int) -> np.ndarray:
+    """Keys of shard ``s``, by Spark's pmod of the signed key."""
+    return keys.view(np.int64) % many == s
+
+
+def _gram_scorer(held, s: int, many: int, depth: int, total: int, kinds: int, ends: int):
+    """Sums of the log10 probabilities of a document's bytes that shard ``s`` holds."""
+
+    def run(batches):
+        grams = held.value
+        for b in sliced(batches):
+            texts = raw(b.column("text"))
+            flat = [plain(t)[0] for t in texts]
+            score, size = np.zeros(len(texts)), np.zeros(len(texts))
+            for i, j in pieces(flat, SLICE):
+                codes, sizes = ctw.grams(flat[i:j], depth, END)
+                codes *= ODD
+                at = np.repeat(np.arange(j - i), sizes)
+                if many > 1:
+                    mine = _own(codes, s, many)
+                    codes, at = codes[mine], at[mine]
+                score[i:j] = np.bincount(at, grams(codes, np.nan), j - i)
+                size[i:j] = sizes if s == 0 else 0
+            yield _rows(b, texts, size=size, score=score)
+
+    return run
+
+
+def _word_scorer(held, s: int, many: int, depth: int, total: int, kinds: int, ends: int):
+    """Unigram sums over a document's words that shard ``s`` holds, and its end."""
+
     def run(batches):
-        grams, words = held.value
+        words = held.value
         known: dict[bytes, int] = {}
         divisor = total + 0.5 * (kinds + 1)
         end_score = float(np.log10((ends + 0.5) / divisor))
 
         def hashes(tokens):
-            if len(known) > 300_000:
+            if len(known) > 150_000:
                 known.clear()
             for w in tokens:
                 if w not in known:
                     known[w] = xxhash.xxh64_intdigest(w, 42)
             return np.array([known[w] for w in tokens], np.uint64)
 
-        def own(keys):
-            # Spark's pmod of the signed key.
-            return keys.view(np.int64) % many == s if many > 1 else np.ones(len(keys), bool)
-
-        def sums(values, at, n):
-            return np.bincount(at, values, n)
-
         for b in sliced(batches):
             texts = raw(b.column("text"))
-            both = [plain(t) for t in texts]
-            base, score, found, tokens, size = (np.zeros(len(texts)) for _ in range(5))
-            for i, j in pieces([t for t, _ in both], SLICE):
-                n = j - i
-                per = np.array([len(w) for _, w in both[i:j]])
-                at = np.repeat(np.arange(n), per)
-                keys = hashes([w for _, ws in both[i:j] for w in ws])
-                mine = own(keys)
-                c = words(keys[mine], 0.0).astype(float)
-                base[i:j] = sums(np.log10((c + 0.5) / divisor), at[mine], n)
-                found[i:j] = sums((c > 0).astype(float), at[mine], n)
-                tokens[i:j] = per + 1
-                codes, sizes = ctw.grams([t for t, _ in both[i:j]], depth, END)
-                codes = codes * ODD
-                at = np.repeat(np.arange(n), sizes)
-                mine = own(codes)
-                score[i:j] = sums(grams(codes[mine], np.nan), at[mine], n)
-                size[i:j] = sizes
+            split = [plain(t)[1] for t in texts]
+            per = np.array([len(w) for w in split])
+            at = np.repeat(np.arange(len(texts)), per)
+            keys = hashes([w for ws in split for w in ws])
+            if many > 1:
+                mine = _own(keys, s, many)
+                keys, at = keys[mine], at[mine]
+            c = words(keys, 0.0).astype(float)
+            base = np.bincount(at, np.log10((c + 0.5) / divisor), len(texts))
+            found = np.bincount(at, c > 0, len(texts))
             if s == 0:
-                base += end_score
-                found += ends > 0
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": b.column("doc_id"),
-                    "text_key": pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()),
-                    "n_tokens": pa.array(tokens.astype(np.int64)),
-                    "n_bytes": pa.array(size.astype(np.int64)),
-                    "n_known": pa.array(found.astype(np.int64)),
-                    "base_score": pa.array(base),
-                    "score": pa.array(score),
-                }
-            )
+                yield _rows(b, texts, per + 1, known=found + (ends > 0), base=base + end_score)
+            else:
+                yield _rows(b, texts, known=found, base=base)
 
     return run
