@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterproof.llm.common import raw, sliced
+from rosterproof.llm.common import raw, sliced, staged
 from rosterproof.llm.encoders import BYTE_BPE, rank_encoding
 
 #: Lengths of a block; the blocks' totals are a small table (longest length / BLOCK rows).
-BLOCK = 4096
+BLOCK = 256
 
 
 def encoded_lengths(docs: DataFrame, tokenizer: str = BYTE_BPE) -> DataFrame:
@@ -50,7 +50,8 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     total_docs, total_tokens: of all; truncated_tokens: sum of min(length, L);
     rank_share: share of documents of length L or less.
     """
-    rows = hist.select(
+    # Written once, so that the documents behind it are encoded once.
+    rows = staged(hist, "lengths").select(
         "n_tokens",
         "docs",
         (F.col("n_tokens") * F.col("docs")).alias("tokens"),
