@@ -926,7 +926,7 @@ DEEP = [
     "ur as (select request_id, count(*) filter (status = 'error') unreadable from d group by 1)",
     f"""fg as (select request_id, string_agg(f, '|' order by o, ordinal) flags from (
       select request_id, case status when 'fail' then 0 else 1 end o, ordinal, ' ' || title f from rl where status in ('fail', 'warn')
-      union all select request_id, 2, 0, '{fixed.FLAG_IN_SWEEP}' from s where hu_id in (select id from ids where severity = 'strong')
+      union all select request_id, 2, 0, '{fixed.FLAG_IN_SWEEP}' from s where coalesce(nullif(hu_id, ''), request_id) in (select id from ids where severity = 'strong')
       union all select request_id, 3, 0, replace('{fixed.FLAG_UNREADABLE}', '%d', unreadable::varchar) from ur where unreadable > 0) group by 1)""",
     f"""dr as (select s.request_id, s.k, coalesce(nullif(hcode, ''), 'Unknown') hcode, coalesce(nullif(health_unit_name, ''), '-') as name, verdict status,
       doc_evidence, coalesce(flags, '') flags, case when verdict = 'fail' then '{fixed.DEEP_BADGE_FAIL}' when flags is not null then '{fixed.DEEP_BADGE_REVIEW}'
