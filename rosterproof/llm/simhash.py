@@ -10,8 +10,8 @@ stored as planes of 64 lanes a word, the differing bits of many lanes are added
 in carry-save counters (ones, twos, over), and words whose lanes all exceed the radius are
 abandoned. Links become components by star rounds.
 
-``similar_groups`` uses the same comparison with longer fingerprints to link texts by the
-similarity of their shingles, for a corpus whose near copies differ in more bits.
+``near_copies`` uses the same comparison with longer fingerprints to find candidates, for a
+corpus whose near copies differ in more bits, and links those of sufficient Jaccard similarity.
 
 Cases: a null or blank text has fingerprint 0 and links like any other; a text of fewer
 words than a shingle is one shingle; copies share a fingerprint, which is compared once; a
@@ -20,6 +20,7 @@ null doc_id is ignored as component_id as long as another id is reachable.
 
 from __future__ import annotations
 
+from hashlib import blake2b
 from itertools import combinations
 from math import acos, pi, sqrt
 
@@ -280,9 +281,13 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFr
 
 
 def radius_for(similarity: float, bits: int) -> int:
-    """Differing bits up to which nine of ten pairs of that Jaccard similarity stay."""
+    """Differing bits within which all but a negligible share of such pairs stay.
+
+    Five standard deviations beyond the mean of pairs of that Jaccard similarity; texts of a
+    few shingles differ somewhat more than the mean says.
+    """
     share = acos(2 * similarity / (1 + similarity)) / pi
-    return int(bits * share + 1.28 * sqrt(bits * share * (1 - share)))
+    return int(bits * share + 5 * sqrt(bits * share * (1 - share)))
 
 
 def _spread(h: np.ndarray, k: int) -> np.ndarray:
@@ -293,11 +298,18 @@ def _spread(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def signatures(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprints of LONGS numbers, keys of BANDS min-hash bands) of texts, by row."""
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """Distinct shingle hashes of a text, sorted."""
+    return np.unique(np.array(shingle_hashes(text, words), np.uint64))
+
+
+def signatures(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Of the shingle sets of texts, by row: fingerprints of LONGS numbers, keys of BANDS
+    min-hash bands, and a digest of 16 bytes."""
     fps = np.zeros((len(texts), LONGS), np.uint64)
     keys = np.zeros((len(texts), BANDS), np.uint64)
-    runs: list[tuple[int, list[int]]] = []
+    digests: list[bytes] = []
+    runs: list[tuple[int, np.ndarray]] = []
     size = 0
 
     def flush() -> None:
@@ -306,7 +318,7 @@ def signatures(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
         at = [i for i, _ in runs]
         sizes = np.array([len(h) for _, h in runs])
         starts = np.cumsum(sizes) - sizes
-        flat = np.concatenate([np.array(h, np.uint64) for _, h in runs])
+        flat = np.concatenate([h for _, h in runs])
         for k in range(LONGS):
             fps[at, k] = majority(flat if k == 0 else _spread(flat, k), starts, sizes)
         for band in range(BANDS):
@@ -319,57 +331,161 @@ def signatures(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
         runs.clear()
 
     for i, text in enumerate(texts):
-        if h := shingle_hashes(text, words):
+        h = shingle_set(text, words)
+        digests.append(blake2b(h.tobytes(), digest_size=16).digest())
+        if len(h):
             runs.append((i, h))
             size += len(h)
             if size >= SLICE:
                 flush()
                 size = 0
     flush()
-    return fps, keys
+    return fps, keys, digests
+
+
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have that Jaccard similarity at least."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both) >= similarity
+
+
+def exact_links(
+    fps: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as in ``links``, of the pairs of that similarity within ``radius``.
 
+    Pairs are verified in growing rounds; those that earlier ones connect need no look.
+    """
+    n = len(fps)
+    label = np.arange(n)
+    rng = np.random.default_rng(0)
+    step = max(1, LANES * 16 // -(-n // 64))
+    for lo in range(0, n, step):
+        i, j = near(fps, radius, lo, min(n, lo + step))
+        order = rng.permutation(len(i))
+        i, j = i[order], j[order]
+        take = n
+        while True:
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+            if not len(i):
+                break
+            pairs = zip(i[:take].tolist(), j[:take].tolist(), strict=True)
+            ok = np.array([similar(sets[x], sets[y], similarity) for x, y in pairs], bool)
+            a, b = i[:take][ok], j[:take][ok]
+            tree = np.flatnonzero(label != np.arange(n))
+            label = components(n, np.concatenate([tree, a]), np.concatenate([label[tree], b]))
+            i, j = i[take:], j[take:]
+            take *= 2
+    a = np.flatnonzero(label != np.arange(n))
+    return a, label[a]
+
+
+def similar_links(
+    rows: DataFrame, roots: DataFrame, words: int, similarity: float, radius: int
+) -> DataFrame:
+    """Edges (a, b) that connect all rows of sufficient similarity among those of a root.
+
+    ``rows`` has row and text, ``roots`` has node and root: the rows of a root are compared.
+    """
 
-def similar_groups(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    def sets(batches):
+        for b in sliced(batches):
+            texts = raw(b.column("text"))
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "root": b.column("root"),
+                    "node": b.column("node"),
+                    "fp": pa.array([f.tobytes() for f in signatures(texts, words)[0]], pa.binary()),
+                    "shingles": pa.array([shingle_set(t, words).tobytes() for t in texts], pa.binary()),
+                }
+            )
+
+    def run(batches):
+        rest: list[tuple] = []
+
+        def out():
+            if len(rest) > 1:
+                names = np.array([r[2] for r in rest], np.int64)
+                names, first = np.unique(names, return_index=True)
+                fps = np.frombuffer(b"".join(rest[k][3] for k in first), np.uint64)
+                held = [np.frombuffer(rest[k][4], np.uint64) for k in first]
+                a, b = exact_links(fps.reshape(len(first), -1), held, radius, similarity)
+                if len(a):
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(names[a]), "b": pa.array(names[b])})
+            rest.clear()
+
+        for b in batches:
+            columns = [b.column(k).to_pylist() for k in ("t", "key", "node", "fp", "shingles")]
+            for r in zip(*columns, strict=True):
+                if rest and rest[-1][:2] != r[:2]:
+                    yield from out()
+                rest.append(r)
+        yield from out()
+
+    texts = rows.join(roots, rows["row"] == roots["node"]).select("root", "node", "text")
+    members = texts.mapInArrow(sets, "root long, node long, fp binary, shingles binary")
+    cells = members.select(F.col("root").alias("t"), F.lit(0).cast("long").alias("key"), "node", "fp", "shingles")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = cells.repartition(parts, "t", "key").sortWithinPartitions("t", "key")
+    return sorted_.mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """One row per document: doc_id, component_id (smallest doc_id among its near copies).
 
     A pair of Jaccard similarity 0.8 differs in about 15 % of a fingerprint's bits, far
     beyond what block pigeonholes find. So candidates share a band of min-hashes (a pair
     of that similarity misses all bands with probability under 0.001), and are compared
-    bit-sliced on fingerprints of 64 * ``LONGS`` bits within ``radius_for``.
+    bit-sliced on fingerprints of 64 * ``LONGS`` bits within ``radius_for``. Of the texts that
+    candidates connect, those of sufficient similarity by their shingle sets are linked.
+    Texts of one shingle set are one node, the lowest of their rows.
     """
     radius = radius_for(similarity, 64 * LONGS)
 
     def run(batches):
         for b in sliced(batches):
-            fps, keys = signatures(raw(b.column("text")), words)
+            fps, keys, digests = signatures(raw(b.column("text")), words)
             flat = pa.array(keys.view(np.int64).ravel())
             cuts = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
             yield pa.RecordBatch.from_pydict(
                 {
+                    "row": b.column("row"),
                     "doc_id": b.column("doc_id"),
+                    "same": pa.array(digests, pa.binary()),
                     "fp": pa.array([f.tobytes() for f in fps], pa.binary()),
                     "keys": pa.ListArray.from_arrays(cuts, flat),
                 }
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, fp binary, keys array<long>"
+    texts = docs.select(
+        F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"
     )
-    rows = staged(rows.withColumn("node", F.xxhash64("fp")), "similar")
-    buckets = rows.select("node", "fp", F.posexplode("keys").alias("p", "key")).select(
-        F.col("p").cast("long").alias("t"), "key", "node", "fp"
+    rows = staged(
+        texts.mapInArrow(run, "row long, doc_id long, same binary, fp binary, keys array<long>"),
+        "similar",
     )
-    edges = staged(bucket_links(buckets.distinct(), radius, "fp", "node"), "similar-links")
-    roots = smallest_reachable(edges, "similar-components")
-    low = rows.groupBy("node").agg(F.min("doc_id").alias("low_id"))
-    labelled = low.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(
-        "node", F.coalesce("root", "node").alias("root"), "low_id"
+    nodes = staged(
+        rows.groupBy("same").agg(F.min("row").alias("node"), F.min("doc_id").alias("best")),
+        "similar-nodes",
     )
-    lowest = labelled.groupBy("root").agg(F.min("low_id").alias("component_id"))
-    ids = meet(labelled, lowest, "root").select(F.col("node").alias("of"), "component_id")
-    return rows.select("doc_id", "node").join(ids, F.col("node") == F.col("of")).select(
-        "doc_id", "component_id"
+    buckets = (
+        rows.join(nodes.select("node"), F.col("row") == F.col("node"))
+        .select("node", "fp", F.posexplode("keys").alias("p", "key"))
+        .select(F.col("p").cast("long").alias("t"), "key", "node", "fp")
     )
+    coarse = staged(bucket_links(buckets, radius, "fp", "node"), "similar-candidates")
+    coarse = smallest_reachable(coarse, "similar-candidate-groups")
+    coarse = coarse.unionAll(coarse.select(F.col("root").alias("node"), "root")).distinct()
+    edges = staged(similar_links(texts, coarse, words, similarity, radius), "similar-links")
+    roots = smallest_reachable(edges, "similar-components")
+    labelled = nodes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    labelled = labelled.select("same", F.coalesce("root", "node").alias("root"), "best")
+    lowest = labelled.groupBy("root").agg(F.min("best").alias("component_id"))
+    ids = meet(labelled, lowest, "root").select("same", "component_id")
+    return meet(rows.select("row", "doc_id", "same"), ids, "same").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -378,6 +494,7 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
     Rows that repeat a doc_id are one document. Documents without an id that reach no
     document with one stay.
     """
-    found = similar_groups(docs, words, similarity)
+    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "similar-rows")
+    found = near_copies(rows, words, similarity)
     gone = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)")
-    return same_columns(in_set(docs, gone.select("doc_id"), "left_anti"), docs)
+    return same_columns(in_set(rows, gone.select("doc_id"), "left_anti"), docs)

@@ -186,3 +186,49 @@ def test_near_copy_stage(spark):
     got = {r.doc_id for r in left.collect()}
     assert left.columns == docs_of(spark, []).columns
     assert got == want | {9001, 9003, None}
+
+
+def brute_kept(rows, similarity=0.8):
+    """Indices of the rows that stay, by all pairs of the rows' shingle sets."""
+    sets = [set(simhash.shingle_hashes((t or "").encode(), 5)) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or both / len(sets[i] | sets[j]) >= similarity:
+                root[find(i)] = find(j)
+    best = {}
+    for k, (i, _) in enumerate(rows):
+        best.setdefault(find(k), []).append((i is None, i or 0, k))
+    return {min(x)[2] for x in best.values()}
+
+
+def similar_texts(seed, groups, copies, edits):
+    """Texts of one base each with different words changed: similarity falls with edits."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(5000)]
+    texts = []
+    for _ in range(groups):
+        b = rng.choices(words, k=200)
+        for _ in range(copies):
+            w = list(b)
+            for _ in range(rng.choice(edits)):
+                w[rng.randrange(200)] = rng.choice(words)
+            texts.append(" ".join(w))
+    return texts
+
+
+def test_near_copies_are_verified(spark):
+    """Pairs of similarity 0.6 to 0.95: all from 0.8 on link, none below, also with repeated shingles."""
+    texts = similar_texts(7, 12, 8, (0, 2, 4, 6, 8))
+    filler = " again and again and again" * 60
+    texts += [f"{t}{filler}" for t in similar_texts(8, 3, 1, (0,))]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id for r in simhash.drop_near_copies(docs_of(spark, rows)).collect()}
+    assert got == brute_kept(rows)
