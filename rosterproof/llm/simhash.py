@@ -15,7 +15,8 @@ corpus whose near copies differ in more bits, and links those of sufficient Jacc
 
 Cases: a null or blank text has fingerprint 0 and links like any other; a text of fewer
 words than a shingle is one shingle; copies share a fingerprint, which is compared once; a
-null doc_id is ignored as component_id as long as another id is reachable.
+null doc_id is ignored as component_id as long as another id is reachable. ``near_copies``
+tells rows apart by a key of their own, so rows of a null or repeated doc_id are compared too.
 """
 
 from __future__ import annotations
@@ -32,7 +33,6 @@ from pyspark.sql import functions as F
 
 from rosterproof.llm.common import (
     components,
-    in_set,
     meet,
     raw,
     same_columns,
@@ -434,7 +434,10 @@ def similar_links(
 
 
 def near_copies(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """One row per document: doc_id, component_id (smallest doc_id among its near copies).
+    """(row, keep) of each row of ``docs``, keep being the row that stays of its near copies.
+
+    ``docs`` has ``__row``, a key of its rows. Of a component the smallest doc_id stays, nulls
+    last, then the smallest row.
 
     A pair of Jaccard similarity 0.8 differs in about 15 % of a fingerprint's bits, far
     beyond what block pigeonholes find. So candidates share a band of min-hashes (a pair
@@ -468,7 +471,10 @@ def near_copies(docs: DataFrame, words: int, similarity: float) -> DataFrame:
         "similar",
     )
     nodes = staged(
-        rows.groupBy("same").agg(F.min("row").alias("node"), F.min("doc_id").alias("best")),
+        rows.groupBy("same").agg(
+            F.min("row").alias("node"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"),
+        ),
         "similar-nodes",
     )
     buckets = (
@@ -483,18 +489,16 @@ def near_copies(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     roots = smallest_reachable(edges, "similar-components")
     labelled = nodes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     labelled = labelled.select("same", F.coalesce("root", "node").alias("root"), "best")
-    lowest = labelled.groupBy("root").agg(F.min("best").alias("component_id"))
-    ids = meet(labelled, lowest, "root").select("same", "component_id")
-    return meet(rows.select("row", "doc_id", "same"), ids, "same").select("doc_id", "component_id")
+    lowest = labelled.groupBy("root").agg(F.min("best")["row"].alias("keep"))
+    kept = meet(labelled, lowest, "root").select("same", "keep")
+    return meet(rows.select("row", "same"), kept, "same").select("row", "keep")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each component, the one of smallest doc_id.
+    """``docs`` with one row of each component, the one of smallest doc_id, nulls last.
 
-    Rows that repeat a doc_id are one document. Documents without an id that reach no
-    document with one stay.
+    Rows are told apart by a key of their own, so ids may be null or repeat.
     """
     rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "similar-rows")
-    found = near_copies(rows, words, similarity)
-    gone = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)")
-    return same_columns(in_set(rows, gone.select("doc_id"), "left_anti"), docs)
+    gone = near_copies(rows, words, similarity).where("row <> keep").select(F.col("row").alias("__gone"))
+    return same_columns(rows.join(gone, F.col("__row") == F.col("__gone"), "left_anti"), docs)

@@ -232,3 +232,19 @@ def test_near_copies_are_verified(spark):
     rows = [(i, t) for i, t in enumerate(texts)]
     got = {r.doc_id for r in simhash.drop_near_copies(docs_of(spark, rows)).collect()}
     assert got == brute_kept(rows)
+
+
+def test_near_copies_go_by_row(spark):
+    """Null and repeated ids: a copy takes no unrelated row along, and copies of one id go too."""
+    a, b, c, d, clean, other = similar_texts(9, 6, 1, (0,))
+    rows = [
+        (1, a), (None, a + " more"), (None, clean),
+        (2, b), (3, a + " x"), (3, other),
+        (4, c), (4, c + " y"),
+        (None, d), (None, d + " z"),
+    ]
+    left = [(r.doc_id, r.text) for r in simhash.drop_near_copies(docs_of(spark, rows)).collect()]
+    assert sorted(t for _, t in left if t not in (c, c + " y", d, d + " z")) == sorted([a, clean, b, other])
+    assert [i for i, _ in left].count(4) == 1
+    assert sum(t in (d, d + " z") for _, t in left) == 1
+    assert len(left) == len(brute_kept(rows)) == 6
