@@ -28,7 +28,7 @@ from math import acos, pi, sqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterproof.llm.common import (
@@ -50,6 +50,9 @@ ROWS = 4
 #: Fingerprints compared at once; bounds the memory of a comparison.
 LANES = 1024
 SLICE = 1 << 18
+#: Of a group that is compared in blocks: members and bytes of a block.
+BLOCK = 1024
+BLOCK_BYTES = 16 << 20
 
 
 def shingle_hashes(text: bytes, words: int) -> list[int]:
@@ -389,17 +392,21 @@ def similar_links(
     """Edges (a, b) that connect all rows of sufficient similarity among those of a root.
 
     ``rows`` has row and text, ``roots`` has node and root: the rows of a root are compared.
+    Where they are more than a block, all meet its first block; members of the component
+    that is then the largest are connected, and only the rest meets all others.
     """
 
     def sets(batches):
         for b in sliced(batches):
             texts = raw(b.column("text"))
+            found = [shingle_set(t, words).tobytes() for t in texts]
             yield pa.RecordBatch.from_pydict(
                 {
-                    "root": b.column("root"),
+                    "group": b.column("root"),
                     "node": b.column("node"),
+                    "size": pa.array([len(x) for x in found], pa.int64()),
                     "fp": pa.array([f.tobytes() for f in signatures(texts, words)[0]], pa.binary()),
-                    "shingles": pa.array([shingle_set(t, words).tobytes() for t in texts], pa.binary()),
+                    "shingles": pa.array(found, pa.binary()),
                 }
             )
 
@@ -426,11 +433,95 @@ def similar_links(
         yield from out()
 
     texts = rows.join(roots, rows["row"] == roots["node"]).select("root", "node", "text")
-    members = texts.mapInArrow(sets, "root long, node long, fp binary, shingles binary")
-    cells = members.select(F.col("root").alias("t"), F.lit(0).cast("long").alias("key"), "node", "fp", "shingles")
+    members = staged(
+        texts.mapInArrow(sets, "group long, node long, size long, fp binary, shingles binary"),
+        "similar-sets",
+    )
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = cells.repartition(parts, "t", "key").sortWithinPartitions("t", "key")
-    return sorted_.mapInArrow(run, "a long, b long")
+
+    def compared(dealt: DataFrame) -> DataFrame:
+        sorted_ = dealt.repartition(parts, "t", "key").sortWithinPartitions("t", "key")
+        return sorted_.mapInArrow(run, "a long, b long")
+
+    edges = staged(compared(cells(members, BLOCK, first=True)), "similar-first")
+    sizes = members.groupBy("group").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("size").cast("double")).alias("bytes")
+    )
+    large = sizes.where((F.col("n") > BLOCK) | (F.col("bytes") > BLOCK_BYTES)).select("group")
+    if large.isEmpty():
+        return edges
+    of_large = members.join(large, "group", "left_semi")
+    found = smallest_reachable(edges, "similar-first-groups").select(F.col("node").alias("of"), "root")
+    named = of_large.select("group", "node").join(found, F.col("node") == F.col("of"), "left")
+    named = staged(named.select("group", "node", F.coalesce("root", "node").alias("root")), "similar-first-named")
+    held = named.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = held.groupBy("group").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+    rest = meet(named, main, "group").where("root <> main").select("node")
+    return edges.unionAll(compared(cells_with_rest(of_large, staged(rest, "similar-rest"), BLOCK)))
+
+
+def cells(rows: DataFrame, block: int = BLOCK, first: bool = False) -> DataFrame:
+    """``rows`` (group, node, size and more) dealt to cells (t, key) that are compared whole.
+
+    A group larger than a block is cut into blocks by a hash of its nodes; a cell is a pair of
+    its blocks, so any two members of a group meet in one. With ``first`` only pairs with
+    the first block are made. Groups are counted, never gathered; groups of one row go.
+    """
+    counts = rows.groupBy("group").agg(
+        F.count(F.lit(1)).alias("__n"), F.sum(F.col("size").cast("double")).alias("__size")
+    )
+    cut = F.greatest(F.ceil(F.col("__n") / block), F.ceil(F.col("__size") / BLOCK_BYTES), F.lit(1))
+    counts = counts.where("__n > 1").select("group", cut.cast("int").alias("__cut"))
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("__cut")).cast("int")
+    every = F.sequence(F.lit(0), F.col("__cut") - 1)
+    if first:
+        every = F.when(F.col("__own") == 0, every).otherwise(F.array(F.lit(0)))
+    others = F.when(F.col("__cut") == 1, F.array(F.lit(0))).otherwise(
+        F.filter(every, lambda k: k != F.col("__own"))
+    )
+    low, high = F.least("__own", "__other"), F.greatest("__own", "__other")
+    return (
+        meet(rows, counts, "group")
+        .withColumn("__own", own)
+        .withColumn("__other", F.explode(others))
+        .withColumn("t", F.col("group"))
+        .withColumn("key", low.cast("long") * (1 << 31) + high)
+        .drop("group", "size", "__cut", "__own", "__other")
+    )
+
+
+def cells_with_rest(rows: DataFrame, rest: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Cells of each block of ``rest`` with each block of ``rows``, as ``cells`` makes them.
+
+    ``rest`` (node) are rows still to be compared with all members of their group.
+    """
+    flagged = rows.join(rest.select(F.col("node").alias("__rest")), F.col("node") == F.col("__rest"), "left")
+    flagged = flagged.withColumn("__is", F.col("__rest").isNotNull()).drop("__rest")
+
+    def blocks(when: Column) -> Column:
+        n = F.count(F.when(when, F.lit(1)))
+        size = F.coalesce(F.sum(F.when(when, F.col("size").cast("double"))), F.lit(0.0))
+        return F.greatest(F.ceil(n / block), F.ceil(size / BLOCK_BYTES)).cast("int")
+
+    counts = flagged.groupBy("group").agg(
+        blocks(F.lit(True)).alias("__all"), blocks(F.col("__is")).alias("__cut")
+    )
+    hashed = F.xxhash64("node", F.lit(2))
+    places = meet(flagged, counts.where("__cut > 0"), "group")
+
+    def cell(left: Column, right: Column) -> Column:
+        return left.cast("long") * (1 << 31) + right
+
+    mine = F.pmod(hashed, F.col("__cut")).cast("int")
+    yours = F.pmod(hashed, F.col("__all")).cast("int")
+    as_all = F.transform(F.sequence(F.lit(0), F.col("__cut") - 1), lambda k: cell(k, yours))
+    as_rest = F.transform(F.sequence(F.lit(0), F.col("__all") - 1), lambda k: cell(mine, k))
+    keys = F.when(F.col("__is"), F.array_union(as_all, as_rest)).otherwise(as_all)
+    return (
+        places.withColumn("key", F.explode(keys))
+        .withColumn("t", F.col("group"))
+        .drop("group", "size", "__all", "__cut", "__is")
+    )
 
 
 def near_copies(docs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -480,9 +571,9 @@ def near_copies(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     buckets = (
         rows.join(nodes.select("node"), F.col("row") == F.col("node"))
         .select("node", "fp", F.posexplode("keys").alias("p", "key"))
-        .select(F.col("p").cast("long").alias("t"), "key", "node", "fp")
+        .select(F.xxhash64("p", "key").alias("group"), "node", F.lit(0).alias("size"), "fp")
     )
-    coarse = staged(bucket_links(buckets, radius, "fp", "node"), "similar-candidates")
+    coarse = staged(bucket_links(cells(buckets, BLOCK), radius, "fp", "node"), "similar-candidates")
     coarse = smallest_reachable(coarse, "similar-candidate-groups")
     coarse = coarse.unionAll(coarse.select(F.col("root").alias("node"), "root")).distinct()
     edges = staged(similar_links(texts, coarse, words, similarity, radius), "similar-links")

@@ -248,3 +248,25 @@ def test_near_copies_go_by_row(spark):
     assert [i for i, _ in left].count(4) == 1
     assert sum(t in (d, d + " z") for _, t in left) == 1
     assert len(left) == len(brute_kept(rows)) == 6
+
+
+def test_cells_bound_a_hot_bucket(spark):
+    """No cell holds a hot group whole, yet any two of its members meet in one."""
+    rows = [(1, n, 0) for n in range(200)] + [(2, n, 0) for n in range(300, 305)] + [(3, 400, 0)]
+    dealt = simhash.cells(spark.createDataFrame(rows, "group long, node long, size int"), 20).collect()
+    held = {}
+    for r in dealt:
+        held.setdefault((r.t, r.key), set()).add(r.node)
+    assert max(len(x) for x in held.values()) < 80
+    met = {(a, b) for x in held.values() for a in x for b in x}
+    assert all((a, b) in met for a in range(200) for b in range(200))
+    assert (300, 304) in met and not any(400 in x for x in held.values())
+
+
+@pytest.mark.parametrize("edits", [(0, 1), (0, 2, 4, 6, 8)])
+def test_hot_template_in_blocks(spark, monkeypatch, edits):
+    """A template of many copies, compared in blocks, gives what all pairs give."""
+    monkeypatch.setattr(simhash, "BLOCK", 12)
+    rows = list(enumerate(similar_texts(11, 2, 60, edits)))
+    got = {r.doc_id for r in simhash.drop_near_copies(docs_of(spark, rows)).collect()}
+    assert got == brute_kept(rows)
