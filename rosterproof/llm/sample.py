@@ -24,7 +24,8 @@ def labelled_features(
     ``train``, so the choice does not depend on order or partitioning. A document labelled
     several times counts as labelled 1 if any label says so; labels other than 0 and 1 and
     null labels or ids are not used. At most ``rows`` ids are broadcast; the features come
-    to the driver one partition at a time and reading stops at ``size``.
+    to the driver one partition at a time; a document that would exceed ``size`` is left out,
+    those behind it are not.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y"))
@@ -56,10 +57,9 @@ def labelled_features(
     for r in found.repartitionByRange(8, F.xxhash64("id"), "id").sortWithinPartitions(
         F.xxhash64("id"), "id"
     ).toLocalIterator():
-        spent += len(r.x)
-        if spent > size:
-            return
-        yield bytes(r.x), r.y
+        if spent + len(r.x) <= size:
+            spent += len(r.x)
+            yield bytes(r.x), r.y
 
 
 def is_held_out(doc_id: Column, mod: int, remainder: int) -> Column:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,9 @@ END = 0xFFFFFFFF
 #: A word must occur in this many documents of the sample to get a weight.
 MIN_DOCS = 5
 PART = 1 << 20
+#: A document of the sample of this Jaccard similarity to another is its copy.
+COPY = 0.8
+_ODD = [np.uint64((0xD6E8FEB86659FD93 * (2 * k + 1)) % (1 << 64) | 1) for k in range(16)]
 #: A sentence at or above this probability is reported as offending.
 OFFENDING = 0.5
 
@@ -95,17 +99,43 @@ class Model:
         return np.where(z < -700, 0.0, 1 / (1 + np.exp(-np.clip(z, -700, 40)))), there
 
 
-def _sketch(words: np.ndarray, size: int = 8) -> list[tuple[int, int]]:
-    """Min-hashes of a document's three-word shingles; near copies share one."""
+def _shingles(words: np.ndarray) -> np.ndarray:
+    """Distinct hashes of a document's three-word shingles, of the whole if it is shorter."""
     if len(words) < 3:
-        return [(-1, hash(words.tobytes()))]
+        return np.unique(words + np.uint64(len(words) << 32))
     shingles = words[:-2] * np.uint64(0x9E3779B97F4A7C15) + words[1:-1] * np.uint64(
         0xC2B2AE3D27D4EB4F
     )
     shingles = (shingles ^ (shingles >> np.uint64(29))) + words[2:] * np.uint64(0x165667B19E3779F9)
     shingles ^= shingles >> np.uint64(32)
-    odd = [np.uint64((0xD6E8FEB86659FD93 * (2 * k + 1)) % (1 << 64) | 1) for k in range(size)]
-    return [(k, int((shingles * m).min())) for k, m in enumerate(odd)]
+    return np.unique(shingles)
+
+
+class _Kept:
+    """Documents without near copies: a new one is a copy of one and the same kept document.
+
+    Candidates share at least half of the min-hashes with it (at Jaccard similarity 0.8 all
+    but 1 in 600 do); the similarity itself decides.
+    """
+
+    def __init__(self):
+        self.sets: list[np.ndarray] = []
+        self.marks: dict[tuple[int, int], list[int]] = defaultdict(list)
+
+    def add(self, words: np.ndarray) -> bool:
+        """Keep a document unless it is a copy; whether it was kept."""
+        x = _shingles(words)
+        marks = [(k, int((x * m).min())) for k, m in enumerate(_ODD)] if len(x) else [(-1, 0)]
+        shared = Counter(i for m in marks for i in self.marks.get(m, ()))
+        for i, n in shared.items():
+            if 2 * n >= len(marks):
+                both = len(np.intersect1d(x, self.sets[i], assume_unique=True))
+                if both >= COPY * (len(x) + len(self.sets[i]) - both):
+                    return False
+        for m in marks:
+            self.marks[m].append(len(self.sets))
+        self.sets.append(x)
+        return True
 
 
 class _Sample:
@@ -113,14 +143,12 @@ class _Sample:
 
     def __init__(self, sample):
         # Copies would count a label, right or wrong, as often as there are copies.
-        docs, labels, seen = [], [], set()
+        docs, labels, kept = [], [], _Kept()
         for x, y in sample:
             f = np.frombuffer(x, np.uint32)
-            marks = _sketch(f[f != END].astype(np.uint64))
-            if seen.isdisjoint(marks):
+            if kept.add(f[f != END].astype(np.uint64)):
                 docs.append(f)
                 labels.append(y)
-            seen.update(marks)
         self.y = np.array(labels, float)
         if not docs:
             return

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rosterproof.llm import ctw, decontaminate, encoders, lm, quality, token_counts, toxicity
-from rosterproof.llm.sample import is_held_out
+from rosterproof.llm.sample import is_held_out, labelled_features
 from tests.llm.test_dedup import docs_of
 
 ITEM = "The quick brown fox jumps over the lazy dog and then it runs far away from the hungry wolves."
@@ -350,3 +350,20 @@ def test_text_parts_keep_sentences():
         words = toxicity._Words()
         together = np.concatenate([toxicity.features(p, words) for p in parts])
         assert together.tolist() == toxicity.features(text, words).tolist()
+
+
+def test_sample_leaves_out_copies_only():
+    """A passage that many documents share makes none of them a copy; real near copies go."""
+    rng = random.Random(12)
+    passage = "all rights of this page are reserved by the owner. "
+    own = [" ".join(f"w{rng.randrange(4000)}" for _ in range(60)) for _ in range(80)]
+    texts = [passage + t for t in own] + [passage + t + " end" for t in own[:10]] + ["", "", "a b", "a b", "a c"]
+    sample = toxicity._Sample([(toxicity.encode(t), k % 2) for k, t in enumerate(texts)])
+    assert len(sample.y) == 80 + 3
+
+
+def test_sample_skips_what_is_over_budget(spark):
+    docs = docs_of(spark, [(i, "x" * (5000 if i % 10 == 0 else 10)) for i in range(100)])
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(100)], "doc_id long, quality int, toxic int")
+    found = labelled_features(docs, labels, "toxic", F.lit(True), 100, 4000, str.encode)
+    assert [len(x) for x, _ in found] == [10] * 90
