@@ -47,28 +47,33 @@ def _column(kind: str) -> str:
 
 
 _KEYS = ("code_key", "name_key", "owner_key")
+_OWN_KEYS = [*GROUP_KEYS, "hu_id"]
 
 
 @dataclass(frozen=True)
 class RegistryIndex:
-    """What a lookup needs of a registry: one row per group and id, and the record count."""
+    """What a lookup needs of a registry: a row per group, per group and id, and the record count."""
 
     groups: DataFrame  # group, n, top (its first members)
+    own: DataFrame  # group, hu_id, own (members of the group with that id)
     total: DataFrame  # n
 
 
 def registry_index(registry: DataFrame) -> RegistryIndex:
     keyed = with_keys(registry)
     record = F.struct("input_order", "id", "name", "code", "status", *_KEYS)
-    # One more than is shown, since the request's own record is left out afterwards.
+    # Enough to show, whichever id is the request's own and left out afterwards.
     firsts = (
-        first_members(keyed, _LISTED, TOP_DUPLICATES + 1)
+        first_members(keyed, _LISTED, TOP_DUPLICATES)
         .groupBy(*GROUP_KEYS)
         .agg(F.sort_array(F.collect_list(record)).alias("top"))
     )
     counts = group_counts(keyed, list(KINDS))
+    ids = keyed.where(F.col("id") != "").withColumnRenamed("id", "hu_id")
+    own = group_rows(ids, list(KINDS), ["hu_id"]).groupBy(*_OWN_KEYS)
     return RegistryIndex(
-        groups=counts.join(firsts, GROUP_KEYS, "full"),
+        groups=counts.join(firsts, GROUP_KEYS, "left"),
+        own=own.agg(F.count(F.lit(1)).alias("own")),
         total=registry.agg(F.count(F.lit(1)).alias("n")),
     )
 
@@ -86,12 +91,15 @@ def load_index(spark: SparkSession, folder: str) -> RegistryIndex:
 def _found(requests: DataFrame, index: RegistryIndex, generic_at: int) -> DataFrame:
     """One row per request: its keys, its match counts, and the first members it met.
 
-    All groups of a request, and its own id, are probed together, so requests are read
-    once and met once. ``__code`` .. ``__owner`` are the members by kind.
+    All groups of a request are probed together, and again with its own id for the records
+    to leave out; a request without groups has its row of kind ``id`` only. ``__code`` ..
+    ``__owner`` are the members by kind.
     """
     keep = ["request_id", "hu_id", *_KEYS]
     probes = group_rows(requests, list(KINDS), keep, "hu_id")
     hot = hot_keys(probes, GROUP_KEYS)
+    mine = hot_keys(probes, _OWN_KEYS)
+    probes = spread_join(probes, index.own, _OWN_KEYS, "left", ["request_id"], mine)
     hits = spread_join(probes, index.groups, GROUP_KEYS, "left", ["request_id"], hot)
 
     def of(kind: str, column: str) -> Column:
@@ -100,23 +108,14 @@ def _found(requests: DataFrame, index: RegistryIndex, generic_at: int) -> DataFr
     row = hits.groupBy("request_id").agg(
         *[F.first(c).alias(c) for c in keep[1:]],
         *[of(k, "n").alias(_column(k)) for k in KINDS],
+        *[of(k, "own").alias("__own_" + _column(k)) for k in KINDS],
         *[of(k, "top").alias(f"__{k.replace('name+owner', 'own')}") for k in _LISTED],
-        of("id", "top").alias("__self"),
     )
-    mine = F.when(F.col("hu_id") != "", F.col("__self"))
 
     def others(kind: str) -> Column:
         """Group size without the registry records of the request's own id."""
-        used = [k for k, u in zip(_KEYS, KINDS[kind]) if u]
-
-        def same(r: Column) -> Column:
-            equal = F.lit(True)
-            for k in used:
-                equal = equal & (F.col(k) != "") & (r[k] == F.col(k))
-            return equal
-
-        own = F.coalesce(F.size(F.filter(mine, same)), F.lit(0))
-        return (F.coalesce(_column(kind), F.lit(0)) - F.greatest(own, F.lit(0))).cast("bigint")
+        n, own = (F.coalesce(c, F.lit(0)) for c in (_column(kind), "__own_" + _column(kind)))
+        return (n - own).cast("bigint")
 
     generic = F.coalesce(F.col("n_name") >= generic_at, F.lit(False))
     named = others("name+owner") - others("code+name+owner")

@@ -407,11 +407,17 @@ def review_queue(registry: DataFrame, base_url: str, n: int | None = None) -> Da
 
 
 def first_members(keyed: DataFrame, kinds: list[str], k: int) -> DataFrame:
-    """The first ``k`` members of each group, and of each id, in input order.
+    """First members of each group, in input order: k of each of its first k + 1 ids.
 
-    Spark limits each group to k rows in every map task before the shuffle.
+    Whichever id is left out, the first ``k`` of the other members are among them. Spark
+    limits the rows of an id, and the ids of a group, in every map task before the shuffle.
     """
     keep = ["id", "code", "name", "status", "input_order", *TRIPLE]
-    w = Window.partitionBy(*GROUP_KEYS).orderBy("input_order")
-    rows = group_rows(keyed, kinds, keep, "id").withColumn("__rank", F.row_number().over(w))
-    return rows.where(F.col("__rank") <= k).drop("__rank")
+    of_id = Window.partitionBy(*GROUP_KEYS, "id").orderBy("input_order")
+    so_far = of_id.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = group_rows(keyed, kinds, keep).withColumns(
+        {"__rank": F.row_number().over(of_id), "__first": F.min("input_order").over(so_far)}
+    )
+    ids = Window.partitionBy(*GROUP_KEYS).orderBy("__first", "id")
+    few = rows.where(F.col("__rank") <= k).withColumn("__ids", F.dense_rank().over(ids))
+    return few.where(F.col("__ids") <= k + 1).drop("__rank", "__first", "__ids")

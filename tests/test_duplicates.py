@@ -138,3 +138,16 @@ def test_index_round_trip(spark, registry, tmp_path):
     req = requests(spark, [("a", "2000", "ABC123456", "คลินิกเฉพาะทาง ก", "x")])
     a = D.lookup(req, D.registry_index(reg)).collect()
     assert D.lookup(req, D.load_index(spark, str(tmp_path))).collect() == a
+
+
+def test_own_id_repeats(spark, registry):
+    """All records of the request's own id are left out, however many; other matches are listed."""
+    rows = [("1", "ABC123456", "คลินิกก", "นายหนึ่ง")] * 30 + [("2", "ABC123456", "คลินิกข", "นายสอง")] * 12
+    rows += [("3", "XYZ999999", "คลินิกค", "นายสาม")] * 40 + [("4", "ABC123456", "คลินิกข", "นายสอง")]
+    reqs = [("a", "1", "ABC123456", "x", "y"), ("b", "3", "XYZ999999", "คลินิกค", "นายสาม"), ("c", "2", "ABC123456", "x", "นายสอง"),
+            ("d", "9", "ABC123456", "x", "y")]
+    got = lookup(spark, registry(rows), reqs)
+    for rid, want in brute(rows, reqs).items():
+        d, o = got[rid].duplicates, got[rid].owner_units
+        top = [t.id for t in d.top or []]
+        assert (d.strong_n, d.weak_n, d.generic, top, o.n, [u.id for u in o.top or []]) == want, rid
