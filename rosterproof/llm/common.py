@@ -170,3 +170,13 @@ def in_set(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """
     k = ids.select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(k, docs["doc_id"].eqNullSafe(k["__id"]), how)
+
+
+def sql_crc32(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a text expression of ASCII characters."""
+    bits = (
+        "list_reduce(range(8), lambda c, _: CASE WHEN c % 2 = 1 "
+        "THEN xor(c // 2, 3988292384) ELSE c // 2 END, xor(h, b))"
+    )
+    codes = f"list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT)"
+    return f"xor(list_reduce({codes}, lambda h, b: {bits}, 4294967295::BIGINT), 4294967295::BIGINT)"

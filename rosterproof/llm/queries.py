@@ -10,8 +10,11 @@ from rosterproof.llm import (
     decontaminate,
     exact_dedup,
     lm,
+    merkle,
+    mixing,
     packing,
     pii,
+    prefix_trie,
     quality,
     simhash,
     token_counts,
@@ -87,6 +90,18 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.with_pseudonyms(table(spark, sf_dir, "documents"), PII_KEY)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -100,6 +115,9 @@ QUERIES = {
         op8_toxicity,
         op9_quotation_linking,
         op10_pseudonyms,
+        op11_merkle_manifest,
+        op12_mixing,
+        op13_prefix_trie,
     )
 }
 
@@ -116,4 +134,6 @@ ORACLES = {
         select doc_id, keep_id, group_size, k = 1 as kept, sha256(norm) as text_sha256 from r
     """,
     "op9_quotation_linking": chat.SQL,
+    "op11_merkle_manifest": merkle.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
