@@ -147,47 +147,51 @@ def named(turns: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _hash_ids(batches):
-    """Arrow function: runs of ids, sorted by (node, first id) -> SHA-256 per node."""
-    node, state = None, None
+    """Arrow function: runs (node, ids), sorted by node and first id -> SHA-256 per node."""
     schema = pa.schema([("node", pa.binary()), ("ends_sha256", pa.string())])
+    node, state = None, None
     for b in batches:
         done = []
         for name, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if name != node:
+            if name == node:
+                state.update(b",")
+            else:
                 if node is not None:
                     done.append((node, state.hexdigest()))
                 node, state = name, hashlib.sha256()
-            else:
-                state.update(b",")
             state.update(ids.encode())
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), schema, strict=True)], schema=schema)
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), schema, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
     if node is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([node], pa.binary()), pa.array([state.hexdigest()], pa.string())], schema=schema)
+        columns = [pa.array([node], pa.binary()), pa.array([state.hexdigest()])]
+        yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
-def _runs(batches):
-    """Arrow function: (node, conv) sorted -> runs (node, first, ids) of at most RUN ids."""
-    schema = pa.schema([("node", pa.binary()), ("ids", pa.string()), ("first", pa.int64())])
-    node, run = None, []
+def _runs(most: int):
+    """Arrow function: (node, conv) sorted -> runs (node, first, ids) of at most ``most`` ids."""
+    schema = pa.schema([("node", pa.binary()), ("first", pa.int64()), ("ids", pa.string())])
 
-    def batch(rows):
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema
-        )
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    for b in batches:
-        done = []
-        for name, conv in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if run and (name != node or len(run) == RUN):
-                done.append((node, ",".join(map(str, run)), run[0]))
-                run = []
-            node = name
-            run.append(conv)
-        if done:
-            yield batch(done)
-    if run:
-        yield batch([(node, ",".join(map(str, run)), run[0])])
+    def run(batches):
+        node, ids = None, []
+        for b in batches:
+            done = []
+            for name, conv in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if ids and (name != node or len(ids) == most):
+                    done.append((node, ids[0], ",".join(map(str, ids))))
+                    ids = []
+                node = name
+                ids.append(conv)
+            if done:
+                yield batch(done)
+        if ids:
+            yield batch([(node, ids[0], ",".join(map(str, ids)))])
+
+    return run
 
 
 def ends(names: DataFrame) -> DataFrame:
@@ -198,7 +202,7 @@ def ends(names: DataFrame) -> DataFrame:
     """
     last = staged(names.where("last").select("node", "conv"), "trie-ends")
     runs = last.repartitionByRange("node", "conv").sortWithinPartitions("node", "conv")
-    runs = runs.mapInArrow(_runs, "node binary, ids string, first long")
+    runs = runs.mapInArrow(_runs(RUN), "node binary, first long, ids string")
     return (
         runs.repartition("node")
         .sortWithinPartitions("node", "first")
