@@ -7,18 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterproof.functions import fixed, urls
+from rosterproof.functions import dom, fixed, urls
 from rosterproof.functions.extract import guess_doc_type
 from rosterproof.functions.keys import first_given, given
-from rosterproof.functions.markup import REST_OF_TAG, attribute, unescape
 from rosterproof.functions.text import blank_to_null, trim_blanks
 
-# A page is cut before each tag of a link or button; a piece that opens one is the element,
-# so an element ends where it is closed or where the next one opens, closed or not.
-_CUT = r"(?i)(?=</?(?:a|button)\b)"
-_OPENS = r"(?i)^<(?:a|button)\b"
-_TAG = rf"^<{REST_OF_TAG}"
-_VIEWER = rf"(?i)<(?:iframe|embed|object)\b{REST_OF_TAG}"
 _EXT = "|".join(fixed.FILE_EXTENSIONS)
 # The four ways a script names a file, tried in this order.
 _ONCLICK = [
@@ -40,31 +33,11 @@ def _structs(array: Column, **fields: Callable[[Column], Column]) -> Column:
     return F.transform(array, more)
 
 
-def _clickable(pages: DataFrame, id_col: str) -> DataFrame:
-    """Pages with ``found``: links and buttons in page order, as an array of their row.
+def _elements(pages: DataFrame, id_col: str) -> DataFrame:
+    """Pages with ``found``, their links and buttons in page order, and ``viewers``.
 
-    Each has pos, text, its attributes and the address it leads to.
+    Each link or button has pos, text, its attributes and the address it leads to.
     """
-    opened = F.filter(F.split("html", _CUT), lambda s: s.rlike(_OPENS))
-    tags = F.transform(
-        opened,
-        lambda s, i: F.struct(
-            i.alias("pos"),
-            F.regexp_extract(s, _TAG, 0).alias("tag"),
-            F.regexp_replace(s, _TAG, "").alias("inner"),
-        ),
-    )
-    parsed = F.transform(
-        tags,
-        lambda t: F.struct(
-            t["pos"].alias("pos"),
-            trim_blanks(unescape(F.regexp_replace(t["inner"], r"<[^>]*>", ""))).alias("text"),
-            attribute(t["tag"], "data-src").alias("data_src"),
-            attribute(t["tag"], "href").alias("attr_href"),
-            attribute(t["tag"], "onclick").alias("onclick"),
-            t["tag"].rlike(r"(?i)^<a\b").alias("is_link"),
-        ),
-    )
 
     def target(e: Column) -> Column:
         href = e["attr_href"]
@@ -72,9 +45,10 @@ def _clickable(pages: DataFrame, id_col: str) -> DataFrame:
         script = F.coalesce(*[blank_to_null(F.regexp_extract(e["onclick"], p, 1)) for p in _ONCLICK])
         return F.when(scripted, script).otherwise(urls.resolve(href, F.col("__page")))
 
-    return (
-        pages.select(id_col, F.col("url").alias("__page"), "html", parsed.alias("found"))
-        .withColumn("found", _structs(F.col("found"), href=target))
+    read = pages.select(id_col, F.col("url").alias("__page"), dom.elements(F.col("html")).alias("__e"))
+    found = _structs(F.col("__e.clicks"), text=lambda e: trim_blanks(e["text"]))
+    return read.select(
+        id_col, "__page", _structs(found, href=target).alias("found"), F.col("__e.viewers").alias("viewers")
     )
 
 
@@ -94,28 +68,28 @@ def page_links(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
             F.lit(0).alias("part"), e["pos"].alias("pos"), href.alias("url"), e["text"].alias("text")
         )
 
-    def viewed(tag: Column, i: Column) -> Column:
-        src = first_given(attribute(tag, "src"), attribute(tag, "data"))
+    def viewed(v: Column) -> Column:
         return F.struct(
             F.lit(1).alias("part"),
-            i.alias("pos"),
-            F.when(urls.is_file(src), src).alias("url"),
+            v["pos"].alias("pos"),
+            F.when(urls.is_file(v["src"]), v["src"]).alias("url"),
             F.lit("").alias("text"),
         )
 
     # Addresses from attributes are resolved against the site, not the page.
     site = F.concat(urls.origin_of(F.col("__page")), F.lit("/"))
-    viewers = F.regexp_extract_all("html", F.lit(_VIEWER), F.lit(0))
+    usable = F.filter("all", lambda x: given(x["url"]))
     kept = F.filter(
-        _structs(F.col("all"), url=lambda x: urls.resolve(x["url"], site)),
+        _structs(usable, url=lambda x: urls.resolve(x["url"], site)),
         lambda x: given(x["url"]) & ~x["url"].startswith("javascript:") & ~x["url"].endswith("#"),
     )
     name = F.regexp_extract(F.col("l.url"), r"[^/]*\z", 0)
     return (
-        _clickable(pages, id_col)
-        .withColumn("all", F.concat(F.transform("found", clicked), F.transform(viewers, viewed)))
+        _elements(pages, id_col)
+        .withColumn("all", F.concat(F.transform("found", clicked), F.transform("viewers", viewed)))
         .withColumn("all", kept)
-        .select(id_col, F.explode(first_per_url(F.col("all"))).alias("l"))
+        .withColumn("all", by_url(F.col("all")))
+        .select(id_col, F.explode(first_of_runs(F.col("all"))).alias("l"))
         .select(
             id_col,
             "l.part",
@@ -127,9 +101,20 @@ def page_links(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     )
 
 
-def first_per_url(links: Column) -> Column:
-    """The first struct of each ``url`` in an array of structs."""
-    return F.filter(links, lambda x, i: F.array_position(links["url"], x["url"]) == i + 1)
+def by_url(links: Column) -> Column:
+    """Links (an array of structs) in the order of their ``url``, its first link in front."""
+    return F.array_sort(F.transform(links, lambda x, i: F.struct(x["url"], i.alias("at"), x.alias("link"))))
+
+
+def first_of_runs(ordered: Column) -> Column:
+    """The first link of each address of an array from ``by_url``, in the order given there.
+
+    A column of its own goes in: sorted once, each link is compared to the one before it,
+    so a page of any number of links takes n log n steps.
+    """
+    first = F.filter(ordered, lambda x, i: (i == 0) | (F.get(ordered, i - 1)["url"] != x["url"]))
+    back = F.array_sort(F.transform(first, lambda x: F.struct(x["at"], x["link"])))
+    return F.transform(back, lambda x: x["link"])
 
 
 def modal_links(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -161,7 +146,7 @@ def modal_links(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
         own=lambda e: F.when(e["attr_href"] != "#", urls.resolve(e["attr_href"], F.col("__page"))),
     )
     return (
-        _clickable(pages, id_col)
+        _elements(pages, id_col)
         .withColumn("found", with_urls)
         .select(
             id_col,
@@ -213,11 +198,23 @@ def document_urls(submissions: DataFrame) -> DataFrame:
         usable(card(3, "authority_info", fixed.CARD_TEXT_AUTHORITY)),
         usable(card(4, "admin_info", fixed.CARD_TEXT_ADMIN)),
     )
-    new = F.filter(F.col("rest"), lambda x: ~F.array_contains(F.col("listed")["url"], x["url"]))
+    # Listed links keep their repeats; one of the rest goes where its address came before.
+    every = F.concat(
+        F.transform("listed", lambda x: x.withField("of_rest", F.lit(False))),
+        F.transform("rest", lambda x: x.withField("of_rest", F.lit(True))),
+    )
+    back = F.array_sort(F.transform(_new_or_listed(F.col("every")), lambda x: F.struct(x["at"], x["link"])))
     return (
         submissions.select("request_id", listed.alias("listed"), rest.alias("rest"))
-        .withColumn("rest", new)
-        .select("request_id", F.inline(F.concat("listed", first_per_url(F.col("rest")))))
+        .select("request_id", by_url(every).alias("every"))
+        .select("request_id", F.inline(F.transform(back, lambda x: x["link"].dropFields("of_rest"))))
+    )
+
+
+def _new_or_listed(ordered: Column) -> Column:
+    before = lambda i: F.get(ordered, i - 1)["url"]
+    return F.filter(
+        ordered, lambda x, i: ~x["link"]["of_rest"] | (i == 0) | (before(i) != x["url"])
     )
 
 

@@ -8,10 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterproof.functions import fixed
+from rosterproof.functions import dom, fixed
 from rosterproof.functions.keys import first_given
-from rosterproof.functions.markup import REST_OF_TAG, attribute, unescape
-from rosterproof.functions.text import bind, blank_to_null, squeeze_blanks, trim_blanks
+from rosterproof.functions.text import blank_to_null, squeeze_blanks, trim_blanks
 
 _W = f"{fixed.WS}*"
 _SEP = rf"[:{fixed.BLANK}]*"
@@ -33,12 +32,6 @@ VERIFIED = "ยืนยันตัวตนแล้ว"
 HEADING = rf"รายการตรวจสอบ{_W}([0-9]+){_W}:{_W}({fixed.DOT}+?)(?=\n|\z)"
 MODAL_HEADING = rf"รายการตรวจสอบ{_W}([0-9]+){_W}:{_W}({fixed.DOT}+?)(?=\n|รายการ|สถานะ|\z)"
 STEP_TITLE = rf"^รายการตรวจสอบ{_W}[0-9]+{_W}/{_W}[0-9]+{_W}:{_W}"
-# A page is cut at labels, and outside them at the usual containers; the piece around a box
-# is the text beside it.
-_LABELS = r"(?i)(?=</?label\b)"
-_BLOCKS = r"(?i)(?=</?(?:td|th|tr|li|ul|ol|dd|dt|div|p|form|section|table|body)\b)"
-_INPUT = rf"(?i)<input\b{REST_OF_TAG}"
-_HEADING_TAG = r"(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]\s*>"
 CHECKBOX_NAME = r"check_detail\[([0-9]+)\]\[([0-9]+)\]"
 
 
@@ -105,66 +98,42 @@ def step_titles(headings: Column) -> Column:
 
 def page_headings(html: Column) -> Column:
     """Texts of the headings h1 to h6, in page order."""
-    found = F.regexp_extract_all(html, F.lit(_HEADING_TAG), F.lit(1))
-    return F.transform(found, _plain)
+    return F.transform(dom.elements(html)["headings"], _tidy)
 
 
-def _plain(markup: Column) -> Column:
-    """Text of a piece of markup, blanks collapsed."""
-    return squeeze_blanks(trim_blanks(unescape(F.regexp_replace(markup, r"<[^>]*>", ""))))
+def _tidy(text: Column) -> Column:
+    return squeeze_blanks(trim_blanks(text))
 
 
 def checklist_boxes(html: Column) -> Column:
     """Checklist boxes in page order: array<struct<group_id, item_id, label, checked>>.
 
-    The label is the text of the ``label`` around a box, else of the container around it.
+    The label is the text of the ``label`` around a box, else of its parent.
     """
-    pieces = F.flatten(
-        F.transform(
-            F.split(html, _LABELS),
-            lambda p: F.when(p.rlike(r"(?i)^<label\b"), F.array(p)).otherwise(F.split(p, _BLOCKS)),
-        )
+    return F.transform(
+        dom.elements(html)["boxes"],
+        lambda b: F.struct(
+            F.regexp_extract(b["name"], CHECKBOX_NAME, 1).alias("group_id"),
+            F.regexp_extract(b["name"], CHECKBOX_NAME, 2).alias("item_id"),
+            _tidy(b["text"]).alias("label"),
+            b["checked"].alias("checked"),
+        ),
     )
 
-    def box(tag: Column, label: Column) -> Column:
-        name = attribute(tag, "name")
-        return F.struct(
-            F.regexp_extract(name, CHECKBOX_NAME, 1).alias("group_id"),
-            F.regexp_extract(name, CHECKBOX_NAME, 2).alias("item_id"),
-            label.alias("label"),
-            tag.rlike(r"(?i)\schecked\b").alias("checked"),
-        )
-
-    def wanted(tag: Column) -> Column:
-        kind = F.lower(attribute(tag, "type")) == "checkbox"
-        return F.coalesce(kind & attribute(tag, "name").rlike(rf"^{CHECKBOX_NAME}"), F.lit(False))
 
-    def boxes(piece: Column) -> Column:
-        tags = F.filter(F.regexp_extract_all(piece, F.lit(_INPUT), F.lit(0)), wanted)
-        return F.transform(tags, lambda t: box(t, _plain(piece)))
-
-    with_box = F.filter(pieces, lambda p: p.contains("check_detail"))
-    return F.flatten(F.transform(with_box, boxes))
-
-
-def checklist_groups(html: Column, titles: Column) -> Column:
+def checklist_groups(boxes: Column, titles: Column) -> Column:
     """Checklist of a page: array<struct<group_id, document, items>>.
 
-    Boxes are grouped by the first number of their name, groups keep page order, and the
-    i-th group takes the i-th step title.
+    ``boxes`` (from ``checklist_boxes``) and ``titles`` (from ``step_titles``) are columns of
+    the page's row. Boxes are grouped by the first number of their name, groups keep page
+    order, and the i-th group takes the i-th step title.
     """
 
-    def groups(boxes: Column) -> Column:
-        def group(g: Column, i: Column) -> Column:
-            mine = F.filter(boxes, lambda b: b["group_id"] == g)
-            items = F.transform(
-                mine, lambda b: F.struct(*[b[f].alias(f) for f in ("item_id", "label", "checked")])
-            )
-            return F.struct(
-                g.alias("group_id"), F.get(titles, i).alias("document"), items.alias("items")
-            )
-
-        return F.transform(F.array_distinct(boxes["group_id"]), group)
+    def group(g: Column, i: Column) -> Column:
+        mine = F.filter(boxes, lambda b: b["group_id"] == g)
+        items = F.transform(
+            mine, lambda b: F.struct(*[b[f].alias(f) for f in ("item_id", "label", "checked")])
+        )
+        return F.struct(g.alias("group_id"), F.get(titles, i).alias("document"), items.alias("items"))
 
-    # The boxes are found once, however many groups they form.
-    return bind(checklist_boxes(html), groups)
+    return F.transform(F.array_distinct(boxes["group_id"]), group)

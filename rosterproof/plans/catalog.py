@@ -631,15 +631,20 @@ def landed_sources(spark, sf_dir):
 # --- links, pages, JSON ------------------------------------------------------------------------
 
 
+def _pages(spark, sf_dir):
+    easy, hard = (standins.derive(spark, sf_dir, q) for q in (standins.PAGES_SQL, standins.HARD_PAGES_SQL))
+    return easy.unionByName(hard)
+
+
 @query
 def page_links(spark, sf_dir):
-    p = links.page_links(standins.derive(spark, sf_dir, standins.PAGES_SQL))
+    p = links.page_links(_pages(spark, sf_dir))
     return p.select("page_id", long("part").alias("part"), long("pos").alias("pos"), "url", "text", "type")
 
 
 @query
 def modal_links(spark, sf_dir):
-    p = links.modal_links(standins.derive(spark, sf_dir, standins.PAGES_SQL))
+    p = links.modal_links(_pages(spark, sf_dir))
     return p.select("page_id", long("part").alias("part"), long("pos").alias("pos"), "url", "text", "type")
 
 
@@ -685,10 +690,15 @@ def checklist_headings(spark, sf_dir):
 
 @query
 def checklist_groups(spark, sf_dir):
-    p = standins.derive(spark, sf_dir, standins.PAGE_TEXT_SQL)
-    p = p.select("k", "html", pages.step_titles(pages.page_headings(F.col("html"))).alias("titles"))
+    easy = standins.derive(spark, sf_dir, standins.PAGE_TEXT_SQL).select("k", "html")
+    p = easy.unionByName(standins.derive(spark, sf_dir, standins.HARD_CHECKLIST_SQL))
+    p = p.select(
+        "k",
+        pages.step_titles(pages.page_headings(F.col("html"))).alias("titles"),
+        pages.checklist_boxes(F.col("html")).alias("boxes"),
+    )
     g = p.select(
-        "k", F.posexplode(pages.checklist_groups(F.col("html"), F.col("titles"))).alias("pos", "g")
+        "k", F.posexplode(pages.checklist_groups(F.col("boxes"), F.col("titles"))).alias("pos", "g")
     )
     items = g.select(
         "k", long("pos").alias("pos"), "g.group_id", "g.document", F.posexplode("g.items").alias("item", "i")

@@ -1035,8 +1035,23 @@ CLICK = [
     f"""e2 as (select *, case when coalesce(ah, '') = '' or starts_with(ah, 'javascript:') or ah = '#' then {_script}
       else {resolve('ah', 'page')} end href from e1)""",
 ]
+# The links of the hard pages, as read by hand: part, pos, address, text, whether a link.
+_HARD_LINKS = """hard as (
+  select -page_id - 1 page_id, v.* from pages, (values
+    (0, 0, '/files/a', '.pdf', 'a', true), (0, 1, '/files/n', '.pdf?a=1&copy=2', 'b' || chr(160) || '…', true),
+    (0, 2, '/files/u', '.pdf', 'un', true), (0, 3, '/files/q', '.pdf', 'both', true),
+    (0, 4, '/upload/z', null, 'both', false), (0, 5, '/files/dup', '.pdf', 'first', true),
+    (0, 6, '/admin/checklist/', '', 'ตรวจเอกสาร', true), (0, 7, '/files/again.pdf', null, 'one', true),
+    (0, 8, '/files/again.pdf', null, 'two', true), (1, 0, '/files/again.pdf', null, '', false),
+    (1, 1, '/files/v.pdf', null, '', false)) v(part, pos, front, back, text, is_link)),
+  hl as (select hard.page_id, part, pos, text, is_link, SITE || front ||
+    case when back is null then '' else (-hard.page_id - 1)::varchar || back end u
+    from hard join (select -page_id - 1 page_id, url page from pages) p on p.page_id = hard.page_id)""".replace(
+    "SITE", rx("page", r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+", 0)
+)
 ORACLES["page_links"] = ctes(
     *CLICK,
+    _HARD_LINKS,
     f"v0 as ({_elements(_VIEWER)})",
     f"v1 as (select *, coalesce(nullif({attr('tag', 'src')}, ''), {attr('tag', 'data')}) src from v0)",
     f"""l0 as (select page_id, 0 part, pos, page, case when coalesce({is_file('ds')}, false) then ds
@@ -1046,13 +1061,18 @@ ORACLES["page_links"] = ctes(
     """l2 as (select * from l1 where coalesce(u, '') <> '' and not starts_with(u, 'javascript:') and not ends_with(u, '#')
       qualify row_number() over (partition by page_id, u order by part, pos) = 1)""",
     select=f"""select page_id, part::bigint part, pos, u url, case when text = '' then {rx('u', '[^/]*$', 0)} else text end as text,
-  {doc_type("text || ' ' || u")} as type from l2""",
+  {doc_type("text || ' ' || u")} as type from l2
+union all select page_id, part::bigint, pos, u, case when text = '' then {rx('u', '[^/]*$', 0)} else text end, {doc_type("text || ' ' || u")} from hl
+  where not (u like '%/again.pdf' and text <> 'one')""",
 )
 ORACLES["modal_links"] = ctes(
     *CLICK,
+    _HARD_LINKS,
     f"""m0 as (select page_id, pos, text, coalesce(href, ah) u, case when ah <> '#' then {resolve('ah', 'page')} end own from e2 where is_link)""",
     select=f"""select page_id, 0::bigint part, pos, u url, text, null::varchar as type from m0 where coalesce(u, '') <> '' and {has_any('u', fixed.MODAL_HREF_WORDS)}
-union all select page_id, 1, pos, own, '{fixed.REVIEW_LINK_TEXT}', 'review_page' from m0 where contains(text, '{fixed.REVIEW_LINK_TEXT}') and coalesce(own, '') <> ''""",
+union all select page_id, 1, pos, own, '{fixed.REVIEW_LINK_TEXT}', 'review_page' from m0 where contains(text, '{fixed.REVIEW_LINK_TEXT}') and coalesce(own, '') <> ''
+union all select page_id, 0, pos, u, text, null from hl where is_link and {has_any('u', fixed.MODAL_HREF_WORDS)}
+union all select page_id, 1, pos, u, '{fixed.REVIEW_LINK_TEXT}', 'review_page' from hl where text = 'ตรวจเอกสาร'""",
 )
 
 
@@ -1100,6 +1120,7 @@ _TITLE = rf"^รายการตรวจสอบ{WS}*[0-9]+{WS}*/{WS}*[0-9]+
 _BOX = r'(?is)<label\b[^>]*>\s*<input\b[^>]*name="check_detail\[[0-9]+\]\[[0-9]+\]"[^>]*>.*?</label>'
 _NAME = r"check_detail\[([0-9]+)\]\[([0-9]+)\]"
 ORACLES["checklist_groups"] = ctes(
+    S,
     _pt,
     f"""hh as (select k, unnest(l) h, generate_subscripts(l, 1) p from (select k, {rall('html', '<h3>(.*?)</h3>')} l from pt))""",
     f"""ht as (select k, {rr(squeeze(trim('h')), _TITLE)} document, row_number() over (partition by k order by p) - 1 pos from hh where {rm(squeeze(trim('h')), _TITLE)})""",
@@ -1109,7 +1130,12 @@ ORACLES["checklist_groups"] = ctes(
     "gp as (select k, group_id, row_number() over (partition by k order by min(p)) - 1 pos from b2 group by 1, 2)",
     select="""select b2.k, gp.pos, b2.group_id, ht.document, row_number() over (partition by b2.k, b2.group_id order by p) - 1 item, item_id, label, checked,
   length(label) > 5 and not contains(label, 'เลือก') panel
-  from b2 join gp on gp.k = b2.k and gp.group_id = b2.group_id left join ht on ht.k = b2.k and ht.pos = gp.pos""",
+  from b2 join gp on gp.k = b2.k and gp.group_id = b2.group_id left join ht on ht.k = b2.k and ht.pos = gp.pos
+  union all select -s.k - 1, v.pos, group_id, document, item, item_id, case when label = 'cell' then 'cell ' || s.k::varchar else label end l, checked,
+    length(l) > 5 from s, (values
+    (0, '7', 'ก & ข', 0, '1', '', false), (0, '7', 'ก & ข', 1, '2', 'near text', false), (0, '7', 'ก & ข', 2, '3', 'one', false),
+    (0, '7', 'ก & ข', 3, '4', 'two', true), (1, '3', null, 0, '1', 'cell', true), (1, '3', null, 1, '2', 'outer deep', true),
+    (1, '3', null, 2, '3', 'bold', false)) v(pos, group_id, document, item, item_id, label, checked)""",
 )
 _labels = "[" + ", ".join(q(x) for x in standins.DOC_LABELS) + "]"
 _url_rows = f"""ua as (select request_id, 0 rank, i pos, '/files/' || request_id || '/' || i::varchar || '.pdf' url, {_labels}[i + 1] as text, null::varchar as type

@@ -159,6 +159,23 @@ select page_id, url, concat(html,
 from {pages}
 """
 
+# Pages whose markup only a browser's reading gets right; what they link to is stated in the
+# queries' twins.
+HARD_PAGES_SQL = """
+select -page_id - 1 as page_id, url, concat(
+  '<a title="see href=''/no.pdf''" href="/files/a', cast(page_id as varchar(20)), '.pdf">a</a>',
+  '<!-- <a href="/files/old.pdf">old</a> --><script>var x = ''<a href="/files/js.pdf">js</a>'';</script>',
+  '<a href="&#47;files&#x2F;n', cast(page_id as varchar(20)), '.pdf?a=1&copy=2">b&nbsp;&hellip;</a>',
+  '<a data-x=''<a href="/files/in.pdf">'' href=/files/u', cast(page_id as varchar(20)), '.pdf>un<!-- no --></a>',
+  '<a href="/files/q', cast(page_id as varchar(20)), '.pdf"><button onclick="window.open(''/upload/z'')">bo<i>th</i></button></a>',
+  '<textarea><a href="/files/t.pdf">t</a></textarea>',
+  '<A HREF=''/files/dup', cast(page_id as varchar(20)), '.pdf'' href=''/files/second.pdf''>first',
+  '<p><a href="/admin/checklist/', cast(page_id as varchar(20)), '">ตรวจเอกสาร</p></a><a href="/files/again.pdf">one</a>',
+  '<a href="/files/again.pdf">two</a><embed src="/files/again.pdf"><iframe src="/files/v.pdf"><a href="/files/w.pdf">w</a></iframe>',
+  '<a href="/files/never.pdf"') as html
+from {pages}
+"""
+
 # Checklist boxes and step headings of a request's review page.
 PAGE_TEXT_SQL = f"""
 select k, request_id, concat('{HOST}/admin/checklist/', request_id) as url,
@@ -179,6 +196,20 @@ select k, request_id, concat('{HOST}/admin/checklist/', request_id) as url,
 from ({SUBMISSIONS_SQL}) s
 """
 
+# Checklists in markup where a box's label depends on the elements around it; the labels are
+# stated in the query's twin.
+HARD_CHECKLIST_SQL = f"""
+select -k - 1 as k, concat('<h2>รายการตรวจสอบ 1 / 2 : <b>ก &amp; ข</b></h2><!-- <h3>รายการตรวจสอบ 2 / 2 : ค</h3> -->',
+  '<table><tr><td><span><input type=checkbox name=check_detail[7][1]></span> far text',
+  '<td><input type="checkbox" name="check_detail[7][2]" title=''not checked'' value="', cast(k as varchar(20)), '"> near <b>te&#120;t</b>',
+  '<tr><td>cell ', cast(k as varchar(20)), ' <input type="CHECKBOX" name="check_detail[3][1]" data-x=">" checked></table>',
+  '<label>outer <b><input type="checkbox" name="check_detail[3][2]" checked=""></b> deep</label>',
+  '<b><input type="checkbox" name="check_detail[3][3]" data-note="checked"> bold</b> outside',
+  '<ul><li><input type="checkbox" name="check_detail[7][3]">one<li><input type="checkbox" name="check_detail[7][4]" CHECKED>two</ul>',
+  '<!-- <input type="checkbox" name="check_detail[9][9]"> --><label><input type="radio" name="check_detail[9][8]">no</label>') as html
+from ({SUBMISSIONS_SQL}) s
+"""
+
 EVENTS_SQL = """
 select event_id, ts, user_id,
   case event_id % 6 when 0 then concat('/api/v1/health_unit/', cast(user_id as varchar(20)))

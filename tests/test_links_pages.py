@@ -1,7 +1,9 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from rosterproof.functions import urls
+from rosterproof.functions import dom, urls
 from rosterproof.operators import links, pages
 from rosterproof.operators.rules import panel_items
 
@@ -106,6 +108,44 @@ def test_messy_markup(found):
     ]
 
 
+def test_what_is_no_markup(found):
+    html = (
+        "<a title=\"see href='/no.pdf'\" href=\"/files/a.pdf\">A</a><!-- <a href='/files/old.pdf'>old</a> -->"
+        "<script>x = '<a href=\"/files/js.pdf\">js</a>'</script><a data-x='<a href=\"/files/in.pdf\">' href=/files/b.pdf>B</a>"
+        "<a href='&#47;files&#x2f;c.pdf?x=1&copy=2&amp;y'>&nbsp;C&hellip;</a><A HREF=/files/d.pdf href=/files/e.pdf>D<!-- d --></a>"
+        "<noscript><a href='/files/f.pdf'>f</a></noscript><embed data='/files/v.pdf'><a href='/files/never.pdf'"
+    )
+    assert [(u.removeprefix("https://h.example/files/"), t) for u, t, _ in found(html)] == [
+        ("a.pdf", "A"), ("b.pdf", "B"), ("c.pdf?x=1&copy=2&y", "C…"), ("d.pdf", "D"), ("v.pdf", "v.pdf"),
+    ]
+
+
+def test_nested_and_open_elements(found):
+    html = (
+        "<a href='/files/a.pdf'><button onclick=\"go('/files/b.pdf')\">to <b>both</b></button> end</a>"
+        "<table><tr><td><a href='/files/c.pdf'>cell<td>next</table><a href='/files/d.pdf'>open <p>still</p><a href='/files/e.pdf'>e"
+    )
+    assert [(u.rsplit("/", 1)[1], t) for u, t, _ in found(html)] == [
+        ("a.pdf", "to both end"), ("b.pdf", "to both"), ("c.pdf", "cell"), ("d.pdf", "open still"), ("e.pdf", "e"),
+    ]
+
+
+def test_many_links_of_a_page(found):
+    n = 50_000
+    html = "".join(f"<a href='/files/{i % (n - 10)}.pdf'>{i}</a>" for i in range(n))
+    start = time.perf_counter()
+    got = found(html)
+    assert [(u, t) for u, t, _ in got] == [(f"https://h.example/files/{i}.pdf", str(i)) for i in range(n - 10)]
+    assert time.perf_counter() - start < 60
+
+
+@pytest.mark.parametrize("html", ['<a href="x" ' * 20_000, "<b>" * 30_000, "<!--" * 20_000, "<" * 50_000, "<td><p></a>" * 20_000])
+def test_hostile_markup_is_read_in_linear_time(html):
+    start = time.perf_counter()
+    dom._reader()(html)
+    assert time.perf_counter() - start < 10
+
+
 def test_links_need_no_shuffle(spark):
     df = spark.createDataFrame([(1, PAGE, "")], "page_id int, url string, html string")
     for op in (links.page_links, links.modal_links):
@@ -177,7 +217,8 @@ def test_groups_take_titles_by_position(spark):
     html = box.format(5, 1, " checked", "ก <i>ข</i>\n ค") + box.format(2, 9, "", "z") + box.format(5, 2, "", "เลือกทั้งหมด")
     heads = ["รายการตรวจสอบ 1 / 2 : สพ.7", "other", " รายการตรวจสอบ  2/2: บัตร  x"]
     df = spark.createDataFrame([(html, heads), (html, heads[:1])], "html string, heads array<string>")
-    rows = df.select(pages.checklist_groups(F.col("html"), pages.step_titles(F.col("heads"))).alias("g")).collect()
+    df = df.select(pages.checklist_boxes(F.col("html")).alias("boxes"), pages.step_titles(F.col("heads")).alias("titles"))
+    rows = df.select(pages.checklist_groups(F.col("boxes"), F.col("titles")).alias("g")).collect()
     g = rows[0].g
     assert [(x.group_id, x.document) for x in g] == [("5", "สพ.7"), ("2", "บัตร x")]
     assert [(i.item_id, i.label, i.checked) for i in g[0]["items"]] == [("1", "ก ข ค", True), ("2", "เลือกทั้งหมด", False)]
@@ -199,6 +240,21 @@ def test_boxes_in_any_markup(values):
     assert values(pages.page_headings, [html]) == [["รายการตรวจสอบ 1 / 2 : ก & ข"]]
 
 
+def test_label_of_a_box_is_that_of_its_parent(values):
+    box = '<input type=checkbox name="check_detail[1][{}]"{}>'
+    html = (
+        f"<table><tr><td><span>{box.format(1, '')}</span> far text<td>{box.format(2, ' title=\'not checked\'')} near <i>te&#120;t</i></table>"
+        f"<label>outer <b>{box.format(3, ' checked=\'\'')}</b> <label>deep</label></label><b>{box.format(4, ' data-x=checked')}bold</b> out"
+        f"<ul><li>{box.format(5, '')}one<li>{box.format(6, ' CHECKED')}two</ul><!-- {box.format(9, '')} -->"
+        f"<dl><dt>term<dd>{box.format(7, '')}said<dd>next</dl><p>{box.format(8, '')}said<div>out</div>"
+    )
+    got = values(pages.checklist_boxes, [html])[0]
+    assert [(b.item_id, b.label, b.checked) for b in got] == [
+        ("1", "", False), ("2", "near text", False), ("3", "outer deep", True), ("4", "bold", False),
+        ("5", "one", False), ("6", "two", True), ("7", "said", False), ("8", "said", False),
+    ]
+
+
 def test_panel_items(spark):
     df = spark.createDataFrame([([("short",), ("long enough",), ("เลือกทั้งหมด",)],)], "a array<struct<name:string>>")
     assert [x.name for x in df.select(panel_items(F.col("a")).alias("p")).first().p] == ["long enough"]
