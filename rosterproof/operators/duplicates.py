@@ -30,6 +30,13 @@ TOP_DUPLICATES = 8
 TOP_OWNER_UNITS = 6
 _LISTED = ["code", "name+owner", "name", "owner"]
 
+# A saved index: groups in a bucket, how many buckets there are, and how many group keys of
+# a batch are broadcast (at most about 50 MB).
+BUCKET_ROWS = 1 << 18
+LEAST_BUCKETS, MAX_BUCKETS = 16, 4096
+BROADCAST_KEYS = 200_000
+_BUCKETED = ("groups", "own")
+
 
 def request_keys(submissions: DataFrame) -> DataFrame:
     """(request_id, hu_id, code_key, name_key, owner_key) of each submission."""
@@ -78,14 +85,46 @@ def registry_index(registry: DataFrame) -> RegistryIndex:
     )
 
 
+def _bucket(buckets: Column | int) -> Column:
+    of = F.lit(buckets) if isinstance(buckets, int) else buckets
+    return F.pmod(F.xxhash64(*GROUP_KEYS), of).cast("int")
+
+
 def save_index(index: RegistryIndex, folder: str) -> None:
-    """Write the index tables, for lookups that run many times over one snapshot."""
-    write_reports(vars(index), folder)
+    """Write the index tables, for lookups that run many times over one snapshot.
 
+    Rows lie in a folder per bucket of their group's hash, as many as the index needs for
+    ``BUCKET_ROWS`` groups each, so that a lookup reads the buckets of its own groups only.
+    """
+    records = index.total.first().n
+    buckets = min(MAX_BUCKETS, max(LEAST_BUCKETS, records * len(KINDS) // BUCKET_ROWS))
+    for name in _BUCKETED:
+        table = getattr(index, name).withColumn("bucket", _bucket(buckets))
+        table = table.repartition("bucket").sortWithinPartitions("bucket", *GROUP_KEYS)
+        table.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/{name}")
+    write_reports({"total": index.total.withColumn("buckets", F.lit(buckets))}, folder)
 
-def load_index(spark: SparkSession, folder: str) -> RegistryIndex:
-    names = RegistryIndex.__dataclass_fields__
-    return RegistryIndex(**{n: spark.read.parquet(f"{folder}/{n}") for n in names})
+
+def load_index(spark: SparkSession, folder: str, requests: DataFrame | None = None) -> RegistryIndex:
+    """The saved index; with ``requests`` (from ``request_keys``) only what they can meet.
+
+    The buckets of the requests' groups, at most ``MAX_BUCKETS`` numbers, become a partition
+    filter, and the rest is met by the requests' group keys: broadcast up to
+    ``BROADCAST_KEYS`` of them, so the index is neither read whole nor shuffled.
+    """
+    total = spark.read.parquet(f"{folder}/total")
+    tables = {n: spark.read.parquet(f"{folder}/{n}") for n in _BUCKETED}
+    if requests is not None:
+        buckets = total.first().buckets
+        probes = group_rows(requests, list(KINDS), ["hu_id"]).withColumn("bucket", _bucket(buckets))
+        probes = probes.distinct()
+        met = probes.agg(F.collect_set("bucket").alias("buckets"), F.count(F.lit(1)).alias("n")).first()
+        few = met.n <= BROADCAST_KEYS
+        for name, keys in (("groups", GROUP_KEYS), ("own", _OWN_KEYS)):
+            wanted = probes.select("bucket", *keys).distinct()
+            near = tables[name].where(F.col("bucket").isin(met.buckets))
+            tables[name] = near.join(F.broadcast(wanted) if few else wanted, ["bucket", *keys], "left_semi")
+    return RegistryIndex(total=total.select("n"), **{n: t.drop("bucket") for n, t in tables.items()})
 
 
 def _found(requests: DataFrame, index: RegistryIndex, generic_at: int) -> DataFrame:

@@ -28,16 +28,18 @@ def verify_stream(
     """Verify arriving submissions against the snapshot; results go to ``folder``/results.
 
     The snapshot is reduced to its key tables once, on shared storage. Each micro-batch is
-    one bounded batch job writing its own directory, so a replayed batch overwrites itself.
+    one bounded batch job writing its own directory, so a replayed batch overwrites itself;
+    of the snapshot it reads the buckets of its own keys and keeps what these meet.
     """
     save_index(registry_index, f"{folder}/index")
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        index = load_index(batch.sparkSession, f"{folder}/index")
         # Read several times below; a lost part of it is read anew from the source.
         batch.persist()
         try:
-            results = verify(prepare(batch) if prepare else batch, index)
+            submissions = prepare(batch) if prepare else batch
+            index = load_index(batch.sparkSession, f"{folder}/index", request_keys(submissions))
+            results = verify(submissions, index)
             results.write.mode("overwrite").parquet(f"{folder}/results/batch={batch_id}")
         finally:
             batch.unpersist()

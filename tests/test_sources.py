@@ -14,7 +14,7 @@ def test_registry_pages(spark, tmp_path):
     (tmp_path / "page-1.json").write_text(json.dumps({"recordsTotal": 3, "data": [{**row, "hu_id": "11", "sla": ""}]}))
     raw = tables.read_registry_pages(spark, str(tmp_path))
     got = tables.clean_registry(raw).orderBy("input_order").collect()
-    assert [(r.input_order, r.id, r.sla, r.owner) for r in got] == [(0, "9", 20, "ก"), (1, "10", 15, "ก ข"), (500, "11", 0, "ก")]
+    assert [(r.input_order, r.id, r.sla, r.owner) for r in got] == [(0, "9", 20, "ก"), (1, "10", 15, "ก ข"), (1 << 32, "11", 0, "ก")]
     assert (got[0].code, got[0].name, got[0].type) == ("0012", "คลินิก ก", "")
 
 

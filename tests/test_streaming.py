@@ -29,6 +29,34 @@ def test_verify_in_several_batches(spark, tmp_path):
     assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
 
 
+def test_a_batch_reads_the_buckets_of_its_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(duplicates, "LEAST_BUCKETS", 64)
+    index = duplicates.registry_index(standins.registry(spark, SF))
+    folder = str(tmp_path / "index")
+    duplicates.save_index(index, folder)
+    requests = duplicates.request_keys(standins.submissions(spark, SF))
+    for keys in (requests, requests.limit(3), requests.limit(0)):
+        keys = spark.createDataFrame(keys.collect(), keys.schema)
+        want = sorted(map(str, duplicates.lookup(keys, index).collect()))
+        for most in (200_000, 0):
+            monkeypatch.setattr(duplicates, "BROADCAST_KEYS", most)
+            near = duplicates.load_index(spark, folder, keys)
+            assert sorted(map(str, duplicates.lookup(keys, near).collect())) == want
+            if not want:
+                continue
+            plan = near.groups._jdf.queryExecution().executedPlan().toString()
+            filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+            assert "bucket#" in filters
+            if most:
+                # Only the batch's keys move; the index is read where it lies.
+                join, scan = plan.index("BroadcastHashJoin"), plan.index("FileScan")
+                assert join < scan and "Exchange" not in plan[join:scan]
+    three = duplicates.load_index(spark, folder, spark.createDataFrame(requests.limit(3).collect(), requests.schema))
+    read = three.groups.inputFiles()
+    assert 0 < three.groups.count() <= 3 * 6
+    assert len(read) < len(spark.read.parquet(f"{folder}/groups").inputFiles())
+
+
 def test_each_request_once(spark, tmp_path):
     src = str(tmp_path / "in")
     events = spark.range(40).select(
