@@ -89,6 +89,48 @@ def registry_clean(spark, sf_dir):
     return clean.withColumn("sla", long("sla"))
 
 
+def _landed_registry(spark, sf_dir) -> DataFrame:
+    """Registry pages landed as JSON files, read back and checked."""
+    flat = standins.derive(spark, sf_dir, standins.LANDED_SQL)
+    cells = F.struct("input_order", *_CELLS)
+    pages = flat.groupBy("snapshot", "copy", "start").agg(
+        F.max("total").alias("recordsTotal"), F.sort_array(F.collect_list(cells)).alias("data")
+    )
+    data = F.transform("data", lambda r: r.dropFields("input_order"))
+    pages = pages.withColumn("data", data).drop("copy")
+    # The answer that ends a landing early has no rows.
+    empty = spark.range(1).select(
+        F.lit("cut").alias("snapshot"),
+        F.lit(2 * standins.PAGES_OF).cast("long").alias("start"),
+        F.lit(0).cast("long").alias("recordsTotal"),
+        F.array().cast(pages.schema["data"].dataType).alias("data"),
+    )
+    folder = f"{shared_folder(spark)}/registry"
+    tables.land_registry_pages(pages.unionByName(empty), folder, ("snapshot",))
+    return tables.check_pages(tables.read_landed_pages(spark, folder, "snapshot string"), ["snapshot"])
+
+
+_CELLS = ("hu_id", "hu_code", "hu_name", "hu_type_name", "status", "member_fname", "member_lname", "sla", "create_date")
+
+
+@query
+def registry_pages(spark, sf_dir):
+    checked = _landed_registry(spark, sf_dir)
+    numbers = ("start", "rows", "records_total", "missing_before", "repeated")
+    return checked.select("snapshot", *[long(c).alias(c) for c in numbers], "used")
+
+
+@query
+def registry_landings(spark, sf_dir):
+    return tables.landing_report(_landed_registry(spark, sf_dir), ["snapshot"])
+
+
+@query
+def registry_assembled(spark, sf_dir):
+    raw = tables.assemble_pages(_landed_registry(spark, sf_dir), ["snapshot"])
+    return tables.clean_registry(raw, ["snapshot"]).withColumn("sla", long("sla"))
+
+
 @query
 def registry_keys(spark, sf_dir):
     r = registry.with_keys(standins.registry(spark, sf_dir))

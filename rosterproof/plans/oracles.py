@@ -322,6 +322,34 @@ select {strip('hu_id')} id, {strip('hu_code')} code, {strip('hu_name')} name, {s
   {strip("coalesce(member_fname, '') || ' ' || coalesce(member_lname, '')")} owner,
   coalesce(try_cast({digits(strip('sla'))} as bigint), 0) sla, {strip('create_date')} create_date, input_order
 from ({_raw}) r"""
+_LANDED = [
+    f"lp as ({std(standins.LANDED_SQL)})",
+    f"""pg as (select snapshot, copy, start::bigint start, count(*) n, max(total) total from lp group by 1, 2, 3
+      union all select 'cut', 0, {2 * standins.PAGES_OF}, 0, 0)""",
+    """ck as (select *, greatest(coalesce(max(start + n) over (partition by snapshot order by start, n desc, copy
+        rows between unbounded preceding and 1 preceding), 0), 0) covered,
+      arg_min(total, start) over (partition by snapshot) records_total,
+      coalesce(min(case when n = 0 then start end) over (partition by snapshot), 1000000000) stop from pg)""",
+    """rp as (select *, greatest(start - covered, 0) missing_before, least(greatest(covered - start, 0), n) repeated,
+      start = 0 or (start < records_total and start < stop) used from ck)""",
+]
+ORACLES["registry_pages"] = ctes(
+    *_LANDED, select="select snapshot, start, n as rows, records_total, missing_before, repeated, used from rp"
+)
+ORACLES["registry_landings"] = ctes(
+    *_LANDED,
+    select="""select *, greatest(records_total - rows_read, 0) rows_missing, rows_read >= records_total complete from (
+  select snapshot, count(*) pages, max(records_total) records_total, coalesce(sum(n - repeated) filter (where used), 0)::bigint rows_read,
+    coalesce(sum(repeated) filter (where used), 0)::bigint rows_repeated from rp group by 1)""",
+)
+ORACLES["registry_assembled"] = ctes(
+    *_LANDED,
+    select=f"""select r.snapshot, {strip('hu_id')} id, {strip('hu_code')} code, {strip('hu_name')} name, {strip('hu_type_name')} type, {strip('status')} status,
+  {strip("coalesce(member_fname, '') || ' ' || coalesce(member_lname, '')")} owner,
+  coalesce(try_cast({digits(strip('sla'))} as bigint), 0) sla, {strip('create_date')} create_date, r.place input_order
+from lp r join rp on rp.snapshot = r.snapshot and rp.copy = r.copy and rp.start = r.start
+where used and r.place - r.start >= repeated""",
+)
 ORACLES["registry_keys"] = ctes(G, GK, select="select id, code_key, name_key, owner_key from gk")
 ORACLES["generic_names"] = ctes(
     G, GK, select="select name_key, count(*) n from gk where name_key <> '' group by 1 having count(*) >= 10"

@@ -56,6 +56,21 @@ select id as hu_id, concat('<b>', code, '</b>') as hu_code,
 from ({REGISTRY_SQL}) g
 """
 
+# Landed registry pages of 50 rows: a whole landing, one with pages that are short, missing
+# or landed twice, one that an empty page ends.
+PAGES_OF = 50
+LANDED_SQL = f"""
+select l.snapshot, copy, (pno * {PAGES_OF}) as start, total, r.*
+from (select *, cast(floor(place / {PAGES_OF}) as bigint) as pno from (
+  select g.*, row_number() over (order by g.input_order) - 1 as place, count(*) over () as total
+  from ({RAW_REGISTRY_SQL}) g) q) r,
+  (select 'whole' as snapshot, 0 as copy union all select 'torn', 0 union all select 'torn', 1 union all select 'cut', 0) l
+where l.snapshot = 'whole'
+  or l.snapshot = 'torn' and l.copy = 0 and pno % 5 <> 3 and (pno % 7 <> 2 or place % {PAGES_OF} < 40)
+  or l.snapshot = 'torn' and l.copy = 1 and pno % 4 = 1 and place % {PAGES_OF} < 30
+  or l.snapshot = 'cut' and pno <> 2
+"""
+
 # Twelve digits and their check digit; odd keys mostly get a wrong one.
 _ID12 = "concat('3', lpad(cast({k} * 104729 as varchar(20)), 11, '0'))"
 _CHECK = " + ".join(

@@ -18,6 +18,47 @@ def test_registry_pages(spark, tmp_path):
     assert (got[0].code, got[0].name, got[0].type) == ("0012", "คลินิก ก", "")
 
 
+def landing(spark, pages):
+    """pages: (snapshot, start, total, ids, file)."""
+    cell = "hu_id string"
+    rows = [(s, a, t, [(i,) for i in ids] if ids is not None else None, f) for s, a, t, ids, f in pages]
+    return spark.createDataFrame(rows, f"snapshot string, start long, recordsTotal int, data array<struct<{cell}>>, file string")
+
+
+def test_pages_are_checked_against_the_total(spark, monkeypatch):
+    pages = [("whole", 0, 5, ["a", "b"], "1"), ("whole", 2, 5, ["c", "d"], "2"), ("whole", 4, 5, ["e"], "3"),
+             ("torn", 0, 9, ["a", "b", "c"], "1"), ("torn", 2, 9, ["c", "d"], "2"), ("torn", 2, 9, ["c"], "3"), ("torn", 6, 9, ["g"], "4"),
+             ("cut", 0, 9, ["a"], "1"), ("cut", 1, 9, [], "2"), ("cut", 2, 9, ["c"], "3"), ("cut", 30, 9, None, "4"),
+             ("over", 0, 1, ["a", "b"], "1"), ("over", 2, 1, ["c"], "2"), (None, 0, None, ["z"], "1")]
+    for block in (1 << 21, 2):
+        monkeypatch.setattr(tables, "PAGE_BLOCK", block)
+        checked = tables.check_pages(landing(spark, pages), ["snapshot"])
+        got = {(r.snapshot, r.start, r.file): (r.rows, r.missing_before, r.repeated, r.used) for r in checked.collect()}
+        assert got == {
+            ("whole", 0, "1"): (2, 0, 0, True), ("whole", 2, "2"): (2, 0, 0, True), ("whole", 4, "3"): (1, 0, 0, True),
+            ("torn", 0, "1"): (3, 0, 0, True), ("torn", 2, "2"): (2, 0, 1, True), ("torn", 2, "3"): (1, 0, 1, True),
+            ("torn", 6, "4"): (1, 2, 0, True), ("cut", 0, "1"): (1, 0, 0, True), ("cut", 1, "2"): (0, 0, 0, False),
+            ("cut", 2, "3"): (1, 1, 0, False), ("cut", 30, "4"): (0, 27, 0, False), ("over", 0, "1"): (2, 0, 0, True),
+            ("over", 2, "2"): (1, 0, 0, False), (None, 0, "1"): (1, 0, 0, True),
+        }
+        report = {r.snapshot: (r.pages, r.rows_read, r.rows_missing, r.rows_repeated, r.complete)
+                  for r in tables.landing_report(checked, ["snapshot"]).collect()}
+        assert report == {"whole": (3, 5, 0, 0, True), "torn": (4, 5, 4, 2, False), "cut": (4, 1, 8, 0, False),
+                          "over": (2, 2, 0, 0, True), None: (1, 1, None, 0, False)}
+        rows = tables.assemble_pages(checked, ["snapshot"]).where("snapshot = 'torn'").orderBy("input_order").collect()
+        assert [(r.input_order, r.hu_id) for r in rows] == [(0, "a"), (1, "b"), (2, "c"), (3, "d"), (6, "g")]
+    assert tables.check_pages(landing(spark, [])).collect() == []
+
+
+def test_landed_pages_are_read_back(spark, tmp_path):
+    pages = landing(spark, [("s", 0, 3, ["<b>1</b>", "2"], "x"), ("s", 2, 3, ["3"], "x")]).drop("file")
+    tables.land_registry_pages(pages, str(tmp_path / "p"), ("snapshot",))
+    back = tables.read_landed_pages(spark, str(tmp_path / "p"), "snapshot string")
+    raw = tables.assemble_pages(tables.check_pages(back, ["snapshot"]), ["snapshot"])
+    rows = tables.clean_registry(raw, ["snapshot"]).orderBy("input_order").collect()
+    assert [(r.snapshot, r.input_order, r.id, r.owner) for r in rows] == [("s", 0, "1", ""), ("s", 1, "2", ""), ("s", 2, "3", "")]
+
+
 def test_payload(values):
     def enc(b):
         return base64.b64encode(b).decode()

@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from rosterproof.operators import duplicates
@@ -52,9 +54,9 @@ def test_a_batch_reads_the_buckets_of_its_keys(spark, tmp_path, monkeypatch):
                 join, scan = plan.index("BroadcastHashJoin"), plan.index("FileScan")
                 assert join < scan and "Exchange" not in plan[join:scan]
     three = duplicates.load_index(spark, folder, spark.createDataFrame(requests.limit(3).collect(), requests.schema))
-    read = three.groups.inputFiles()
-    assert 0 < three.groups.count() <= 3 * 6
-    assert len(read) < len(spark.read.parquet(f"{folder}/groups").inputFiles())
+    plan = three.groups._jdf.queryExecution().executedPlan().toString()
+    wanted = re.search(r"bucket#\d+ IN \(([^)]*)\)", plan.split("PartitionFilters: [")[1]).group(1)
+    assert 0 < three.groups.count() <= 3 * 6 and 0 < len(wanted.split(",")) <= 3 * 6 < 64
 
 
 def test_each_request_once(spark, tmp_path):
