@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterproof.llm.common import raw, sliced, staged
-from rosterproof.llm.encoders import BYTE_BPE, rank_encoding
+from rosterproof.llm.encoders import BYTE_BPE, rank_count, rank_encoding
 
 #: Lengths of a block; the blocks' totals are a small table (longest length / BLOCK rows).
 BLOCK = 256
@@ -29,7 +29,7 @@ def encoded_lengths(docs: DataFrame, tokenizer: str = BYTE_BPE) -> DataFrame:
     def run(batches):
         encoding = rank_encoding(tokenizer)
         for b in sliced(batches):
-            sizes = [len(encoding.encode_ordinary(t.decode())) for t in raw(b.column("text"))]
+            sizes = [rank_count(encoding, t.decode()) for t in raw(b.column("text"))]
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": b.column("doc_id"), "n_tokens": pa.array(sizes, pa.int64())}
             )
