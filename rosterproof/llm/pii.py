@@ -183,10 +183,13 @@ class Pseudonyms:
             return None
         first = date(max(1, day.year // 100 * 100), 1, 1)
         last = date(day.year // 100 * 100 + 99, 12, 31)
+        # However a day is spelled, it has one pseudonym: days up to the 12th, which could be
+        # read as months, are permuted among themselves, and so are the others.
+        late = day.day > 12
         while True:
             n = self.index("date", day.toordinal() - first.toordinal(), last.toordinal() - first.toordinal() + 1)
             day = date.fromordinal(first.toordinal() + n)
-            if not swapped or day.day > 12:
+            if (day.day > 12) == late:
                 break
         mark = value[2]
         if "-" in value:
@@ -215,9 +218,12 @@ class Pseudonyms:
     def _hex(self, value: str) -> str | None:
         if value.isdigit() or value.isalpha() or value not in (value.lower(), value.upper()):
             return None
-        new = self.symbols("hex", [int(c, 16) for c in value], [16] * len(value))
-        out = "".join("0123456789abcdef"[x] for x in new)
-        return out if value == value.lower() else out.upper()
+        new = [int(c, 16) for c in value]
+        while True:
+            new = self.symbols("hex", new, [16] * len(value))
+            out = "".join("0123456789abcdef"[x] for x in new)
+            if not (out.isdigit() or out.isalpha()):
+                return out if value == value.lower() else out.upper()
 
 
 def _into(shape: str, digits: str) -> str:
