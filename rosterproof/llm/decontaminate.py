@@ -9,10 +9,10 @@ bit-parallel algorithm gives the smallest edit distance of the passage to the te
 The benchmark is a query set: it is held against all documents in blocks of at most
 ``BLOCK_BYTES`` of passages, so the broadcast is bounded whatever the benchmark's size.
 
-Cases: a passage of under ``MIN_CHARS`` normalised characters is too short to tell a leak
-inside prose and matches only a document of exactly that text (empty ones never); a
-passage of over ``MAX_CHARS`` is searched in consecutive parts, any of which is a leak;
-null texts are empty; repeated rows each give their rows; null item_ids are kept.
+Cases: a passage of under ``CHARS_PER_EDIT`` normalised characters has no budget and must be
+found as it is, between words; an empty one is never found; a passage of any length is
+searched whole; null texts are empty; repeated rows each give their rows; null item_ids
+are kept. ``part`` is always 0.
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 from rosterproof.llm.common import sliced
 
 CHARS_PER_EDIT = 20
-MIN_CHARS = 25
-MAX_CHARS = 2048
 BLOCK_BYTES = 8 << 20
 
 MATCH = "item_id long, part int, distance int, start long, end long"
@@ -36,13 +34,6 @@ def normalise(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
-def parts(text: str) -> list[str]:
-    """A passage's search parts of nearly equal length, one unless it is very long."""
-    n = max(1, -(-len(text) // MAX_CHARS))
-    at = [len(text) * i // n for i in range(n + 1)]
-    return [text[a:b] for a, b in zip(at, at[1:], strict=False)]
-
-
 def split(passage: str) -> list[tuple[int, str]]:
     """Budget + 1 pieces (offset, piece) of nearly equal length."""
     n = len(passage) // CHARS_PER_EDIT + 1
@@ -85,21 +76,17 @@ class Matcher:
     """All passages of a block, ready to scan documents."""
 
     def __init__(self, items: list[tuple[int | None, str]]):
-        self.passages: list[tuple[int | None, int, str, int]] = []
-        self.whole: dict[str, list[int | None]] = {}
+        self.passages: list[tuple[int | None, str, int]] = []
         self.automaton = ahocorasick.Automaton()
         for item_id, text in items:
             text = normalise(text)
-            if len(text) < MIN_CHARS:
-                if text:
-                    self.whole.setdefault(text, []).append(item_id)
+            if not text:
                 continue
-            for k, part in enumerate(parts(text)):
-                self.passages.append((item_id, k, part, len(part) // CHARS_PER_EDIT))
-                for offset, piece in split(part):
-                    if piece not in self.automaton:
-                        self.automaton.add_word(piece, (len(piece), []))
-                    self.automaton.get(piece)[1].append((len(self.passages) - 1, offset))
+            self.passages.append((item_id, text, len(text) // CHARS_PER_EDIT))
+            for offset, piece in split(text):
+                if piece not in self.automaton:
+                    self.automaton.add_word(piece, (len(piece), []))
+                self.automaton.get(piece)[1].append((len(self.passages) - 1, offset))
         if len(self.automaton):
             self.automaton.make_automaton()
 
@@ -110,7 +97,7 @@ class Matcher:
         else the end less the passage's length.
         """
         text = normalise(text)
-        found = [(i, 0, 0, 0, len(text)) for i in self.whole.get(text, ())]
+        found: list[tuple[int | None, int, int, int, int]] = []
         if not len(self.automaton):
             return found
         places: dict[int, list[int]] = {}
@@ -118,24 +105,30 @@ class Matcher:
             for passage, offset in uses:
                 places.setdefault(passage, []).append(end + 1 - size - offset)
         for passage, starts in places.items():
-            item_id, k, pattern, budget = self.passages[passage]
+            item_id, pattern, budget = self.passages[passage]
             m = len(pattern)
             best = None
             for s in sorted(set(starts)):
-                if s >= 0 and text.startswith(pattern, s):
+                if s >= 0 and text.startswith(pattern, s) and (budget or _bounded(text, s, s + m)):
                     best = (0, s + m)
                     break
-            if best is None:
+            if best is None and budget:
                 # Overlapping windows are joined, so a place is verified once.
                 for lo, hi in _windows(sorted(set(starts)), budget, m, len(text)):
                     got = myers(pattern, text[lo:hi], budget)
                     if got and (best is None or got[0] < best[0]):
                         best = (got[0], lo + got[1])
             if best:
-                found.append((item_id, k, best[0], max(0, best[1] - m), best[1]))
+                found.append((item_id, 0, best[0], max(0, best[1] - m), best[1]))
         return found
 
 
+def _bounded(text: str, start: int, end: int) -> bool:
+    """Whether a place in a text neither begins nor ends within a word."""
+    inside = [text[i - 1 : i + 1] for i in (start, end) if 0 < i < len(text)]
+    return not any(x.isalnum() for x in inside)
+
+
 def _windows(starts: list[int], budget: int, m: int, n: int):
     lo = hi = None
     for s in starts:
