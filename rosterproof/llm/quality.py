@@ -87,8 +87,35 @@ class Model:
         return np.clip(out, 0, 1)
 
 
-def fit(sample) -> Model:
-    """Directions and labelled vectors of (features, label) pairs."""
+def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """Number of documents, and of those that hold each trigram bucket, over all of ``docs``.
+
+    A task adds up what it reads; the driver gets one number a bucket.
+    """
+    schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
+
+    def run(batches):
+        found = np.zeros(BUCKETS + 1, np.int64)
+        for b in sliced(batches):
+            texts = raw(b.column("text"))
+            for a in range(0, len(texts), BLOCK):
+                found[:-1] += (counts(texts[a : a + BLOCK]) > 0).sum(0)
+            found[-1] += len(texts)
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(found[at])], schema=schema)
+
+    rows = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    out = np.zeros(BUCKETS + 1)
+    for r in rows.collect():
+        out[r.bucket] = r.n
+    return int(out[-1]), out[:-1]
+
+
+def fit(sample, frequencies: tuple[int, np.ndarray]) -> Model:
+    """Directions and labelled vectors of (features, label) pairs.
+
+    ``frequencies``: of all documents, as ``document_frequencies`` gives them.
+    """
     rows, labels = [], []
     for x, y in sample:
         rows.append(x)
@@ -96,10 +123,8 @@ def fit(sample) -> Model:
     if not labels:
         return Model()
     n = len(labels)
-    df = np.zeros(BUCKETS)
-    for x in rows:
-        df[np.frombuffer(x[: 2 * (len(x) // 6)], np.uint16)] += 1
-    idf = np.log((n + 1) / (df + 1)).astype(np.float32)
+    of_all, df = frequencies
+    idf = np.log((of_all + 1) / (df + 1)).astype(np.float32)
     # The Gram matrix of the features is small; its main eigenvectors are the directions.
     gram = np.zeros((BUCKETS, BUCKETS), np.float32)
     for a in range(0, n, 512):
@@ -120,9 +145,8 @@ def fit(sample) -> Model:
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
-    return fit(
-        labelled_features(docs, labels, "quality", train, SAMPLE_ROWS, SAMPLE_BYTES, encode)
-    )
+    sample = labelled_features(docs, labels, "quality", train, SAMPLE_ROWS, SAMPLE_BYTES, encode)
+    return fit(sample, document_frequencies(docs))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
