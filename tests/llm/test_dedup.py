@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 import xxhash
 
-from rosterproof.llm import exact_dedup, simhash
+from pyspark.sql import functions as F
+
+from rosterproof.llm import common, exact_dedup, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, fp string, node int"
 
@@ -270,3 +272,24 @@ def test_hot_template_in_blocks(spark, monkeypatch, edits):
     rows = list(enumerate(similar_texts(11, 2, 60, edits)))
     got = {r.doc_id for r in simhash.drop_near_copies(docs_of(spark, rows)).collect()}
     assert got == brute_kept(rows)
+
+
+def test_exact_stage_keeps_the_row_that_the_groups_keep(spark, tmp_path):
+    rows = [(1, "abc"), (1, "a b  c"), (2, "other"), (2, "ot her"), (2, None), (None, ""), (None, "abc"), (3, "alone")]
+    want = sorted(["a b  c", "ot her", None, "alone"], key=str)
+    made = docs_of(spark, rows)
+    made.repartition(3).write.parquet(str(tmp_path / "d"))
+    for docs in (made, spark.read.parquet(str(tmp_path / "d")), spark.read.parquet(str(tmp_path / "d")).where("true")):
+        left = exact_dedup.drop_exact_copies(docs)
+        assert sorted((r.text for r in left.collect()), key=str) == want and left.columns == docs.columns
+        assert sorted((r.text for r in simhash.drop_near_copies(docs).collect()), key=str) == sorted({str(t): t for _, t in rows if t != ""}.values(), key=str)
+
+
+def test_row_keys_of_files(spark, tmp_path):
+    spark.range(100).select(F.col("id").alias("doc_id"), F.col("id").alias("__row")).repartition(5).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    rows, key = common.keyed(docs, "t")
+    assert key == "__row_" and rows.columns == ["doc_id", "__row", "__row_"]
+    first, again = ({r.doc_id: r[key] for r in x.collect()} for x in (rows, rows.select("doc_id", key).orderBy("doc_id")))
+    assert first == again and len(set(first.values())) == 100
+    assert common.without(rows, key, rows.where("doc_id < 90").select(key)).count() == 10

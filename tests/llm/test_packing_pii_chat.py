@@ -327,3 +327,33 @@ def test_pipeline_run(spark):
     got = entry.queries()["pipeline"](spark, SF)
     assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(got.columns)
     assert got.count() > 50
+
+
+def test_a_day_has_one_pseudonym_however_it_is_spelled():
+    names = pii.Pseudonyms(b"key")
+    seen = {}
+    day = date(2000, 1, 1)
+    while day.year < 2100:
+        d = f"{day.day:02d}", f"{day.month:02d}", f"{day.year}"
+        spelled = [day.isoformat(), "/".join(d), ".".join(d)]
+        if day.day > 12:
+            spelled.append(f"{d[1]}/{d[0]}/{d[2]}")
+        got = {names("date", x) for x in spelled}
+        new = date.fromisoformat(names("date", day.isoformat()))
+        n = f"{new.day:02d}", f"{new.month:02d}", f"{new.year}"
+        want = {new.isoformat(), "/".join(n), ".".join(n)} | ({f"{n[1]}/{n[0]}/{n[2]}"} if day.day > 12 else set())
+        assert got == want and (new.day > 12) == (day.day > 12)
+        seen[day] = new
+        day += timedelta(days=7 if day.year % 10 else 1)
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_hex_pseudonyms_are_hex_secrets_again():
+    names = pii.Pseudonyms(b"key")
+    rng = random.Random(9)
+    for _ in range(3000):
+        value = "".join(rng.choices("0123456789ab", weights=[9] * 10 + [1, 1], k=32))
+        new = names("hex", value)
+        assert (new is None) == (value.isdigit() or value.isalpha())
+        if new is not None:
+            assert len(new) == 32 and new != value and not new.isdigit() and not new.isalpha()

@@ -3,6 +3,7 @@
 import functools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -56,12 +57,12 @@ def test_leaks(spark):
     long_item = " ".join(f"part{i}of{i * i}" for i in range(600))
     rows = [(1, "before " + ITEM.upper() + " after"), (2, "clean text"), (3, None), (4, "")]
     rows += [(10 + k, "x " + edited(ITEM, budget, rng) + " y") for k in range(30)]
-    rows += [(50, "yes"), (51, "yes indeed"), (60, "start " + long_item[-3000:]), (61, long_item[5000:5900])]
+    rows += [(50, "yes"), (51, "yes indeed"), (60, "start " + long_item[-3000:]), (61, long_item[5000:5900]), (62, "a " + long_item + " b")]
     items = [(7, ITEM), (8, "yes"), (9, ""), (10, None), (11, long_item), (7, ITEM)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = docs_of(spark, rows)
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
-    assert got == {(1, 7), *((10 + k, 7) for k in range(30)), (50, 8), (60, 11)}
+    assert got == {(1, 7), *((10 + k, 7) for k in range(30)), (50, 8), (51, 8), (62, 11)}
     left = decontaminate.drop_leaks(docs, bench)
     assert left.columns == docs.columns
     assert {r.doc_id for r in left.collect()} == {2, 3, 4, 51, 61}
@@ -321,7 +322,9 @@ def test_votes_are_exact_cosines():
     rng = random.Random(10)
     texts = ["".join(rng.choices("abcdef ", k=rng.randint(5, 200))).encode() for _ in range(300)]
     sample = [(quality.encode(t.decode()), k % 2) for k, t in enumerate(texts[:200])]
-    model = quality.fit(sample)
+    held = sum((quality.counts([t]) > 0)[0] for t in texts)
+    model = quality.fit(sample, (len(texts), held))
+    assert np.allclose(model.idf, np.log((len(texts) + 1) / (held + 1)))
     got = model.score(quality.counts(texts))
     for k in range(200, 300):
         v = model.latent(quality.counts([texts[k]]))[0].astype(float)
@@ -339,7 +342,7 @@ def test_classifiers_without_labels(spark):
     assert [r.score for r in quality.scored(docs, quality.fit_documents(docs, labels, train)).collect()] == [0.5, 0.5]
     empty = docs_of(spark, [])
     assert toxicity.scored(empty, toxicity.fit([])).collect() == []
-    assert quality.scored(empty, quality.fit([])).collect() == []
+    assert quality.scored(empty, quality.fit([], quality.document_frequencies(empty))).collect() == []
 
 
 def test_text_parts_keep_sentences():
@@ -367,3 +370,52 @@ def test_sample_skips_what_is_over_budget(spark):
     labels = spark.createDataFrame([(i, 0, i % 2) for i in range(100)], "doc_id long, quality int, toxic int")
     found = labelled_features(docs, labels, "toxic", F.lit(True), 100, 4000, str.encode)
     assert [len(x) for x, _ in found] == [10] * 90
+
+
+def test_document_frequencies_cover_all_documents(spark):
+    texts = ["abc abc", "abcd", "", None, "zz", "x" * 100_000, "abc abc"]
+    docs = docs_of(spark, list(enumerate(texts))).repartition(3)
+    n, held = quality.document_frequencies(docs)
+    want = sum((quality.counts([(t or "").encode()]) > 0)[0].astype(int) for t in texts)
+    assert n == len(texts) and held.tolist() == want.tolist()
+
+
+def test_latent_directions_are_those_of_the_svd():
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.integers(97, 123, 6).tolist()) for _ in range(40)]
+    texts = [b" ".join(words[i] for i in rng.integers(0, 8, 30) + 8 * (k % 4)) for k in range(120)]
+    held = (quality.counts(texts) > 0).sum(0)
+    model = quality.fit([(quality.encode(t.decode()), k % 2) for k, t in enumerate(texts)], (len(texts), held))
+    m = quality.unit(np.log1p(quality.counts(texts)) * model.idf)
+    _, sizes, right = np.linalg.svd(m, full_matrices=False)
+    strong = int((sizes > 0.2 * sizes[0]).sum())
+    assert 0 < strong <= quality.RANK
+    # The strong singular vectors lie in the space of the directions.
+    inside = np.linalg.norm(right[:strong] @ model.directions, axis=1)
+    assert inside.min() > 0.999
+
+
+@pytest.mark.parametrize("gap", [" ", "\n", "\t \n", "\u3000 "])
+def test_long_white_space_is_counted_as_the_tokenizer_does(monkeypatch, gap):
+    encoding = encoders.rank_encoding()
+    for pattern in ("{}", "word{}", "{}word", "a{}b{}1 c{}!", "a\x1f{}\x1fb"):
+        text = pattern.replace("{}", gap * 700)
+        want = len(encoding.encode_ordinary(text))
+        monkeypatch.setattr(encoders, "_RUN", re.compile(encoders._RUN.pattern.replace(str(encoders.LONG_RUN), "50")))
+        assert encoders.rank_count(encoding, text) == want
+        monkeypatch.undo()
+    for n in (1_000_000, 5_000_000):
+        assert encoders.rank_count(encoding, "a" + " " * n + "b") == encoders.rank_count(encoding, "a" + " " * 100_000 + "b") + n - 100_000
+
+
+def test_short_and_long_passages():
+    long = " ".join(f"word{i}" for i in range(900))
+    m = decontaminate.Matcher([(1, "short one"), (2, long), (3, "x"), (4, "  "), (5, "")])
+    assert m.find("a Short  one here") == [(1, 0, 0, 2, 11)]
+    assert m.find("short one") == [(1, 0, 0, 0, 9)] and m.find("shorts one, ashort one, short ones") == []
+    assert m.find("(x)") == [(3, 0, 0, 1, 2)] and m.find("xx") == [] and m.find("") == []
+    words = long.split()
+    # Half of a long passage is none; one with an edit every few words still is.
+    assert m.find(" ".join(words[:450])) == []
+    edited = "before " + " ".join(w + ("s" if i % 10 == 0 else "") for i, w in enumerate(words)) + " after"
+    assert [f[:3] for f in m.find(edited)] == [(2, 0, 90)]
