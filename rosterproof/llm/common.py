@@ -8,7 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space as every contract of this package spells it: [\x20\x09-\x0D].
@@ -25,7 +25,9 @@ def scratch(spark: SparkSession) -> str:
     if not base:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="rosterproof-"))
+        if "dir" not in _LOCAL:
+            _LOCAL["dir"] = tempfile.mkdtemp(prefix="rosterproof-")
+        base = _LOCAL["dir"]
     return base.rstrip("/")
 
 
@@ -130,6 +132,8 @@ def smallest_reachable(edges: DataFrame, name: str) -> DataFrame:
         if digest == seen:
             break
         seen = digest
+    else:
+        raise RuntimeError(f"{name}: components still change after 200 rounds")
     return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -159,17 +163,42 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def same_columns(kept: DataFrame, docs: DataFrame) -> DataFrame:
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+#: Row keys that are broadcast: 16 bytes each, 32 MB. More are met in a shuffle join.
+LISTED = 2_000_000
 
 
-def in_set(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is (left_semi) or is not (left_anti) among ``ids``.
+def keyed(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs`` with a key of its rows, and the key's column name (none that docs has).
 
-    A null doc_id is an id like any other.
+    Rows read straight from files are keyed by file and place in it, which any later read
+    finds again; others are written once and keyed there. The list of files, which the
+    driver holds anyhow, is broadcast.
     """
-    k = ids.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(k, docs["doc_id"].eqNullSafe(k["__id"]), how)
+    key = "__row"
+    while key in docs.columns:
+        key += "_"
+    plain = docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation"
+    if not plain or "_metadata" in docs.columns:
+        return staged(docs.withColumn(key, F.monotonically_increasing_id()), name), key
+    path, index = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    files = docs.select(path.alias("__file")).distinct()
+    place = docs.withColumns({f"{key}f": path, key: index})
+    number = F.row_number().over(Window.orderBy("__file"))
+    files = staged(files.select("__file", number.cast("long").alias("__number")), f"{name}-files")
+    met = place.join(F.broadcast(files), place[f"{key}f"] == files["__file"])
+    row = F.shiftleft("__number", 36).bitwiseOR(F.col(key))
+    return met.select(*[F.col(f"`{c}`") for c in docs.columns], row.alias(key)), key
+
+
+def listed(keys: DataFrame) -> DataFrame:
+    """``keys`` (a few longs a row), marked for broadcast if they are at most ``LISTED``."""
+    return F.broadcast(keys) if keys.count() <= LISTED else keys
+
+
+def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """``rows`` whose key is not in ``gone`` (of one column), and without the key."""
+    out = gone.toDF("__gone")
+    return rows.join(listed(out), F.col(key) == F.col("__gone"), "left_anti").drop(key)
 
 
 def sql_crc32(text: str) -> str:

@@ -19,10 +19,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterproof.llm.common import BLANKS, in_set, raw, same_columns, sliced, staged
+from rosterproof.llm.common import BLANKS, keyed, raw, sliced, staged, without
 
 CHUNK = 1 << 16
 SLICE = 1 << 20
@@ -95,8 +95,11 @@ def _packed(fps: list[tuple]) -> tuple[list[int], list[int]]:
 _FP = "f1 long, f2 long, bytes long"
 
 
-def text_fingerprints(docs: DataFrame, hashes=HASHES) -> DataFrame:
-    """One row per document: row, doc_id, points (code points), f1, f2, bytes, sha."""
+def text_fingerprints(docs: DataFrame, hashes=HASHES, row: Column | None = None) -> DataFrame:
+    """One row per document: row, doc_id, points (code points), f1, f2, bytes, sha.
+
+    ``row`` is a key of the rows, by default a number of this read.
+    """
 
     def run(batches):
         powers = _powers(hashes)
@@ -117,7 +120,7 @@ def text_fingerprints(docs: DataFrame, hashes=HASHES) -> DataFrame:
             )
 
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        (F.monotonically_increasing_id() if row is None else row).alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
         "text",
         F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("points"),
@@ -188,14 +191,14 @@ def collided(docs: DataFrame, groups: DataFrame, hashes=HASHES) -> DataFrame:
     )
 
 
-def exact_groups(docs: DataFrame, hashes=HASHES) -> DataFrame:
+def exact_groups(docs: DataFrame, hashes=HASHES, row: Column | None = None) -> DataFrame:
     """One row per document: row, doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row of the longest original, then of the smallest doc_id (null
     last), then the first row stays.
     """
     key = ["f1", "f2", "bytes"]
-    rows = staged(text_fingerprints(docs, hashes), "exact")
+    rows = staged(text_fingerprints(docs, hashes, row), "exact")
     repeated = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     wrong = staged(collided(docs, repeated, hashes), "exact-collided")
     part = F.lit(None).cast("binary")
@@ -233,25 +236,9 @@ def exact_groups(docs: DataFrame, hashes=HASHES) -> DataFrame:
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text another row has; columns as given.
 
-    Rows that repeat a doc_id are told apart by their columns: of the same doc_id and text
-    one stays.
+    Of equal texts the row that ``exact_groups`` keeps stays. Rows are told apart by a key of
+    their own, so ids may be null or repeat.
     """
-    found = staged(exact_groups(docs), "exact-groups")
-    gone = found.where("not kept").select("doc_id")
-    unsure = in_set(found.where("kept").select("doc_id"), gone, "left_semi")
-    clear = in_set(docs, gone, "left_anti")
-    again = in_set(docs, unsure, "left_semi")
-    # Usually empty: ids of which one row goes and another stays.
-    again = again.withColumn(
-        "__t", F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", "")
-    )
-    keep = found.where("kept").select(
-        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__s")
-    )
-    again = again.join(
-        keep,
-        again["doc_id"].eqNullSafe(keep["__id"])
-        & (F.sha2(F.encode("__t", "UTF-8"), 256) == F.col("__s")),
-        "left_semi",
-    ).dropDuplicates(["doc_id", "__t"])
-    return same_columns(clear, docs).unionAll(same_columns(again, docs))
+    rows, key = keyed(docs, "exact-rows")
+    found = staged(exact_groups(rows, row=F.col(key)), "exact-groups")
+    return without(rows, key, found.where("not kept").select("row"))

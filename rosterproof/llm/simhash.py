@@ -21,6 +21,7 @@ tells rows apart by a key of their own, so rows of a null or repeated doc_id are
 
 from __future__ import annotations
 
+import uuid
 from hashlib import blake2b
 from itertools import combinations
 from math import acos, pi, sqrt
@@ -33,12 +34,16 @@ from pyspark.sql import functions as F
 
 from rosterproof.llm.common import (
     components,
+    keyed,
+    listed,
     meet,
     raw,
-    same_columns,
+    remove,
+    scratch,
     sliced,
     smallest_reachable,
     staged,
+    without,
 )
 
 RADIUS = 2
@@ -387,13 +392,14 @@ def exact_links(
 
 
 def similar_links(
-    rows: DataFrame, roots: DataFrame, words: int, similarity: float, radius: int
+    rows: DataFrame, roots: DataFrame, words: int, similarity: float, radius: int, folder: str
 ) -> DataFrame:
     """Edges (a, b) that connect all rows of sufficient similarity among those of a root.
 
     ``rows`` has row and text, ``roots`` has node and root: the rows of a root are compared.
     Where they are more than a block, all meet its first block; members of the component
-    that is then the largest are connected, and only the rest meets all others.
+    that is then the largest are connected, and only the rest meets all others. What is
+    written on the way lies in ``folder`` until the caller removes it.
     """
 
     def sets(batches):
@@ -432,10 +438,12 @@ def similar_links(
                 rest.append(r)
         yield from out()
 
-    texts = rows.join(roots, rows["row"] == roots["node"]).select("root", "node", "text")
+    # Few texts have candidates; the others stay where they lie.
+    texts = rows.join(listed(roots), rows["row"] == roots["node"]).select("root", "node", "text")
     members = staged(
         texts.mapInArrow(sets, "group long, node long, size long, fp binary, shingles binary"),
         "similar-sets",
+        f"{folder}/sets",
     )
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -443,21 +451,23 @@ def similar_links(
         sorted_ = dealt.repartition(parts, "t", "key").sortWithinPartitions("t", "key")
         return sorted_.mapInArrow(run, "a long, b long")
 
-    edges = staged(compared(cells(members, BLOCK, first=True)), "similar-first")
+    edges = staged(compared(cells(members, BLOCK, first=True)), "similar-first", f"{folder}/first")
     sizes = members.groupBy("group").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("size").cast("double")).alias("bytes")
     )
     large = sizes.where((F.col("n") > BLOCK) | (F.col("bytes") > BLOCK_BYTES)).select("group")
     if large.isEmpty():
         return edges
-    of_large = members.join(large, "group", "left_semi")
+    of_large = meet(members, large, "group")
     found = smallest_reachable(edges, "similar-first-groups").select(F.col("node").alias("of"), "root")
     named = of_large.select("group", "node").join(found, F.col("node") == F.col("of"), "left")
-    named = staged(named.select("group", "node", F.coalesce("root", "node").alias("root")), "similar-first-named")
+    named = named.select("group", "node", F.coalesce("root", "node").alias("root"))
+    named = staged(named, "similar-first-named", f"{folder}/named")
     held = named.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"))
     main = held.groupBy("group").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
     rest = meet(named, main, "group").where("root <> main").select("node")
-    return edges.unionAll(compared(cells_with_rest(of_large, staged(rest, "similar-rest"), BLOCK)))
+    rest = staged(rest, "similar-rest", f"{folder}/rest")
+    return edges.unionAll(compared(cells_with_rest(of_large, rest, BLOCK)))
 
 
 def cells(rows: DataFrame, block: int = BLOCK, first: bool = False) -> DataFrame:
@@ -524,10 +534,10 @@ def cells_with_rest(rows: DataFrame, rest: DataFrame, block: int = BLOCK) -> Dat
     )
 
 
-def near_copies(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+def near_copies(docs: DataFrame, words: int, similarity: float, key: str = "__row") -> DataFrame:
     """(row, keep) of each row of ``docs``, keep being the row that stays of its near copies.
 
-    ``docs`` has ``__row``, a key of its rows. Of a component the smallest doc_id stays, nulls
+    ``key`` names a column of ``docs`` that tells its rows apart. Of a component the smallest doc_id stays, nulls
     last, then the smallest row.
 
     A pair of Jaccard similarity 0.8 differs in about 15 % of a fingerprint's bits, far
@@ -555,7 +565,7 @@ def near_copies(docs: DataFrame, words: int, similarity: float) -> DataFrame:
             )
 
     texts = docs.select(
-        F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"
+        F.col(key).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"
     )
     rows = staged(
         texts.mapInArrow(run, "row long, doc_id long, same binary, fp binary, keys array<long>"),
@@ -573,10 +583,16 @@ def near_copies(docs: DataFrame, words: int, similarity: float) -> DataFrame:
         .select("node", "fp", F.posexplode("keys").alias("p", "key"))
         .select(F.xxhash64("p", "key").alias("group"), "node", F.lit(0).alias("size"), "fp")
     )
-    coarse = staged(bucket_links(cells(buckets, BLOCK), radius, "fp", "node"), "similar-candidates")
+    spark = docs.sparkSession
+    folder = f"{scratch(spark)}/rosterproof-similar-{uuid.uuid4().hex[:12]}"
+    coarse = bucket_links(cells(buckets, BLOCK), radius, "fp", "node")
+    coarse = staged(coarse, "similar-candidates", f"{folder}/candidates")
     coarse = smallest_reachable(coarse, "similar-candidate-groups")
     coarse = coarse.unionAll(coarse.select(F.col("root").alias("node"), "root")).distinct()
-    edges = staged(similar_links(texts, coarse, words, similarity, radius), "similar-links")
+    coarse = staged(coarse, "similar-candidate-roots", f"{folder}/roots")
+    edges = staged(similar_links(texts, coarse, words, similarity, radius, folder), "similar-links")
+    # Candidates and shingle sets have been compared.
+    remove(spark, folder)
     roots = smallest_reachable(edges, "similar-components")
     labelled = nodes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     labelled = labelled.select("same", F.coalesce("root", "node").alias("root"), "best")
@@ -590,6 +606,6 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
 
     Rows are told apart by a key of their own, so ids may be null or repeat.
     """
-    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "similar-rows")
-    gone = near_copies(rows, words, similarity).where("row <> keep").select(F.col("row").alias("__gone"))
-    return same_columns(rows.join(gone, F.col("__row") == F.col("__gone"), "left_anti"), docs)
+    rows, key = keyed(docs, "similar-rows")
+    found = staged(near_copies(rows, words, similarity, key), "similar-copies")
+    return without(rows, key, found.where("row <> keep").select("row"))
