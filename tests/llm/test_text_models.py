@@ -65,7 +65,7 @@ def test_leaks(spark):
     assert got == {(1, 7), *((10 + k, 7) for k in range(30)), (50, 8), (51, 8), (62, 11)}
     left = decontaminate.drop_leaks(docs, bench)
     assert left.columns == docs.columns
-    assert {r.doc_id for r in left.collect()} == {2, 3, 4, 51, 61}
+    assert {r.doc_id for r in left.collect()} == {2, 3, 4, 60, 61}
     for r in decontaminate.leaks(docs, bench).where("item_id = 7").collect():
         text = decontaminate.normalise(dict(rows)[r.doc_id])
         assert r.distance == brute_distance(decontaminate.normalise(ITEM), text) <= budget
