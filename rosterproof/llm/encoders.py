@@ -106,7 +106,7 @@ def rank_count(encoding: tiktoken.Encoding, text: str) -> int:
     all but its last mark, which goes on with what follows.
     """
     n = at = 0
-    for m in _RUN.finditer(text):
+    for m in _RUN.finditer(text) if len(text) >= LONG_RUN else ():
         end = m.end() if m.end() == len(text) else m.end() - 1
         n += len(encoding.encode_ordinary(text[at : m.start()]))
         n += len(encoding._encode_single_piece(text[m.start() : end]))

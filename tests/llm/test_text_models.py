@@ -401,7 +401,8 @@ def test_long_white_space_is_counted_as_the_tokenizer_does(monkeypatch, gap):
     for pattern in ("{}", "word{}", "{}word", "a{}b{}1 c{}!", "a\x1f{}\x1fb"):
         text = pattern.replace("{}", gap * 700)
         want = len(encoding.encode_ordinary(text))
-        monkeypatch.setattr(encoders, "_RUN", re.compile(encoders._RUN.pattern.replace(str(encoders.LONG_RUN), "50")))
+        monkeypatch.setattr(encoders, "LONG_RUN", 50)
+        monkeypatch.setattr(encoders, "_RUN", re.compile(encoders._RUN.pattern.replace("65536", "50")))
         assert encoders.rank_count(encoding, text) == want
         monkeypatch.undo()
     for n in (1_000_000, 5_000_000):
