@@ -50,8 +50,11 @@ def month_number(c: Column) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """Date in a short string. The first pattern found decides, valid or not."""
-    return bind(ascii_digits(join_thai(F.coalesce(c, F.lit("")))), _first_date)
+    """Date in a short string. The first pattern found decides, valid or not.
+
+    The clean text stands in every condition, so generated code computes it once.
+    """
+    return _first_date(ascii_digits(join_thai(F.coalesce(c, F.lit("")))))
 
 
 def _first_date(t: Column) -> Column:
@@ -88,7 +91,9 @@ def latest_date(text: Column) -> Column:
     found = F.transform(
         F.regexp_extract_all(text, F.lit(f"({DATE_IN_TEXT})"), F.lit(1)),
         lambda raw, i: F.struct(
-            parse_date(raw).alias("date"), (-i).alias("order"), trim_blanks(raw).alias("raw")
+            bind(ascii_digits(join_thai(raw)), _first_date).alias("date"),
+            (-i).alias("order"),
+            trim_blanks(raw).alias("raw"),
         ),
     )
     return F.array_max(F.filter(found, lambda x: x["date"].isNotNull()))

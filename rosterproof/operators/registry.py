@@ -21,6 +21,8 @@ from rosterproof.operators.skew import hot_groups, spread_join
 GENERIC_AT = 10
 SLA_LIMIT = 15
 OWNER_LIMIT = 5
+# Rows of a ranking that are broadcast at most; longer ones are joined as Spark sees fit.
+WINNERS = 100_000
 GROUP_KEYS = ["kind", "g_code", "g_name", "g_owner"]
 
 # Which match keys make up each kind of group: (code, name, owner).
@@ -355,24 +357,39 @@ def rank_flagged(audited: DataFrame, limit: int | None = 300) -> DataFrame:
     return ranked.limit(limit) if limit else ranked
 
 
+def shown_of_total(audited: DataFrame, limit: int = 300) -> DataFrame:
+    """The first ``limit`` flagged records in rank order, with ``n_shown`` of ``n_flagged``.
+
+    The total is one number, counted over the flagged rows by partial sums; it needs none
+    of their columns, and the ranking keeps ``limit`` rows a task.
+    """
+    total = audited.where("flagged").agg(F.count(F.lit(1)).alias("n")).scalar()
+    shown = rank_flagged(audited, limit).withColumn("n_flagged", total)
+    return shown.withColumn("n_shown", F.least(F.lit(limit).cast("long"), "n_flagged"))
+
+
 def top_weak_clusters(registry: DataFrame, limit: int = 60, generic_at: int = GENERIC_AT) -> DataFrame:
     """Members of the first ``limit`` weak clusters, names cut to 28 characters.
 
-    A weak cluster has a non-generic name, so it holds under ``generic_at`` members.
+    A weak cluster has a non-generic name, so it holds under ``generic_at`` members. Clusters
+    are ranked by their first record alone; members are fetched for the winners only.
     """
     members = cluster_members(registry, generic_at).where(F.col("kind") == "name")
-    record = F.struct("input_order", "name", "id", "status")
-    top = (
-        members.groupBy("cluster_id", "n")
-        .agg(F.sort_array(F.collect_list(record)).alias("m"))
-        .orderBy(F.col("m")[0]["input_order"])
+    first = F.min(F.struct("input_order", "name"))
+    winners = (
+        members.groupBy("cluster_id")
+        .agg(first.alias("first"))
+        .orderBy("first.input_order")
         .limit(limit)
+        .select(
+            F.col("cluster_id").alias("winner"),
+            F.concat(F.lit(fixed.LABEL_NAME), "first.name").alias("label"),
+        )
     )
-    return top.select(
-        "cluster_id",
-        F.concat(F.lit(fixed.LABEL_NAME), F.col("m")[0]["name"]).alias("label"),
-        "n",
-        F.inline("m"),
+    # At most ``limit`` rows: few enough to broadcast.
+    return members.join(
+        F.broadcast(winners) if limit <= WINNERS else winners,
+        F.col("cluster_id") == F.col("winner"),
     ).select(
         "cluster_id",
         "label",

@@ -205,6 +205,12 @@ def flagged_topk(spark, sf_dir):
     )
 
 
+@query
+def flagged_shown(spark, sf_dir):
+    shown = registry.shown_of_total(registry.audit(standins.registry(spark, sf_dir)), 300)
+    return shown.select("id", long("n_flags").alias("n_flags"), "n_shown", "n_flagged")
+
+
 @query
 def flagged_report(spark, sf_dir):
     ranked = registry.rank_flagged(registry.audit(standins.registry(spark, sf_dir)), None)

@@ -393,6 +393,12 @@ ORACLES["flagged_topk"] = ctes(
     select="""select id, code, substr(name, 1, 30) short_name, status, flags, n_flags, failed from au where flagged
   order by failed desc, n_flags desc, input_order limit 300""",
 )
+ORACLES["flagged_shown"] = ctes(
+    *audit_ctes(CLUSTERS, 15),
+    select="""select id, n_flags, least(300, n_flagged) n_shown, n_flagged
+  from (select *, count(*) over () n_flagged from au where flagged)
+  order by failed desc, n_flags desc, input_order limit 300""",
+)
 ORACLES["flagged_report"] = ctes(
     *audit_ctes(CLUSTERS, 15), select="select id, code, name, status, flags from au where flagged"
 )

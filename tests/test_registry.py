@@ -214,3 +214,23 @@ def test_many_equal_hot_keys_keep_every_row(spark):
         assert got.count() == 40_000 and got.where("v <> 2 * k").count() == 0
     finally:
         spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_shown_of_total(registry):
+    r = registry([(str(i), "x", f"ก{i // 2}", f"o{i}") for i in range(10)])
+    shown = R.shown_of_total(R.audit(r), 3).collect()
+    assert [(x.id, x.n_shown, x.n_flagged) for x in shown] == [
+        (i, 3, 10) for i in ("0", "1", "2")
+    ]
+    assert {(x.n_shown, x.n_flagged) for x in R.shown_of_total(R.audit(r), 300).collect()} == {(10, 10)}
+    assert R.shown_of_total(R.audit(r.limit(0))).collect() == []
+
+
+def test_weak_clusters_are_ranked_before_members_are_fetched(registry):
+    names = ["a", "b", "a", "c", "b", "c", "c"]
+    r = registry([(str(i), str(100 + i), n, f"o{i}") for i, n in enumerate(names)])
+    top = R.top_weak_clusters(r, 2)
+    assert sorted((x.label[-1], x.n, x.id) for x in top.collect()) == [
+        ("a", 2, "0"), ("a", 2, "2"), ("b", 2, "1"), ("b", 2, "4")
+    ]
+    assert "collect_list" not in top._jdf.queryExecution().optimizedPlan().toString()
