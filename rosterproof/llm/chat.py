@@ -4,20 +4,25 @@ A line's quote level is the number of ``>`` before its text. The level-0 lines o
 are its own text; consecutive lines of one higher level without a blank line between are a
 quoted passage. Passages are normalised (lower case, white space runs to one space),
 hashed and joined, within the conversation, to the first message whose own text has that
-passage as a line, a paragraph or the whole. A message replies to the latest earlier
-message that its level-1 passages come from; deeper passages are links of their own.
+passage as a line, a paragraph or the whole. A passage of several lines that finds none so
+(lines out of a longer paragraph) is matched line by line: to the first message that has
+those lines one after another. A message replies to the latest earlier message that its
+level-1 passages come from; deeper passages are links of their own.
 Replies form threads; a conversation is ordered by thread (its first turn), then turn.
 
 Scale: only messages with a quote are taken apart by line, and only conversations with a
 quote offer originals. Originals are reduced to the smallest turn of each (conversation,
-hash) before the join, so copies never multiply. The place of a message in its
+hash) before the join, so copies never multiply. Runs of lines are named as in a suffix
+table, a run of n lines by its first and its last 2^k lines (2^k <= n), so a run costs one
+hash however long it is; only the lengths that unlinked passages of the conversation have
+are named, and lines are never paired. The place of a message in its
 conversation comes from a range-partitioned sort and counted offsets, and rendered text is
 gathered in segments of ``SEGMENT`` messages: no task gathers a conversation.
 
 Cases: a null text is empty; empty messages stay as messages; a null role is 'unknown';
 null conv_id is a conversation of its own, null turn comes first; rows equal in all four
 columns are messages of their own with equal content and links; a quote of no earlier
-message stays unlinked and is removed all the same.
+message, or of part of a line, stays unlinked and is removed all the same.
 """
 
 from __future__ import annotations
@@ -85,12 +90,13 @@ def own_texts(rows: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def passages(lines: DataFrame) -> DataFrame:
-    """Quoted passages: conv_id, turn, key, passage, level, hash."""
+    """Quoted passages: conv_id, turn, key, passage, level, hash, lines (normalised)."""
     return (
         lines.where("level > 0 and not blank")
         .groupBy("conv_id", "turn", "key", "passage", "level")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "body"))).alias("l"))
         .withColumn("hash", F.md5(normalised(F.array_join("l.body", "\n"))))
+        .withColumn("lines", F.transform("l.body", normalised))
         .drop("l")
     )
 
@@ -111,6 +117,74 @@ def originals(own: DataFrame) -> DataFrame:
     )
 
 
+def runs(rows: DataFrame, most: int) -> DataFrame:
+    """(n, run): the name of every run of n consecutive ``lines``, for each n of ``lengths``.
+
+    Runs of 1, 2, 4 ... lines up to ``most`` are named level by level, each by two of the
+    level before; a run of n lines by the two of the largest such length that begin and
+    end it. The row's other columns stay.
+    """
+
+    def pair(level: Column, gap: int | Column):
+        return lambda i: F.md5(F.concat(F.get(level, i), F.get(level, i + gap)))
+
+    kept = [c for c in rows.columns if c not in ("lines", "lengths")]
+    size = F.size("lines")
+    out = rows.select(
+        *kept,
+        size.alias("__size"),
+        F.filter("lengths", lambda n: n <= size).alias("__lengths"),
+        F.transform("lines", lambda x: F.md5(x)).alias("__0"),
+    ).where(F.size("__lengths") > 0)
+    levels = most.bit_length()
+    for k in range(1, levels):
+        last, half = F.col(f"__{k - 1}"), 1 << (k - 1)
+        end = F.col("__size") - 2 * half
+        out = out.withColumn(
+            f"__{k}", F.when(end >= 0, F.transform(F.sequence(F.lit(0), end), pair(last, half)))
+        )
+    table = F.array(*[F.col(f"__{k}") for k in range(levels)])
+    by_length = out.select(*kept, "__size", table.alias("__table"), F.explode("__lengths").alias("n"))
+    level = F.length(F.bin("n")) - 1
+    chosen = by_length.select(
+        *kept,
+        "n",
+        (F.col("__size") - F.col("n")).alias("__last"),
+        F.get("__table", level).alias("__level"),
+        (F.col("n") - F.call_function("shiftleft", F.lit(1), level)).alias("__gap"),
+    )
+    named = F.transform(F.sequence(F.lit(0), "__last"), pair(F.col("__level"), F.col("__gap")))
+    return chosen.select(*kept, "n", F.explode(named).alias("run"))
+
+
+def line_links(unlinked: DataFrame, offering: DataFrame) -> DataFrame:
+    """(conv_id, turn, key, passage, found): the first earlier turn whose own text has the
+    lines of the passage one after another; passages without one are left out."""
+    ids = ["conv_id", "turn", "key", "passage"]
+    n = F.size("lines")
+    most = unlinked.agg(F.max(n)).first()[0]
+    if most is None:
+        return unlinked.select(*ids, F.col("turn").alias("found")).limit(0)
+    wanted = unlinked.groupBy(F.col("conv_id").alias("w_conv")).agg(F.collect_set(n).alias("lengths"))
+    lined = offering.select(
+        "conv_id", "turn", F.transform(F.split("own", "\n"), normalised).alias("lines")
+    )
+    asked = lined.join(wanted, lined["conv_id"].eqNullSafe(wanted["w_conv"])).drop("w_conv")
+    first = (
+        runs(asked, most)
+        .groupBy(F.col("conv_id").alias("o_conv"), F.col("n").alias("o_n"), F.col("run").alias("o_run"))
+        .agg(F.min("turn").alias("found"))
+    )
+    quoted = runs(unlinked.select(*ids, "lines", F.array(n).alias("lengths")), most)
+    return quoted.join(
+        first,
+        quoted["conv_id"].eqNullSafe(first["o_conv"])
+        & (quoted["n"] == first["o_n"])
+        & (quoted["run"] == first["o_run"])
+        & (first["found"] < quoted["turn"]),
+    ).select(*ids, "found")
+
+
 def same(left: DataFrame, right: DataFrame, columns: list[str]) -> list[Column]:
     """Join conditions under which null equals null."""
     return [left[c].eqNullSafe(right[c]) for c in columns]
@@ -145,13 +219,21 @@ def quote_links(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     offering = own.join(convs, own["conv_id"].eqNullSafe(convs["with_quotes"]), "left_semi")
     first = originals(offering).withColumnsRenamed({"conv_id": "o_conv", "hash": "o_hash"})
     found = passages(lines)
-    links = found.join(
+    whole = found.join(
         first,
         found["conv_id"].eqNullSafe(first["o_conv"])
         & (found["hash"] == first["o_hash"])
         & (first["origin"] < found["turn"]),
         "left",
-    ).select("conv_id", "turn", "key", "passage", "level", "origin")
+    ).select("conv_id", "turn", "key", "passage", "level", "origin", "lines")
+    whole = staged(whole, "chat-links")
+    ids = ["conv_id", "turn", "key", "passage"]
+    unlinked = whole.where(F.col("origin").isNull() & (F.size("lines") > 1))
+    by_line = line_links(unlinked, offering).toDF(*(f"l_{c}" for c in ids), "found")
+    met = [whole[c].eqNullSafe(by_line[f"l_{c}"]) for c in ids]
+    links = whole.join(by_line, met, "left").select(
+        *ids, "level", F.coalesce("origin", "found").alias("origin")
+    )
     replies = (
         links.where("level = 1 and origin is not null")
         .groupBy("conv_id", "turn", "key")
@@ -327,12 +409,29 @@ first_ as (
   select conv_id, md5(part) as h, min(turn) as origin from parts where part <> '' group by all),
 quoted as (
   select conv_id, turn, k, passage, level,
-         md5(trim(regexp_replace(lower(string_agg(body, chr(10) order by pos)), '[ \t\r\n]+', ' ', 'g'))) as h
+         md5(trim(regexp_replace(lower(string_agg(body, chr(10) order by pos)), '[ \t\r\n]+', ' ', 'g'))) as h,
+         count(*) as n,
+         string_agg(trim(regexp_replace(lower(body), '[ \t\r\n]+', ' ', 'g')), chr(10) order by pos) as said
   from numbered where level > 0 and not blank group by all),
+whole as (
+  select q.*, f.origin from quoted q left join first_ f
+    on q.conv_id is not distinct from f.conv_id and q.h = f.h and f.origin < q.turn),
+wanted as (select distinct conv_id, n from whole where origin is null and n > 1),
+own_lines as (
+  select conv_id, turn, list_transform(string_split(own, chr(10)),
+           lambda x: trim(regexp_replace(lower(x), '[ \t\r\n]+', ' ', 'g'))) as l from own),
+runs as (
+  select o.conv_id, w.n, o.turn, o.l, unnest(range(1, len(o.l) - w.n + 2)) as p
+  from own_lines o join wanted w on o.conv_id is not distinct from w.conv_id),
+first_run as (
+  select conv_id, n, array_to_string(l[p:p + n - 1], chr(10)) as said, min(turn) as origin from runs group by all),
+linked as (
+  select w.conv_id, w.turn, w.k, w.level, coalesce(w.origin, r.origin) as origin
+  from whole w left join first_run r on w.origin is null and w.n > 1
+   and w.conv_id is not distinct from r.conv_id and w.n = r.n and w.said = r.said and r.origin < w.turn),
 replies as (
-  select q.conv_id, q.turn, q.k, max(f.origin) as reply_to
-  from quoted q join first_ f on q.conv_id is not distinct from f.conv_id and q.h = f.h and f.origin < q.turn
-  where level = 1 group by all),
+  select conv_id, turn, k, max(origin) as reply_to from linked
+  where level = 1 and origin is not null group by all),
 ups as (select conv_id, turn, max(reply_to) as up from replies group by all),
 walk as (
   select conv_id, turn, up as root from ups

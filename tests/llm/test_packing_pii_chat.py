@@ -169,6 +169,19 @@ CHAT = [
     (2, 2, "user", "> > > deep\r\n> > less\r> one"),
     (None, 0, "user", "hello there"),
     (None, 1, "user", "> hello there\nhi"),
+    (4, 0, "user", "first line\nsecond line\nthird line\nfourth line"),
+    (4, 1, "user", "> second line\n> THIRD  line\nsome lines of a paragraph"),
+    (4, 2, "user", "> first line\n> third line\nnot one after another"),
+    (4, 3, "user", "> second line\n> third line\n> fourth line\nthree lines, > inside"),
+    (4, 4, "user", "x\nsecond line\nthird line\nx\n\nsecond line"),
+    (4, 5, "user", "> third line\n> x\n\n> not said\n> at all"),
+    (4, 6, "user", "> > second line\n> > third line\n> some lines of a paragraph"),
+    (4, 7, "user", "> second line\n> third line\n> x\n> second line"),
+    (4, None, "user", "> second line\n> third line"),
+    (5, 0, "user", "second line\nthird line\nzeroth line"),
+    (5, 1, "user", "> third line\n> zeroth line"),
+    *[(6, t, "user", "\n".join(f"w{i * i % (t + 5)}" for i in range(40)) if t % 2 else
+       "\n".join(f"> w{i * i % (t + 4)}" for i in range(t, t + 3 + t % 11))) for t in range(30)],
     *[(3, t, "user", f"line {t}" if t % 3 else f"> line {max(0, t - 1)}\nanswer {t}") for t in range(150)],
 ]
 
@@ -218,9 +231,25 @@ def brute_chat(rows):
             if norm(part):
                 key = (conv, norm(part))
                 first[key] = min(first.get(key, turn), turn)
+    lines = [(conv, turn, [norm(x) for x in own.split("\n")]) for conv, turn, _, own, _ in parsed]
+
+    def origin(conv, turn, body):
+        whole = first.get((conv, norm("\n".join(body))))
+        if turn is None or (whole is not None and whole < turn):
+            return whole
+        said = [norm(x) for x in body]
+        return min(
+            (
+                t for c, t, own in lines
+                if c == conv and t is not None and len(said) > 1
+                and any(own[i : i + len(said)] == said for i in range(len(own)))
+            ),
+            default=None,
+        )
+
     out = []
     for conv, turn, role, own, passages in parsed:
-        came = [first.get((conv, norm("\n".join(b)))) for level, b in passages if level == 1]
+        came = [origin(conv, turn, b) for level, b in passages if level == 1]
         came = [c for c in came if c is not None and turn is not None and c < turn]
         out.append((str(conv), str(turn), role, own, str(max(came, default=None))))
     return sorted(out)
@@ -231,6 +260,8 @@ def test_quotation_links(spark):
     got = chat.ordered_messages(table.withColumn("own", table.turn).withColumn("key", table.turn)).collect()
     assert sorted((str(r.conv_id), str(r.turn), r.role, r.own, str(r.reply_to)) for r in got) == brute_chat(CHAT)
     by = {(r.conv_id, r.turn): r for r in got}
+    partial = {t: by[4, t].reply_to for t in range(1, 8)}
+    assert partial == {1: 0, 2: None, 3: 0, 4: None, 5: 4, 6: 1, 7: None} and by[5, 1].reply_to == 0
     assert by[1, 2].reply_to == 1 and by[1, 4].reply_to == 0 and by[1, 3].reply_to == 2
     for conv in {r.conv_id for r in got}:
         mine = sorted((r for r in got if r.conv_id == conv), key=lambda r: r.position)
