@@ -289,7 +289,7 @@ def scores(docs: DataFrame, train: Column, depth: int = DEPTH, shard: int = SHAR
     deep = staged(deep_levels(gram_blobs(docs, train, depth), depth), "lm-deep")
     grams = staged(gram_table(deep, top_levels(deep)), "lm-grams")
     words = staged(
-        word_table(docs, train).select(F.xxhash64("word").alias("key"), F.col("n").cast("float").alias("value"), "n"),
+        word_table(docs, train).select(F.xxhash64("word").alias("key"), F.col("n").cast("double").alias("value"), "n"),
         "lm-words",
     )
     kinds, total = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
