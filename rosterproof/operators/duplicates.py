@@ -19,7 +19,6 @@ from rosterproof.operators.registry import (
     GROUP_KEYS,
     KINDS,
     first_members,
-    group_counts,
     group_rows,
     with_keys,
 )
@@ -66,21 +65,36 @@ class RegistryIndex:
     total: DataFrame  # n
 
 
-def registry_index(registry: DataFrame) -> RegistryIndex:
+def registry_index(registry: DataFrame, requests: DataFrame | None = None) -> RegistryIndex:
+    """Index of a registry; with ``requests`` (from ``request_keys``) of what they can meet.
+
+    The requests' group keys, up to ``BROADCAST_KEYS`` of them (counted first), go to the
+    registry's rows before anything is shuffled, so only rows of groups that some request
+    falls into are counted and ranked. Beyond that all groups are indexed.
+    """
     keyed = with_keys(registry)
+    met = mine = None
+    if requests is not None:
+        probes = group_rows(requests, list(KINDS), ["hu_id"]).distinct()
+        if probes.count() <= BROADCAST_KEYS:
+            met, mine = probes.select(*GROUP_KEYS).distinct(), probes.where("hu_id <> ''")
     record = F.struct("input_order", "id", "name", "code", "status", *_KEYS)
     # Enough to show, whichever id is the request's own and left out afterwards.
     firsts = (
-        first_members(keyed, _LISTED, TOP_DUPLICATES)
+        first_members(keyed, _LISTED, TOP_DUPLICATES, met)
         .groupBy(*GROUP_KEYS)
         .agg(F.sort_array(F.collect_list(record)).alias("top"))
     )
-    counts = group_counts(keyed, list(KINDS))
+    members = group_rows(keyed, list(KINDS), [])
     ids = keyed.where(F.col("id") != "").withColumnRenamed("id", "hu_id")
-    own = group_rows(ids, list(KINDS), ["hu_id"]).groupBy(*_OWN_KEYS)
+    own = group_rows(ids, list(KINDS), ["hu_id"])
+    if met is not None:
+        members = members.join(F.broadcast(met), GROUP_KEYS, "left_semi")
+        own = own.join(F.broadcast(mine), _OWN_KEYS, "left_semi")
+    counts = members.groupBy(*GROUP_KEYS).agg(F.count(F.lit(1)).alias("n"))
     return RegistryIndex(
         groups=counts.join(firsts, GROUP_KEYS, "left"),
-        own=own.agg(F.count(F.lit(1)).alias("own")),
+        own=own.groupBy(*_OWN_KEYS).agg(F.count(F.lit(1)).alias("own")),
         total=registry.agg(F.count(F.lit(1)).alias("n")),
     )
 

@@ -75,11 +75,6 @@ def group_rows(
     return keyed.select(*keep, F.inline(entries))
 
 
-def group_counts(keyed: DataFrame, kinds: list[str]) -> DataFrame:
-    """Members per group."""
-    return group_rows(keyed, kinds, []).groupBy(*GROUP_KEYS).agg(F.count(F.lit(1)).alias("n"))
-
-
 def generic_names(registry: DataFrame, generic_at: int = GENERIC_AT) -> DataFrame:
     """Placeholder names: normalised names shared by ``generic_at`` records or more."""
     return (
@@ -423,16 +418,23 @@ def review_queue(registry: DataFrame, base_url: str, n: int | None = None) -> Da
     return queue.orderBy("input_order").limit(max(0, n))
 
 
-def first_members(keyed: DataFrame, kinds: list[str], k: int) -> DataFrame:
+def first_members(
+    keyed: DataFrame, kinds: list[str], k: int, groups: DataFrame | None = None
+) -> DataFrame:
     """First members of each group, in input order: k of each of its first k + 1 ids.
 
+    With ``groups`` (few enough to broadcast) only the members of these are looked at.
+
     Whichever id is left out, the first ``k`` of the other members are among them. Spark
     limits the rows of an id, and the ids of a group, in every map task before the shuffle.
     """
     keep = ["id", "code", "name", "status", "input_order", *TRIPLE]
     of_id = Window.partitionBy(*GROUP_KEYS, "id").orderBy("input_order")
     so_far = of_id.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = group_rows(keyed, kinds, keep).withColumns(
+    rows = group_rows(keyed, kinds, keep)
+    if groups is not None:
+        rows = rows.join(F.broadcast(groups), GROUP_KEYS, "left_semi")
+    rows = rows.withColumns(
         {"__rank": F.row_number().over(of_id), "__first": F.min("input_order").over(so_far)}
     )
     ids = Window.partitionBy(*GROUP_KEYS).orderBy("__first", "id")

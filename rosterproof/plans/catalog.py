@@ -50,12 +50,15 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.request_keys(standins.submissions(spark, sf_dir))
 
 
-def index(spark: SparkSession, sf_dir: str) -> duplicates.RegistryIndex:
-    return duplicates.registry_index(standins.registry(spark, sf_dir))
+def index(
+    spark: SparkSession, sf_dir: str, asked: DataFrame | None = None
+) -> duplicates.RegistryIndex:
+    return duplicates.registry_index(standins.registry(spark, sf_dir), asked)
 
 
 def looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.lookup(requests(spark, sf_dir), index(spark, sf_dir))
+    asked = requests(spark, sf_dir)
+    return duplicates.lookup(asked, index(spark, sf_dir, asked))
 
 
 def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,12 +235,14 @@ def deep_check_queue(spark, sf_dir):
 
 @query
 def dup_counts(spark, sf_dir):
-    return duplicates.match_counts(requests(spark, sf_dir), index(spark, sf_dir))
+    asked = requests(spark, sf_dir)
+    return duplicates.match_counts(asked, index(spark, sf_dir, asked))
 
 
 @query
 def dup_matches(spark, sf_dir):
-    return duplicates.match_groups(requests(spark, sf_dir), index(spark, sf_dir))
+    asked = requests(spark, sf_dir)
+    return duplicates.match_groups(asked, index(spark, sf_dir, asked))
 
 
 @query

@@ -151,3 +151,20 @@ def test_own_id_repeats(spark, registry):
         d, o = got[rid].duplicates, got[rid].owner_units
         top = [t.id for t in d.top or []]
         assert (d.strong_n, d.weak_n, d.generic, top, o.n, [u.id for u in o.top or []]) == want, rid
+
+
+def test_index_of_the_groups_that_requests_meet(spark, registry, monkeypatch):
+    rows = [(str(i % 7), str(i % 3), f"ก{i % 4}", f"o{i % 2}") for i in range(40)]
+    reg = registry([*rows, *[(f"x{i}", f"9{i}", f"far{i}", f"p{i}") for i in range(50)]])
+    asked = [("a", "1", "1", "ก1", "o1"), ("b", "", "2", "ก9", "o0"), ("c", "99", "", "", ""), ("d", "2", "1", "ก1", "o1")]
+    req = requests(spark, asked)
+    whole = D.registry_index(reg)
+    near = D.registry_index(reg, req)
+    assert near.groups.count() < whole.groups.count() and near.own.count() < whole.own.count()
+    want = sorted(map(str, D.lookup(req, whole).collect()))
+    assert sorted(map(str, D.lookup(req, near).collect())) == want
+    monkeypatch.setattr(D, "BROADCAST_KEYS", 3)
+    many = D.registry_index(reg, req)
+    assert many.groups.count() == whole.groups.count()
+    assert sorted(map(str, D.lookup(req, many).collect())) == want
+    assert D.registry_index(reg, req.limit(0)).groups.count() == 0
