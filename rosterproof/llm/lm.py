@@ -10,22 +10,25 @@ sums the log10 probabilities of its bytes (see ``ctw``) learned from the trainin
    65,536 nodes) and finished on the driver. A gram that only held-out texts have takes
    part with count 0, so every gram of every text gets its probability here.
 3. Documents are scored against that table, and their words against the training counts of
-   words. Both tables grow with the corpus: they are broadcast in shards of at most
-   ``SHARD`` entries, chosen by hash, and each document's sums over the shards are added.
+   words. Both tables grow with the corpus: they are broadcast in shards of about ``SHARD``
+   entries, chosen by hash. A task splits each text once, sorts the keys of about ``LOAD``
+   bytes of text by shard, and loads one shard after the other to answer them, so its
+   documents' sums are complete without a shuffle.
 
 Cases: a null or blank text is its end byte alone; repeated rows are scored and counted
 each; a null doc_id is a training row; extra columns are not read; an empty table gives no
-rows. Memory: a task holds a batch's grams, the largest part, or a shard.
+rows. Memory: a task holds a batch's grams, the largest part, or a shard and a load's keys.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +40,8 @@ PARTS = 1024
 #: Entries of a broadcast shard; 12 bytes each.
 SHARD = 2_500_000
 SLICE = 2 << 20
+#: Bytes of text whose keys (12 bytes each) a task holds while the shards pass by.
+LOAD = 8 << 20
 MERGE = 4_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 END = b"\n"
@@ -284,7 +289,6 @@ def scores(docs: DataFrame, train: Column, depth: int = DEPTH, shard: int = SHAR
     ``base_score`` is the unigram score with half-counts; ``score`` the model's log10
     probability of the text, ``n_bytes`` the bytes it speaks for.
     """
-    spark = docs.sparkSession
     train = F.coalesce(train, F.lit(False))
     deep = staged(deep_levels(gram_blobs(docs, train, depth), depth), "lm-deep")
     grams = staged(gram_table(deep, top_levels(deep)), "lm-grams")
@@ -294,102 +298,67 @@ def scores(docs: DataFrame, train: Column, depth: int = DEPTH, shard: int = SHAR
     )
     kinds, total = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     ends = docs.where(train).count()
-    total, kinds = total + ends, kinds + (ends > 0)
+    grams_held = _shards(grams, grams.count(), shard)
+    words_held = _shards(words, kinds, shard)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = []
-    for table, n, score in ((grams, grams.count(), _gram_scorer), (words, kinds, _word_scorer)):
-        many = max(1, -(-n // shard))
-        for s in range(many):
-            held = spark.sparkContext.broadcast(_shard(table, s, many))
-            # The driver keeps no copy; tasks read the file that was written of it.
-            vars(held).pop("_value", None)
-            run = score(held, s, many, depth, total, kinds, ends)
-            parts.append(rows.mapInArrow(run, _PART))
-    found = reduce(DataFrame.unionAll, parts)
-    # Rows of the same id and text have the same sums, so they are added as one and given
-    # out again as often as they came.
-    copies = (F.count(F.lit(1)) / len(parts)).cast("int")
-    sums = found.groupBy("doc_id", "text_key").agg(
-        *(F.sum(c).alias(c) for c in ("n_tokens", "n_bytes", "n_known", "base_score", "score")),
-        copies.alias("copies"),
-    )
-    each = {
-        c: (F.col(c) / F.col("copies")).cast(t)
-        for c, t in (
-            ("n_tokens", "long"),
-            ("n_known", "long"),
-            ("base_score", "double"),
-            ("score", "double"),
-            ("n_bytes", "long"),
-        )
-    }
-    given_out = sums.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return given_out.select(
-        "doc_id",
-        each["n_tokens"].alias("n_tokens"),
-        each["n_known"].alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        each["base_score"].alias("base_score"),
-        each["score"].alias("score"),
-        each["n_bytes"].alias("n_bytes"),
+    kinds, total = kinds + (ends > 0), total + ends
+    found = rows.mapInArrow(_scorer(grams_held, words_held, depth, total, kinds, ends), _SCORES)
+    return found.withColumn("train_tokens", F.lit(total).cast("long")).select(
+        "doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"
     )
 
 
-_PART = (
-    "doc_id long, text_key binary, n_tokens long, n_bytes long, n_known long, "
-    "base_score double, score double"
-)
+_SCORES = "doc_id long, n_tokens long, n_bytes long, n_known long, base_score double, score double"
 
 
-def _rows(b, texts, tokens=None, size=None, known=None, base=None, score=None) -> pa.RecordBatch:
-    none = np.zeros(len(texts))
-    columns = {
-        "doc_id": b.column("doc_id"),
-        "text_key": pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()),
-    }
-    for name, x in (("n_tokens", tokens), ("n_bytes", size), ("n_known", known)):
-        columns[name] = pa.array((none if x is None else x).astype(np.int64))
-    for name, x in (("base_score", base), ("score", score)):
-        columns[name] = pa.array(none if x is None else x)
-    return pa.RecordBatch.from_pydict(columns)
+def _shards(table: DataFrame, n: int, shard: int) -> list[Broadcast]:
+    """The table in broadcasts of about ``shard`` entries; the driver holds one at a time."""
+    many, out = max(1, -(-n // shard)), []
+    for s in range(many):
+        out.append(table.sparkSession.sparkContext.broadcast(_shard(table, s, many)))
+        # The driver keeps no copy; tasks read the file that was written of it.
+        vars(out[-1]).pop("_value", None)
+    return out
 
 
-def _own(keys: np.ndarray, s: int, many: int) -> np.ndarray:
-    """Keys of shard ``s``, by Spark's pmod of the signed key."""
-    return keys.view(np.int64) % many == s
+class _Asked(NamedTuple):
+    """Keys in order of their shard, the document of each, and where each shard's keys end."""
 
+    keys: np.ndarray
+    at: np.ndarray
+    cuts: np.ndarray
 
-def _gram_scorer(held, s: int, many: int, depth: int, total: int, kinds: int, ends: int):
-    """Sums of the log10 probabilities of a document's bytes that shard ``s`` holds."""
 
-    def run(batches):
-        grams = held.value
-        for b in sliced(batches):
-            texts = raw(b.column("text"))
-            flat = [plain(t)[0] for t in texts]
-            score, size = np.zeros(len(texts)), np.zeros(len(texts))
-            for i, j in pieces(flat, SLICE):
-                codes, sizes = ctw.grams(flat[i:j], depth, END)
-                codes *= ODD
-                at = np.repeat(np.arange(j - i), sizes)
-                if many > 1:
-                    mine = _own(codes, s, many)
-                    codes, at = codes[mine], at[mine]
-                score[i:j] = np.bincount(at, grams(codes, np.nan), j - i)
-                size[i:j] = sizes if s == 0 else 0
-            yield _rows(b, texts, size=size, score=score)
+def _asked(keys: np.ndarray, at: np.ndarray, many: int) -> _Asked:
+    if many == 1:
+        return _Asked(keys, at, np.array([0, len(keys)]))
+    # Spark's pmod of the signed key; a stable sort of 16-bit numbers is linear.
+    to = (keys.view(np.int64) % many).astype(np.uint16 if many < 1 << 16 else np.int64)
+    order = np.argsort(to, kind="stable")
+    return _Asked(keys[order], at[order], np.searchsorted(to[order], np.arange(many + 1)))
 
-    return run
+
+def _answers(shards: list[Broadcast], asked: list[list[_Asked]], other: float, take) -> None:
+    """``take(i, at, values)`` for each part ``i`` and shard; one shard is loaded at a time."""
+    for s, held in enumerate(shards):
+        table = held.value
+        for i, part in enumerate(asked):
+            for q in part:
+                here = slice(q.cuts[s], q.cuts[s + 1])
+                take(i, q.at[here], table(q.keys[here], other))
+        # With a path, a task reads the value from the executor's file again at need.
+        if len(shards) > 1 and getattr(held, "_path", None):
+            vars(held).pop("_value", None)
 
 
-def _word_scorer(held, s: int, many: int, depth: int, total: int, kinds: int, ends: int):
-    """Unigram sums over a document's words that shard ``s`` holds, and its end."""
+def _scorer(grams: list[Broadcast], words: list[Broadcast], depth: int, total: int, kinds: int, ends: int):
+    """Scores of documents. A task splits each text once, gathers what about ``LOAD`` bytes
+    of text ask of the tables, and lets the shards pass by."""
+    divisor = total + 0.5 * (kinds + 1)
+    end_score = float(np.log10((ends + 0.5) / divisor))
 
     def run(batches):
-        words = held.value
         known: dict[bytes, int] = {}
-        divisor = total + 0.5 * (kinds + 1)
-        end_score = float(np.log10((ends + 0.5) / divisor))
 
         def hashes(tokens):
             if len(known) > 150_000:
@@ -399,21 +368,55 @@ def _word_scorer(held, s: int, many: int, depth: int, total: int, kinds: int, en
                     known[w] = xxhash.xxh64_intdigest(w, 42)
             return np.array([known[w] for w in tokens], np.uint64)
 
-        for b in sliced(batches):
-            texts = raw(b.column("text"))
-            split = [plain(t)[1] for t in texts]
-            per = np.array([len(w) for w in split])
-            at = np.repeat(np.arange(len(texts)), per)
+        parts: list[dict] = []
+
+        def read(b) -> int:
+            flat, split = zip(*(plain(t) for t in raw(b.column("text"))), strict=True)
+            tokens = np.array([len(ws) for ws in split])
+            asked, size = [], np.zeros(len(flat), np.int64)
+            for i, j in pieces(flat, SLICE):
+                codes, size[i:j] = ctw.grams(flat[i:j], depth, END)
+                at = np.repeat(np.arange(i, j, dtype=np.int32), size[i:j])
+                asked.append(_asked(codes * ODD, at, len(grams)))
             keys = hashes([w for ws in split for w in ws])
-            if many > 1:
-                mine = _own(keys, s, many)
-                keys, at = keys[mine], at[mine]
-            c = words(keys, 0.0).astype(float)
-            base = np.bincount(at, np.log10((c + 0.5) / divisor), len(texts))
-            found = np.bincount(at, c > 0, len(texts))
-            if s == 0:
-                yield _rows(b, texts, per + 1, known=found + (ends > 0), base=base + end_score)
-            else:
-                yield _rows(b, texts, known=found, base=base)
+            at = np.repeat(np.arange(len(flat), dtype=np.int32), tokens)
+            parts.append(
+                {
+                    "doc_id": b.column("doc_id").to_pylist(),
+                    "n_tokens": tokens + 1,
+                    "n_bytes": size,
+                    "n_known": np.full(len(flat), int(ends > 0)),
+                    "base_score": np.full(len(flat), end_score),
+                    "score": np.zeros(len(flat)),
+                    "grams": asked,
+                    "words": [_asked(keys, at, len(words))],
+                }
+            )
+            return int(size.sum())
+
+        def add_grams(i, at, log10):
+            parts[i]["score"] += np.bincount(at, log10, len(parts[i]["score"]))
+
+        def add_words(i, at, counts):
+            n = len(parts[i]["score"])
+            parts[i]["n_known"] += np.bincount(at[counts > 0], minlength=n)
+            parts[i]["base_score"] += np.bincount(at, np.log10((counts + 0.5) / divisor), n)
+
+        def answered():
+            _answers(grams, [p.pop("grams") for p in parts], np.nan, add_grams)
+            _answers(words, [p.pop("words") for p in parts], 0.0, add_words)
+            for p in parts:
+                ids = pa.array(p.pop("doc_id"), pa.int64())
+                yield pa.RecordBatch.from_pydict({"doc_id": ids, **{c: pa.array(x) for c, x in p.items()}})
+            parts.clear()
+
+        load = 0
+        for b in sliced(batches):
+            load += read(b)
+            if load >= LOAD:
+                yield from answered()
+                load = 0
+        if parts:
+            yield from answered()
 
     return run
