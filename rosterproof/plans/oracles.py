@@ -7,9 +7,7 @@ one SELECT per rule), which need not be how the Spark job gets there.
 from __future__ import annotations
 
 from rosterproof.functions import fixed, rule_texts
-from rosterproof.operators import crossref, pages
 from rosterproof.plans import standins
-from rosterproof.sources import model_replies
 
 WS, BLANK, THAI, DOT, NOT_WS = fixed.WS, fixed.BLANK, fixed.THAI, fixed.DOT, fixed.NOT_WS
 ORACLES: dict[str, str] = {}
@@ -711,7 +709,7 @@ _item_rows = " union all ".join(
     for j, label in enumerate(standins.GROUP_ITEMS[i])
 )
 ITEMS = [f"it as ({_item_rows})", "si as (select request_id, k, it.* from s join it on it.gid <= s.n_groups)"]
-_key = f"substr({rr('si.document', f'{WS}+')}, 1, {crossref.TITLE_KEY_LENGTH})"
+_key = f"substr({rr('si.document', f'{WS}+')}, 1, 12)"
 
 
 def _evidence(word: str) -> str:
@@ -1131,17 +1129,32 @@ def _found(c: str, p: str) -> str:
     return f"nullif({trim(rx(c, p))}, '')"
 
 
+def _after(label: str, value: str) -> str:
+    """A value behind a label that colons and blanks may follow."""
+    return f"{label}[:{BLANK}]*({value})"
+
+
+_to_line_end = f"{DOT}+"
+_unit_code = _after(f"รหัสหน่วย{WS}*งานบริการ{WS}*สุขภาพ", "[A-Za-z0-9_]+")
+_mail = _after("อีเมล", f"[^{BLANK}]+@[^{BLANK}]+")
+
+
+def _to_mail(label: str) -> str:
+    return rf"(?s){label}[:{BLANK}]*(.+?)(?:\n|อีเมล)"
+
+
 ORACLES["page_header_fields"] = ctes(
     _pt,
-    select=f"""select k, coalesce({_found('text', pages.HCODE)}, {_found('text', pages.HCODE_UPPER)}, {_found('text', pages.UNIT_HCODE)}) hcode,
-  {_found('text', pages.UNIT_HCODE)} health_unit_hcode, {_found('text', pages.REQUEST_TYPE)} request_type,
-  coalesce({_found('text', pages.UNIT_NAME)}, {_found('heading', pages.TITLE_NAME)}) health_unit_name, {_found('url', pages.HU_ID)} hu_id from pt""",
+    select=f"""select k, coalesce({_found('text', _after('รหัสหน่วยบริการ', '[A-Za-z0-9_]+'))}, {_found('text', _unit_code)}) hcode,
+  {_found('text', _unit_code)} health_unit_hcode, {_found('text', _after('ประเภทการสมัคร', _to_line_end))} request_type,
+  coalesce({_found('text', _after(f'ชื่อหน่วยงาน/ชื่อสถาน{WS}*พยาบาล', _to_line_end))},
+    {_found('heading', f'(?i)check{WS}*list{WS}*:{WS}*({_to_line_end})')}) health_unit_name, {_found('url', '/checklist/([0-9]+)')} hu_id from pt""",
 )
 ORACLES["modal_fields"] = ctes(
     _pt,
-    f"ps as (select *, {rx('text', pages.AUTHORITY_SECTION)} sec from pt)",
-    select=f"""select k, {_found('text', pages.ADMIN_NAME)} admin_name, {_found('text', pages.EMAIL)} admin_email,
-  {_found('sec', pages.PERSON_NAME)} authority_name, {_found('sec', pages.EMAIL)} authority_email, contains(sec, '{pages.VERIFIED}') verified from ps""",
+    rf"ps as (select *, {rx('text', r'(?s)ข้อมูลผู้มีอำนาจ(.*?)(?:รายการตรวจสอบ|สถานะ|\z)')} sec from pt)",
+    select=f"""select k, {_found('text', _to_mail(f'ชื่อ{WS}*Admin'))} admin_name, {_found('text', _mail)} admin_email,
+  {_found('sec', _to_mail('ชื่อ'))} authority_name, {_found('sec', _mail)} authority_email, contains(sec, 'ยืนยันตัวตนแล้ว') verified from ps""",
 )
 _num = rf"รายการตรวจสอบ{WS}*([0-9]+){WS}*:{WS}*({DOT}+)"
 ORACLES["checklist_headings"] = ctes(
@@ -1218,7 +1231,7 @@ _rep = [
     f"rp as ({std(standins.REPLIES_SQL)})",
     r"r1 as (select *, regexp_extract(text, '(?s)\{.*\}', 0) sp from rp)",
     "r2 as (select *, case when json_valid(sp) and sp <> '' then sp::json end j from r1)",
-    f"""mo as (select request_id, url, case when sp = '' then '{model_replies.ERROR_NO_JSON}' when j is null then '{model_replies.ERROR_BAD_JSON}' end error,
+    f"""mo as (select request_id, url, case when sp = '' then 'โมเดลไม่ได้ตอบเป็น JSON' when j is null then 'JSON parse error' end error,
       {js('documentType')} doc_type, {js('facilityName')} facility_name, coalesce({js('ownerName')}, {js('operatorName')}) owner_name,
       {js('operatorName')} operator_name, {js('personName')} name_th, {js('personName')} as name, nullif({digits(js('idNumber'))}, '') id_number,
       case when nullif({digits(js('idNumber'))}, '') is not null then {valid_id(js('idNumber'))} end id_number_valid, {js('licenseNumber')} license_number,
