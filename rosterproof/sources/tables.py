@@ -27,14 +27,19 @@ def read_registry_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def land_registry_pages(rows: DataFrame, path: str, keys: tuple[str, ...] = ()) -> None:
-    """Write pages (start, recordsTotal, data and ``keys``) as JSON, a folder per key and start."""
-    rows.write.mode("overwrite").partitionBy(*keys, "start").json(path)
+    """Write pages (start, recordsTotal, data and ``keys``) as JSON lines, a folder per key.
+
+    A task writes its pages of a key to one file, so the files follow the data's size and
+    not the number of pages.
+    """
+    rows.write.mode("overwrite").partitionBy(*keys).json(path)
 
 
 def read_landed_pages(spark: SparkSession, path: str, keys: str = "") -> DataFrame:
-    """Registry pages below ``start=<first row>`` folders, with their ``file``.
+    """Landed registry pages, a page a JSON object, with their ``file``.
 
-    ``keys`` declares further folder levels, such as ``snapshot string``.
+    ``start`` is a field of the page or a ``start=<first row>`` folder it lies in. ``keys``
+    declares folder levels, such as ``snapshot string``.
     """
     schema = ", ".join(x for x in (schemas.RAW_REGISTRY_PAGE, keys, "start long") if x)
     return spark.read.schema(schema).json(path).withColumn("file", F.col("_metadata.file_path"))

@@ -59,6 +59,15 @@ def test_landed_pages_are_read_back(spark, tmp_path):
     assert [(r.snapshot, r.input_order, r.id, r.owner) for r in rows] == [("s", 0, "1", ""), ("s", 1, "2", ""), ("s", 2, "3", "")]
 
 
+def test_landed_files_do_not_grow_with_the_pages(spark, tmp_path):
+    pages = landing(spark, [("s", i, 300, [str(i)], "x") for i in range(300)]).drop("file").coalesce(2)
+    tables.land_registry_pages(pages, str(tmp_path / "p"), ("snapshot",))
+    assert len(list((tmp_path / "p").rglob("*.json"))) <= 2
+    back = tables.check_pages(tables.read_landed_pages(spark, str(tmp_path / "p"), "snapshot string"), ["snapshot"])
+    report = tables.landing_report(back, ["snapshot"]).collect()
+    assert [(r.snapshot, r.pages, r.rows_read, r.complete) for r in report] == [("s", 300, 300, True)]
+
+
 def test_payload(values):
     def enc(b):
         return base64.b64encode(b).decode()
