@@ -59,6 +59,9 @@ def spread_join(
     ``few`` with that key are copied once per slice. ``few`` must hold a small number of
     rows per key (one, or a first-k list). Works for inner, left, left_semi, left_anti.
     ``hot`` gives the hot keys where group sizes are known; else ``many`` is counted.
+
+    ``few`` grows with the input and its size is guessed low behind joins and explodes, so
+    it is merged: only the hot keys ever pass through the driver.
     """
     hot = hot_keys(many, keys) if hot is None else hot
     cut = F.coalesce(F.col("__cut"), F.lit(1))
@@ -73,4 +76,4 @@ def spread_join(
         .withColumn("__slice", F.explode(F.sequence(F.lit(0), cut - 1)))
         .drop("__hash", "__cut")
     )
-    return left.join(right, [*keys, "__slice"], how).drop("__slice")
+    return left.join(right.hint("merge"), [*keys, "__slice"], how).drop("__slice")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rosterproof.operators import registry as R
 from rosterproof.operators import skew
+from rosterproof.plans import standins
 
 R3 = [
     ("1", "AAA111111", "คลินิก A", "เจ้าของ A"),
@@ -178,6 +179,22 @@ def test_spread_join(spark, how):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
 
 
+def test_only_hot_keys_are_broadcast(spark):
+    """The other side of a spread join and the registry behind forms stay off the driver."""
+    many, few = spark.range(100).selectExpr("id % 7 as k", "id"), spark.range(7).selectExpr("id as k", "id as v")
+    hot = skew.hot_keys(many, ["k"], 5).localCheckpoint()
+    plan = skew.spread_join(many, few, ["k"], "left", ["id"], hot)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1
+    parts = spark.createDataFrame(
+        [(1, "a", "t", "b", 3)], "p_partkey bigint, p_name string, p_type string, p_brand string, p_size int"
+    )
+    customers = spark.createDataFrame([(1, 2), (5, 2)], "c_custkey bigint, c_nationkey int")
+    nations = spark.createDataFrame([(2, "n")], "n_nationkey int, n_name string")
+    forms = standins.derive(spark, "", standins.SUBMISSIONS_SQL, part=parts, customer=customers, nation=nations)
+    joins = forms._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in joins and sorted(r.request_id for r in forms.collect()) == ["1", "5"]
+
+
 def test_hot_key_reaches_many_tasks(spark):
     """The rows of one key are cut into slices, about as many as hot_rows says."""
     many = spark.range(1000).select(F.lit(7).alias("k"), "id")
