@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterproof.functions import fixed
-from rosterproof.functions.text import alternation, ascii_digits, bind, join_thai, trim_blanks
+from rosterproof.functions.text import alternation, ascii_digits, bind, join_thai, trim_blanks, word_pattern
 
 _W = f"{fixed.WS}*"
 _MONTHS = alternation(list(fixed.THAI_MONTHS))
@@ -23,7 +23,7 @@ DATE_IN_TEXT = (
     rf"[0-9]{{1,2}}{_W}(?:{_MONTHS}){_W}{_ERA}[0-9]{{2,4}}"
     rf"|[0-9]{{1,2}}{_W}[/.\-]{_W}[0-9]{{1,2}}{_W}[/.\-]{_W}[0-9]{{2,4}}"
 )
-_LABELLED = rf"(?i)(?:{alternation(fixed.LABELS['expiry'])})[^\n]{{0,20}}?({DATE_IN_TEXT})"
+_LABELLED = rf"(?i){word_pattern(fixed.LABELS['expiry'])}[^\n]{{0,20}}?({DATE_IN_TEXT})"
 
 
 def _int(c: Column) -> Column:
@@ -32,16 +32,21 @@ def _int(c: Column) -> Column:
 
 def full_year(raw: Column) -> Column:
     """Two-digit years belong to the 25xx Buddhist century; Buddhist becomes Gregorian."""
-    y = _int(raw) + F.when(F.length(raw) == 2, 2500).otherwise(0)
-    return y - F.when(y > 2400, 543).otherwise(0)
+    y = bind(raw, lambda r: _int(r) + F.when(F.length(r) == 2, 2500).otherwise(0))
+    return bind(y, lambda n: n - F.when(n > 2400, 543).otherwise(0))
 
 
 def roll_date(y: Column, m: Column, d: Column) -> Column:
     """Date whose day may run past the month's end (31 Feb is 3 Mar)."""
-    ok = (y != 0) & m.between(1, 12) & d.between(1, 31)
-    # Years below 100 count from 1900.
-    year = y + F.when(y < 100, 1900).otherwise(0)
-    return F.when(ok, F.date_add(F.make_date(year, m, F.lit(1)), d - 1))
+
+    def day(p: Column) -> Column:
+        y, m, d = p["y"], p["m"], p["d"]
+        ok = (y != 0) & m.between(1, 12) & d.between(1, 31)
+        # Years below 100 count from 1900.
+        year = y + F.when(y < 100, 1900).otherwise(0)
+        return F.when(ok, F.date_add(F.make_date(year, m, F.lit(1)), d - 1))
+
+    return bind(F.struct(y.alias("y"), m.alias("m"), d.alias("d")), day)
 
 
 def month_number(c: Column) -> Column:
@@ -52,9 +57,10 @@ def month_number(c: Column) -> Column:
 def parse_date(c: Column) -> Column:
     """Date in a short string. The first pattern found decides, valid or not.
 
-    The clean text stands in every condition, so generated code computes it once.
+    The clean text and each part of a date are bound: repeated under a CASE they made code too
+    large to compile, and were computed anew at each place.
     """
-    return _first_date(ascii_digits(join_thai(F.coalesce(c, F.lit("")))))
+    return bind(ascii_digits(join_thai(F.coalesce(c, F.lit("")))), _first_date)
 
 
 def _first_date(t: Column) -> Column:

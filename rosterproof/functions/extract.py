@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from rosterproof.functions import fixed
 from rosterproof.functions.keys import check_digit_ok, digits_only
 from rosterproof.functions.text import (
-    alternation,
     any_word,
     bind,
     clean_facility_name,
@@ -18,6 +17,7 @@ from rosterproof.functions.text import (
     join_thai,
     keep_unless_junk,
     squeeze_blanks,
+    translate,
     trim_blanks,
     word_pattern,
 )
@@ -34,7 +34,7 @@ _FACILITY_RUN = (
 def labelled_pattern(labels: list[str], max_len: int) -> str:
     """Any spelling of a label, then 2..max_len characters to the end of the line."""
     return (
-        rf"(?i)(?:{alternation(labels)}){fixed.WS}*[:{fixed.BLANK}.]*([^\n]{{2,{max_len}}})"
+        rf"(?i){word_pattern(labels)}{fixed.WS}*[:{fixed.BLANK}.]*([^\n]{{2,{max_len}}})"
     )
 
 
@@ -45,24 +45,31 @@ def find_labelled(text: Column, labels: list[str], max_len: int = 70) -> Column:
 
 def extract_thai_id(text: Column) -> Column:
     """13-digit ID in noisy text: the first with a right check digit, else the first."""
+    labels = fixed.LABELS["id_number"]
+
+    def labelled(joined: Column) -> Column:
+        # Only a text that holds a label is taken apart.
+        lines = F.filter(F.split(joined, "\n"), lambda line: any_word(line, labels))
+        none = F.array().cast("array<string>")
+        return F.when(any_word(joined, labels), F.transform(lines, digits_only)).otherwise(none)
+
+    def ids(t: Column) -> Column:
+        grouped = F.array(digits_only(F.regexp_extract(t, _GROUPED_ID, 0)))
+        bare = F.regexp_extract_all(t, F.lit(_BARE_ID), F.lit(1))
+        found = F.concat(grouped, bare, bind(join_thai(t), labelled))
+        return F.filter(found, lambda d: F.length(d) == 13)
+
+    def first(ids: Column) -> Column:
+        return F.coalesce(F.get(F.filter(ids, check_digit_ok), F.lit(0)), F.get(ids, F.lit(0)))
+
     # Letters that OCR reads for digits are rewritten first, labels included.
-    t = F.translate(
+    t = translate(
         text,
         fixed.CONFUSABLE_LETTERS + fixed.THAI_DIGITS,
         fixed.CONFUSABLE_DIGITS + fixed.ASCII_DIGITS,
+        f"[{fixed.CONFUSABLE_LETTERS}๐-๙]",
     )
-    grouped = F.array(digits_only(F.regexp_extract(t, _GROUPED_ID, 0)))
-    bare = F.regexp_extract_all(t, F.lit(_BARE_ID), F.lit(1))
-    lines = F.filter(
-        F.split(join_thai(t), "\n"), lambda line: any_word(line, fixed.LABELS["id_number"])
-    )
-    labelled = F.transform(lines, digits_only)
-    found = F.filter(F.concat(grouped, bare, labelled), lambda d: F.length(d) == 13)
-
-    def first(ids: Column) -> Column:
-        return F.coalesce(F.get(F.filter(ids, check_digit_ok), F.lit(0)), F.get(ids, F.lit(0)))
-
-    return bind(found, first)
+    return bind(bind(t, ids), first)
 
 
 def titled_person(text: Column) -> Column:

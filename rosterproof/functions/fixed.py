@@ -10,6 +10,10 @@ results to be right. Nothing here is computed.
 BLANK = (
     r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 )
+# The same characters as a plain string.
+BLANK_CHARS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + (
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 WS = f"[{BLANK}]"
 NOT_WS = f"[^{BLANK}]"
 # Any character but a line terminator.

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from rosterproof.functions import fixed
 
-_EDGE_BLANKS = rf"^{fixed.WS}+|{fixed.WS}+\z"
+# Characters that ``normalise_ocr`` rewrites: quotes, and zero-width ones that go.
+_QUOTES, _PLAIN_QUOTES = "“”„‘’\u200b\u200c\u200d\ufeff", "\"\"\"\'\'"
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -42,11 +43,11 @@ def blank_to_null(c: Column) -> Column:
 
 def first_match(c: Column, pattern: str, group: int = 1) -> Column:
     """A regex group, null when the pattern does not match."""
-    return blank_to_null(F.regexp_extract(c, pattern, group))
+    return bind(F.regexp_extract(c, pattern, group), blank_to_null)
 
 
 def trim_blanks(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGE_BLANKS, "")
+    return F.btrim(c, F.lit(fixed.BLANK_CHARS))
 
 
 def squeeze_blanks(c: Column) -> Column:
@@ -64,22 +65,30 @@ def strip_tags(c: Column) -> Column:
 
 def join_thai(c: Column) -> Column:
     """Rejoin Thai glyphs that OCR split by spaces or tabs. Newlines stay."""
-    return F.regexp_replace(c, rf"([{fixed.THAI}])[ \t]+(?=[{fixed.THAI}])", "$1")
+    return F.regexp_replace(c, rf"[ \t](?<=[{fixed.THAI}][ \t])[ \t]*(?=[{fixed.THAI}])", "")
+
+
+def translate(c: Column, letters: str, into: str, seen: str) -> Column:
+    """``F.translate`` of the rows where ``seen``, a class with all the letters, is found.
+
+    It is slow, and most rows hold none of them.
+    """
+    return bind(c, lambda t: F.when(t.rlike(seen), F.translate(t, letters, into)).otherwise(t))
 
 
 def ascii_digits(c: Column) -> Column:
-    return F.translate(c, fixed.THAI_DIGITS, fixed.ASCII_DIGITS)
+    return translate(c, fixed.THAI_DIGITS, fixed.ASCII_DIGITS, "[๐-๙]")
 
 
 def thai_skeleton(c: Column) -> Column:
-    """Thai letters without vowel marks and tones."""
-    return F.regexp_replace(join_thai(c), rf"[{fixed.THAI_MARKS}]|[^{fixed.THAI}]", "")
+    """Thai letters without vowel marks and tones; blanks go, so none are joined first."""
+    return F.regexp_replace(c, rf"[{fixed.THAI_MARKS}[^{fixed.THAI}]]+", "")
 
 
 def normalise_ocr(c: Column) -> Column:
     """The clean-up every document text goes through before extraction."""
     t = join_thai(ascii_digits(F.coalesce(c, F.lit(""))))
-    t = F.translate(t, "“”„‘’\u200b\u200c\u200d\ufeff", "\"\"\"''")
+    t = translate(t, _QUOTES, _PLAIN_QUOTES, r"[\x{200B}-\x{201E}\x{FEFF}]")
     return F.regexp_replace(t, r"[ \t]{2,}", " ")
 
 
@@ -97,12 +106,11 @@ def is_junk(
         junk = (
             (n < max(1, min_len))
             | (n > max_len)
-            | v.rlike(r'[=|><"\\]')
-            | is_boilerplate(v)
+            | v.rlike(rf'[=|><"\\]|{word_pattern(fixed.BOILERPLATE)}')
             | v.isin(fixed.GENERIC_TERMS)
         )
         if min_thai_ratio > 0:
-            thai = n - F.length(F.regexp_replace(v, f"[{fixed.THAI}]", ""))
+            thai = F.length(F.regexp_replace(v, f"[^{fixed.THAI}]+", ""))
             junk = junk | (thai < F.lit(float(min_thai_ratio)) * n)
         return junk
 
@@ -114,20 +122,22 @@ def keep_unless_junk(c: Column, **opts) -> Column:
 
 
 def clean_facility_name(c: Column) -> Column:
-    """Peel the label before a facility name and the field after it."""
-    lead = alternation(fixed.FACILITY_LEAD)
-    end = alternation(fixed.FACILITY_END)
-    v = F.regexp_replace(F.coalesce(c, F.lit("")), rf"^{fixed.DOT}*?(?:{lead})", "")
-    v = F.regexp_replace(v, "^ชื่อ", "")
-    v = F.regexp_replace(v, rf"(?:{end}){fixed.DOT}*\z", "")
-    return F.regexp_replace(v, rf"^[{fixed.BLANK}:.,ๆ]+|[{fixed.BLANK}:.,ๆ]+\z", "")
+    """Peel the label before a facility name and the field after it.
+
+    Both in one search: what is peeled off the start ends before the field.
+    """
+    lead, end = word_pattern(fixed.FACILITY_LEAD), word_pattern(fixed.FACILITY_END)
+    peel = rf"\A(?:{fixed.DOT}*?{lead}(?:ชื่อ)?|ชื่อ)|{end}{fixed.DOT}*\z"
+    v = F.regexp_replace(F.coalesce(c, F.lit("")), peel, "")
+    return F.btrim(v, F.lit(f"{fixed.BLANK_CHARS}:.,ๆ"))
 
 
 def clean_person_name(c: Column) -> Column:
-    """Peel labels around a person name and keep Thai letters and spaces."""
-    lead = alternation(fixed.PERSON_LEAD)
-    end = alternation(fixed.PERSON_END)
-    v = F.regexp_replace(F.coalesce(c, F.lit("")), rf"^{fixed.DOT}*?(?:{lead}){fixed.WS}*", "")
-    v = F.regexp_replace(v, rf"(?:{end}){fixed.DOT}*\z", "")
-    v = F.regexp_replace(v, f"[^{fixed.THAI} ]", "")
-    return trim_blanks(F.regexp_replace(v, " +", " "))
+    """Peel labels around a person name and keep Thai letters and spaces.
+
+    In one search: a label or end is looked for at a place before its letter is dropped.
+    """
+    lead, end = word_pattern(fixed.PERSON_LEAD), word_pattern(fixed.PERSON_END)
+    peel = rf"\A{fixed.DOT}*?{lead}{fixed.WS}*|{end}{fixed.DOT}*\z|[^{fixed.THAI} ]"
+    v = F.regexp_replace(F.coalesce(c, F.lit("")), peel, "")
+    return F.trim(F.regexp_replace(v, " {2,}", " "))

@@ -94,6 +94,7 @@ def compare(docs: DataFrame, submissions: DataFrame, as_of: Column) -> DataFrame
     Keys: request_id, doc_ordinal, row (place within the document). ``as_of`` is the
     timestamp that decides whether a document has expired.
     """
+    c = F.col
     d = with_person(docs.where(F.col("status") == "success"), submissions)
     d = d.withColumns(
         {
@@ -101,16 +102,18 @@ def compare(docs: DataFrame, submissions: DataFrame, as_of: Column) -> DataFrame
             "__owner": first_given(
                 *[F.col(c) for c in ("owner_name", "operator_name", "pharmacist_name", "name_th")]
             ),
+            "__same_id": F.when(
+                given(c("id_number")) & given(c("person_id")), same_id(c("id_number"), c("person_id"))
+            ),
             "__expiry": parse_date(first_given(F.col("expiry_date_parsed"), F.col("expiry_date"))),
         }
     )
     d = add_name_similarity(d, "__facility", "health_unit_name", "__unit")
     d = add_name_similarity(d, "__owner", "person_name", "__person")
-    c = F.col
     unit, person = c("__unit"), c("__person")
     named = given(c("person_name"))
     name_field = F.concat(F.lit(fixed.FIELD_NAME), "person_label")
-    id_match = same_id(c("id_number"), c("person_id"))
+    id_match = c("__same_id")
     rows = F.array(
         F.when(
             given(c("__facility")) & given(c("health_unit_name")),

@@ -10,6 +10,7 @@ from rosterproof.functions import fixed
 from rosterproof.functions.dates import add_expiry, iso
 from rosterproof.functions.keys import first_given, thai_id_valid
 from rosterproof.functions.text import (
+    bind,
     blank_to_null,
     clean_person_name,
     is_boilerplate,
@@ -82,10 +83,11 @@ def extract_fields(docs: DataFrame) -> DataFrame:
             "__person": F.when(
                 card,
                 F.coalesce(
-                    blank_to_null(
-                        clean_person_name(X.find_labelled(t, fixed.LABELS["person_name"], 60))
+                    bind(
+                        clean_person_name(X.find_labelled(t, fixed.LABELS["person_name"], 60)),
+                        blank_to_null,
                     ),
-                    blank_to_null(clean_person_name(X.titled_person(t))),
+                    bind(clean_person_name(X.titled_person(t)), blank_to_null),
                 ),
             ),
             "name_en": F.when(card, X.latin_name(t)),
