@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rosterproof.functions import fixed
 from rosterproof.functions.keys import check_digit_ok, digits_only
 from rosterproof.functions.text import (
+    SCAN_NOT_WS,
     any_word,
     bind,
     clean_facility_name,
@@ -27,7 +28,7 @@ _GAP = rf"[{fixed.BLANK}-]*"
 _GROUPED_ID = rf"[0-9]{_GAP}[0-9]{{4}}{_GAP}[0-9]{{5}}{_GAP}[0-9]{{2}}{_GAP}[0-9](?![0-9])"
 _BARE_ID = "(?<![0-9])([0-9]{13})(?![0-9])"
 _FACILITY_RUN = (
-    rf"({fixed.NOT_WS}{{0,30}}{word_pattern(fixed.FACILITY_KINDS)}[^\n]{{0,40}})"
+    rf"({SCAN_NOT_WS}{{0,30}}{word_pattern(fixed.FACILITY_KINDS)}[^\n]{{0,40}})"
 )
 
 
@@ -140,7 +141,7 @@ def names_in_text(text: Column) -> Column:
 
 def organisations_in_text(text: Column) -> Column:
     """First five distinct organisations, boilerplate out; null when none was seen."""
-    pattern = rf"((?:{'|'.join(fixed.ORGANISATION_KINDS)}){fixed.WS}*{fixed.NOT_WS}+)"
+    pattern = rf"((?:{'|'.join(fixed.ORGANISATION_KINDS)}){fixed.WS}*{SCAN_NOT_WS}+)"
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
     def kept(a: Column) -> Column:

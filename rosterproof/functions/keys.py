@@ -11,6 +11,8 @@ from rosterproof.functions import fixed
 from rosterproof.functions.text import bind, blank_to_null, trim_blanks
 
 CHECK_DIGIT_WEIGHTS = range(13, 1, -1)
+# Blanks and punctuation of names. Letters, which names mostly hold, are decided by the first test.
+NAME_MARKS = rf"[[^A-Za-z0-9{fixed.THAI}]&&[{fixed.BLANK}()._/\\–—-]]"
 
 
 def digits_only(c: Column) -> Column:
@@ -19,9 +21,7 @@ def digits_only(c: Column) -> Column:
 
 def name_key(c: Column) -> Column:
     """Lower-case name without blanks and punctuation; '' for a missing name."""
-    return F.lower(
-        F.regexp_replace(F.coalesce(c, F.lit("")), rf"[{fixed.BLANK}()._/\\–—-]", "")
-    )
+    return F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), NAME_MARKS, ""))
 
 
 def code_key(c: Column) -> Column:
