@@ -364,10 +364,13 @@ def with_rule_results(submissions: DataFrame) -> DataFrame:
 
 
 def rule_results(with_rules: DataFrame) -> DataFrame:
-    """Long table: one row per rule result, ``ordinal`` being its place in the list."""
-    return with_rules.select(
-        "request_id", "source", F.posexplode("rules").alias("ordinal", "r")
-    ).select("request_id", "source", "ordinal", "r.*")
+    """Long table: one row per rule result, ``ordinal`` being its place in the list.
+
+    For an inner explode of a column Spark first filters on its size, below the rules, which
+    computes all of them twice.
+    """
+    rows = with_rules.select("request_id", "source", F.posexplode_outer("rules").alias("ordinal", "r"))
+    return rows.where(F.col("ordinal").isNotNull()).select("request_id", "source", "ordinal", "r.*")
 
 
 def rule_score(with_rules: DataFrame) -> DataFrame:

@@ -161,6 +161,20 @@ def test_long_table_score_and_verdict(spark, run):
     assert summary.request_summary(run(clean), ok).collect()[0].verdict == "pass"
 
 
+def test_rules_are_computed_once(run):
+    """A filter on the number of rules, below them, computed every rule a second time."""
+    rows = rules.rule_results(run(FULL, {**FULL, "source": "modal"}))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("struct(rule_id, hcode-format") == 1
+    counts = {r["request_id"]: r["count"] for r in rows.groupBy("request_id").count().collect()}
+    assert counts == {r.request_id: len(r.rules) for r in run(FULL, {**FULL, "source": "modal"}).collect()}
+
+
+def test_no_rules_no_rows(run):
+    none = run(FULL).withColumn("rules", F.filter("rules", lambda r: F.lit(False)))
+    assert rules.rule_results(none).collect() == []
+
+
 def test_deep_results(spark, run):
     with_rules = run(FULL, {"source": "modal", "hu_id": "5"})
     strong = spark.createDataFrame([("3238",), ("3238",)], "id string")
